@@ -118,8 +118,9 @@ class EMOptions:
     int_limit: int | None = None
     test: bool = False
     predict_contacts: bool = False
-    max_init_iters: int = 100
-    max_reg_iters: int = 1000
+    max_init_iters: int = 300  # gradient passes of a path fit (init, random start, contacts)
+    max_reg_iters: int = 150  # gradient passes of a fixed-alpha M-step (warm-started)
+    fit_tol: float = 1e-5  # largest coefficient step at which a model counts as converged
     seed: int = 42
 
     def __post_init__(self):

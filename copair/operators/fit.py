@@ -45,6 +45,7 @@ from copair.functions.alphabet import (
 from copair.operators import kernels as K
 
 INTERCEPT_CLAMP = 35.0
+COMPACT_CELLS = 2_000_000  # rows x active models below which one task does the pass
 CHUNK_DOUBLES = 1 << 20
 
 
@@ -364,8 +365,12 @@ def _soft(x, t):
 
 def fista(rows: DataFrame, sides: dict, stats: RowStats, width_a: int, width_b: int,
           l1_ratio: float = L1_RATIO, max_iter: int = 300, tol: float = 1e-6,
-          max_block_bytes: int = 256 << 20, prune=None) -> None:
-    """Fit all not-yet-converged models of ``sides`` in place."""
+          max_block_bytes: int = 256 << 20, prune=None, rows_compact: DataFrame | None = None) -> None:
+    """Fit all not-yet-converged models of ``sides`` in place.
+
+    ``rows_compact`` (same rows, one partition, narrow coalesce of the
+    cached rows) is used for passes whose active work is small, where job
+    and task overhead would dominate."""
     n = stats.n
     widths = {"A": width_a, "B": width_b}
     st = {}
@@ -419,7 +424,9 @@ def fista(rows: DataFrame, sides: dict, stats: RowStats, width_a: int, width_b:
         for batch in batches:
             models = {s: {"W": st[s]["y"][idx], "b": st[s]["yb"][idx], "tpos": sides[s].tpos[idx],
                           "tcls": sides[s].tcls[idx]} for s, idx in batch.items()}
-            res = _gradient_pass(rows, models, width_a, width_b, n)
+            cells = n * sum(len(idx) for idx in batch.values())
+            src = rows_compact if (rows_compact is not None and cells <= COMPACT_CELLS) else rows
+            res = _gradient_pass(src, models, width_a, width_b, n)
             for s, idx in batch.items():
                 grads.setdefault(s, []).append((idx, res[s]))
         for s, lst in grads.items():
@@ -542,14 +549,17 @@ def fit_columns(rows: DataFrame, width_a: int, width_b: int, n_all: int | None =
         sides[s] = sm
     if max_iter is None:
         max_iter = 300 if search else 1000
-    fista(rows.persist(), sides, stats, width_a, width_b, l1_ratio, max_iter, tol,
-          prune=_dfmax_pruner(dfmax) if search else None)
-    rows.unpersist()
+    rows = rows.persist()
+    compact = rows.coalesce(1) if rows.rdd.getNumPartitions() > 1 else None
+    fista(rows, sides, stats, width_a, width_b, l1_ratio, max_iter, tol,
+          prune=_dfmax_pruner(dfmax) if search else None, rows_compact=compact)
     if not search:
+        rows.unpersist()
         return FitResult(sides, {s: {int(p): float(a) for p, a in zip(sm.gpos, sm.galpha)} for s, sm in sides.items()},
                          None, None, stats, n_all)
     # path selection: df, BIC over the fitted rows, dfmax stop, min BIC
     lp = group_logprob_sums(rows, sides, width_a, width_b)
+    rows.unpersist()
     chosen, table, alphas_out = {}, [], {}
     for s, sm in sides.items():
         dfs = sm.group_df()

@@ -77,7 +77,7 @@ def run_em(prepared: Prepared, opts: EMOptions, start: int = 0) -> EMResult:
     traces, cmaps, mtabs, iters = [], [], [], []
     if opts.init == "warm":
         res = fit.fit_columns(fit.fit_rows(base, opts.mode, weighted=False), La, Lb, n_all=n_all,
-                              dfmax=opts.dfmax, max_iter=opts.max_init_iters * 3)
+                              dfmax=opts.dfmax, max_iter=opts.max_init_iters, tol=opts.fit_tol)
         sides, alphas = res.sides, res.alphas
         st = alt_model.score_alt(base, sides, La, Lb)
         st = _null_scores(st, opts.mode, La, Lb, weights_zero=True)
@@ -101,12 +101,12 @@ def run_em(prepared: Prepared, opts: EMOptions, start: int = 0) -> EMResult:
         k += 1
         rows = fit.fit_rows(st, opts.mode, weighted=True)
         if search_next:
-            res = fit.fit_columns(rows, La, Lb, n_all=n_all, dfmax=opts.dfmax, max_iter=opts.max_init_iters * 3)
+            res = fit.fit_columns(rows, La, Lb, n_all=n_all, dfmax=opts.dfmax, max_iter=opts.max_init_iters, tol=opts.fit_tol)
             alphas = res.alphas
             search_next = False
         else:
             res = fit.fit_columns(rows, La, Lb, n_all=n_all, alphas=alphas, init=sides, dfmax=opts.dfmax,
-                                  max_iter=opts.max_reg_iters)
+                                  max_iter=opts.max_reg_iters, tol=opts.fit_tol)
         sides = res.sides
         nxt = alt_model.score_alt(st.select("pair_id", "a", "b", "z"), sides, La, Lb)
         nxt = _null_scores(nxt, opts.mode, La, Lb)
@@ -146,7 +146,7 @@ def predict_contacts(prepared: Prepared, state: DataFrame, opts: EMOptions):
     sel = labels.select_for_contacts(state, opts.mode)
     rows = sel.select("a", "b", (F.lit(1.0) if opts.mode == "hard" else F.col("z").cast("double")).alias("w"))
     n_all = state.count()
-    res = fit.fit_columns(rows, La, Lb, n_all=n_all, dfmax=opts.dfmax, max_iter=opts.max_init_iters * 3)
+    res = fit.fit_columns(rows, La, Lb, n_all=n_all, dfmax=opts.dfmax, max_iter=opts.max_init_iters, tol=opts.fit_tol)
     cmap = _couplings_of(res.sides, La, Lb, state.sparkSession)
     return cmap, res
 
@@ -161,7 +161,7 @@ def weighted_llh(trace: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     out = trace.withColumn("alt_int", F.col("z") * F.col("alt_llh")).withColumn(
         "null_nonint", (F.lit(1.0) - F.col("z")) * F.col("null_llh"))
     if truth is not None:
-        out = out.join(truth.select("pair_id", "y"), "pair_id").withColumn(
+        out = out.join(truth.select("pair_id", "y"), "pair_id", "left").withColumn(
             "alt_true", F.col("y") * F.col("alt_llh")).withColumn(
             "null_true", (F.lit(1.0) - F.col("y")) * F.col("null_llh"))
     return out
