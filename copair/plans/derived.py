@@ -55,6 +55,9 @@ class Derived:
 
 
 def derive(spark: SparkSession, sf_dir: str) -> Derived:
+    # plans carry constant PWM arrays; constraint inference over them is
+    # costly and buys nothing here
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     docs = load_table(spark, sf_dir, "documents")
     prepared = preprocess(alignment_from_documents(docs), GAP_THRESHOLD)
     return Derived(spark, sf_dir, prepared)

@@ -249,7 +249,7 @@ SELECT count(*) AS n, round(sum(abs(z_post - z)), 6) AS sum_abs_diff,
                                     body="SELECT pair_id, round(z_post, 6) AS z FROM posth WHERE zh = 0")
     q["select_for_contacts"] = _q(BASE, NULL_SOFT, GIVEN, POSTERIOR,
                                   body="SELECT pair_id, round(z_post, 6) AS z FROM post WHERE z_post >= 0.5")
-    q["fit_first_step"] = _q(BASE, body="""
+    q["fit_first_step"] = _q(BASE, """
 ccount AS (SELECT side, pos, aa, count(*) AS n FROM dres GROUP BY side, pos, aa),
 ncls AS (SELECT side, pos, count(*) AS k, max(aa) AS top FROM ccount GROUP BY side, pos),
 tmodels AS (SELECT c.side, c.pos, c.aa AS cls, c.n * 1.0 / (SELECT n FROM npairs) AS p
@@ -262,7 +262,7 @@ cooc AS (SELECT t.side, t.pos, t.aa AS cls, o.pos AS feat_pos, o.aa AS feat_aa,
 grads AS (SELECT m.side, m.pos, m.cls, abs(m.p * f.nf - coalesce(c.nfc, 0)) / (SELECT n FROM npairs) AS g
           FROM tmodels m JOIN feats f ON f.side <> m.side
           LEFT JOIN cooc c ON c.side = m.side AND c.pos = m.pos AND c.cls = m.cls
-                          AND c.feat_pos = f.feat_pos AND c.feat_aa = f.feat_aa)
+                          AND c.feat_pos = f.feat_pos AND c.feat_aa = f.feat_aa)""", body="""
 SELECT side, pos, cls, round(max(g), 6) AS max_grad, round(max(g) / 0.99, 6) AS alpha_max
 FROM grads GROUP BY side, pos, cls""")
     q["couplings"] = _q(BASE, GIVEN, CONTACTS, body="""

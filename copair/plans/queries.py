@@ -26,6 +26,27 @@ TOP_N = 10
 METRIC_LIMIT = 20
 
 
+_MEMO: dict = {}
+
+
+def _memo(tag: str, d, build):
+    """Reuse shared intermediate results across queries of one process
+    (keyed by session, test-data folder and tag); cached DataFrames."""
+    key = (id(d.spark), d.sf_dir, tag)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
+def _derive(spark, sf):
+    key = (id(spark), sf, "derive")
+    if key not in _MEMO:
+        d = D.derive(spark, sf)
+        d.prepared.pairs = d.prepared.pairs.cache()
+        _MEMO[key] = d
+    return _MEMO[key]
+
+
 def _r(c: str) -> F.Column:
     return F.round(F.col(c), R).alias(c)
 
@@ -55,7 +76,7 @@ def q_encode_residues(spark, sf):
 
 
 def q_one_hot_features(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     return prep.one_hot_long(d.pairs).select("pair_id", "side", F.col("feature").cast("int"))
 
 
@@ -100,7 +121,7 @@ def q_check_contact_map(spark, sf):
 # --- labels ---------------------------------------------------------------
 
 def q_true_labels(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     n = d.pairs.count()
     return labels.true_labels(d.pairs, int(math.floor(0.75 * n)) - 1, n)
 
@@ -148,7 +169,12 @@ def _sides_multi(models: DataFrame, coefs: DataFrame, La: int, Lb: int) -> dict:
 
 
 def _selected(d):
+    return _memo("selected", d, lambda: _selected_build(d))
+
+
+def _selected_build(d):
     table, sides, tabs = _given_path_table(d)
+    table = table.cache()
     sel = alt_model.select_by_bic(table)
     chosen = {(r.side, r.pos, r.alpha) for r in sel.collect()}
     keep = {}
@@ -159,8 +185,10 @@ def _selected(d):
 
 
 def _alt(d):
-    sides, _, _ = _selected(d)
-    return alt_model.score_alt(d.pairs, sides, d.prepared.width_a, d.prepared.width_b, per_residue=True)
+    def build():
+        sides, _, _ = _selected(d)
+        return alt_model.score_alt(d.pairs, sides, d.prepared.width_a, d.prepared.width_b, per_residue=True).cache()
+    return _memo("alt", d, build)
 
 
 def _null_soft(d):
@@ -178,62 +206,62 @@ def _posterior_df(d):
 
 
 def q_posterior(spark, sf):
-    p = _posterior_df(D.derive(spark, sf))
+    p = _posterior_df(_derive(spark, sf))
     return p.select("pair_id", F.round("z_post", R).alias("z"))
 
 
 def q_harden(spark, sf):
-    p = _posterior_df(D.derive(spark, sf))
+    p = _posterior_df(_derive(spark, sf))
     return p.select("pair_id", harden_expr("z_post").alias("z_hard"))
 
 
 def q_convergence(spark, sf):
-    p = _posterior_df(D.derive(spark, sf))
+    p = _posterior_df(_derive(spark, sf))
     c = labels.convergence_df(p, "z_post", "z", "soft", 0.005)
     return c.select("n", _r("sum_abs_diff"), _r("mean_abs_diff"), F.col("converged").cast("int").alias("converged"))
 
 
 def q_select_interacting(spark, sf):
-    p = _posterior_df(D.derive(spark, sf)).withColumn("zh", harden_expr("z_post"))
+    p = _posterior_df(_derive(spark, sf)).withColumn("zh", harden_expr("z_post"))
     return labels.select_interacting(p, "zh").select("pair_id", F.round("z_post", R).alias("z"))
 
 
 def q_select_noninteracting(spark, sf):
-    p = _posterior_df(D.derive(spark, sf)).withColumn("zh", harden_expr("z_post"))
+    p = _posterior_df(_derive(spark, sf)).withColumn("zh", harden_expr("z_post"))
     return labels.select_noninteracting(p, "zh").select("pair_id", F.round("z_post", R).alias("z"))
 
 
 def q_select_for_contacts(spark, sf):
-    p = _posterior_df(D.derive(spark, sf))
+    p = _posterior_df(_derive(spark, sf))
     return labels.select_for_contacts(p, "soft", "z_post").select("pair_id", F.round("z_post", R).alias("z"))
 
 
 def q_random_labels(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     return labels.random_labels(d.pairs.select("pair_id"), D.INT_FRAC, "soft", 42)
 
 
 # --- null model -----------------------------------------------------------
 
 def q_null_pwm_soft(spark, sf):
-    _, pwm = _null_soft(D.derive(spark, sf))
+    _, pwm = _null_soft(_derive(spark, sf))
     return pwm.select("side", "pos", "aa", _r("logp"))
 
 
 def q_null_pwm_hard(spark, sf):
-    st = D.derive(spark, sf).prior()
+    st = _derive(spark, sf).prior()
     pwm = null_model.fit_null(st.select("pair_id", "a", "b", F.col("z_hard").alias("z")), "hard")
     return pwm.select("side", "pos", "aa", _r("logp"))
 
 
 def q_null_score(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     st, pwm = _null_soft(d)
     return null_model.score_null_long(st, pwm).select("pair_id", "side", "pos", _r("logp"))
 
 
 def q_null_llh(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     st, pwm = _null_soft(d)
     nl = null_model.null_llh(st, null_model.pwm_arrays(pwm, d.prepared.width_a, d.prepared.width_b))
     return nl.select("pair_id", _r("null_llh"))
@@ -242,41 +270,41 @@ def q_null_llh(spark, sf):
 # --- coevolution model on given tables -------------------------------------
 
 def q_degrees_of_freedom(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     models, coefs, _ = _given(d)
     return alt_model.degrees_of_freedom(models, coefs, ("side", "pos", "alpha"))
 
 
 def q_bic(spark, sf):
-    table, _, _ = _given_path_table(D.derive(spark, sf))
+    table, _, _ = _given_path_table(_derive(spark, sf))
     return table.select("side", "pos", "alpha", "df", _r("sum_logp"), _r("bic"))
 
 
 def q_dfmax_path(spark, sf):
-    table, _, _ = _given_path_table(D.derive(spark, sf))
+    table, _, _ = _given_path_table(_derive(spark, sf))
     return table.select("side", "pos", "alpha", "df", F.col("in_path").cast("int").alias("in_path"))
 
 
 def q_select_by_bic(spark, sf):
-    _, sel, _ = _selected(D.derive(spark, sf))
+    _, sel, _ = _selected(_derive(spark, sf))
     return sel.select("side", "pos", "alpha", "df", _r("bic"))
 
 
 def q_alt_score(spark, sf):
-    sc = _alt(D.derive(spark, sf))
+    sc = _alt(_derive(spark, sf))
     a = sc.select("pair_id", F.lit("A").alias("side"), F.posexplode("alt_a").alias("pos", "logp"))
     b = sc.select("pair_id", F.lit("B").alias("side"), F.posexplode("alt_b").alias("pos", "logp"))
     return a.unionByName(b).select("pair_id", "side", F.col("pos").cast("int"), _r("logp"))
 
 
 def q_alt_llh(spark, sf):
-    return _alt(D.derive(spark, sf)).select("pair_id", _r("alt_llh"))
+    return _alt(_derive(spark, sf)).select("pair_id", _r("alt_llh"))
 
 
 def q_fit_first_step(spark, sf):
     """Screening pass: max |gradient| of every intercept-only model (the
     smallest alpha*r at which the model is still empty) in one data pass."""
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     La, Lb = d.prepared.width_a, d.prepared.width_b
     rows = d.pairs.select("a", "b", F.lit(1.0).alias("w"))
     stats = fit.row_stats(rows, La, Lb)
@@ -316,54 +344,54 @@ def _aligned_truth(spark, sf):
 
 
 def q_couplings(spark, sf):
-    return _given_cmap(D.derive(spark, sf)).select("pos_a", "pos_b", _r("strength"), "name")
+    return _given_cmap(_derive(spark, sf)).select("pos_a", "pos_b", _r("strength"), "name")
 
 
 def q_apc(spark, sf):
-    return _given_cmap(D.derive(spark, sf)).select("pos_a", "pos_b", _r("strength"), _r("apc"))
+    return _given_cmap(_derive(spark, sf)).select("pos_a", "pos_b", _r("strength"), _r("apc"))
 
 
 def q_top_contacts(spark, sf):
-    t = contacts.top_contacts(_given_cmap(D.derive(spark, sf)), TOP_N)
+    t = contacts.top_contacts(_given_cmap(_derive(spark, sf)), TOP_N)
     return t.select("pos_a", "pos_b", _r("apc"))
 
 
 def q_contact_metrics(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     m = contacts.contact_metrics(_given_cmap(d), _aligned_truth(spark, sf), METRIC_LIMIT)
     return m.select("rank", "pos_a", "pos_b", "tp", _r("tpr"), _r("ppv"))
 
 
 def q_contact_mcc(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     m = contacts.contact_mcc(_given_cmap(d), _aligned_truth(spark, sf))
     return m.select("tp", "tn", "fp", "fn", _r("mcc"))
 
 
 def q_binarize_contacts(spark, sf):
-    return contacts.binarize_contacts(_given_cmap(D.derive(spark, sf))).select("pos_a", "pos_b", "predicted")
+    return contacts.binarize_contacts(_given_cmap(_derive(spark, sf))).select("pos_a", "pos_b", "predicted")
 
 
 # --- EM tables on a fixed-coevolution-model trace ----------------------------
 
 def _trace(d):
-    return D.fixed_alt_trace(d, _alt(d).select("pair_id", "alt_llh"))
+    return _memo("trace", d, lambda: D.fixed_alt_trace(d, _alt(d).select("pair_id", "alt_llh")).cache())
 
 
 def q_weighted_llh(spark, sf):
-    w = em.weighted_llh(_trace(D.derive(spark, sf)))
+    w = em.weighted_llh(_trace(_derive(spark, sf)))
     return w.select("iter", "pair_id", _r("alt_int"), _r("null_nonint"))
 
 
 def q_llh_per_iter(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     t = em.llh_per_iter(_trace(d), d.truth())
     return t.select("iter", *[_r(c) for c in ("sum_alt", "sum_null", "sum_alt_int", "sum_null_nonint", "total",
                                               "true_alt", "true_null", "true_total")])
 
 
 def q_llh_monotonic(spark, sf):
-    t = em.llh_monotonic(em.llh_per_iter(_trace(D.derive(spark, sf))))
+    t = em.llh_monotonic(em.llh_per_iter(_trace(_derive(spark, sf))))
     return t.select(F.col("monotonic").cast("int").alias("monotonic"), "n_iters")
 
 
@@ -372,48 +400,48 @@ def _last_iter(trace):
 
 
 def q_confusion(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     c = evaluate.confusion(_last_iter(_trace(d)), d.truth(), "soft")
     return c.select("y", "y_hat", "n", _r("share"))
 
 
 def q_label_report(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     r = evaluate.label_report(_last_iter(_trace(d)), d.truth(), "soft")
     return r.select("n", "n_classes", "tp", "tn", "fp", "fn", _r("mcc"), _r("log_loss"))
 
 
 def q_performance_per_iter(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     r = evaluate.performance_per_iter(_trace(d), d.truth(), "soft")
     return r.select("iter", "n", "tp", "tn", "fp", "fn", _r("mcc"), _r("log_loss"))
 
 
 def q_label_evolution(spark, sf):
-    e = evaluate.label_evolution(_trace(D.derive(spark, sf)), [0, 1, 2])
+    e = evaluate.label_evolution(_trace(_derive(spark, sf)), [0, 1, 2])
     return e.select("pair_id", *[F.round(F.col(str(k)), R).alias(f"z_{k}") for k in range(3)])
 
 
 def q_llh_evolution(spark, sf):
-    e = evaluate.llh_evolution(_trace(D.derive(spark, sf)), [0, 1, 2])
+    e = evaluate.llh_evolution(_trace(_derive(spark, sf)), [0, 1, 2])
     return e.select("pair_id", *[F.round(F.col(str(k)), R).alias(f"alt_{k}") for k in range(3)], _r("null_llh"))
 
 
 def q_alt_vs_null(spark, sf):
-    return evaluate.alt_vs_null(_trace(D.derive(spark, sf))).select("iter", "pair_id", _r("alt_llh"), _r("null_llh"))
+    return evaluate.alt_vs_null(_trace(_derive(spark, sf))).select("iter", "pair_id", _r("alt_llh"), _r("null_llh"))
 
 
 # --- model fitting and EM (rows-only checks; exactness by pytest) ------------
 
 def q_fit_columns(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     res = fit.fit_columns(fit.fit_rows(d.pairs, "soft", weighted=False), d.prepared.width_a, d.prepared.width_b)
     return spark.createDataFrame(res.path_table, "side string, pos int, alpha double, kind string, df bigint, "
                                                  "sum_logp double, bic double, in_path boolean, chosen boolean")
 
 
 def _em_trace(spark, sf, **kw):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     r = em.run_em(d.prepared, EMOptions(**kw))
     return r
 
@@ -431,7 +459,7 @@ def q_em_hard(spark, sf):
 
 
 def q_em_multistart(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     opts = EMOptions(mode="soft", init="random", n_starts=2, max_iters=2)
     runs = em.em_multistart(d.prepared, opts)
     out = runs[0].trace
@@ -441,7 +469,7 @@ def q_em_multistart(spark, sf):
 
 
 def q_predict_contacts(spark, sf):
-    d = D.derive(spark, sf)
+    d = _derive(spark, sf)
     opts = EMOptions(mode="soft", init="warm", max_iters=2)
     r = em.run_em(d.prepared, opts)
     cmap, _ = em.predict_contacts(d.prepared, r.final_state, opts)

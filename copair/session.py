@@ -29,6 +29,7 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "copair
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .config("spark.driver.memory", os.environ.get("COPAIR_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
