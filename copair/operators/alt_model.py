@@ -187,7 +187,7 @@ def score_alt_relational(pairs: DataFrame, models: DataFrame, coefs: DataFrame,
                    ["side", "feat_pos", "feat_aa"]).groupBy("pair_id", "side", "pos", "cls").agg(
         F.sum("value").alias("xb"))
     mdl = models.select("side", "pos", "kind", "classes")
-    cls_rows = mdl.select("side", "pos", "kind", F.explode("classes").alias("cls"))
+    cls_rows = mdl.select("side", "pos", "kind", "classes", F.explode("classes").alias("cls"))
     cls_rows = cls_rows.join(F.broadcast(intercepts.select("side", "pos", "cls", F.col("value").alias("b0"))),
                              ["side", "pos", "cls"], "left")
     # every (pair, side, pos, cls) of ovr/binary models
