@@ -8,11 +8,11 @@ are balanced on two totals, documents and words:
   space of the two balancing equations.  A random step along it, with the
   martingale odds, closes at least one probability at 0 or 1 and leaves both
   totals as they were.  Each block of a source runs its own flight and leaves
-  at most two documents open.
+  two documents open, besides a reserve of 14 of graded sizes that it sets aside.
 * The open documents of all blocks meet in further blocks until one block per
   source is left.
-* Landing: the last two (or fewer) of a source take the rounding whose words are
-  nearest to the target.
+* Landing: of all roundings of a source's last 16 documents the one whose words
+  are nearest to the target is taken.
 
 Blocks are dealt by a hash, so a source with a third of all rows is spread over
 many tasks, and random draws depend on block contents alone: reruns agree.
@@ -111,19 +111,31 @@ def flight(prob: list[float], size: list[float], rng: np.random.Generator) -> li
     return prob
 
 
+def reserve(prob: list[float], size: list[float], most: int = 14) -> set[int]:
+    """Open documents kept for the landing: those at ranks 0, 1, 3, 7, ... by size, then the smallest."""
+    order = sorted((i for i, p in enumerate(prob) if _EPS < p < 1 - _EPS), key=lambda i: (-size[i], i))
+    ranks = {(1 << k) - 1 for k in range(most)}
+    held = [i for r, i in enumerate(order) if r in ranks]
+    rest = [i for i in reversed(order) if i not in set(held) and size[i]]
+    return set(held + rest[:most - len(held)])
+
+
 def landing(prob: list[float], size: list[float]) -> list[float]:
-    """Close the open probabilities by the rounding nearest in words, then in documents."""
+    """Close the open probabilities by the rounding nearest in words (and documents).
+
+    At most ``reserve`` and two more are open, so all roundings are compared.
+    """
     open_ = [i for i, p in enumerate(prob) if _EPS < p < 1 - _EPS]
     out = [float(round(p)) for p in prob]
-    best = None
-    for code in range(1 << len(open_)):
-        take = [(code >> j) & 1 for j in range(len(open_))]
-        words = sum(size[i] * (t - prob[i]) for i, t in zip(open_, take))
-        docs = sum(t - prob[i] for i, t in zip(open_, take))
-        if best is None or (abs(words), abs(docs), code) < best[0]:
-            best = ((abs(words), abs(docs), code), take)
-    for i, t in zip(open_, best[1] if best else []):
-        out[i] = float(t)
+    if not open_:
+        return out
+    words, docs = np.zeros(1), np.zeros(1)
+    for i in open_:  # bit j of a rounding's number is the choice for the j-th open document
+        words = np.concatenate([words - size[i] * prob[i], words + size[i] * (1 - prob[i])])
+        docs = np.concatenate([docs - prob[i], docs + 1 - prob[i]])
+    best = int(np.argmin(np.round(np.abs(words) + np.abs(docs), 6)))
+    for j, i in enumerate(open_):
+        out[i] = float((best >> j) & 1)
     return out
 
 
@@ -134,10 +146,13 @@ def _fly(rows: DataFrame, blocks: dict[int, int], level: int, seed: int) -> Data
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         src, block = int(key[0]), int(key[1])
-        # longest first: what stays open at the end is short
-        pdf = pdf.sort_values(["size", "id"], ascending=[False, True], ignore_index=True, na_position="first")
-        size = pdf["size"].astype(float).tolist()
-        prob = flight(pdf["prob"].tolist(), size, np.random.default_rng([seed, level, src, block]))
+        pdf = pdf.sort_values(["id", "size"], ignore_index=True, na_position="first")
+        size, start = pdf["size"].astype(float).tolist(), pdf["prob"].tolist()
+        held = reserve(start, size)
+        prob = flight([0.0 if i in held else p for i, p in enumerate(start)], size,
+                      np.random.default_rng([seed, level, src, block]))
+        for i in held:
+            prob[i] = start[i]
         if blocks[src] == 1:
             prob = landing(prob, size)
         return pdf.assign(prob=prob)[["id", "src", "size", "prob"]]
