@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copair.llm import cube_mix, histogram_sort, packing, simhash_ring
-from copair.llm.common import table
+from copair.llm import chat_events, cube_mix, hd_langid, histogram_sort, packing, pii_crf, simhash_ring, toxicity_gbt
+from copair.llm.common import crc_of, table
 
 #: Path of the public tokenizer file; a parameter of the packing operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,13 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op2_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii_crf.pii_column("text", pii_crf.learn(docs)).alias("p"))
+    return found.select("doc_id", *[f"p.n_{k}" for k in pii_crf.KINDS], F.sha2(F.col("p.base"), 256).alias("base_sha256"),
+                        "p.spans")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, plan = cube_mix.mix(table(spark, sf_dir, "documents"))
     sources = spark.createDataFrame([(s.index, s.size, s.target) for s in plan], "src int, source_size long, target double")
@@ -25,6 +32,25 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "copies")
 
 
+def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    fixed = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    events = chat_events.log_of_rows(rows.unionByName(fixed))
+    return chat_events.read_back(chat_events.format_conversations(events))
+
+
+def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.pmod(crc_of("doc_id"), F.lit(5)) == 0
+    model = toxicity_gbt.learn(docs.where(~held_out).join(labels, "doc_id"))
+    score = toxicity_gbt.score_column("text", model)
+    return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return histogram_sort.shard(docs).select(
@@ -33,13 +59,23 @@ def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(crc_of("doc_id"), F.lit(3)) == 1
+    profiles = hd_langid.learn(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), hd_langid.predicted("text", profiles).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_ring.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=3)
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                          "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_sequences, op3_mix_sources, op7_shard_by_bytes, op9_simhash_groups)}
+QUERIES = {f.__name__: f for f in (
+    op1_pack_sequences, op2_find_personal_data, op3_mix_sources, op5_format_chats, op6_score_toxicity, op7_shard_by_bytes,
+    op8_identify_language, op9_simhash_groups)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}
