@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copair.llm import chat_events, cube_mix, hd_langid, histogram_sort, packing, pii_crf, simhash_ring, toxicity_gbt
+from copair.llm import (
+    chat_events, cp_lsh, cube_mix, hd_langid, histogram_sort, packing, pii_crf, rp_forest, simhash_ring, toxicity_gbt,
+)
 from copair.llm.common import crc_of, table
 
 #: Path of the public tokenizer file; a parameter of the packing operator.
@@ -32,6 +34,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "copies")
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -73,9 +79,13 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "component_id")
 
 
+def op10_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cp_lsh.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_pack_sequences, op2_find_personal_data, op3_mix_sources, op5_format_chats, op6_score_toxicity, op7_shard_by_bytes,
-    op8_identify_language, op9_simhash_groups)}
+    op1_pack_sequences, op2_find_personal_data, op3_mix_sources, op4_nearest_vectors, op5_format_chats,
+    op6_score_toxicity, op7_shard_by_bytes, op8_identify_language, op9_simhash_groups, op10_embedding_groups)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}
