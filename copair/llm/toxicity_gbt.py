@@ -1,9 +1,9 @@
 """Toxicity scores: gradient-boosted trees over dense text features, calibrated by
 isotonic regression.
 
-1. Lexicon: over the labelled sample Spark counts, per word and per word start of
-   4 to 6 letters, the toxic and clean documents that hold it; units that are
-   frequent in toxic and rare in clean documents get their log odds as weight.
+1. Lexicon: over the labelled sample (copies merged) Spark counts, per word and per
+   word start of 4 to 6 letters, the toxic and clean documents that hold it; units
+   whose share in toxic documents cannot be chance get their log odds as weight.
    Words are read twice, as written and with look-alike characters undone, so a
    disguised word is found and its disguise is a feature.
 2. Features (``features``), per whole text: lexicon densities and counts, second
@@ -16,6 +16,7 @@ isotonic regression.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copair.llm.common import hash_sample
+from copair.llm.common import hash_sample, written
 
 #: Second persons of the languages covered (fixed values).
 SECOND_PERSON = frozenset(
@@ -236,8 +237,27 @@ class Model:
 # Spark
 # ---------------------------------------------------------------------------
 
-def learn_lexicon(sample: DataFrame, least_docs: int = 3, most: int = 4000, odds: float = 8.0) -> Lexicon:
-    """``sample(text, label)`` -> the units whose toxic share is ``odds`` times the clean share."""
+def _sketch(words: list[str], seed: int) -> int:
+    """Smallest hash over word pairs: equal for most copies and near copies."""
+    return min((zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass"), seed) for a, b in zip(words, words[1:])), default=seed)
+
+
+def learn_lexicon(sample: DataFrame, evidence: float = 16.0, odds: float = 8.0, most: int = 4000) -> Lexicon:
+    """``sample(text, label)`` -> the units whose toxic share is ``odds`` times the clean share.
+
+    ``evidence`` is the least log-likelihood ratio (nats) against the base rate.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(t or "").lower().split() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array([_sketch(w, k) for w in words], pa.int64()) for k in (1, 2))],
+                names=["text", "label", "s1", "s2"])
+
+    # a text that was copied often must not make all its words telling
+    sample = sample.select("text", F.col("label").cast("int")).mapInArrow(sketch, "text string, label int, s1 long, s2 long")
+    sample = written(sample.dropDuplicates(["s1"]).dropDuplicates(["s2"]))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,8 +273,11 @@ def learn_lexicon(sample: DataFrame, least_docs: int = 3, most: int = 4000, odds
     found = sample.select("text", F.col("label").cast("long")).mapInArrow(spread, "unit string, label long")
     counts = found.groupBy("unit").agg(F.sum("label").alias("k1"), F.sum(1 - F.col("label")).alias("k0"))
     weight = F.log((F.col("k1") + 0.25) / (n1 + 0.5)) - F.log((F.col("k0") + 0.25) / (n0 + 0.5))
-    kept = (counts.where(F.col("k1") >= least_docs).withColumn("w", weight).where(F.col("w") >= float(np.log(odds)))
-            .orderBy(F.col("k1").desc(), F.col("w").desc(), "unit").limit(most).collect())
+    n, base = F.col("k1") + F.col("k0"), n1 / (n1 + n0)
+    term = lambda k, share: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
+    ratio = term(F.col("k1"), base) + term(F.col("k0"), 1 - base)
+    kept = (counts.withColumns({"w": weight, "g": ratio}).where((F.col("w") >= float(np.log(odds))) & (F.col("g") >= evidence))
+            .orderBy(F.col("g").desc(), "unit").limit(most).collect())
     words = {r.unit: float(r.w) for r in kept if not r.unit.endswith("*")}
     return Lexicon(words, {r.unit[:-1]: float(r.w) for r in kept if r.unit.endswith("*")})
 
