@@ -112,12 +112,11 @@ def flight(prob: list[float], size: list[float], rng: np.random.Generator) -> li
 
 
 def reserve(prob: list[float], size: list[float], most: int = 14) -> set[int]:
-    """Open documents kept for the landing: those at ranks 0, 1, 3, 7, ... by size, then the smallest."""
+    """Open documents kept for the landing: half at ranks 0, 1, 3, 7, ... by size, half evenly spread."""
     order = sorted((i for i, p in enumerate(prob) if _EPS < p < 1 - _EPS), key=lambda i: (-size[i], i))
-    ranks = {(1 << k) - 1 for k in range(most)}
-    held = [i for r, i in enumerate(order) if r in ranks]
-    rest = [i for i in reversed(order) if i not in set(held) and size[i]]
-    return set(held + rest[:most - len(held)])
+    half = most // 2
+    ranks = {(1 << k) - 1 for k in range(half)} | {round((k + 0.5) * len(order) / half) for k in range(half)}
+    return {i for r, i in enumerate(order) if r in ranks}
 
 
 def landing(prob: list[float], size: list[float]) -> list[float]:

@@ -176,7 +176,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", n
     parts = rows.select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(bundle, "lang string, v array<long>")
     sums = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x")).toPandas()
     table = sums.pivot(index="lang", columns="d", values="x").sort_index() if len(sums) else pd.DataFrame()
-    vectors = table.to_numpy(dtype=np.float64).reshape(len(table), -1)
+    vectors = table.to_numpy(dtype=np.float64).reshape(len(table), dims)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return Profiles([str(x) for x in table.index], vectors / np.where(norm > 0, norm, 1), n, dims, seed)
 

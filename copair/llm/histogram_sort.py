@@ -100,7 +100,7 @@ class _Bracket:
 
 
 def find_splitters(keyed: DataFrame, ranges: int, per_shard: int, tolerance: float = 0.001,
-                   probes: int = 32) -> np.ndarray:
+                   most_probes: int = 1 << 20) -> np.ndarray:
     """Sorted splitters that cut ``(key, size)`` into ``ranges`` ranges of nearly equal bytes.
 
     Every ``per_shard``-th splitter ends a shard and meets ``tolerance`` (a share of
@@ -112,6 +112,7 @@ def find_splitters(keyed: DataFrame, ranges: int, per_shard: int, tolerance: flo
         return np.empty(0, dtype=np.int64)
     first, last = int(whole["low"].iloc[0]), int(whole["high"].iloc[0]) + 1
     shards = ranges // per_shard
+    probes = max(3, min(32, most_probes // ranges))  # bounds what a pass sends to its tasks
     open_ = [_Bracket(total * j / ranges, tolerance * total / shards if j % per_shard == 0 else 0.2 * total / ranges,
                       first, last, 0, total) for j in range(1, ranges)]
     everything = list(open_)
@@ -140,16 +141,17 @@ def find_splitters(keyed: DataFrame, ranges: int, per_shard: int, tolerance: flo
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS,
-          rows_per_range: int = 200_000, tolerance: float = 0.001) -> DataFrame:
+          bytes_per_range: int = 64 << 20, tolerance: float = 0.001) -> DataFrame:
     """``docs`` plus ``__shard int`` and ``__slot long`` (gapless from 0), exchanged once.
 
-    Shards have nearly equal bytes.  Null texts count 1 byte; repeated rows of one
+    Shards have nearly equal bytes; a task of the exchange holds about
+    ``bytes_per_range``.  Null texts count 1 byte; repeated rows of one
     id and text are one indivisible key; an empty table gives no rows.
     """
     keyed = docs.withColumns({"__key": sort_key(F.col(text_col), F.col(id_col)), "__bytes": byte_size(F.col(text_col))})
     narrow = written(keyed.select(F.col("__key").alias("key"), F.col("__bytes").alias("size")))
-    n = narrow.select(F.count(F.lit(1))).first()[0]
-    per_shard = tasks_for(n, rows_per_range * shards)
+    total = narrow.agg(F.sum("size")).first()[0] or 0
+    per_shard = tasks_for(total, bytes_per_range * shards)
     splitters = np.sort(find_splitters(narrow, per_shard * shards, per_shard, tolerance))
     exact = histogram(narrow, splitters)
     rows = np.zeros(per_shard * shards, dtype=np.int64)
@@ -170,5 +172,5 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Files of each shard under ``path/shard=<n>``."""
-    sharded.withColumnRenamed("__shard", "shard").drop("__slot").write.partitionBy("shard").parquet(path)
+    """Files of each shard under ``path/__shard=<n>``."""
+    sharded.drop("__slot").write.partitionBy("__shard").parquet(path)

@@ -172,6 +172,8 @@ def _grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: n
                 if gain[k] > best[0]:
                     best = (float(gain[k]), j, k)
         if best[1] < 0:
+            if not level:
+                tree.value[node] = 0.0  # nothing learned: the base margin stands
             continue
         j, k = best[1], best[2]
         goes = binned[rows, j] <= k
@@ -184,7 +186,8 @@ def _grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: n
 def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64,
               ridge: float = 1.0, least: float = 1.0) -> tuple[float, list[Tree], float]:
     """Newton boosting of the logistic loss: ``(base margin, trees, rate)``."""
-    p = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    # ten clean rows more, so that a handful of labels rejects nothing
+    p = np.clip(y.sum() / (len(y) + 10), 1e-6, 1 - 1e-6)
     base = float(np.log(p / (1 - p)))
     binned, edges = _bins(x, bins)
     margin, grown = np.full(len(y), base), []
@@ -237,9 +240,10 @@ class Model:
 # Spark
 # ---------------------------------------------------------------------------
 
-def _sketch(words: list[str], seed: int) -> int:
-    """Smallest hash over word pairs: equal for most copies and near copies."""
-    return min((zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass"), seed) for a, b in zip(words, words[1:])), default=seed)
+def _sketch(words: list[str], seed: int, width: int = 5) -> int:
+    """Smallest hash over the shingles: equal for copies and most near copies."""
+    shingles = (" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1)))
+    return min(zlib.crc32(s.encode("utf-8", "surrogatepass"), seed) for s in shingles)
 
 
 def learn_lexicon(sample: DataFrame, evidence: float = 16.0, odds: float = 8.0, most: int = 4000) -> Lexicon:
