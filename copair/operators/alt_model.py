@@ -11,8 +11,6 @@ map-only form is the one used inside EM.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -110,29 +108,29 @@ def model_tables(spark, sides: dict, iteration: int | None = None):
 
 def sides_from_tables(models: DataFrame, coefs: DataFrame, intercepts: DataFrame,
                       width_a: int, width_b: int) -> dict:
-    """Collect given (model-sized, size-checked) tables into model blocks;
-    one group per (side, pos).  ``models`` needs (side, pos, kind, classes)."""
+    """Collect given (model-sized, size-checked) tables into model blocks, one
+    group per (side, pos, alpha).  ``models`` needs (side, pos, alpha, kind, classes)."""
     widths = {"A": width_a, "B": width_b}
-    mrows = models.select("side", "pos", "kind", "classes").collect()
-    n_coef = coefs.count()
-    if n_coef * 8 > MAX_MODEL_BYTES:
-        raise ValueError("coefficient table too large to broadcast")
-    crows = coefs.select("side", "pos", "cls", "feat_pos", "feat_aa", "value").collect()
-    irows = intercepts.select("side", "pos", "cls", "value").collect()
+    sizes = coefs.agg(F.count(F.lit(1))).first()[0], models.agg(F.sum(F.size("classes"))).first()[0] or 0
+    if 100 * sizes[0] > MAX_MODEL_BYTES or 8 * N_CODES * max(widths.values()) * sizes[1] > MAX_MODEL_BYTES:
+        raise ValueError(f"model tables of {sizes[1]} models and {sizes[0]} coefficients are too large to broadcast")
+    mrows = models.select("side", "pos", "alpha", "kind", "classes").collect()
+    crows = coefs.select("side", "pos", "alpha", "cls", "feat_pos", "feat_aa", "value").collect()
+    irows = intercepts.select("side", "pos", "alpha", "cls", "value").collect()
     sides = {}
     for s in ("A", "B"):
         o = "B" if s == "A" else "A"
-        spec = [(r.pos, 0.0, r.classes, KIND_NAMES.index(r.kind)) for r in mrows if r.side == s]
+        spec = [(r.pos, float(r.alpha), r.classes, KIND_NAMES.index(r.kind)) for r in mrows if r.side == s]
         sm = _layout(s, widths[s], widths[o], spec)
-        index = {}
-        for m in range(sm.n_models):
-            index[(int(sm.tpos[m]), int(sm.tcls[m]))] = m
+        index = {(int(p), float(a), int(c)): m for m, (p, a, c) in enumerate(zip(sm.tpos, sm.malpha, sm.tcls))}
         for r in crows:
-            if r.side == s and (r.pos, r.cls) in index and r.feat_aa < 20 and r.feat_pos < widths[o]:
-                sm.W[index[(r.pos, r.cls)], r.feat_pos * N_CODES + r.feat_aa] += r.value
+            m = index.get((r.pos, float(r.alpha), r.cls)) if r.side == s else None
+            if m is not None and r.feat_aa < 20 and r.feat_pos < widths[o]:
+                sm.W[m, r.feat_pos * N_CODES + r.feat_aa] += r.value
         for r in irows:
-            if r.side == s and (r.pos, r.cls) in index:
-                sm.b[index[(r.pos, r.cls)]] = r.value
+            m = index.get((r.pos, float(r.alpha), r.cls)) if r.side == s else None
+            if m is not None:
+                sm.b[m] = r.value
         sm.converged = np.ones(sm.n_models, dtype=bool)
         sides[s] = sm
     return sides
@@ -218,6 +216,3 @@ def score_alt_relational(pairs: DataFrame, models: DataFrame, coefs: DataFrame,
 def alt_llh_from_residues(residue_logp: DataFrame) -> DataFrame:
     return residue_logp.groupBy("pair_id").agg(F.sum("logp").alias("alt_llh"))
 
-
-def constant_logprob() -> float:
-    return math.log(CONSTANT_PROB)

@@ -355,6 +355,14 @@ def group_logprob_sums(rows: DataFrame, sides: dict, width_a: int, width_b: int)
     return {s: out.get(s, np.zeros(len(sm.kind))) for s, sm in sides.items()}
 
 
+def logprob_table(spark, rows: DataFrame, sides: dict, width_a: int, width_b: int) -> DataFrame:
+    """``(side, pos, alpha, sum_logp)`` of every group."""
+    sums = group_logprob_sums(rows, sides, width_a, width_b)
+    return spark.createDataFrame(
+        [(s, int(p), float(a), float(v)) for s, sm in sides.items() for p, a, v in zip(sm.gpos, sm.galpha, sums[s])],
+        "side string, pos int, alpha double, sum_logp double")
+
+
 # --------------------------------------------------------------------------
 # solver
 # --------------------------------------------------------------------------

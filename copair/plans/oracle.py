@@ -4,24 +4,26 @@ scored by joins and group-bys here, by the map-only kernel in Spark)."""
 
 from __future__ import annotations
 
-from copair.functions.alphabet import ALPHA_PATH
+from copair.functions.alphabet import ALPHA_PATH, CONSTANT_PROB
 
 _ALPHAS = "[" + ", ".join(repr(float(a)) for a in ALPHA_PATH) + "]::DOUBLE[]"
 _LOGIT_OFFSET = "ln((1 - 0.75) / 0.75)"
 
 BASE = f"""
 docs AS (
-  SELECT doc_id AS pair_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents),
+  SELECT doc_id AS pair_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM documents),
 rawc AS (
-  SELECT pair_id, CAST(p AS INTEGER) AS orig_pos,
+  SELECT pair_id, CAST(p AS INTEGER) AS orig_pos, CASE WHEN p % 4 = 3 THEN 2 ELSE 4 END AS m,
          length(s) - length(replace(s, substr('ABCDEFGHIJKL', p + 1, 1), '')) AS ca,
          length(s) - length(replace(s, substr('MNOPQRSTUVWX', p + 1, 1), '')) AS cb
   FROM (SELECT pair_id, s, unnest(range(12)) AS p FROM docs)),
 res AS (
-  SELECT pair_id, 'A' AS side, orig_pos, CAST(CASE WHEN ca = 0 THEN 20 ELSE ca % 20 END AS INTEGER) AS aa FROM rawc
+  SELECT pair_id, 'A' AS side, orig_pos, CAST(CASE WHEN ca = 0 THEN 20 ELSE ca % m END AS INTEGER) AS aa FROM rawc
   UNION ALL
-  SELECT pair_id, 'B' AS side, orig_pos, CAST(CASE WHEN cb = 0 THEN 20 ELSE (ca + cb) % 20 END AS INTEGER) AS aa
-  FROM rawc),
+  SELECT pair_id, 'B' AS side, orig_pos,
+         CAST(CASE WHEN cb = 0 THEN 20 WHEN pair_id % 4 <> 0 AND ca > 0 THEN 5 + ca % m ELSE 5 + cb % m END AS INTEGER) AS aa
+  FROM rawc
+  UNION ALL SELECT pair_id, 'A', 12, 0 FROM docs UNION ALL SELECT pair_id, 'B', 12, 5 FROM docs),
 cnt AS (SELECT side, orig_pos, aa, count(*) AS n FROM res GROUP BY side, orig_pos, aa),
 prof AS (
   SELECT side, orig_pos, sum(CASE WHEN aa = 20 THEN n ELSE 0 END) * 1.0 / sum(n) AS gap_freq,
@@ -39,9 +41,8 @@ npairs AS (SELECT count(*) AS n FROM docs),
 lab AS (SELECT doc_id AS pair_id, quality FROM labels),
 truth AS (SELECT pair_id, CAST(quality AS INTEGER) AS y FROM lab),
 prior AS (
-  SELECT d.pair_id, CASE WHEN l.quality = 1 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS z,
-         CASE WHEN l.quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS z_hard
-  FROM docs d LEFT JOIN lab l ON d.pair_id = l.pair_id)
+  SELECT pair_id, CASE WHEN pair_id % 10 < 7 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS z,
+         CASE WHEN pair_id % 10 < 7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS z_hard FROM docs)
 """
 
 
@@ -66,24 +67,34 @@ NULL_SOFT = _null("ns", "SELECT pair_id, 1 - z AS w FROM prior")
 NULL_HARD = _null("nh", "SELECT pair_id, 1 - z_hard AS w FROM prior WHERE z_hard = 0")
 
 GIVEN = f"""
+drank AS (
+  SELECT side, pos, aa, n, row_number() OVER (PARTITION BY side, pos ORDER BY n DESC, aa) AS rk,
+         sum(n) OVER (PARTITION BY side, pos) AS total
+  FROM (SELECT side, pos, aa, count(*) AS n FROM dres GROUP BY side, pos, aa)),
 erow AS (
   SELECT CASE WHEN e.vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS side,
          CAST((e.vec_id // 2) % (CASE WHEN e.vec_id % 2 = 0 THEN w.la ELSE w.lb END) AS INTEGER) AS pos,
-         CAST(((e.vec_id // 2) // (CASE WHEN e.vec_id % 2 = 0 THEN w.la ELSE w.lb END)) % 20 AS INTEGER) AS cls,
+         CAST(((e.vec_id // 2) // (CASE WHEN e.vec_id % 2 = 0 THEN w.la ELSE w.lb END)) % 5 + 1 AS INTEGER) AS rk,
          list_extract({_ALPHAS}, CAST(e.label % {len(ALPHA_PATH)} + 1 AS INTEGER)) AS alpha,
+         CASE WHEN e.label = 8 THEN 2 WHEN e.label = 9 THEN 1 ELSE 1000 END AS most,
          CASE WHEN e.vec_id % 2 = 0 THEN w.lb ELSE w.la END AS lopp,
-         e.embedding
+         7 * (e.label + 1) AS fold, e.embedding
   FROM embeddings e, widths w),
+mcls AS (
+  SELECT m.side, m.pos, m.alpha, d.aa AS cls, d.rk, ln(d.n * 1.0 / (d.total - d.n)) AS b0,
+         count(*) OVER (PARTITION BY m.side, m.pos, m.alpha) AS nc,
+         max(d.aa) OVER (PARTITION BY m.side, m.pos, m.alpha) AS top
+  FROM (SELECT DISTINCT side, pos, alpha, most FROM erow) m JOIN drank d ON m.side = d.side AND m.pos = d.pos AND d.rk <= m.most),
+mdl AS (SELECT DISTINCT side, pos, alpha FROM mcls),
+fcls AS (SELECT * FROM mcls WHERE nc > 2 OR (nc = 2 AND cls = top)),
 ecell AS (
-  SELECT side, pos, alpha, cls, lopp, CAST(unnest(embedding) AS DOUBLE) AS v,
-         unnest(range(len(embedding))) AS k
-  FROM erow),
+  SELECT side, pos, alpha, rk, lopp, v, k % fold AS k
+  FROM (SELECT side, pos, alpha, rk, lopp, fold, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS k FROM erow)),
 coefs AS (
-  SELECT side, pos, alpha, cls, CAST(k % lopp AS INTEGER) AS feat_pos, CAST((k // lopp) % 20 AS INTEGER) AS feat_aa,
-         sum(v) AS value
-  FROM ecell GROUP BY side, pos, alpha, cls, feat_pos, feat_aa HAVING abs(sum(v)) >= 0.1),
-mcls AS (SELECT DISTINCT side, pos, alpha, cls FROM erow),
-mdl AS (SELECT DISTINCT side, pos, alpha FROM erow),
+  SELECT c.side, c.pos, c.alpha, f.cls, CAST((c.k + c.rk) % c.lopp AS INTEGER) AS feat_pos,
+         CAST((c.k // c.lopp + 4 * c.rk) % 20 AS INTEGER) AS feat_aa, 3.0 * sum(c.v) AS value
+  FROM ecell c JOIN fcls f ON c.side = f.side AND c.pos = f.pos AND c.alpha = f.alpha AND c.rk = f.rk
+  GROUP BY c.side, c.pos, c.alpha, f.cls, feat_pos, feat_aa),
 gdf AS (
   SELECT m.side, m.pos, m.alpha, coalesce(c.df, 0) AS df
   FROM mdl m LEFT JOIN (SELECT side, pos, alpha, count(DISTINCT (feat_pos, feat_aa)) AS df FROM coefs
@@ -92,20 +103,24 @@ gdf AS (
 opp AS (SELECT pair_id, CASE WHEN side = 'A' THEN 'B' ELSE 'A' END AS side, pos AS feat_pos, aa AS feat_aa FROM dres),
 lin AS (
   SELECT o.pair_id, c.side, c.pos, c.alpha, c.cls, sum(c.value) AS xb
-  FROM opp o JOIN coefs c ON o.side = c.side AND o.feat_pos = c.feat_pos AND o.feat_aa = c.feat_aa
+  FROM opp o JOIN coefs c ON o.side = c.side AND o.feat_pos = c.feat_pos AND o.feat_aa = c.feat_aa AND c.feat_aa < 20
   GROUP BY o.pair_id, c.side, c.pos, c.alpha, c.cls),
 ggrid AS (
-  SELECT d.pair_id, d.side, d.pos, m.alpha, m.cls, d.aa AS obs
+  SELECT d.pair_id, d.side, d.pos, m.alpha, m.cls, m.nc, m.top, m.b0, d.aa AS obs
   FROM dres d JOIN mcls m ON d.side = m.side AND d.pos = m.pos),
 gsig AS (
-  SELECT g.*, 1.0 / (1.0 + exp(-coalesce(l.xb, 0.0))) AS sg
+  SELECT g.*, 1.0 / (1.0 + exp(-(g.b0 + coalesce(l.xb, 0.0)))) AS sg
   FROM ggrid g LEFT JOIN lin l ON g.pair_id = l.pair_id AND g.side = l.side AND g.pos = l.pos
                               AND g.alpha = l.alpha AND g.cls = l.cls),
+glp0 AS (
+  SELECT pair_id, side, pos, alpha, max(nc) AS nc, bool_or(cls = obs) AS seen, max(CASE WHEN cls = obs THEN sg END) AS own,
+         sum(sg) AS total, max(CASE WHEN cls = top THEN sg END) AS up, max(CASE WHEN cls = obs AND cls = top THEN 1 ELSE 0 END) AS is_top
+  FROM gsig GROUP BY pair_id, side, pos, alpha),
 glp AS (
   SELECT pair_id, side, pos, alpha,
-         CASE WHEN max(CASE WHEN cls = obs THEN sg END) > 0
-              THEN ln(max(CASE WHEN cls = obs THEN sg END) / sum(sg)) ELSE ln(1.0 / 210) END AS logp
-  FROM gsig GROUP BY pair_id, side, pos, alpha),
+         CASE WHEN NOT seen THEN ln(1.0 / 210) WHEN nc > 2 THEN ln(own / total)
+              WHEN nc = 1 THEN ln({CONSTANT_PROB!r}) WHEN is_top = 1 THEN ln(up) ELSE ln(1 - up) END AS logp
+  FROM glp0),
 gbic AS (
   SELECT d.side, d.pos, d.alpha, d.df, s.sum_logp,
          d.df * ln((SELECT n FROM npairs)) - 2 * s.sum_logp AS bic,
@@ -204,12 +219,17 @@ def oracle_sql() -> dict[str, str]:
     q["one_hot_features"] = _q(BASE, body="SELECT pair_id, side, CAST(pos * 20 + aa AS INTEGER) AS feature "
                                           "FROM dres WHERE aa < 20")
     q["check_pairs"] = _q(BASE, body="""
-SELECT count(*) AS n_a, count(*) AS n_b, CAST(0 AS BIGINT) AS missing_a, CAST(0 AS BIGINT) AS missing_b,
-       CAST(bool_and(ia = ib) AS INTEGER) AS identical,
-       CAST(count(*) > 1 AND NOT bool_and(ia = ib) AS INTEGER) AS ok
-FROM (SELECT pair_id, list(CASE WHEN side = 'A' THEN aa END ORDER BY orig_pos) AS ia,
-             list(CASE WHEN side = 'B' THEN aa END ORDER BY orig_pos) AS ib
-      FROM res GROUP BY pair_id)""")
+, ia AS (SELECT pair_id, list(aa ORDER BY orig_pos) AS v FROM res WHERE side = 'A' AND pair_id % 7 <> 3 GROUP BY pair_id),
+ib AS (SELECT pair_id, list(aa ORDER BY orig_pos) AS v FROM res WHERE side = 'B' AND pair_id % 5 <> 2 GROUP BY pair_id),
+c AS (
+  SELECT 'shifted' AS kind, ia.v AS va, ib.v AS vb FROM ia FULL JOIN ib ON ia.pair_id = ib.pair_id
+  UNION ALL SELECT 'same', v, v FROM ia
+  UNION ALL SELECT 'paired', x.v, y.v FROM ia x JOIN ib y ON x.pair_id = y.pair_id),
+g AS (
+  SELECT kind, count(va) AS n_a, count(vb) AS n_b, count(*) - count(va) AS missing_a, count(*) - count(vb) AS missing_b,
+         coalesce(bool_and(va = vb), false) AS identical FROM c GROUP BY kind)
+SELECT kind, n_a, n_b, missing_a, missing_b, CAST(identical AS INTEGER) AS identical,
+       CAST(n_a = n_b AND missing_a = 0 AND missing_b = 0 AND n_a > 1 AND NOT identical AS INTEGER) AS ok FROM g""")
     q["unknown_residues"] = _q(BASE, body="""
 SELECT ch, count(*) AS n, count(DISTINCT pair_id) AS n_seqs
 FROM (SELECT pair_id, unnest(string_split(s, '')) AS ch FROM docs)
@@ -218,10 +238,18 @@ WHERE ch <> '' AND instr('ARNDCEQGHILKMFPSTWYV-', ch) = 0 GROUP BY ch""")
 SELECT ka.pos AS pos_a, kb.pos AS pos_b, CAST(ka.orig_pos = kb.orig_pos AS INTEGER) AS is_contact
 FROM kept ka JOIN kept kb ON ka.side = 'A' AND kb.side = 'B'""")
     q["check_contact_map"] = _q(BASE, body="""
-SELECT CAST(a.n * b.n AS BIGINT) AS n_cells, CAST(a.n AS BIGINT) AS rows, CAST(b.n AS BIGINT) AS cols,
-       CAST(0 AS BIGINT) AS bad_values, CAST(least(a.n, b.n) AS BIGINT) AS n_contacts,
-       CAST(a.n AS BIGINT) AS len_a, CAST(b.n AS BIGINT) AS len_b, 1 AS ok
-FROM (SELECT count(*) AS n FROM prof WHERE side = 'A') a, (SELECT count(*) AS n FROM prof WHERE side = 'B') b""")
+, full_map AS (SELECT a.orig_pos AS pos_a, b.orig_pos AS pos_b, CAST(a.orig_pos = b.orig_pos AS DOUBLE) AS v
+             FROM prof a JOIN prof b ON a.side = 'A' AND b.side = 'B'),
+m AS (SELECT 'good' AS kind, pos_a, pos_b, v FROM full_map
+      UNION ALL SELECT 'bad_values', pos_a, pos_b, CASE WHEN (pos_a + pos_b) % 11 = 5 THEN 0.5 ELSE v END FROM full_map
+      UNION ALL SELECT 'short', pos_a, pos_b, v FROM full_map WHERE pos_a < 9),
+g AS (SELECT kind, count(*) AS n_cells, max(pos_a) + 1 AS rows, max(pos_b) + 1 AS cols,
+             sum(CASE WHEN v NOT IN (0, 1) THEN 1 ELSE 0 END) AS bad_values, sum(CASE WHEN v = 1 THEN 1 ELSE 0 END) AS n_contacts,
+             (SELECT count(*) FROM prof WHERE side = 'A') AS len_a, (SELECT count(*) FROM prof WHERE side = 'B') AS len_b
+      FROM m GROUP BY kind)
+SELECT kind, n_cells, CAST(rows AS BIGINT) AS rows, CAST(cols AS BIGINT) AS cols, CAST(bad_values AS BIGINT) AS bad_values,
+       CAST(n_contacts AS BIGINT) AS n_contacts, CAST(len_a AS BIGINT) AS len_a, CAST(len_b AS BIGINT) AS len_b,
+       CAST(rows = len_a AND cols = len_b AND n_cells = len_a * len_b AND bad_values = 0 AS INTEGER) AS ok FROM g""")
     q["true_labels"] = _q(BASE, body="""
 SELECT pair_id, CAST(pair_id <= CAST(floor(0.75 * (SELECT n FROM npairs)) AS BIGINT) - 1 AS INTEGER) AS y FROM docs""")
     q["null_pwm_soft"] = _q(BASE, NULL_SOFT, body="SELECT side, pos, aa, round(logp, 6) AS logp FROM ns_pwm")

@@ -26,25 +26,8 @@ TOP_N = 10
 METRIC_LIMIT = 20
 
 
-_MEMO: dict = {}
-
-
-def _memo(tag: str, d, build):
-    """Reuse shared intermediate results across queries of one process
-    (keyed by session, test-data folder and tag); cached DataFrames."""
-    key = (id(d.spark), d.sf_dir, tag)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
-
-
 def _derive(spark, sf):
-    key = (id(spark), sf, "derive")
-    if key not in _MEMO:
-        d = D.derive(spark, sf)
-        d.prepared.pairs = d.prepared.pairs.cache()
-        _MEMO[key] = d
-    return _MEMO[key]
+    return D.derive(spark, sf)
 
 
 def _r(c: str) -> F.Column:
@@ -81,11 +64,16 @@ def q_one_hot_features(spark, sf):
 
 
 def q_check_pairs(spark, sf):
+    """Three inputs: both sides lack pairs, a side against itself, and the pairs on both sides."""
     enc = D.raw_encoded(spark, sf)
-    r = checks.check_pairs_df(enc.select("pair_id", F.col("a").alias("codes")),
-                              enc.select("pair_id", F.col("b").alias("codes")))
-    return r.select("n_a", "n_b", "missing_a", "missing_b", F.col("identical").cast("int").alias("identical"),
-                    F.col("ok").cast("int").alias("ok"))
+    a = enc.where("pair_id % 7 <> 3").select("pair_id", F.col("a").alias("codes"))
+    b = enc.where("pair_id % 5 <> 2").select("pair_id", F.col("b").alias("codes"))
+    cases = {"shifted": (a, b), "same": (a, a),
+             "paired": (a.join(b.select("pair_id"), "pair_id", "left_semi"), b.join(a.select("pair_id"), "pair_id", "left_semi"))}
+    out = [checks.check_pairs_df(x, y).withColumn("kind", F.lit(kind)) for kind, (x, y) in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select(
+        "kind", "n_a", "n_b", "missing_a", "missing_b", F.col("identical").cast("int").alias("identical"),
+        F.col("ok").cast("int").alias("ok"))
 
 
 def q_unknown_residues(spark, sf):
@@ -112,10 +100,13 @@ def q_align_contact_map(spark, sf):
 
 
 def q_check_contact_map(spark, sf):
+    """The whole map, one with values that are neither 0 nor 1, and one that lacks rows."""
     cmap, p = _orig_contact_map(spark, sf)
-    r = checks.check_contact_map_df(cmap, p)
-    return r.select("n_cells", "rows", "cols", "bad_values", "n_contacts", "len_a", "len_b",
-                    F.col("ok").cast("int").alias("ok"))
+    odd = F.when((F.col("pos_a") + F.col("pos_b")) % 11 == 5, F.lit(0.5)).otherwise(F.col("value"))
+    cases = {"good": cmap, "bad_values": cmap.withColumn("value", odd), "short": cmap.where("pos_a < 9")}
+    out = [checks.check_contact_map_df(m, p).withColumn("kind", F.lit(kind)) for kind, m in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select(
+        "kind", "n_cells", "rows", "cols", "bad_values", "n_contacts", "len_a", "len_b", F.col("ok").cast("int").alias("ok"))
 
 
 # --- labels ---------------------------------------------------------------
@@ -126,69 +117,31 @@ def q_true_labels(spark, sf):
     return labels.true_labels(d.pairs, int(math.floor(0.75 * n)) - 1, n)
 
 
-def _given(d):
-    models, coefs, intercepts = D.given_models(d)
-    return models, coefs, intercepts
+_KEYS = ("side", "pos", "alpha")
 
 
 def _given_path_table(d):
-    """(side, pos, alpha, df, sum_logp, bic, in_path) for every given model."""
-    models, coefs, intercepts = _given(d)
+    """(side, pos, alpha, df, sum_logp, bic, in_path) for every given model, and the model tables."""
+    models, coefs, intercepts = tables = D.given_models(d)
     La, Lb = d.prepared.width_a, d.prepared.width_b
-    sides = _sides_multi(models, coefs, La, Lb)
-    lp = fit.group_logprob_sums(d.pairs, sides, La, Lb)
-    n = d.pairs.count()
-    rows = []
-    for s, sm in sides.items():
-        dfs = sm.group_df()
-        for g in range(len(sm.kind)):
-            rows.append((s, int(sm.gpos[g]), float(sm.galpha[g]), int(dfs[g]), float(lp[s][g]),
-                         float(dfs[g] * math.log(n) - 2.0 * lp[s][g])))
-    table = d.spark.createDataFrame(rows, "side string, pos int, alpha double, df bigint, sum_logp double, bic double")
-    return alt_model.dfmax_path(table, DFMAX_GIVEN), sides, (models, coefs, intercepts)
-
-
-def _sides_multi(models: DataFrame, coefs: DataFrame, La: int, Lb: int) -> dict:
-    """Model blocks for given tables with several alphas per column."""
-    widths = {"A": La, "B": Lb}
-    mrows = models.select("side", "pos", "alpha", "kind", "classes").collect()
-    crows = coefs.select("side", "pos", "alpha", "cls", "feat_pos", "feat_aa", "value").collect()
-    out = {}
-    for s in ("A", "B"):
-        o = "B" if s == "A" else "A"
-        spec = [(r.pos, r.alpha, r.classes, alt_model.KIND_NAMES.index(r.kind)) for r in mrows if r.side == s]
-        sm = fit._layout(s, widths[s], widths[o], spec)
-        index = {(int(p), float(a), int(c)): m for m, (p, a, c) in enumerate(zip(sm.tpos, sm.malpha, sm.tcls))}
-        for r in crows:
-            key = (r.pos, float(r.alpha), r.cls)
-            if r.side == s and key in index:
-                sm.W[index[key], r.feat_pos * N_CODES + r.feat_aa] += r.value
-        sm.converged = np.ones(sm.n_models, dtype=bool)
-        out[s] = sm
-    return out
+    sums = fit.logprob_table(d.spark, d.pairs, alt_model.sides_from_tables(*tables, La, Lb), La, Lb)
+    dfs = alt_model.degrees_of_freedom(models, coefs, _KEYS)
+    table = alt_model.bic(dfs, sums, d.pairs.count(), _KEYS)
+    return alt_model.dfmax_path(table, DFMAX_GIVEN), tables
 
 
 def _selected(d):
-    return _memo("selected", d, lambda: _selected_build(d))
-
-
-def _selected_build(d):
-    table, sides, tabs = _given_path_table(d)
-    table = table.cache()
+    """The chosen rows of the path table, and the model tables of the chosen models."""
+    table, tables = _given_path_table(d)
     sel = alt_model.select_by_bic(table)
-    chosen = {(r.side, r.pos, r.alpha) for r in sel.collect()}
-    keep = {}
-    for s, sm in sides.items():
-        idx = [g for g in range(len(sm.kind)) if (s, int(sm.gpos[g]), float(sm.galpha[g])) in chosen]
-        keep[s] = sm.subset_groups(np.asarray(idx, dtype=np.int64))
-    return keep, sel, tabs
+    chosen = F.broadcast(sel.select(*_KEYS))  # one row per column
+    return sel, [t.join(chosen, list(_KEYS)) for t in tables]
 
 
 def _alt(d):
-    def build():
-        sides, _, _ = _selected(d)
-        return alt_model.score_alt(d.pairs, sides, d.prepared.width_a, d.prepared.width_b, per_residue=True).cache()
-    return _memo("alt", d, build)
+    La, Lb = d.prepared.width_a, d.prepared.width_b
+    _, tables = _selected(d)
+    return alt_model.score_alt(d.pairs, alt_model.sides_from_tables(*tables, La, Lb), La, Lb, per_residue=True)
 
 
 def _null_soft(d):
@@ -271,22 +224,22 @@ def q_null_llh(spark, sf):
 
 def q_degrees_of_freedom(spark, sf):
     d = _derive(spark, sf)
-    models, coefs, _ = _given(d)
+    models, coefs, _ = D.given_models(d)
     return alt_model.degrees_of_freedom(models, coefs, ("side", "pos", "alpha"))
 
 
 def q_bic(spark, sf):
-    table, _, _ = _given_path_table(_derive(spark, sf))
+    table, _ = _given_path_table(_derive(spark, sf))
     return table.select("side", "pos", "alpha", "df", _r("sum_logp"), _r("bic"))
 
 
 def q_dfmax_path(spark, sf):
-    table, _, _ = _given_path_table(_derive(spark, sf))
+    table, _ = _given_path_table(_derive(spark, sf))
     return table.select("side", "pos", "alpha", "df", F.col("in_path").cast("int").alias("in_path"))
 
 
 def q_select_by_bic(spark, sf):
-    _, sel, _ = _selected(_derive(spark, sf))
+    sel, _ = _selected(_derive(spark, sf))
     return sel.select("side", "pos", "alpha", "df", _r("bic"))
 
 
@@ -332,10 +285,8 @@ def q_fit_first_step(spark, sf):
 # --- contacts ---------------------------------------------------------------
 
 def _given_cmap(d):
-    _, sel, (models, coefs, _) = _selected(d)
-    chosen = sel.select("side", "pos", "alpha")
-    c = coefs.join(F.broadcast(chosen), ["side", "pos", "alpha"])
-    return contacts.apc(contacts.couplings(c, d.prepared.width_a, d.prepared.width_b))
+    _, (_, coefs, _) = _selected(d)
+    return contacts.apc(contacts.couplings(coefs, d.prepared.width_a, d.prepared.width_b))
 
 
 def _aligned_truth(spark, sf):
@@ -375,7 +326,7 @@ def q_binarize_contacts(spark, sf):
 # --- EM tables on a fixed-coevolution-model trace ----------------------------
 
 def _trace(d):
-    return _memo("trace", d, lambda: D.fixed_alt_trace(d, _alt(d).select("pair_id", "alt_llh")).cache())
+    return D.fixed_alt_trace(d, _alt(d).select("pair_id", "alt_llh"))
 
 
 def q_weighted_llh(spark, sf):

@@ -1,18 +1,18 @@
 """Paired alignments derived from the ``documents`` table.
 
 The test tables carry no sequence data, so each document becomes one pair
-of 12-column alignment rows computed from letter counts over the WHOLE
+of 13-column alignment rows computed from letter counts over the WHOLE
 text (no prefixes):
 
-  s          = upper(ASCII letters of text)
-  cnt(x)     = number of occurrences of letter x in s
-  side A, column p : letter LA[p] of 'ABCDEFGHIJKL';
-        '-' if cnt = 0, else alphabet[cnt(LA[p]) % 20]
-  side B, column q : letter LB[q] of 'MNOPQRSTUVWX';
-        '-' if cnt(LB[q]) = 0, else alphabet[(cnt(LA[q]) + cnt(LB[q])) % 20]
+  s          = upper(ASCII letters of text); cnt(x) = occurrences of letter x in s
+  m(p)       = 2 if p % 4 = 3, else 4
+  side A, column p < 12 : '-' if cnt(LA[p]) = 0, else residue cnt(LA[p]) % m(p)
+  side B, column q < 12 : '-' if cnt(LB[q]) = 0; else residue 5 + cnt(LA[q]) % m(q) if the pair
+                          interacts (pair_id % 4 <> 0) and cnt(LA[q]) > 0, else 5 + cnt(LB[q]) % m(q)
+  column 12             : one residue everywhere (a constant column on both sides)
 
-Rare letters (C, J, K, P, Q, V, X) give naturally gappy columns, and B[q]
-depends on A[q], which plants couplings on the diagonal (q, q).
+Rare letters give gappy columns, three of four pairs carry the planted couplings
+(q, q) and the others do not, so fits, EM and contacts have something to find.
 The same derivation is written in SQL for the DuckDB oracle.
 """
 
@@ -31,21 +31,27 @@ def _count(s: Column, letter: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(letter), F.lit("")))
 
 
-def _residue(cnt_gate: Column, value: Column) -> Column:
-    return F.when(cnt_gate == 0, F.lit("-")).otherwise(
-        F.substring(F.lit(RESIDUES_20), (value % 20 + 1).cast("int"), 1)
-    )
+def interacts() -> Column:
+    """Pairs that carry the planted couplings."""
+    return F.col("pair_id") % 4 != 0
+
+
+def _letter(code: Column) -> Column:
+    return F.substring(F.lit(RESIDUES_20), (code + 1).cast("int"), 1)
 
 
 def alignment_from_documents(documents: DataFrame) -> DataFrame:
-    """``documents(doc_id, text, ...)`` -> ``(pair_id, seq_a, seq_b)``."""
-    s = F.upper(F.regexp_replace(F.col("text"), "[^A-Za-z]", ""))
+    """``documents(doc_id, text, ...)`` -> ``(pair_id, seq_a, seq_b)``; a null text is all gaps."""
+    s = F.upper(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[^A-Za-z]", ""))
     base = documents.select(F.col("doc_id").cast("long").alias("pair_id"), s.alias("s"))
-    cnt_a = [_count(F.col("s"), x) for x in LETTERS_A]
-    cnt_b = [_count(F.col("s"), x) for x in LETTERS_B]
-    seq_a = F.concat(*[_residue(ca, ca) for ca in cnt_a])
-    seq_b = F.concat(*[_residue(cb, ca + cb) for ca, cb in zip(cnt_a, cnt_b)])
-    return base.select("pair_id", seq_a.alias("seq_a"), seq_b.alias("seq_b"))
+    cols_a, cols_b = [], []
+    for p, (la, lb) in enumerate(zip(LETTERS_A, LETTERS_B)):
+        m = 2 if p % 4 == 3 else 4
+        ca, cb = _count(F.col("s"), la), _count(F.col("s"), lb)
+        cols_a.append(F.when(ca == 0, F.lit("-")).otherwise(_letter(ca % m)))
+        cols_b.append(F.when(cb == 0, F.lit("-")).when(interacts() & (ca > 0), _letter(5 + ca % m)).otherwise(_letter(5 + cb % m)))
+    return base.select("pair_id", F.concat(*cols_a, _letter(F.lit(0))).alias("seq_a"),
+                       F.concat(*cols_b, _letter(F.lit(5))).alias("seq_b"))
 
 
 def load_table(spark, sf_dir: str, name: str) -> DataFrame:
