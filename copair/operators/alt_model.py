@@ -19,12 +19,9 @@ from pyspark.sql import types as T
 
 from copair.functions.alphabet import CONSTANT_PROB, N_CODES, PC_ALT
 from copair.operators import kernels as K
-from copair.operators.fit import SideModels, _layout
+from copair.operators.models import KIND_NAMES, MAX_MODEL_BYTES, check_broadcast, layout
 from copair.operators.prep import long_view
 
-MAX_MODEL_BYTES = 512 << 20
-KIND_NAMES = ["ovr", "binary", "constant"]
-
 
 # --------------------------------------------------------------------------
 # map-only scoring with fitted models
@@ -34,9 +31,7 @@ def score_alt(state: DataFrame, sides: dict, width_a: int, width_b: int, out: st
               per_residue: bool = False) -> DataFrame:
     """Append ``alt_llh`` (sum over both sides of the observed-class
     log-probabilities) and optionally ``alt_a``/``alt_b`` arrays."""
-    nbytes = sum(sm.W.nbytes for sm in sides.values())
-    if nbytes > MAX_MODEL_BYTES:
-        raise ValueError(f"model block of {nbytes} bytes exceeds the broadcast bound")
+    check_broadcast(sides)
     payload = {s: (sm.model_dict(), sm.groups_dict(), sm.gpos) for s, sm in sides.items()}
     bc = state.sparkSession.sparkContext.broadcast(payload)
     fields = list(state.schema.fields) + [T.StructField(out, T.DoubleType(), True)]
@@ -93,9 +88,8 @@ def model_tables(spark, sides: dict, iteration: int | None = None):
         for m in range(sm.n_models):
             p, c, a = int(sm.tpos[m]), int(sm.tcls[m]), float(sm.malpha[m])
             irows.append((s, p, a, c, float(sm.b[m])))
-            nz = np.nonzero(sm.W[m])[0]
-            for f in nz:
-                crows.append((s, p, a, c, int(f // N_CODES), int(f % N_CODES), float(sm.W[m, f])))
+            for f, v in zip(sm.feats[m].tolist(), sm.coefs[m].tolist()):
+                crows.append((s, p, a, c, f // N_CODES, f % N_CODES, v))
     models = spark.createDataFrame(
         mrows, "side string, pos int, alpha double, kind string, classes array<int>, df bigint")
     coefs = spark.createDataFrame(
@@ -112,7 +106,7 @@ def sides_from_tables(models: DataFrame, coefs: DataFrame, intercepts: DataFrame
     group per (side, pos, alpha).  ``models`` needs (side, pos, alpha, kind, classes)."""
     widths = {"A": width_a, "B": width_b}
     sizes = coefs.agg(F.count(F.lit(1))).first()[0], models.agg(F.sum(F.size("classes"))).first()[0] or 0
-    if 100 * sizes[0] > MAX_MODEL_BYTES or 8 * N_CODES * max(widths.values()) * sizes[1] > MAX_MODEL_BYTES:
+    if 100 * (sizes[0] + sizes[1]) > MAX_MODEL_BYTES:
         raise ValueError(f"model tables of {sizes[1]} models and {sizes[0]} coefficients are too large to broadcast")
     mrows = models.select("side", "pos", "alpha", "kind", "classes").collect()
     crows = coefs.select("side", "pos", "alpha", "cls", "feat_pos", "feat_aa", "value").collect()
@@ -121,12 +115,12 @@ def sides_from_tables(models: DataFrame, coefs: DataFrame, intercepts: DataFrame
     for s in ("A", "B"):
         o = "B" if s == "A" else "A"
         spec = [(r.pos, float(r.alpha), r.classes, KIND_NAMES.index(r.kind)) for r in mrows if r.side == s]
-        sm = _layout(s, widths[s], widths[o], spec)
+        sm = layout(s, widths[s], widths[o], spec)
         index = {(int(p), float(a), int(c)): m for m, (p, a, c) in enumerate(zip(sm.tpos, sm.malpha, sm.tcls))}
         for r in crows:
             m = index.get((r.pos, float(r.alpha), r.cls)) if r.side == s else None
             if m is not None and r.feat_aa < 20 and r.feat_pos < widths[o]:
-                sm.W[m, r.feat_pos * N_CODES + r.feat_aa] += r.value
+                sm.add(m, r.feat_pos * N_CODES + r.feat_aa, r.value)
         for r in irows:
             m = index.get((r.pos, float(r.alpha), r.cls)) if r.side == s else None
             if m is not None:

@@ -36,21 +36,23 @@ def check_pairs(a: DataFrame, b: DataFrame, raise_on_error: bool = True) -> dict
     r = check_pairs_df(a, b).first().asDict()
     if raise_on_error:
         if r["identical"]:
-            raise ValueError("Alignments A and B are identical")
+            raise ValueError("sides A and B hold the same sequences")
         if r["n_a"] != r["n_b"] or r["missing_a"] or r["missing_b"]:
-            raise ValueError(f"Different number of sequences in MSA A ({r['n_a']}) and MSA B ({r['n_b']})")
+            raise ValueError(f"unpaired rows: A has {r['n_a']} ({r['missing_b']} without B), B has {r['n_b']} ({r['missing_a']} without A)")
         if r["n_a"] <= 1:
-            raise ValueError("Only one sequence in the input alignments")
+            raise ValueError("at least two pairs are needed")
     return r
 
 
 def unknown_residues(seqs: DataFrame, seq_col: str = "seq", key: str = "pair_id") -> DataFrame:
-    """Characters outside the alphabet: ``(ch, n, n_seqs)``."""
-    chars = seqs.select(key, F.explode(F.split(F.col(seq_col), "")).alias("ch"))
-    bad = chars.where((F.instr(F.lit(ALPHABET), F.col("ch")) == 0) & (F.col("ch") != ""))
-    return bad.groupBy("ch").agg(
-        F.count(F.lit(1)).cast("long").alias("n"), F.countDistinct(key).cast("long").alias("n_seqs")
-    )
+    """Characters outside the alphabet: ``(ch, n, n_seqs)``.
+
+    Known characters are removed first, so clean rows explode to nothing, and a row
+    counts each of its characters once: one aggregation, no distinct."""
+    left = F.translate(F.col(seq_col), ALPHABET, "")
+    chars = seqs.select(left.alias("s")).where("s <> ''").select("s", F.explode(F.array_distinct(F.split("s", ""))).alias("ch"))
+    n = F.length("s") - F.length(F.replace(F.col("s"), F.col("ch"), F.lit("")))
+    return chars.where("ch <> ''").groupBy("ch").agg(F.sum(n.cast("long")).alias("n"), F.count(F.lit(1)).cast("long").alias("n_seqs"))
 
 
 def check_alphabet(encoded: DataFrame, raise_on_error: bool = True) -> dict:
@@ -97,8 +99,8 @@ def check_contact_map(contact_map: DataFrame, profile: DataFrame, raise_on_error
     r = check_contact_map_df(contact_map, profile).first().asDict()
     if raise_on_error and not r["ok"]:
         raise ValueError(
-            f"Contact matrix is expected to have dimensions {r['len_a']} x {r['len_b']} with 0/1 values; "
-            f"found {r['rows']} x {r['cols']} ({r['bad_values']} bad values)"
+            f"contact map: {r['rows']} x {r['cols']} cells with {r['bad_values']} values other than 0 and 1; "
+            f"the alignments have {r['len_a']} x {r['len_b']} columns"
         )
     return r
 
@@ -118,43 +120,41 @@ class EMOptions:
     int_limit: int | None = None
     test: bool = False
     predict_contacts: bool = False
-    max_init_iters: int = 300  # gradient passes of a path fit (init, random start, contacts)
-    max_reg_iters: int = 150  # gradient passes of a fixed-alpha M-step (warm-started)
-    fit_tol: float = 1e-5  # largest coefficient step at which a model counts as converged
+    max_init_iters: int | None = None  # data passes of each round of a path fit; None: until optimal
+    max_reg_iters: int | None = None  # data passes of a fixed-alpha M-step; None: until optimal
+    fit_tol: float = 1e-5  # largest violation of the optimality conditions of a fitted model
     seed: int = 42
 
     def __post_init__(self):
-        if not 0.0 < self.int_frac < 1.0:
-            raise ValueError(f"Invalid value of int_frac {self.int_frac}")
-        if not 0.0 < self.gap_threshold < 1.0:
-            raise ValueError(f"Gap threshold value {self.gap_threshold} outside bounds")
-        if self.init not in ("warm", "random"):
-            raise ValueError(f"Invalid value of init: {self.init}. Valid values are 'warm' and 'random'")
-        if self.mode not in ("hard", "soft"):
-            raise ValueError(f"Invalid value of mode: {self.mode}. Valid values are 'hard' and 'soft'")
-        if self.mode == "hard":
-            warnings.warn("Chosen hard EM: less tested than soft EM", RuntimeWarning, stacklevel=2)
-        if not isinstance(self.test, bool):
-            raise ValueError(f"Invalid, non-boolean value for test parameter: {self.test}")
-        if not isinstance(self.predict_contacts, bool):
-            raise ValueError(f"Invalid, non-boolean value for predict_contacts: {self.predict_contacts}")
+        open_unit = lambda v: 0.0 < v < 1.0
+        rules = {
+            "int_frac": (open_unit, "in (0, 1)"),
+            "gap_threshold": (open_unit, "in (0, 1)"),
+            "init": (("warm", "random").__contains__, "'warm' or 'random'"),
+            "mode": (("hard", "soft").__contains__, "'hard' or 'soft'"),
+            "test": (lambda v: isinstance(v, bool), "a boolean"),
+            "predict_contacts": (lambda v: isinstance(v, bool), "a boolean"),
+            "int_limit": (lambda v: v is None or v >= 0, "None or at least 0"),
+            "n_starts": (lambda v: v >= 1, "at least 1"),
+            "dfmax": (lambda v: v > 1, "above 1"),
+            "max_iters": (lambda v: v > 1, "above 1"),
+            "tol": (lambda v: v > sys.float_info.epsilon, "above the machine precision"),
+            "max_init_iters": (lambda v: v is None or v > 1, "None or above 1"),
+            "max_reg_iters": (lambda v: v is None or v > 1, "None or above 1"),
+        }
+        for name, (holds, allowed) in rules.items():
+            value = getattr(self, name)
+            if not holds(value):
+                raise ValueError(f"option {name} is {value!r} but must be {allowed}")
         if self.test and self.int_limit is None:
-            raise ValueError("Test mode requires int_limit")
-        if self.int_limit is not None and self.int_limit < 0:
-            raise ValueError(f"Invalid value of int_limit: {self.int_limit}")
-        if self.n_starts < 1:
-            raise ValueError(f"Invalid value of n_starts: {self.n_starts}")
-        if self.dfmax <= 1:
-            raise ValueError(f"Invalid value of dfmax: {self.dfmax}")
-        if self.dfmax >= 120:
-            warnings.warn(f"High value of dfmax ({self.dfmax}): fits may be slow", RuntimeWarning, stacklevel=2)
-        if self.max_iters <= 1:
-            raise ValueError(f"Invalid max_iters value: {self.max_iters}")
-        if self.tol <= 0:
-            raise ValueError(f"Invalid tolerance value: {self.tol}")
-        if self.tol <= sys.float_info.epsilon:
-            raise ValueError("Tolerance set below machine precision")
-        if self.max_init_iters <= 1:
-            raise ValueError(f"Invalid value of max_init_iters: {self.max_init_iters}")
-        if self.max_reg_iters <= 1:
-            raise ValueError(f"Invalid value of max_reg_iters: {self.max_reg_iters}")
+            raise ValueError("option test needs int_limit")
+        notes = {
+            "hard mode has seen less use than soft mode": self.mode == "hard",
+            f"dfmax {self.dfmax} lets models grow large": self.dfmax >= 120,
+            "int_limit has no effect without test": self.int_limit is not None and not self.test,
+            "few passes: models may stay short of their optimum": any(
+                v is not None and v < 100 for v in (self.max_init_iters, self.max_reg_iters)),
+        }
+        for text, holds in notes.items():
+            if holds:
+                warnings.warn(text, RuntimeWarning, stacklevel=2)

@@ -6,166 +6,48 @@ side, optionally weighted, for one or many regularisation strengths.
 Objective of one model (n = rows fitted, r = l1 ratio, intercept free):
     (1/n) sum_i w_i logloss(y_i, b + x_i.beta) + alpha (r |beta|_1 + (1-r)/2 |beta|^2)
 
-Execution (all models of both sides and all alphas share each data pass):
-  1. one aggregation over the rows -> classes per column, class weights
-     (closed-form intercepts) and a per-feature curvature bound;
-  2. accelerated proximal-gradient passes (FISTA in the metric of that
-     bound, with adaptive restart): each pass broadcasts the current
-     model-sized coefficient block, ``mapInArrow`` computes partial
-     gradients per partition, ``groupBy(side, chunk)`` sums them, and
-     the driver applies the closed-form proximal step (model-sized work);
-  3. models whose step fell below ``tol`` leave the active set; models with
-     alpha*r >= 0.25*mean(w) are optimal at beta = 0 and are solved in
-     closed form (every feature gradient of the intercept-only model is a
-     weighted covariance of 0/1 variables, at most 0.25*mean(w) in size).
-
-Nothing row-sized reaches the driver; what is broadcast is the model
-block, whose size is checked against ``max_block_bytes`` and split into
-several jobs per pass when larger.
+Active-set proximal Newton, all open models of both sides in each data pass:
+  1. one aggregation gives classes, class weights and closed-form intercepts;
+     models with alpha*r >= 0.25*mean(w) are optimal at beta = 0 (every gradient of
+     the intercept-only model is a weighted covariance of 0/1 variables) and need
+     no pass;
+  2. a pass broadcasts the sparse coefficients (size-checked); each task returns, per
+     block of models, the loss, the full gradient and the Hessian on the models'
+     working features only;
+  3. partials are summed by (side, block, bucket) and then by (side, block), so that
+     no task sees all of them; the task that sums a block also makes its models'
+     step: coordinate descent on the quadratic model, a halved step if the loss
+     rose, admission of features that violate optimality, and the optimality
+     (KKT) residual.  Only sparse coefficients return to the driver;
+  4. a model leaves when its residual is at most ``tol``.  There is no pass limit
+     unless the caller sets one; what then has not converged is marked.
+Strengths are solved in rounds, strongest first, warm-started; a column leaves
+after its first model with df > dfmax.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copair.functions.alphabet import (
-    ALPHA_PATH,
-    CONSTANT_ALPHA,
-    DFMAX,
-    GAP,
-    L1_RATIO,
-    N_CODES,
-)
+from copair.functions.alphabet import ALPHA_PATH, CONSTANT_ALPHA, DFMAX, GAP, L1_RATIO, N_CODES
 from copair.operators import kernels as K
+from copair.operators.models import KIND_NAMES, SideModels, check_broadcast, layout
 
+#: Intercept of a class with no weight or all weight (its optimum is infinite).
 INTERCEPT_CLAMP = 35.0
-COMPACT_CELLS = 2_000_000  # rows x active models below which one task does the pass
-CHUNK_DOUBLES = 1 << 20
-
-
-@dataclass
-class SideModels:
-    """Model-sized description and coefficients of all models of one side."""
-
-    side: str
-    width_t: int
-    width_o: int
-    gpos: np.ndarray
-    galpha: np.ndarray
-    kind: np.ndarray  # 0 ovr, 1 binary, 2 constant
-    classes: list
-    first: np.ndarray
-    count: np.ndarray
-    cls_map: np.ndarray
-    pos_cls: np.ndarray
-    neg_cls: np.ndarray
-    const_cls: np.ndarray
-    n_ovr_models: int
-    tpos: np.ndarray
-    tcls: np.ndarray
-    malpha: np.ndarray
-    mgroup: np.ndarray
-    W: np.ndarray
-    b: np.ndarray
-    converged: np.ndarray = field(default=None)
-    n_passes: int = 0
-
-    @property
-    def n_models(self) -> int:
-        return len(self.tpos)
-
-    def groups_dict(self) -> dict:
-        return {
-            "kind": self.kind, "gpos": self.gpos, "cls_map": self.cls_map, "first": self.first,
-            "pos_cls": self.pos_cls, "neg_cls": self.neg_cls, "const_cls": self.const_cls,
-            "n_ovr_models": self.n_ovr_models,
-        }
-
-    def model_dict(self, idx=None) -> dict:
-        if idx is None:
-            return {"W": self.W, "b": self.b, "tpos": self.tpos, "tcls": self.tcls}
-        return {"W": self.W[idx], "b": self.b[idx], "tpos": self.tpos[idx], "tcls": self.tcls[idx]}
-
-    def group_df(self) -> np.ndarray:
-        """Degrees of freedom per group: distinct (feat_pos, feat_aa) with a
-        non-zero coefficient in any class; intercept excluded."""
-        out = np.zeros(len(self.kind), dtype=np.int64)
-        nz = self.W != 0
-        for g in range(len(self.kind)):
-            if self.kind[g] == 2:
-                continue
-            lo, cnt = self.first[g], self.count[g]
-            out[g] = int(nz[lo: lo + cnt].any(axis=0).sum())
-        return out
-
-    def subset_groups(self, keep: np.ndarray) -> "SideModels":
-        """New SideModels with only the listed groups (order kept)."""
-        keep = np.asarray(keep, dtype=np.int64)
-        spec = [(int(self.gpos[g]), float(self.galpha[g]), self.classes[g], int(self.kind[g])) for g in keep]
-        sub = _layout(self.side, self.width_t, self.width_o, spec)
-        for gi, g in enumerate(keep):
-            lo, cnt = self.first[g], self.count[g]
-            if self.kind[g] == 2:
-                continue
-            nlo = sub.first[gi]
-            sub.W[nlo: nlo + cnt] = self.W[lo: lo + cnt]
-            sub.b[nlo: nlo + cnt] = self.b[lo: lo + cnt]
-        sub.converged = np.ones(sub.n_models, dtype=bool)
-        sub.n_passes = self.n_passes
-        return sub
-
-
-def _layout(side, width_t, width_o, spec) -> SideModels:
-    """Lay out groups ``[(pos, alpha, classes)]``: ovr groups first (their
-    models contiguous), then binary, then constant groups."""
-    kinds = [t[3] if len(t) > 3 else (0 if len(t[2]) >= 3 else (1 if len(t[2]) == 2 else 2)) for t in spec]
-    order = sorted(range(len(spec)), key=lambda i: (kinds[i], spec[i][0], -spec[i][1]))
-    G = len(spec)
-    gpos = np.zeros(G, np.int64)
-    galpha = np.zeros(G)
-    kind = np.zeros(G, np.int64)
-    first = np.full(G, -1, np.int64)
-    count = np.zeros(G, np.int64)
-    cls_map = np.full((G, N_CODES), -1, np.int64)
-    pos_cls = np.full(G, -1, np.int64)
-    neg_cls = np.full(G, -1, np.int64)
-    const_cls = np.full(G, -1, np.int64)
-    classes = []
-    tpos, tcls, malpha, mgroup = [], [], [], []
-    n_ovr_models = 0
-    for gi, i in enumerate(order):
-        p, a, cl = spec[i][:3]
-        cl = np.asarray(sorted(int(c) for c in cl), dtype=np.int64)
-        classes.append(cl)
-        gpos[gi], galpha[gi], kind[gi] = p, a, kinds[i]
-        if kinds[i] == 0:
-            first[gi] = len(tpos)
-            count[gi] = len(cl)
-            for c in cl:
-                cls_map[gi, c] = len(tpos)
-                tpos.append(p), tcls.append(c), malpha.append(a), mgroup.append(gi)
-            n_ovr_models = len(tpos)
-        elif kinds[i] == 1:
-            first[gi] = len(tpos)
-            count[gi] = 1
-            neg_cls[gi], pos_cls[gi] = cl[0], cl[1]
-            cls_map[gi, cl[1]] = len(tpos)
-            tpos.append(p), tcls.append(cl[1]), malpha.append(a), mgroup.append(gi)
-        else:
-            const_cls[gi] = cl[0] if len(cl) else -1
-    M = len(tpos)
-    return SideModels(
-        side, width_t, width_o, gpos, galpha, kind, classes, first, count, cls_map, pos_cls, neg_cls,
-        const_cls, n_ovr_models, np.asarray(tpos, np.int64), np.asarray(tcls, np.int64),
-        np.asarray(malpha, float), np.asarray(mgroup, np.int64),
-        np.zeros((M, width_o * N_CODES)), np.zeros(M), np.zeros(M, dtype=bool),
-    )
+#: Models per block of a pass; a block's dense slice is this many rows of features.
+BLOCK_MODELS = 128
+#: Features that may enter a model's working set in one pass.
+ADMIT = 60
 
 
 # --------------------------------------------------------------------------
@@ -178,181 +60,98 @@ class RowStats:
     sum_w: float
     counts: dict  # side -> (L, 21) row counts per code
     wsum: dict  # side -> (L, 21) weight sums per code
-    curv: dict  # side -> (L*21,) sum_i w_i k_i x_if for features of that side
-    curv0: dict  # side -> sum_i w_i k_i (k from that side)
 
 
 def row_stats(rows: DataFrame, width_a: int, width_b: int) -> RowStats:
-    """One aggregation: per (side, pos, aa) count, weight and curvature sums."""
-    k_a = F.lit(1.0) + F.size(F.filter("a", lambda c: c < GAP)).cast("double")
-    k_b = F.lit(1.0) + F.size(F.filter("b", lambda c: c < GAP)).cast("double")
-    lv = rows.select(
-        F.col("w").cast("double").alias("w"),
-        F.inline(
-            F.array(
-                F.struct(F.lit("A").alias("side"), F.col("a").alias("codes"), k_a.alias("k")),
-                F.struct(F.lit("B").alias("side"), F.col("b").alias("codes"), k_b.alias("k")),
-            )
-        ),
-    ).select("w", "k", "side", F.posexplode("codes").alias("pos", "aa"))
-    agg = lv.groupBy("side", "pos", "aa").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("k")).alias("swk")
-    ).collect()  # schema-sized: at most 21 x (La+Lb) rows
+    """One aggregation: count and weight per (side, pos, aa); at most 21 (La+Lb) rows."""
+    side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("codes"))
+    lv = rows.select(F.col("w").cast("double").alias("w"), F.inline(F.array(side("A", "a"), side("B", "b")))).select(
+        "w", "side", F.posexplode("codes").alias("pos", "aa"))
+    agg = lv.groupBy("side", "pos", "aa").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw")).collect()
     widths = {"A": width_a, "B": width_b}
-    counts = {s: np.zeros((widths[s], N_CODES)) for s in widths}
-    wsum = {s: np.zeros((widths[s], N_CODES)) for s in widths}
-    curv = {s: np.zeros(widths[s] * N_CODES) for s in widths}
+    counts, wsum = ({s: np.zeros((widths[s], N_CODES)) for s in widths} for _ in range(2))
     for r in agg:
         counts[r.side][r.pos, r.aa] = r.n
         wsum[r.side][r.pos, r.aa] = r.sw or 0.0
-        curv[r.side][r.pos * N_CODES + r.aa] = r.swk or 0.0
-    n = int(counts["A"][0].sum()) if width_a else int(counts["B"][0].sum())
-    sum_w = float(wsum["A"][0].sum()) if width_a else float(wsum["B"][0].sum())
-    curv0 = {s: float(curv[s].reshape(widths[s], N_CODES)[0].sum()) if widths[s] else 0.0 for s in widths}
-    return RowStats(n, sum_w, counts, wsum, curv, curv0)
-
-
-def _column_classes(stats: RowStats, side: str) -> list[np.ndarray]:
-    c = stats.counts[side]
-    return [np.nonzero(c[p] > 0)[0] for p in range(c.shape[0])]
-
-
-def _closed_form_intercepts(sm: SideModels, stats: RowStats) -> None:
-    ws = stats.wsum[sm.side]
-    tot = stats.sum_w
-    for m in range(sm.n_models):
-        s1 = ws[sm.tpos[m], sm.tcls[m]]
-        s0 = tot - s1
-        if s1 <= 0:
-            sm.b[m] = -INTERCEPT_CLAMP
-        elif s0 <= 0:
-            sm.b[m] = INTERCEPT_CLAMP
-        else:
-            sm.b[m] = float(np.clip(math.log(s1 / s0), -INTERCEPT_CLAMP, INTERCEPT_CLAMP))
+    some = "A" if width_a else "B"
+    n, sum_w = (int(counts[some][0].sum()), float(wsum[some][0].sum())) if widths[some] else (0, 0.0)
+    return RowStats(n, sum_w, counts, wsum)
+
+
+def column_classes(stats: RowStats, side: str) -> list[np.ndarray]:
+    return [np.flatnonzero(c > 0) for c in stats.counts[side]]
+
+
+def closed_form_intercepts(sm: SideModels, stats: RowStats) -> None:
+    ones = stats.wsum[sm.side][sm.tpos, sm.tcls]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logit = np.log(ones) - np.log(stats.sum_w - ones)
+    sm.b[:] = np.clip(np.nan_to_num(logit, nan=0.0, posinf=INTERCEPT_CLAMP, neginf=-INTERCEPT_CLAMP),
+                      -INTERCEPT_CLAMP, INTERCEPT_CLAMP)
 
 
 # --------------------------------------------------------------------------
 # distributed passes
 # --------------------------------------------------------------------------
 
-_PART_SCHEMA = "side string, chunk int, blob binary"
+_PART = "side string, block int, bucket int, blob binary"
 
 
-def _emit_blobs(side, vec):
-    for ci, lo in enumerate(range(0, max(len(vec), 1), CHUNK_DOUBLES)):
-        yield side, ci, vec[lo: lo + CHUNK_DOUBLES].tobytes()
+def _reduced(rows: DataFrame, partial, finish, schema: str) -> DataFrame:
+    """Sum the vectors ``partial(batches) -> {(side, block): vector}`` of all tasks, then ``finish``.
 
+    Two levels: a bucket of about sqrt(tasks) partials, then a block's buckets."""
+    fan = max(1, math.isqrt(max(1, rows.rdd.getNumPartitions())))
 
-def _sum_blobs(pdf):
-    total = None
-    for blob in pdf["blob"]:
-        v = np.frombuffer(blob, dtype=np.float64)
-        total = v.copy() if total is None else total + v
-    import pandas as pd
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = TaskContext.get().partitionId() % fan
+        for (side, block), vector in partial(batches).items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([side]), pa.array([block], pa.int32()), pa.array([bucket], pa.int32()),
+                 pa.array([vector.tobytes()], pa.binary())], names=["side", "block", "bucket", "blob"])
 
-    return pd.DataFrame({"side": [pdf["side"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])],
-                         "blob": [total.tobytes()]})
+    def total(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.frombuffer(pdf["blob"].iloc[0]).copy()
+        for blob in pdf["blob"].iloc[1:]:
+            out += np.frombuffer(blob)
+        return out
 
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"side": [key[0]], "block": [key[1]], "bucket": [key[2]], "blob": [total(pdf).tobytes()]})
 
-DIRECT_REDUCE_MAX_PARTS = 64
+    def last(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return finish(key[0], int(key[1]), total(pdf))
 
+    parts = rows.mapInArrow(emit, _PART)
+    sums = parts.groupBy("side", "block", "bucket").applyInPandas(add, _PART)
+    return sums.groupBy("side", "block").applyInPandas(last, schema)
 
-def _reduce(parts: DataFrame, n_parts: int) -> dict[str, np.ndarray]:
-    """Sum partial blobs per (side, chunk).  With a small fan-in the driver
-    adds them directly (no extra shuffle stage); with a large fan-in the
-    sum runs distributed, ``groupBy(side, chunk)``, and only the model-sized
-    result is collected."""
-    if n_parts <= DIRECT_REDUCE_MAX_PARTS:
-        acc: dict = {}
-        for r in parts.collect():
-            v = np.frombuffer(r.blob, dtype=np.float64)
-            key = (r.side, r.chunk)
-            acc[key] = v.copy() if key not in acc else acc[key] + v
-        red = [(k[0], k[1], v) for k, v in acc.items()]
-    else:
-        red = [(r.side, r.chunk, np.frombuffer(r.blob, dtype=np.float64))
-               for r in parts.groupBy("side", "chunk").applyInPandas(_sum_blobs, _PART_SCHEMA).collect()]
-    by_side: dict[str, list] = {}
-    for side, chunk, v in red:
-        by_side.setdefault(side, []).append((chunk, v))
-    return {s: np.concatenate([v for _, v in sorted(lst, key=lambda t: t[0])]) for s, lst in by_side.items()}
-
-
-def _gradient_pass(rows: DataFrame, models: dict, width_a: int, width_b: int, n_total: int):
-    """One data pass: gradients of the given (model-sized) blocks per side."""
-    spark = rows.sparkSession
-    bc = spark.sparkContext.broadcast(models)
-
-    def kernel(batches):
-        mdl = bc.value
-        acc = {s: None for s in mdl}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            a = K.codes_matrix(batch.column("a"), width_a)
-            b = K.codes_matrix(batch.column("b"), width_b)
-            w = batch.column("w").to_numpy(zero_copy_only=False).astype(np.float64)
-            for s, (t, o) in (("A", (a, b)), ("B", (b, a))):
-                if s not in mdl:
-                    continue
-                G, gb = K.gradient_partial(t, o, w, mdl[s], n_total)
-                vec = np.concatenate([G.ravel(), gb])
-                acc[s] = vec if acc[s] is None else acc[s] + vec
-        for s, vec in acc.items():
-            if vec is None:
-                continue
-            rows_out = list(_emit_blobs(s, vec))
-            yield pa.RecordBatch.from_pydict(
-                {"side": [r[0] for r in rows_out], "chunk": [r[1] for r in rows_out],
-                 "blob": [r[2] for r in rows_out]},
-                schema=pa.schema([("side", pa.string()), ("chunk", pa.int32()), ("blob", pa.binary())]),
-            )
-
-    out = _reduce(rows.select("a", "b", "w").mapInArrow(kernel, _PART_SCHEMA), rows.rdd.getNumPartitions())
-    bc.unpersist()
-    res = {}
-    for s, mdl in models.items():
-        M, Fw = mdl["W"].shape
-        vec = out.get(s)
-        if vec is None:
-            res[s] = (np.zeros((M, Fw)), np.zeros(M))
-        else:
-            res[s] = (vec[: M * Fw].reshape(M, Fw), vec[M * Fw:])
-    return res
+
+def _sides_of(batch: pa.RecordBatch, width_a: int, width_b: int):
+    a, b = K.codes_matrix(batch.column("a"), width_a), K.codes_matrix(batch.column("b"), width_b)
+    return (("A", a, b), ("B", b, a))
 
 
 def group_logprob_sums(rows: DataFrame, sides: dict, width_a: int, width_b: int) -> dict[str, np.ndarray]:
-    """Sum over rows of the observed-class log-probability per group (BIC)."""
-    spark = rows.sparkSession
-    payload = {s: (sm.model_dict(), sm.groups_dict()) for s, sm in sides.items()}
-    bc = spark.sparkContext.broadcast(payload)
-
-    def kernel(batches):
-        pl = bc.value
-        acc = {s: None for s in pl}
+    """Sum over rows of the observed-class log-probability per group (for BIC)."""
+    check_broadcast(sides)
+    bc = rows.sparkSession.sparkContext.broadcast({s: (sm.model_dict(), sm.groups_dict()) for s, sm in sides.items()})
+
+    def partial(batches):
+        acc: dict = {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            a = K.codes_matrix(batch.column("a"), width_a)
-            b = K.codes_matrix(batch.column("b"), width_b)
-            for s, (t, o) in (("A", (a, b)), ("B", (b, a))):
-                if s not in pl:
-                    continue
-                lp = K.group_logprobs(t, o, pl[s][0], pl[s][1]).sum(axis=0)
-                acc[s] = lp if acc[s] is None else acc[s] + lp
-        for s, vec in acc.items():
-            if vec is None:
-                continue
-            rows_out = list(_emit_blobs(s, vec))
-            yield pa.RecordBatch.from_pydict(
-                {"side": [r[0] for r in rows_out], "chunk": [r[1] for r in rows_out],
-                 "blob": [r[2] for r in rows_out]},
-                schema=pa.schema([("side", pa.string()), ("chunk", pa.int32()), ("blob", pa.binary())]),
-            )
-
-    out = _reduce(rows.select("a", "b").mapInArrow(kernel, _PART_SCHEMA), rows.rdd.getNumPartitions())
+            for s, t, o in _sides_of(batch, width_a, width_b):
+                if s in bc.value and batch.num_rows:
+                    lp = K.group_logprobs(t, o, *bc.value[s]).sum(axis=0)
+                    acc[(s, 0)] = acc[(s, 0)] + lp if (s, 0) in acc else lp
+        return acc
+
+    finish = lambda side, block, v: pd.DataFrame({"side": side, "g": np.arange(len(v)), "v": v})
+    out = {s: np.zeros(len(sm.kind)) for s, sm in sides.items()}
+    for r in _reduced(rows.select("a", "b"), partial, finish, "side string, g long, v double").collect():
+        out[r.side][r.g] = r.v
     bc.unpersist()
-    return {s: out.get(s, np.zeros(len(sm.kind))) for s, sm in sides.items()}
+    return out
 
 
 def logprob_table(spark, rows: DataFrame, sides: dict, width_a: int, width_b: int) -> DataFrame:
@@ -364,133 +163,209 @@ def logprob_table(spark, rows: DataFrame, sides: dict, width_a: int, width_b: in
 
 
 # --------------------------------------------------------------------------
-# solver
+# one model's step
 # --------------------------------------------------------------------------
 
-def _soft(x, t):
-    return np.sign(x) * np.maximum(np.abs(x) - t, 0.0)
+def descend(g: np.ndarray, h: np.ndarray, w: np.ndarray, l1: float, l2: float, sweeps: int = 200, eps: float = 1e-9) -> np.ndarray:
+    """Minimise the quadratic model by coordinate descent; the last coordinate is the free intercept.
+
+    ``g`` and ``h`` are loss gradient and Hessian at ``w`` (without the l2 term)."""
+    new, n = w.copy(), len(w)
+    diag = h.diagonal() + np.r_[np.full(n - 1, l2), 0.0]
+    hd = np.zeros(n)  # h @ (new - w)
+    for _ in range(sweeps):
+        biggest = 0.0
+        for j in range(n):
+            if diag[j] <= 1e-14:
+                continue
+            if j == n - 1:
+                value = new[j] - (g[j] + hd[j]) / diag[j]
+            else:
+                point = diag[j] * new[j] - (g[j] + hd[j] + l2 * new[j])
+                value = math.copysign(max(abs(point) - l1, 0.0), point) / diag[j]
+            step = value - new[j]
+            if step:
+                new[j] = value
+                hd += step * h[:, j]
+                biggest = max(biggest, abs(step) * math.sqrt(diag[j]))
+        if biggest < eps:
+            break
+    return new
+
 
+def residual(g: np.ndarray, gb: float, w: np.ndarray, l1: float, l2: float, usable: np.ndarray) -> tuple[float, np.ndarray]:
+    """Largest violation of the optimality conditions, and each feature's."""
+    full = g + l2 * w
+    each = np.where(w != 0, np.abs(full + l1 * np.sign(w)), np.maximum(np.abs(full) - l1, 0.0)) * usable
+    return max(float(each.max(initial=0.0)), abs(gb)), each
 
-def fista(rows: DataFrame, sides: dict, stats: RowStats, width_a: int, width_b: int,
-          l1_ratio: float = L1_RATIO, max_iter: int = 300, tol: float = 1e-6,
-          max_block_bytes: int = 256 << 20, prune=None, rows_compact: DataFrame | None = None) -> None:
-    """Fit all not-yet-converged models of ``sides`` in place.
 
-    ``rows_compact`` (same rows, one partition, narrow coalesce of the
-    cached rows) is used for passes whose active work is small, where job
-    and task overhead would dominate."""
-    n = stats.n
-    widths = {"A": width_a, "B": width_b}
-    st = {}
+@dataclass
+class Trial:
+    """State of an open model between passes: the accepted point and the one on trial."""
+
+    feats: np.ndarray  # working set of the trial point
+    coefs: np.ndarray
+    b: float
+    old_feats: np.ndarray
+    old_coefs: np.ndarray
+    old_b: float
+    old_value: float
+
+
+def _start(sm: SideModels, m: int) -> Trial:
+    f, c = sm.feats[m], sm.coefs[m]
+    return Trial(f, c, float(sm.b[m]), f, c, float(sm.b[m]), math.inf)
+
+
+def next_trial(t: Trial, loss: float, g: np.ndarray, gb: float, h: np.ndarray, l1: float, l2: float,
+               usable: np.ndarray, tol: float) -> tuple[Trial, float, bool]:
+    """From the sums at the trial point to the next one: ``(trial, residual, done)``."""
+    value = loss + l1 * np.abs(t.coefs).sum() + 0.5 * l2 * (t.coefs ** 2).sum()
+    w = np.zeros(len(g))
+    w[t.feats] = t.coefs
+    worst, each = residual(g, gb, w, l1, l2, usable)
+    if worst <= tol:
+        return Trial(t.feats, t.coefs, t.b, t.feats, t.coefs, t.b, value), worst, True
+    if value > t.old_value + 1e-12 * max(1.0, abs(t.old_value)):  # the step was too long: halve it
+        old = np.zeros(len(g))
+        old[t.old_feats] = t.old_coefs
+        feats = np.union1d(t.feats, t.old_feats)
+        half = 0.5 * (w + old)
+        return Trial(feats, half[feats], 0.5 * (t.b + t.old_b), t.old_feats, t.old_coefs, t.old_b, t.old_value), worst, False
+    new = descend(np.r_[g[t.feats], gb], h, np.r_[t.coefs, t.b], l1, l2)
+    each[t.feats] = 0.0
+    enter = np.argsort(-each, kind="stable")[:ADMIT]
+    enter = enter[each[enter] > 0]
+    stay = new[:-1] != 0
+    feats = np.r_[t.feats[stay], enter]
+    coefs = np.r_[new[:-1][stay], np.zeros(len(enter))]
+    return Trial(feats, coefs, float(np.clip(new[-1], -INTERCEPT_CLAMP, INTERCEPT_CLAMP)), t.feats, t.coefs, t.b, value), worst, False
+
+
+_STEP = ("side string, model int, feats array<long>, coefs array<double>, b double, old_feats array<long>, "
+         "old_coefs array<double>, old_b double, old_value double, residual double, done boolean")
+
+
+def _newton_pass(rows: DataFrame, sides: dict, trials: dict, usable: dict, width_a: int, width_b: int, n: int,
+                 l1_ratio: float, tol: float) -> None:
+    """One data pass and one step of every open model; updates ``trials`` and ``sides``."""
+    blocks: dict = {}
+    for s, own in trials.items():
+        order = sorted(own)
+        for k in range(0, len(order), BLOCK_MODELS):
+            blocks[(s, k // BLOCK_MODELS)] = order[k:k + BLOCK_MODELS]
+    payload = {key: {"models": ids, "trials": [trials[key[0]][m] for m in ids], "tpos": sides[key[0]].tpos[ids],
+                     "tcls": sides[key[0]].tcls[ids], "alpha": sides[key[0]].malpha[ids], "usable": usable[key[0]]}
+               for key, ids in blocks.items()}
+    size = sum(32 * len(t.feats) + 32 * len(t.old_feats) + 64 for own in trials.values() for t in own.values())
+    if size > (256 << 20):
+        raise ValueError(f"open models of {size} bytes exceed the broadcast bound; lower alphas_per_round")
+    bc = rows.sparkSession.sparkContext.broadcast(payload)
+
+    def partial(batches):
+        acc: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = batch.column("w").to_numpy(zero_copy_only=False).astype(np.float64) / n
+            for s, t, o in _sides_of(batch, width_a, width_b):
+                x = K.one_hot_dense(o)
+                for key, part in bc.value.items():
+                    if key[0] == s:
+                        v = K.newton_sums(x, t, w, part)
+                        acc[key] = acc[key] + v if key in acc else v
+        return acc
+
+    def finish(side: str, block: int, v: np.ndarray) -> pd.DataFrame:
+        part, out, at = bc.value[(side, block)], [], 0
+        n_features = len(part["usable"])
+        for m, trial, alpha in zip(part["models"], part["trials"], part["alpha"]):
+            k = len(trial.feats) + 1
+            loss, gb, g = v[at], v[at + 1], v[at + 2:at + 2 + n_features]
+            h = v[at + 2 + n_features:at + 2 + n_features + k * k].reshape(k, k)
+            at += 2 + n_features + k * k
+            t, worst, done = next_trial(trial, loss, g, gb, h, alpha * l1_ratio, alpha * (1 - l1_ratio), part["usable"], tol)
+            out.append((side, m, t.feats, t.coefs, t.b, t.old_feats, t.old_coefs, t.old_b, t.old_value, worst, done))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _STEP.split(", ")])
+
+    for r in _reduced(rows, partial, finish, _STEP).collect():  # sparse coefficients: model-sized
+        arr = lambda x, t: np.array(x, dtype=t)
+        t = Trial(arr(r.feats, np.int64), arr(r.coefs, float), r.b, arr(r.old_feats, np.int64), arr(r.old_coefs, float),
+                  r.old_b, r.old_value)
+        # the accepted point is the best one known: it is what a caller's limit would leave
+        sides[r.side].set(r.model, t.old_feats, t.old_coefs, t.old_b)
+        if r.done:
+            sides[r.side].converged[r.model] = True
+            del trials[r.side][r.model]
+        else:
+            trials[r.side][r.model] = t
+    bc.unpersist()
+
+
+def solve(rows: DataFrame, sides: dict, stats: RowStats, width_a: int, width_b: int, open_models: dict,
+          l1_ratio: float = L1_RATIO, tol: float = 1e-5, max_passes: int | None = None) -> None:
+    """Fit the models ``open_models[side]`` (numbers) in place."""
+    usable = {}
     for s, sm in sides.items():
         o = "B" if s == "A" else "A"
-        Fw = widths[o] * N_CODES
-        gap_mask = np.ones(Fw, dtype=bool)
-        if Fw:
-            gap_mask[np.arange(widths[o]) * N_CODES + GAP] = False
-        lf = 0.25 / max(n, 1) * stats.curv[o]
-        l0 = max(0.25 / max(n, 1) * stats.curv0[o], 1e-12)
-        l1 = sm.malpha * l1_ratio
-        l2 = sm.malpha * (1.0 - l1_ratio)
-        # exact empty models: |grad| <= 0.25 * mean(w) <= alpha * r
-        empty = l1 >= 0.25 * stats.sum_w / max(n, 1)
-        if sm.converged is None:
-            sm.converged = np.zeros(sm.n_models, dtype=bool)
+        usable[s] = stats.counts[o].ravel() > 0  # codes that never occur have no gradient
+        usable[s][np.arange(sm.width_o) * N_CODES + GAP] = False
+        empty = sm.malpha * l1_ratio >= 0.25 * stats.sum_w / max(stats.n, 1)
         sm.converged |= empty
-        sm.W[empty] = 0.0
-        st[s] = {
-            "x": sm.W, "xb": sm.b, "y": sm.W.copy(), "yb": sm.b.copy(), "t": np.ones(sm.n_models),
-            "step": 1.0 / (lf[None, :] + l2[:, None]), "step0": 1.0 / l0, "l1": l1, "l2": l2,
-            "mask": gap_mask,
-        }
-    for it in range(max_iter):
-        active = {s: np.nonzero(~sm.converged)[0] for s, sm in sides.items()}
-        if all(len(v) == 0 for v in active.values()):
-            break
-        # split the active models so that each broadcast block stays bounded
-        blocks = []
-        for s, idx in active.items():
-            if len(idx) == 0:
-                continue
-            per_model = 8 * (sides[s].W.shape[1] + 4)
-            step = max(1, max_block_bytes // per_model)
-            for lo in range(0, len(idx), step):
-                blocks.append((s, idx[lo: lo + step]))
-        grads = {}
-        # one job per group of blocks whose total stays under the budget
-        cur, cur_bytes = {}, 0
-        batches = []
-        for s, idx in blocks:
-            nbytes = 8 * len(idx) * (sides[s].W.shape[1] + 4)
-            if cur and (cur_bytes + nbytes > max_block_bytes or s in cur):
-                batches.append(cur)
-                cur, cur_bytes = {}, 0
-            cur[s] = idx
-            cur_bytes += nbytes
-        if cur:
-            batches.append(cur)
+    trials = {s: {m: _start(sm, m) for m in open_models.get(s, ()) if not sm.converged[m]} for s, sm in sides.items()}
+    passes = 0
+    while any(trials.values()) and (max_passes is None or passes < max_passes):
+        before = {s: len(own) for s, own in trials.items()}
+        _newton_pass(rows, sides, trials, usable, width_a, width_b, stats.n, l1_ratio, tol)
+        passes += 1
+        for s, sm in sides.items():
+            sm.n_passes += bool(before[s])
+
+
+def gradients(rows: DataFrame, sides: dict, width_a: int, width_b: int, n: int) -> DataFrame:
+    """``(side, model, loss, gb, g)``: loss and gradient of every model, one pass."""
+    check_broadcast(sides)
+    blocks = {(s, k): np.arange(k * BLOCK_MODELS, min((k + 1) * BLOCK_MODELS, sm.n_models))
+              for s, sm in sides.items() for k in range(-(-sm.n_models // BLOCK_MODELS))}
+    empty = np.empty(0, np.int64)
+    bc = rows.sparkSession.sparkContext.broadcast(
+        {key: sides[key[0]].model_dict(ids) | {"models": ids} for key, ids in blocks.items()})
+
+    def partial(batches):
+        acc: dict = {}
         for batch in batches:
-            models = {s: {"W": st[s]["y"][idx], "b": st[s]["yb"][idx], "tpos": sides[s].tpos[idx],
-                          "tcls": sides[s].tcls[idx]} for s, idx in batch.items()}
-            cells = n * sum(len(idx) for idx in batch.values())
-            src = rows_compact if (rows_compact is not None and cells <= COMPACT_CELLS) else rows
-            res = _gradient_pass(src, models, width_a, width_b, n)
-            for s, idx in batch.items():
-                grads.setdefault(s, []).append((idx, res[s]))
-        for s, lst in grads.items():
-            S = st[s]
-            sm = sides[s]
-            for idx, (G, gb) in lst:
-                y, yb = S["y"][idx], S["yb"][idx]
-                xo, xbo = S["x"][idx], S["xb"][idx]
-                step = S["step"][idx]
-                g = G + S["l2"][idx][:, None] * y
-                xn = _soft(y - step * g, S["l1"][idx][:, None] * step)
-                xn[:, ~S["mask"]] = 0.0
-                xbn = yb - S["step0"] * gb
-                xbn = np.clip(xbn, -INTERCEPT_CLAMP, INTERCEPT_CLAMP)
-                dx = xn - xo
-                dxb = xbn - xbo
-                restart = ((y - xn) * dx).sum(axis=1) + (yb - xbn) * dxb > 0
-                t = S["t"][idx]
-                tn = 0.5 * (1.0 + np.sqrt(1.0 + 4.0 * t * t))
-                mom = np.where(restart, 0.0, (t - 1.0) / tn)
-                tn = np.where(restart, 1.0, tn)
-                S["y"][idx] = xn + mom[:, None] * dx
-                S["yb"][idx] = xbn + mom * dxb
-                S["x"][idx] = xn
-                S["xb"][idx] = xbn
-                S["t"][idx] = tn
-                change = np.maximum(np.abs(dx).max(axis=1) if dx.shape[1] else 0.0, np.abs(dxb))
-                sm.converged[idx] = change < tol
-        for sm in sides.values():
-            sm.n_passes += 1
-        if prune is not None:
-            prune(sides)
-    for s, sm in sides.items():
-        sm.W = st[s]["x"]
-        sm.b = st[s]["xb"]
+            if not batch.num_rows:
+                continue
+            w = batch.column("w").to_numpy(zero_copy_only=False).astype(np.float64) / n
+            for s, t, o in _sides_of(batch, width_a, width_b):
+                x = K.one_hot_dense(o)
+                for key, mdl in bc.value.items():
+                    if key[0] == s:
+                        trials = [Trial(f, c, b, empty, empty, 0.0, 0.0) for f, c, b in zip(mdl["feats"], mdl["coefs"], mdl["b"])]
+                        v = K.newton_sums(x, t, w, mdl | {"trials": trials}, hessian=False)
+                        acc[key] = acc[key] + v if key in acc else v
+        return acc
+
+    def finish(side: str, block: int, v: np.ndarray) -> pd.DataFrame:
+        ids = bc.value[(side, block)]["models"]
+        v = v.reshape(len(ids), -1)
+        return pd.DataFrame({"side": side, "model": ids, "loss": v[:, 0], "gb": v[:, 1], "g": list(v[:, 2:])})
+
+    return _reduced(rows.select("a", "b", "w"), partial, finish, "side string, model long, loss double, gb double, g array<double>")
 
 
 def kkt_residual(rows: DataFrame, sides: dict, stats: RowStats, width_a: int, width_b: int,
                  l1_ratio: float = L1_RATIO) -> dict[str, np.ndarray]:
-    """Max KKT violation per model (test helper): zero coefficients need
-    |grad| <= alpha*r, non-zero ones grad + alpha*r*sign(w) = 0."""
-    models = {s: sm.model_dict() for s, sm in sides.items() if sm.n_models}
-    res = _gradient_pass(rows, models, width_a, width_b, stats.n)
-    out = {}
-    for s, sm in sides.items():
-        if not sm.n_models:
-            out[s] = np.zeros(0)
-            continue
-        G, gb = res[s]
-        o_width = width_b if s == "A" else width_a
-        l1 = (sm.malpha * l1_ratio)[:, None]
-        g = G + (sm.malpha * (1 - l1_ratio))[:, None] * sm.W
-        viol = np.where(sm.W != 0, np.abs(g + l1 * np.sign(sm.W)), np.maximum(np.abs(g) - l1, 0.0))
-        if o_width:
-            viol[:, np.arange(o_width) * N_CODES + GAP] = 0.0
-        out[s] = np.maximum(viol.max(axis=1) if viol.shape[1] else 0.0, np.abs(gb))
+    """Largest optimality violation per model, from one more pass over the rows."""
+    out = {s: np.zeros(sm.n_models) for s, sm in sides.items()}
+    for r in gradients(rows, sides, width_a, width_b, stats.n).collect():
+        sm = sides[r.side]
+        usable = np.ones(sm.n_features)
+        usable[np.arange(sm.width_o) * N_CODES + GAP] = 0.0
+        alpha = sm.malpha[r.model]
+        gb = 0.0 if abs(sm.b[r.model]) >= INTERCEPT_CLAMP else r.gb
+        out[r.side][r.model] = residual(np.array(r.g), gb, sm.dense([r.model])[0], alpha * l1_ratio, alpha * (1 - l1_ratio), usable)[0]
     return out
 
 
@@ -502,10 +377,14 @@ def kkt_residual(rows: DataFrame, sides: dict, stats: RowStats, width_a: int, wi
 class FitResult:
     sides: dict  # side -> SideModels with one group per column (chosen alpha)
     alphas: dict  # side -> {pos: alpha}
-    path: dict | None  # side -> SideModels with every path group (when searched)
-    path_table: list | None  # rows (side, pos, alpha, kind, df, sum_logp, bic, in_path, chosen)
+    path_table: list | None  # rows (side, pos, alpha, kind, df, sum_logp, bic, in_path, converged, chosen)
     stats: RowStats
     n_all: int
+    path: dict | None = None  # side -> SideModels of every fitted path group
+
+    @property
+    def converged(self) -> bool:
+        return all(bool(sm.converged.all()) for sm in self.sides.values())
 
 
 def fit_rows(state: DataFrame, mode: str, weighted: bool, z: str = "z") -> DataFrame:
@@ -521,124 +400,105 @@ def fit_rows(state: DataFrame, mode: str, weighted: bool, z: str = "z") -> DataF
 def fit_columns(rows: DataFrame, width_a: int, width_b: int, n_all: int | None = None,
                 alphas: dict | None = None, init: dict | None = None, dfmax: int = DFMAX,
                 l1_ratio: float = L1_RATIO, max_iter: int | None = None, tol: float = 1e-5,
-                path: list[float] | None = None) -> FitResult:
+                path: list[float] | None = None, alphas_per_round: int = 4) -> FitResult:
     """Fit every column of both sides on ``rows(a, b, w)``.
 
-    ``alphas=None`` searches the regularisation path (strongest first; a
-    column's path stops at the first model with df > dfmax; minimum BIC,
-    ties to the stronger alpha).  Otherwise ``alphas[side][pos]`` fixes one
-    strength per column; ``init`` (a previous FitResult.sides) warm-starts.
+    ``alphas=None`` searches the regularisation path (strongest first; a column's path
+    ends before its first model with df > dfmax; minimum BIC over n_all rows, ties to
+    the stronger alpha).  Otherwise ``alphas[side][pos]`` fixes one strength per column;
+    ``init`` (sides of a previous fit) warm-starts.  ``max_iter`` (None: no limit) bounds
+    the passes of a round; models left over are marked in ``converged``.
     """
-    rows = _spread(rows.select("a", "b", "w"))
-    stats = row_stats(rows, width_a, width_b)
-    if stats.n == 0:
-        raise ValueError("no rows to fit (one class is empty)")
-    n_all = stats.n if n_all is None else n_all
-    widths = {"A": width_a, "B": width_b}
-    search = alphas is None
-    path = list(ALPHA_PATH if path is None else path)
+    rows = rows.select("a", "b", "w").persist()
+    try:
+        stats = row_stats(rows, width_a, width_b)
+        if stats.n == 0:
+            raise ValueError("no rows to fit: the interacting class is empty")
+        n_all = stats.n if n_all is None else n_all
+        if alphas is None:
+            return _search(rows, stats, width_a, width_b, n_all, dfmax, l1_ratio, max_iter, tol,
+                           list(ALPHA_PATH if path is None else path), alphas_per_round)
+        sides = {}
+        for s, lt, lo in (("A", width_a, width_b), ("B", width_b, width_a)):
+            cls = column_classes(stats, s)
+            sides[s] = layout(s, lt, lo, [(p, float(alphas[s][p]), cls[p]) for p in range(lt)])
+            closed_form_intercepts(sides[s], stats)
+            if init is not None:
+                _warm_start(sides[s], init[s])
+        solve(rows, sides, stats, width_a, width_b, {s: range(sm.n_models) for s, sm in sides.items()}, l1_ratio, tol, max_iter)
+        return FitResult(sides, {s: {int(p): float(a) for p, a in zip(sm.gpos, sm.galpha)} for s, sm in sides.items()},
+                         None, stats, n_all)
+    finally:
+        rows.unpersist()
+
+
+def _search(rows, stats, width_a, width_b, n_all, dfmax, l1_ratio, max_iter, tol, path, per_round) -> FitResult:
     sides = {}
-    for s in ("A", "B"):
-        o = "B" if s == "A" else "A"
-        cls = _column_classes(stats, s)
+    for s, lt, lo in (("A", width_a, width_b), ("B", width_b, width_a)):
         spec = []
-        for p in range(widths[s]):
-            if search:
-                if len(cls[p]) <= 1:
-                    spec.append((p, CONSTANT_ALPHA, cls[p]))
-                else:
-                    spec.extend((p, a, cls[p]) for a in path)
-            else:
-                spec.append((p, float(alphas[s][p]), cls[p]))
-        sm = _layout(s, widths[s], widths[o], spec)
-        _closed_form_intercepts(sm, stats)
-        if init is not None and s in init:
-            _warm_start(sm, init[s])
-        sides[s] = sm
-    if max_iter is None:
-        max_iter = 300 if search else 1000
-    rows = rows.persist()
-    compact = rows.coalesce(1) if rows.rdd.getNumPartitions() > 1 else None
-    fista(rows, sides, stats, width_a, width_b, l1_ratio, max_iter, tol,
-          prune=_dfmax_pruner(dfmax) if search else None, rows_compact=compact)
-    if not search:
-        rows.unpersist()
-        return FitResult(sides, {s: {int(p): float(a) for p, a in zip(sm.gpos, sm.galpha)} for s, sm in sides.items()},
-                         None, None, stats, n_all)
-    # path selection: df, BIC over the fitted rows, dfmax stop, min BIC
-    lp = group_logprob_sums(rows, sides, width_a, width_b)
-    rows.unpersist()
-    chosen, table, alphas_out = {}, [], {}
-    for s, sm in sides.items():
-        dfs = sm.group_df()
-        bic = dfs * math.log(n_all) - 2.0 * lp[s]
+        for p, cl in enumerate(column_classes(stats, s)):
+            spec += [(p, a, cl) for a in path] if len(cl) > 1 else [(p, CONSTANT_ALPHA, cl)]
+        sides[s] = layout(s, lt, lo, spec)
+        closed_form_intercepts(sides[s], stats)
+    # groups of each column, strongest first
+    order = {s: {p: sorted(np.flatnonzero(sm.gpos == p), key=lambda g: -sm.galpha[g]) for p in set(sm.gpos.tolist())}
+             for s, sm in sides.items()}
+    in_path: dict = {s: {p: [] for p in order[s]} for s in sides}
+    at = 0
+    trivial = 0.25 * stats.sum_w / max(stats.n, 1) / l1_ratio
+    open_columns = {s: set(order[s]) for s in sides}
+    while any(open_columns.values()) and at < len(path):
+        # strengths solved in closed form cost no pass: take them along
+        end = at
+        while end < len(path) and path[end] >= trivial:
+            end += 1
+        end = min(len(path), end + per_round)
+        todo = {s: [m for p in cols for g in order[s][p][at:end] for m in sides[s].models_of(g)] for s, cols in open_columns.items()}
+        if at:
+            for s, cols in open_columns.items():
+                for p in cols:
+                    _continue_path(sides[s], order[s][p], at, end)
+        solve(rows, sides, stats, width_a, width_b, todo, l1_ratio, tol, max_iter)
+        for s, sm in sides.items():
+            dfs = sm.group_df()
+            for p in list(open_columns[s]):
+                for g in order[s][p][at:end]:
+                    if dfs[g] > dfmax:
+                        open_columns[s].discard(p)
+                        break
+                    in_path[s][p].append(g)
+        at = end
+    fitted = {s: sm.subset_groups([g for p in order[s] for g in in_path[s][p]]) for s, sm in sides.items()}
+    sums = group_logprob_sums(rows, fitted, width_a, width_b)
+    chosen, table, alphas = {}, [], {}
+    for s, sm in fitted.items():
+        dfs, done = sm.group_df(), sm.group_converged()
+        bic = dfs * math.log(n_all) - 2.0 * sums[s]
         keep = []
-        alphas_out[s] = {}
-        for p in range(widths[s]):
-            g_idx = [g for g in range(len(sm.kind)) if sm.gpos[g] == p]
-            g_idx.sort(key=lambda g: -sm.galpha[g])
-            in_path, best = [], None
-            for g in g_idx:
-                if dfs[g] > dfmax:
-                    break
-                in_path.append(g)
-            for g in in_path:
-                if best is None or bic[g] < bic[best]:
-                    best = g
-            if best is None:  # cannot happen: the strongest alpha is the empty model
-                best = g_idx[0]
+        for p in sorted(order[s]):
+            best = min(np.flatnonzero(sm.gpos == p), key=lambda g: (bic[g], -sm.galpha[g]))
             keep.append(best)
-            alphas_out[s][p] = float(sm.galpha[best])
-            for g in g_idx:
-                table.append((s, p, float(sm.galpha[g]), ["ovr", "binary", "constant"][sm.kind[g]], int(dfs[g]),
-                              float(lp[s][g]), float(bic[g]), g in in_path, g == best))
-        chosen[s] = sm.subset_groups(np.asarray(keep))
-    return FitResult(chosen, alphas_out, sides, table, stats, n_all)
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """Passes are CPU-bound: use at least one partition per core, and not so
-    many that the partial-gradient fan-in grows with the data."""
-    sc = rows.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    n = rows.rdd.getNumPartitions()
-    if n < cores:
-        return rows.repartition(cores)
-    if n > 4 * cores:
-        return rows.coalesce(4 * cores)
-    return rows
-
-
-def _dfmax_pruner(dfmax: int):
-    """Exact path pruning: once a column's group at some alpha has
-    converged with df > dfmax, the path stops there, so every weaker alpha
-    of that column is irrelevant and leaves the active set."""
-    def prune(sides):
-        for sm in sides.values():
-            done = np.ones(len(sm.kind), dtype=bool)
-            for g in range(len(sm.kind)):
-                if sm.kind[g] != 2:
-                    lo, cnt = sm.first[g], sm.count[g]
-                    done[g] = bool(sm.converged[lo: lo + cnt].all())
-            dfs = sm.group_df()
-            for p in np.unique(sm.gpos):
-                gs = [g for g in np.nonzero(sm.gpos == p)[0] if sm.kind[g] != 2]
-                over = [sm.galpha[g] for g in gs if done[g] and dfs[g] > dfmax]
-                if not over:
-                    continue
-                cut = max(over)
-                for g in gs:
-                    if sm.galpha[g] < cut:
-                        lo, cnt = sm.first[g], sm.count[g]
-                        sm.converged[lo: lo + cnt] = True
-    return prune
-
-
-def _warm_start(sm: SideModels, prev: SideModels) -> None:
+            for g in sorted(np.flatnonzero(sm.gpos == p), key=lambda g: -sm.galpha[g]):
+                table.append((s, int(p), float(sm.galpha[g]), KIND_NAMES[sm.kind[g]], int(dfs[g]), float(sums[s][g]),
+                              float(bic[g]), True, bool(done[g]), bool(g == best)))
+        alphas[s] = {int(sm.gpos[g]): float(sm.galpha[g]) for g in keep}
+        chosen[s] = sm.subset_groups(keep)
+    return FitResult(chosen, alphas, table, stats, n_all, fitted)
+
+
+def _continue_path(sm: SideModels, groups: list, at: int, end: int) -> None:
+    """Start the next strengths of a column from its last solved one."""
+    if at >= len(groups):
+        return
+    for g in groups[at:end]:
+        for m, last in zip(sm.models_of(g), sm.models_of(groups[at - 1])):
+            sm.feats[m], sm.coefs[m], sm.b[m] = sm.feats[last], sm.coefs[last], sm.b[last]
+
+
+def _warm_start(sm: SideModels, previous: SideModels) -> None:
     """Copy coefficients of matching (pos, class) models of a previous fit."""
-    prev_idx = {(int(p), int(c)): m for m, (p, c) in enumerate(zip(prev.tpos, prev.tcls))}
-    for m, (p, c) in enumerate(zip(sm.tpos, sm.tcls)):
-        j = prev_idx.get((int(p), int(c)))
-        if j is not None and prev.W.shape[1] == sm.W.shape[1]:
-            sm.W[m] = prev.W[j]
-            sm.b[m] = prev.b[j]
+    known = {(int(p), int(c)): m for m, (p, c) in enumerate(zip(previous.tpos, previous.tcls))}
+    for m, key in enumerate(zip(sm.tpos.tolist(), sm.tcls.tolist())):
+        if key in known and previous.width_o == sm.width_o:
+            old = known[key]
+            sm.feats[m], sm.coefs[m], sm.b[m] = previous.feats[old], previous.coefs[old], previous.b[old]

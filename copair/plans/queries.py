@@ -8,8 +8,8 @@ DuckDB oracle (``copair.plans.oracle``) can compare values.
 from __future__ import annotations
 
 import math
+import warnings
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from copair.functions.alphabet import L1_RATIO, N_CODES
 from copair.functions.prob import harden_expr, posterior_expr
 from copair.operators import alt_model, checks, contacts, evaluate, fit, labels, null_model, prep
 from copair.operators.checks import EMOptions
+from copair.operators.models import layout
 from copair.plans import derived as D
 from copair.plans import em
 
@@ -24,6 +25,7 @@ R = 6
 DFMAX_GIVEN = 100
 TOP_N = 10
 METRIC_LIMIT = 20
+FIRST_STEP_L1 = 0.02  # l1 strength of the proximal step from the empty models
 
 
 def _derive(spark, sf):
@@ -255,31 +257,25 @@ def q_alt_llh(spark, sf):
 
 
 def q_fit_first_step(spark, sf):
-    """Screening pass: max |gradient| of every intercept-only model (the
-    smallest alpha*r at which the model is still empty) in one data pass."""
+    """Screening pass: max |gradient| of every intercept-only model, i.e. the
+    smallest alpha*r at which it is still empty, and the proximal step from it."""
     d = _derive(spark, sf)
     La, Lb = d.prepared.width_a, d.prepared.width_b
     rows = d.pairs.select("a", "b", F.lit(1.0).alias("w"))
     stats = fit.row_stats(rows, La, Lb)
-    sides = {}
-    for s in ("A", "B"):
-        o = "B" if s == "A" else "A"
-        cls = fit._column_classes(stats, s)
-        spec = [(p, 0.0, cls[p]) for p in range(La if s == "A" else Lb)]
-        sm = fit._layout(s, La if s == "A" else Lb, Lb if s == "A" else La, spec)
-        fit._closed_form_intercepts(sm, stats)
-        sides[s] = sm
-    res = fit._gradient_pass(rows, {s: sm.model_dict() for s, sm in sides.items()}, La, Lb, stats.n)
-    out = []
-    for s, sm in sides.items():
-        G = res[s][0]
-        o_w = Lb if s == "A" else La
-        G[:, np.arange(o_w) * N_CODES + 20] = 0.0
-        mg = np.abs(G).max(axis=1)
-        for m in range(sm.n_models):
-            out.append((s, int(sm.tpos[m]), int(sm.tcls[m]), float(mg[m]), float(mg[m] / L1_RATIO)))
-    df = spark.createDataFrame(out, "side string, pos int, cls int, max_grad double, alpha_max double")
-    return df.select("side", "pos", "cls", _r("max_grad"), _r("alpha_max"))
+    sides, tables = {}, []
+    for s, lt, lo in (("A", La, Lb), ("B", Lb, La)):
+        sides[s] = layout(s, lt, lo, [(p, 0.0, c) for p, c in enumerate(fit.column_classes(stats, s))])
+        fit.closed_form_intercepts(sides[s], stats)
+        tables += [(s, m, int(p), int(c)) for m, (p, c) in enumerate(zip(sides[s].tpos, sides[s].tcls))]
+    names = spark.createDataFrame(tables, "side string, model long, pos int, cls int")
+    g = fit.gradients(rows, sides, La, Lb, stats.n).select("side", "model", F.posexplode("g").alias("f", "g"))
+    top = g.where(F.col("f") % N_CODES < 20).groupBy("side", "model").agg(
+        F.max(F.abs("g")).alias("max_grad"),
+        F.sum(F.greatest(F.abs("g") - F.lit(FIRST_STEP_L1), F.lit(0.0))).alias("step_l1"),
+        F.sum((F.abs("g") > FIRST_STEP_L1).cast("long")).alias("step_nonzero"))
+    return top.join(F.broadcast(names), ["side", "model"]).select(
+        "side", "pos", "cls", _r("max_grad"), F.round(F.col("max_grad") / L1_RATIO, R).alias("alpha_max"), _r("step_l1"), "step_nonzero")
 
 
 # --- contacts ---------------------------------------------------------------
@@ -388,41 +384,53 @@ def q_fit_columns(spark, sf):
     d = _derive(spark, sf)
     res = fit.fit_columns(fit.fit_rows(d.pairs, "soft", weighted=False), d.prepared.width_a, d.prepared.width_b)
     return spark.createDataFrame(res.path_table, "side string, pos int, alpha double, kind string, df bigint, "
-                                                 "sum_logp double, bic double, in_path boolean, chosen boolean")
+                                                 "sum_logp double, bic double, in_path boolean, converged boolean, chosen boolean")
 
 
-def _em_trace(spark, sf, **kw):
+FIT_KKT_ALPHA = 0.01
+KKT_BOUND = 1.001e-5  # the solver's bound, and rounding of one more pass
+
+
+def q_fit_kkt(spark, sf):
+    """Fit every column at one strength and measure the optimality conditions in another pass."""
+    d = _derive(spark, sf)
+    La, Lb = d.prepared.width_a, d.prepared.width_b
+    rows = fit.fit_rows(d.pairs, "soft", weighted=False)
+    res = fit.fit_columns(rows, La, Lb, alphas={"A": dict.fromkeys(range(La), FIT_KKT_ALPHA), "B": dict.fromkeys(range(Lb), FIT_KKT_ALPHA)})
+    kkt = fit.kkt_residual(rows, res.sides, res.stats, La, Lb)
+    return spark.createDataFrame(
+        [(s, int(p), int(c), int(kkt[s][m] <= KKT_BOUND), int(sm.converged[m])) for s, sm in res.sides.items()
+         for m, (p, c) in enumerate(zip(sm.tpos, sm.tcls))], "side string, pos int, cls int, optimal int, converged int")
+
+
+def _em(spark, sf, **kw):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        opts = EMOptions(**kw)
     d = _derive(spark, sf)
-    r = em.run_em(d.prepared, EMOptions(**kw))
-    return r
+    return d, opts, em.run_em(d.prepared, opts)
+
+
+def _with_converged(r):
+    return r.trace.withColumn("converged", F.lit(r.converged))
 
 
 def q_em_soft(spark, sf):
-    return _em_trace(spark, sf, mode="soft", init="warm", max_iters=3).trace
+    return _with_converged(_em(spark, sf, mode="soft", init="warm")[2])
 
 
 def q_em_hard(spark, sf):
-    import warnings
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return _em_trace(spark, sf, mode="hard", init="warm", max_iters=3).trace
+    return _with_converged(_em(spark, sf, mode="hard", init="random")[2])
 
 
 def q_em_multistart(spark, sf):
     d = _derive(spark, sf)
-    opts = EMOptions(mode="soft", init="random", n_starts=2, max_iters=2)
-    runs = em.em_multistart(d.prepared, opts)
-    out = runs[0].trace
-    for r in runs[1:]:
-        out = out.unionByName(r.trace)
-    return out
+    runs = em.em_multistart(d.prepared, EMOptions(mode="soft", init="random", n_starts=2))
+    return _with_converged(runs[0]).unionByName(_with_converged(runs[1]))
 
 
 def q_predict_contacts(spark, sf):
-    d = _derive(spark, sf)
-    opts = EMOptions(mode="soft", init="warm", max_iters=2)
-    r = em.run_em(d.prepared, opts)
+    d, opts, r = _em(spark, sf, mode="soft", init="warm")
     cmap, _ = em.predict_contacts(d.prepared, r.final_state, opts)
     return cmap.select("pos_a", "pos_b", _r("strength"), _r("apc"), "name")
 
@@ -472,6 +480,7 @@ QUERIES = {
     "llh_evolution": q_llh_evolution,
     "alt_vs_null": q_alt_vs_null,
     "fit_columns": q_fit_columns,
+    "fit_kkt": q_fit_kkt,
     "em_soft": q_em_soft,
     "em_hard": q_em_hard,
     "em_multistart": q_em_multistart,
