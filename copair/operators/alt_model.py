@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from copair.functions.alphabet import CONSTANT_PROB, N_CODES, PC_ALT
 from copair.operators import kernels as K
 from copair.operators.models import KIND_NAMES, MAX_MODEL_BYTES, check_broadcast, layout
+from copair.operators.null_model import pwm_lookup
 from copair.operators.prep import long_view
 
 
@@ -28,13 +29,16 @@ from copair.operators.prep import long_view
 # --------------------------------------------------------------------------
 
 def score_alt(state: DataFrame, sides: dict, width_a: int, width_b: int, out: str = "alt_llh",
-              per_residue: bool = False) -> DataFrame:
+              per_residue: bool = False, pwm: dict | None = None) -> DataFrame:
     """Append ``alt_llh`` (sum over both sides of the observed-class
-    log-probabilities) and optionally ``alt_a``/``alt_b`` arrays."""
+    log-probabilities), with ``pwm`` arrays ``null_llh`` in the same pass, and
+    optionally the per-residue arrays ``alt_a``/``alt_b``."""
     check_broadcast(sides)
     payload = {s: (sm.model_dict(), sm.groups_dict(), sm.gpos) for s, sm in sides.items()}
     bc = state.sparkSession.sparkContext.broadcast(payload)
     fields = list(state.schema.fields) + [T.StructField(out, T.DoubleType(), True)]
+    if pwm is not None:
+        fields.append(T.StructField("null_llh", T.DoubleType(), True))
     if per_residue:
         fields += [T.StructField("alt_a", T.ArrayType(T.DoubleType()), True),
                    T.StructField("alt_b", T.ArrayType(T.DoubleType()), True)]
@@ -42,6 +46,7 @@ def score_alt(state: DataFrame, sides: dict, width_a: int, width_b: int, out: st
 
     def kernel(batches):
         pl = bc.value
+        null_score = pwm_lookup(pwm) if pwm is not None else None
         for batch in batches:
             n = batch.num_rows
             a = K.codes_matrix(batch.column("a"), width_a)
@@ -60,6 +65,9 @@ def score_alt(state: DataFrame, sides: dict, width_a: int, width_b: int, out: st
             names = list(batch.schema.names)
             cols.append(pa.array(total, type=pa.float64()))
             names.append(out)
+            if null_score is not None:
+                cols.append(pa.array(null_score(a, b), type=pa.float64()))
+                names.append("null_llh")
             if per_residue:
                 for s in ("A", "B"):
                     m = per[s]

@@ -71,6 +71,18 @@ def check_alphabet(encoded: DataFrame, raise_on_error: bool = True) -> dict:
     return r
 
 
+def check_counts(counts: DataFrame) -> None:
+    """``residue_counts`` of valid sides: no unknown code, and as many rows in every column."""
+    per_column = counts.groupBy("side", "orig_pos").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("aa") < 0, F.col("n")).otherwise(0)).alias("bad"))
+    rows = per_column.groupBy("side").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("bad").alias("bad")).collect()
+    for r in rows:
+        if r.bad:
+            raise ValueError(f"side {r.side}: {r.bad} residues are not in the alphabet")
+        if r.low != r.high:
+            raise ValueError(f"side {r.side}: rows differ in length")
+
+
 def check_contact_map_df(contact_map: DataFrame, profile: DataFrame) -> DataFrame:
     """One-row summary: map size against the alignment widths and 0/1 values."""
     widths = profile.groupBy().agg(

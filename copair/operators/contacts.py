@@ -49,7 +49,7 @@ def apc(cmap: DataFrame, col: str = "strength", out: str = "apc") -> DataFrame:
     """``c_ij - rowmean_i * colmean_j / mean`` (NULL when the mean is 0)."""
     row_mean = F.avg(col).over(Window.partitionBy("pos_a"))
     col_mean = F.avg(col).over(Window.partitionBy("pos_b"))
-    all_mean = F.avg(col).over(Window.partitionBy())
+    all_mean = cmap.agg(F.avg(col)).scalar()  # one row
     return cmap.withColumn(out, F.col(col) - F.try_divide(row_mean * col_mean, all_mean))
 
 
@@ -57,7 +57,7 @@ def top_contacts(cmap: DataFrame, n: int, col: str = "apc") -> DataFrame:
     """The n largest cells, descending (ties by position); n must be in
     [1, cells].  TakeOrderedAndProject: a bounded top-k, no global sort."""
     if n <= 0:
-        raise ValueError("n must be greater than 0")
+        raise ValueError(f"n is {n} but must be at least 1")
     return cmap.orderBy(F.col(col).desc(), "pos_a", "pos_b").limit(n)
 
 
@@ -68,7 +68,7 @@ def contact_metrics(cmap: DataFrame, truth: DataFrame, limit: int = 100, col: st
     if n_cells is None:
         n_cells = cmap.count()
     if limit > n_cells:
-        warnings.warn("Limit of predicted contacts greater than contact matrix size; truncating",
+        warnings.warn(f"limit {limit} exceeds the {n_cells} cells; all of them are used",
                       RuntimeWarning, stacklevel=2)
         limit = n_cells
     positives = truth.where("is_contact = 1").count()
@@ -86,12 +86,12 @@ def contact_metrics(cmap: DataFrame, truth: DataFrame, limit: int = 100, col: st
     )
 
 
-def binarize_contacts(cmap: DataFrame, threshold: float = 0.0, col: str = "apc") -> DataFrame:
+def binarize_contacts(cmap: DataFrame, threshold: float = 0.0, col: str = "strength") -> DataFrame:
     """1 where the value is strictly greater than the threshold."""
     return cmap.withColumn("predicted", (F.col(col) > F.lit(threshold)).cast("int"))
 
 
-def contact_mcc(cmap: DataFrame, truth: DataFrame, col: str = "apc") -> DataFrame:
+def contact_mcc(cmap: DataFrame, truth: DataFrame, col: str = "strength") -> DataFrame:
     """MCC of (value > 0) against the true map, one row."""
     j = binarize_contacts(cmap, 0.0, col).join(truth.select("pos_a", "pos_b", "is_contact"), ["pos_a", "pos_b"])
     y, p = F.col("is_contact"), F.col("predicted")

@@ -77,11 +77,11 @@ def label_evolution(trace: DataFrame, iters: list[int] | None = None, col: str =
 
 
 def llh_evolution(trace: DataFrame, iters: list[int] | None = None) -> DataFrame:
-    """Per-pair alternative llh across iterations plus the first null llh."""
-    g = trace.groupBy("pair_id")
-    piv = (g.pivot("iter", iters) if iters is not None else g.pivot("iter")).agg(F.first("alt_llh"))
-    first_null = trace.groupBy("pair_id").agg(F.min_by("null_llh", "iter").alias("null_llh"))
-    return piv.join(first_null, "pair_id")
+    """Per-pair alternative llh across iterations plus the first null llh, in one grouping."""
+    if iters is None:
+        iters = sorted(r[0] for r in trace.select("iter").distinct().collect())
+    at = [F.max(F.when(F.col("iter") == k, F.col("alt_llh"))).alias(str(k)) for k in iters]
+    return trace.groupBy("pair_id").agg(*at, F.min_by("null_llh", "iter").alias("null_llh"))
 
 
 def alt_vs_null(trace: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def true_labels(pairs: DataFrame, int_limit: int, n_obs: int | None = None) -> D
         if n_obs is None:
             n_obs = pairs.count()
         if int_limit > n_obs:
-            raise ValueError(f"Invalid value of int_limit {int_limit}: greater than the number of sequences")
+            raise ValueError(f"option int_limit is {int_limit} but must be at most the number of pairs, {n_obs}")
         y = (F.col("pair_id") <= F.lit(int_limit)).cast("int")
     else:
         y = F.lit(0)
@@ -80,10 +80,13 @@ def select_noninteracting(df: DataFrame, z: str = "z") -> DataFrame:
 
 
 def check_hard_labels(df: DataFrame, z: str = "z") -> None:
-    """Hard labels must be 0/1 (one small aggregate)."""
-    bad = df.where(~F.col(z).isin(0, 1)).limit(1).count()
-    if bad:
-        raise ValueError("Hidden variable values other than 0 or 1 in hard EM")
+    """Hard labels are 0 or 1 and both occur; one aggregate."""
+    r = df.agg(F.sum((F.col(z) == 1).cast("long")).alias("ones"), F.sum((F.col(z) == 0).cast("long")).alias("zeros"),
+               F.count(F.lit(1)).alias("n")).first()
+    if (r.ones or 0) + (r.zeros or 0) < r.n:
+        raise ValueError("hard labels must be 0 or 1")
+    if not r.ones or not r.zeros:
+        raise ValueError(f"one class is empty: {r.ones or 0} interacting and {r.zeros or 0} other pairs")
 
 
 def select_for_contacts(df: DataFrame, mode: str = "soft", z: str = "z", soft_threshold: float = 0.5) -> DataFrame:

@@ -2,19 +2,23 @@
 
 fit  : explode the wide rows once, ``groupBy(side, pos, aa).sum(weight)``
        (partial aggregation: at most 21 x (La+Lb) rows leave each task).
-score: the PWM is schema-sized (21 x (La+Lb) doubles), so it is folded into
-       a constant array and looked up by an array expression on the wide
-       row -- map-only, no join, no shuffle, stays in whole-stage codegen.
+score: the PWM is schema-sized (21 x (La+Lb) doubles), so it is broadcast as one
+       array per side and looked up in Arrow batches of the wide rows -- map-only,
+       no join, no shuffle.  EM scores it in the coevolution model's pass.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from copair.functions.alphabet import N_CODES, PC_NULL
+from copair.operators import kernels as K
 from copair.operators.prep import long_view
 
 MAX_PWM_CELLS = 21 * 200_000  # size bound for the constant array (doubles)
@@ -58,7 +62,7 @@ def pwm_arrays(pwm: DataFrame, width_a: int, width_b: int, pc: float = PC_NULL,
     ``unseen='log'`` scores residues missing from the PWM with ``ln(pc)``;
     ``unseen='raw'`` reproduces the reference's raw ``pc`` (quirk Q1)."""
     if (width_a + width_b) * N_CODES > MAX_PWM_CELLS:
-        raise ValueError("PWM too large to fold into a constant array")
+        raise ValueError(f"columns {width_a} + {width_b} exceed the bound of a broadcast PWM")
     fill = math.log(pc) if unseen == "log" else pc
     out = {"A": [fill] * (width_a * N_CODES), "B": [fill] * (width_b * N_CODES)}
     for r in pwm.select("side", "pos", "aa", "logp").collect():
@@ -66,15 +70,28 @@ def pwm_arrays(pwm: DataFrame, width_a: int, width_b: int, pc: float = PC_NULL,
     return out
 
 
-def _lookup_sum(codes: str, table: list[float]):
-    arr = F.array(*[F.lit(float(v)) for v in table])  # folded to one literal by the optimizer
-    terms = F.transform(F.col(codes), lambda c, p: F.element_at(arr, p * N_CODES + c.cast("int") + 1))
-    return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+def pwm_lookup(arrays: dict[str, list[float]]):
+    """``(codes_a, codes_b) -> null log-likelihood`` of code matrices."""
+    tables = {s: np.asarray(v).reshape(-1, N_CODES) for s, v in arrays.items()}
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum((tables[s][np.arange(x.shape[1]), x].sum(axis=1) for s, x in (("A", a), ("B", b))), np.zeros(len(a)))
+
+    return score
 
 
 def null_llh(state: DataFrame, arrays: dict[str, list[float]], out: str = "null_llh") -> DataFrame:
     """Add the null log-likelihood of every pair (sum over both sides)."""
-    return state.withColumn(out, _lookup_sum("a", arrays["A"]) + _lookup_sum("b", arrays["B"]))
+    widths = [len(arrays[s]) // N_CODES for s in "AB"]
+    schema = T.StructType([*state.schema.fields, T.StructField(out, T.DoubleType(), True)])
+
+    def kernel(batches):
+        score = pwm_lookup(arrays)
+        for batch in batches:
+            a, b = (K.codes_matrix(batch.column(c), w) for c, w in zip("ab", widths))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(a, b), pa.float64())], names=[*batch.schema.names, out])
+
+    return state.mapInArrow(kernel, schema)
 
 
 def score_null_long(pairs: DataFrame, pwm: DataFrame, pc: float = PC_NULL, unseen: str = "log") -> DataFrame:

@@ -72,7 +72,7 @@ def column_profile(counts: DataFrame, gap_threshold: float = 0.5) -> DataFrame:
     gappy (``gap_freq >= thr``), constant (one code), kept, and the dense
     position ``pos`` (re-based over kept columns)."""
     if not 0.0 < gap_threshold < 1.0:
-        raise ValueError(f"Gap threshold value {gap_threshold} outside bounds (0, 1)")
+        raise ValueError(f"gap_threshold is {gap_threshold} but must be in (0, 1)")
     prof = counts.groupBy("side", "orig_pos").agg(
         (F.sum(F.when(F.col("aa") == GAP, F.col("n")).otherwise(0)) / F.sum("n")).alias("gap_freq"),
         F.count(F.lit(1)).cast("long").alias("n_codes"),
@@ -101,10 +101,10 @@ def kept_positions(profile: DataFrame) -> tuple[list[int], list[int]]:
         non_gappy = [r for r in srows if not r.gappy]
         if not non_gappy:
             raise ValueError(
-                f"All columns of side {side} have a gap frequency equal to or above the gap threshold"
+                f"side {side}: no column is below the gap threshold"
             )
         if all(r.constant for r in non_gappy):
-            raise ValueError(f"All columns of side {side} are constant")
+            raise ValueError(f"side {side}: every column below the gap threshold is constant")
         out[side] = sorted(r.orig_pos for r in srows if r.kept)
     return out["A"], out["B"]
 
@@ -155,12 +155,13 @@ def preprocess(aligned: DataFrame, gap_threshold: float = 0.5, contact_map: Data
                check: bool = True) -> Prepared:
     """Both sides: encode -> column statistics -> drop gappy then constant
     columns -> dense wide rows; optionally align a contact map (validated first)."""
-    from copair.operators.checks import check_alphabet, check_contact_map
+    from copair.operators.checks import check_contact_map, check_counts
 
     encoded = encode_pairs(aligned)
+    # one scan: unknown codes (-1) and unequal lengths show in the same counts
+    counts = residue_counts(encoded).cache()
     if check:
-        check_alphabet(encoded, raise_on_error=True)
-    counts = residue_counts(encoded)
+        check_counts(counts)
     profile = column_profile(counts, gap_threshold).cache()
     kept_a, kept_b = kept_positions(profile)
     pairs = project_pairs(encoded, kept_a, kept_b)

@@ -1,18 +1,14 @@
 """Expectation-maximization over the wide pair state.
 
-The state DataFrame ``(pair_id, a, b, z)`` stays partitioned as it was
-read; each iteration derives the next state with map-only expressions
-(coevolution scoring through ``mapInArrow`` with broadcast model blocks,
-null scoring through a constant-array lookup, posterior as a column
-expression), so no iteration shuffles pair rows.  The only data passes
-that aggregate are the null model's residue weights and the fitter's
-gradient passes, both reducing to model-sized results.  Each iteration
-is checkpointed to the session's shared checkpoint folder (reliable
-checkpoint, survives executor loss) to cut lineage.
+Each iteration fits the null model (a grouped aggregate) and the coevolution
+model (data passes that reduce to model-sized results) on the current labels,
+then scores both in one map-only Arrow pass and derives the posterior as a
+column expression: no iteration shuffles pair rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -36,28 +32,7 @@ class EMResult:
     iters: list = field(default_factory=list)
     final_sides: dict | None = None
     final_state: DataFrame | None = None
-
-
-def _spread_state(pairs: DataFrame) -> DataFrame:
-    sc = pairs.sparkSession.sparkContext
-    n = pairs.rdd.getNumPartitions()
-    if n < sc.defaultParallelism:
-        pairs = pairs.repartition(sc.defaultParallelism)
-    return pairs
-
-
-def _null_scores(state: DataFrame, mode: str, width_a: int, width_b: int, weights_zero: bool = False) -> DataFrame:
-    """Fit the PWM on this iteration's weights and add ``null_llh``."""
-    src = state.withColumn("z", F.lit(0.0)) if weights_zero else state
-    null_mode = "soft" if weights_zero else mode
-    pwm = null_model.fit_null(src.select("pair_id", "a", "b", "z"), null_mode)
-    arrays = null_model.pwm_arrays(pwm, width_a, width_b)
-    return null_model.null_llh(state, arrays)
-
-
-def _couplings_of(sides: dict, width_a: int, width_b: int, spark) -> DataFrame:
-    _, coefs, _ = alt_model.model_tables(spark, sides)
-    return contacts.apc(contacts.couplings(coefs, width_a, width_b))
+    fits_converged: bool = True  # every fitted model met its optimality bound
 
 
 def _e_step(state: DataFrame, opts: EMOptions) -> DataFrame:
@@ -67,63 +42,74 @@ def _e_step(state: DataFrame, opts: EMOptions) -> DataFrame:
     return state.withColumn("z_prev", F.col("z")).withColumn("z", z)
 
 
+def _pwm(state: DataFrame, mode: str, width_a: int, width_b: int) -> dict:
+    return null_model.pwm_arrays(null_model.fit_null(state.select("pair_id", "a", "b", "z"), mode), width_a, width_b)
+
+
+_STATE = "pair_id bigint, a array<tinyint>, b array<tinyint>, z double, z_prev double, alt_llh double, null_llh double"
+
+
 def run_em(prepared: Prepared, opts: EMOptions, start: int = 0) -> EMResult:
-    """One EM run (warm or random start) -> trace, couplings and models per iteration."""
+    """One EM run (warm or random start) -> trace, couplings and models per iteration.
+
+    Every iteration's state is written under the shared checkpoint folder, one folder
+    per iteration, and read back: that cuts lineage, and the trace is those files."""
     spark = prepared.pairs.sparkSession
-    checkpoint_dir(spark)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/copair-em-{uuid.uuid4().hex}"
     La, Lb = prepared.width_a, prepared.width_b
-    base = _spread_state(prepared.pairs.select("pair_id", "a", "b")).persist()
+    base = prepared.pairs.select("pair_id", "a", "b").persist()
     n_all = base.count()
-    traces, cmaps, mtabs, iters = [], [], [], []
+    cmaps, mtabs, iters = [], [], []
+
+    def step(state: DataFrame, k: int) -> DataFrame:
+        columns = [c if c in state.columns else F.lit(None).cast("double").alias(c) for c in
+                   ("pair_id", "a", "b", "z", "z_prev", "alt_llh", "null_llh")]
+        state.select(*columns).write.parquet(f"{root}/iter={k}")
+        iters.append(k)
+        return spark.read.schema(_STATE).parquet(f"{root}/iter={k}")
+
+    def record(sides: dict, k: int) -> None:
+        models, coefs, _ = alt_model.model_tables(spark, sides)
+        cmaps.append(contacts.apc(contacts.couplings(coefs, La, Lb)).withColumn("iter", F.lit(k)))
+        mtabs.append(models.withColumn("iter", F.lit(k)))
+
+    options = {"n_all": n_all, "dfmax": opts.dfmax, "tol": opts.fit_tol}
+    sides = alphas = None
+    fits_converged = True
     if opts.init == "warm":
-        res = fit.fit_columns(fit.fit_rows(base, opts.mode, weighted=False), La, Lb, n_all=n_all,
-                              dfmax=opts.dfmax, max_iter=opts.max_init_iters, tol=opts.fit_tol)
-        sides, alphas = res.sides, res.alphas
-        st = alt_model.score_alt(base, sides, La, Lb)
-        st = _null_scores(st, opts.mode, La, Lb, weights_zero=True)
-        st = st.withColumn("z", F.lit(0.0))
-        st = _e_step(st, opts).drop("z_prev")
-        search_next = False
+        res = fit.fit_columns(fit.fit_rows(base, opts.mode, weighted=False), La, Lb, max_iter=opts.max_init_iters, **options)
+        sides, alphas, fits_converged = res.sides, res.alphas, res.converged
+        # no pair is known to interact yet: the first null model has all of them at full weight
+        pwm = _pwm(base.withColumn("z", F.lit(0.0)), "soft", La, Lb)
+        st = alt_model.score_alt(base.withColumn("z", F.lit(0.0)), sides, La, Lb, pwm=pwm)
+        st = step(_e_step(st, opts).drop("z_prev"), 0)
+        record(sides, 0)
     else:
-        sides, alphas = None, None
-        st = base.withColumn("z", labels.random_labels_expr(opts.int_frac, opts.mode, opts.seed + start)).withColumn(
-            "alt_llh", F.lit(None).cast("double")).withColumn("null_llh", F.lit(None).cast("double"))
-        search_next = True
-    st = st.select("pair_id", "a", "b", "z", "alt_llh", "null_llh").checkpoint(eager=True)
-    traces.append(st.select(F.lit(0).alias("iter"), "pair_id", "z", "alt_llh", "null_llh"))
-    iters.append(0)
-    if sides is not None:
-        cmaps.append(_couplings_of(sides, La, Lb, spark).withColumn("iter", F.lit(0)))
-        mtabs.append(alt_model.model_tables(spark, sides, 0)[0])
-    converged = False
-    k = 0
+        st = step(base.withColumn("z", labels.random_labels_expr(opts.int_frac, opts.mode, opts.seed + start)), 0)
+    converged, k = False, 0
     while k < opts.max_iters and not converged:
         k += 1
+        if opts.mode == "hard":
+            labels.check_hard_labels(st)
         rows = fit.fit_rows(st, opts.mode, weighted=True)
-        if search_next:
-            res = fit.fit_columns(rows, La, Lb, n_all=n_all, dfmax=opts.dfmax, max_iter=opts.max_init_iters, tol=opts.fit_tol)
+        if alphas is None:
+            res = fit.fit_columns(rows, La, Lb, max_iter=opts.max_init_iters, **options)
             alphas = res.alphas
-            search_next = False
         else:
-            res = fit.fit_columns(rows, La, Lb, n_all=n_all, alphas=alphas, init=sides, dfmax=opts.dfmax,
-                                  max_iter=opts.max_reg_iters, tol=opts.fit_tol)
+            res = fit.fit_columns(rows, La, Lb, alphas=alphas, init=sides, max_iter=opts.max_reg_iters, **options)
         sides = res.sides
-        nxt = alt_model.score_alt(st.select("pair_id", "a", "b", "z"), sides, La, Lb)
-        nxt = _null_scores(nxt, opts.mode, La, Lb)
-        nxt = _e_step(nxt, opts)
-        nxt = nxt.select("pair_id", "a", "b", "z", "z_prev", "alt_llh", "null_llh").checkpoint(eager=True)
-        conv = labels.convergence_df(nxt, "z", "z_prev", opts.mode, opts.tol).first()
-        converged = bool(conv["converged"])
-        st = nxt.drop("z_prev")
-        traces.append(st.select(F.lit(k).alias("iter"), "pair_id", "z", "alt_llh", "null_llh"))
-        iters.append(k)
-        cmaps.append(_couplings_of(sides, La, Lb, spark).withColumn("iter", F.lit(k)))
-        mtabs.append(alt_model.model_tables(spark, sides, k)[0])
-    trace = _union(traces).withColumn("start", F.lit(start))
-    cmap = _union(cmaps).withColumn("start", F.lit(start)) if cmaps else None
-    mt = _union(mtabs).withColumn("start", F.lit(start)) if mtabs else None
+        fits_converged &= res.converged
+        pwm = _pwm(st, opts.mode, La, Lb)
+        scored = alt_model.score_alt(st.select("pair_id", "a", "b", "z"), sides, La, Lb, pwm=pwm)
+        st = step(_e_step(scored, opts), k)
+        converged = bool(labels.convergence_df(st, "z", "z_prev", opts.mode, opts.tol).first()["converged"])
+        record(sides, k)
     base.unpersist()
-    return EMResult(trace, cmap, mt, alphas, k, converged, iters, sides, st)
+    # with the partition column: a filter on iter reads that iteration's files alone
+    trace = spark.read.schema(f"{_STATE}, iter int").parquet(root).select(
+        "iter", "pair_id", "z", "alt_llh", "null_llh", F.lit(start).alias("start"))
+    tables = [_union(t).withColumn("start", F.lit(start)) if t else None for t in (cmaps, mtabs)]
+    return EMResult(trace, *tables, alphas, k, converged, iters, sides, st, fits_converged)
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -140,14 +126,14 @@ def em_multistart(prepared: Prepared, opts: EMOptions) -> list[EMResult]:
 
 
 def predict_contacts(prepared: Prepared, state: DataFrame, opts: EMOptions):
-    """C4: final fit on hard z = 1 / soft z >= 0.5 rows (weights z) with a
-    fresh alpha search, then couplings and APC."""
+    """C4: final fit on hard z = 1 / soft z >= 0.5 rows (weights z) with a fresh alpha
+    search (BIC counts those rows), then couplings and APC."""
     La, Lb = prepared.width_a, prepared.width_b
     sel = labels.select_for_contacts(state, opts.mode)
     rows = sel.select("a", "b", (F.lit(1.0) if opts.mode == "hard" else F.col("z").cast("double")).alias("w"))
-    n_all = state.count()
-    res = fit.fit_columns(rows, La, Lb, n_all=n_all, dfmax=opts.dfmax, max_iter=opts.max_init_iters, tol=opts.fit_tol)
-    cmap = _couplings_of(res.sides, La, Lb, state.sparkSession)
+    res = fit.fit_columns(rows, La, Lb, dfmax=opts.dfmax, max_iter=opts.max_init_iters, tol=opts.fit_tol)
+    _, coefs, _ = alt_model.model_tables(state.sparkSession, res.sides)
+    cmap = contacts.apc(contacts.couplings(coefs, La, Lb))
     return cmap, res
 
 

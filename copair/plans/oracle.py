@@ -316,17 +316,20 @@ FROM (SELECT t.*, row_number() OVER (ORDER BY apc DESC, pos_a, pos_b) AS rank,
       FROM (SELECT c.*, g.is_contact FROM capc c JOIN cgrid g ON c.pos_a = g.pos_a AND c.pos_b = g.pos_b
             ORDER BY apc DESC, pos_a, pos_b LIMIT 20) t)""")
     q["contact_mcc"] = _q(BASE, GIVEN, CONTACTS, body="""
-SELECT tp, tn, fp, fn,
+SELECT col, tp, tn, fp, fn,
        round(CASE WHEN sqrt(1.0 * (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) = 0 THEN 0.0
              ELSE (1.0 * tp * tn - 1.0 * fp * fn) / sqrt(1.0 * (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END, 6)
          AS mcc
-FROM (SELECT sum(CASE WHEN g.is_contact = 1 AND c.apc > 0 THEN 1 ELSE 0 END) AS tp,
-             sum(CASE WHEN g.is_contact = 0 AND NOT (c.apc > 0) THEN 1 ELSE 0 END) AS tn,
-             sum(CASE WHEN g.is_contact = 0 AND c.apc > 0 THEN 1 ELSE 0 END) AS fp,
-             sum(CASE WHEN g.is_contact = 1 AND NOT (c.apc > 0) THEN 1 ELSE 0 END) AS fn
-      FROM capc c JOIN cgrid g ON c.pos_a = g.pos_a AND c.pos_b = g.pos_b)""")
+FROM (SELECT col, sum(CASE WHEN is_contact = 1 AND v > 0 THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN is_contact = 0 AND NOT (v > 0) THEN 1 ELSE 0 END) AS tn,
+             sum(CASE WHEN is_contact = 0 AND v > 0 THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN is_contact = 1 AND NOT (v > 0) THEN 1 ELSE 0 END) AS fn
+      FROM (SELECT 'strength' AS col, c.strength AS v, g.is_contact FROM capc c JOIN cgrid g ON c.pos_a = g.pos_a AND c.pos_b = g.pos_b
+            UNION ALL
+            SELECT 'apc' AS col, c.apc AS v, g.is_contact FROM capc c JOIN cgrid g ON c.pos_a = g.pos_a AND c.pos_b = g.pos_b) u
+      GROUP BY col)""")
     q["binarize_contacts"] = _q(BASE, GIVEN, CONTACTS, body="""
-SELECT pos_a, pos_b, CAST(apc > 0 AS INTEGER) AS predicted FROM capc""")
+SELECT pos_a, pos_b, CAST(apc > 0 AS INTEGER) AS predicted, CAST(strength > 0.5 AS INTEGER) AS strong FROM capc""")
     tr = _trace_sql()
     q["weighted_llh"] = _q(BASE, GIVEN, tr, body="""
 SELECT iter, pair_id, round(alt_int, 6) AS alt_int, round(null_nonint, 6) AS null_nonint FROM tw""")

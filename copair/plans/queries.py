@@ -311,12 +311,15 @@ def q_contact_metrics(spark, sf):
 
 def q_contact_mcc(spark, sf):
     d = _derive(spark, sf)
-    m = contacts.contact_mcc(_given_cmap(d), _aligned_truth(spark, sf))
-    return m.select("tp", "tn", "fp", "fn", _r("mcc"))
+    cmap, truth = _given_cmap(d), _aligned_truth(spark, sf)
+    both = [contacts.contact_mcc(cmap, truth, c).withColumn("col", F.lit(c)) for c in ("strength", "apc")]
+    return both[0].unionByName(both[1]).select("col", "tp", "tn", "fp", "fn", _r("mcc"))
 
 
 def q_binarize_contacts(spark, sf):
-    return contacts.binarize_contacts(_given_cmap(_derive(spark, sf))).select("pos_a", "pos_b", "predicted")
+    cmap = _given_cmap(_derive(spark, sf))
+    strong = contacts.binarize_contacts(cmap, 0.5).withColumnRenamed("predicted", "strong")
+    return contacts.binarize_contacts(strong, col="apc").select("pos_a", "pos_b", "predicted", "strong")
 
 
 # --- EM tables on a fixed-coevolution-model trace ----------------------------
