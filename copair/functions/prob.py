@@ -19,7 +19,7 @@ def posterior_expr(alt: Column | str, null: Column | str, int_frac: float) -> Co
     exponent gives +inf and z = 0.
     """
     if not 0.0 < int_frac < 1.0:
-        raise ValueError(f"Invalid value of int_frac {int_frac}")
+        raise ValueError(f"int_frac is {int_frac} but must be in (0, 1)")
     offset = math.log((1.0 - int_frac) / int_frac)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(_c(null) - _c(alt) + F.lit(offset)))
 
@@ -30,9 +30,9 @@ def coin_expr(pair_id: Column | str, seed: int) -> Column:
 
 
 def unit_uniform_expr(pair_id: Column | str, seed: int) -> Column:
-    """Deterministic uniform [0,1) per pair from xxhash64."""
-    h = F.xxhash64(_c(pair_id), F.lit(seed), F.lit("copair-uniform"))
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    """Deterministic uniform [0,1) per pair: the first 13 hex digits of md5('<pair_id>:<seed>')."""
+    digest = F.md5(F.concat(_c(pair_id).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def harden_expr(z: Column | str, pair_id: Column | str = "pair_id", seed: int = 42) -> Column:

@@ -252,6 +252,9 @@ SELECT kind, n_cells, CAST(rows AS BIGINT) AS rows, CAST(cols AS BIGINT) AS cols
        CAST(rows = len_a AND cols = len_b AND n_cells = len_a * len_b AND bad_values = 0 AS INTEGER) AS ok FROM g""")
     q["true_labels"] = _q(BASE, body="""
 SELECT pair_id, CAST(pair_id <= CAST(floor(0.75 * (SELECT n FROM npairs)) AS BIGINT) - 1 AS INTEGER) AS y FROM docs""")
+    q["random_labels"] = _q(BASE, body="""
+SELECT pair_id, CASE WHEN CAST(('0x' || substr(md5(pair_id || ':42'), 1, 13)) AS BIGINT) / pow(16, 13) < 0.75
+                     THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS z FROM docs""")
     q["null_pwm_soft"] = _q(BASE, NULL_SOFT, body="SELECT side, pos, aa, round(logp, 6) AS logp FROM ns_pwm")
     q["null_pwm_hard"] = _q(BASE, NULL_HARD, body="SELECT side, pos, aa, round(logp, 6) AS logp FROM nh_pwm")
     q["null_score"] = _q(BASE, NULL_SOFT, body="SELECT pair_id, side, pos, round(logp, 6) AS logp FROM ns_score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,3 +62,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="copair-ckpt-", dir=os.environ.get("COPAIR_SCRATCH", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a session whose Python path lacks it.
+
+    Task functions are pickled by module name, so workers must be able to import the
+    package: install it on every node (``pip install .``), put it on the cluster's
+    ``PYTHONPATH``, or call this once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_copair_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="copair-ship-")  # on the driver; Spark copies it to every node
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "copair"), "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._copair_shipped = True

@@ -1,89 +1,64 @@
 """FASTA alignments and contact-map CSV files.
 
-Pairing of the two alignments is by record order, so readers keep the
-byte offset of every record and number records in file order.  Both
-readers go through Hadoop's ``TextInputFormat`` (splittable, works on any
-Hadoop file system); only the tiny parse step runs in Python.
+Pairing of the two alignments is by record order: files by name, records by their
+place in the file.  Both readers use Spark's text source with a record separator
+(splittable, works on any file system Spark reads) and number records with built-in
+operators: a record's number is its rank within its file block plus the records of
+the blocks before.  Blocks are bounded by ``spark.sql.files.maxPartitionBytes``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_TEXT_INPUT = "org.apache.hadoop.mapreduce.lib.input.TextInputFormat"
-_LONG = "org.apache.hadoop.io.LongWritable"
-_TEXT = "org.apache.hadoop.io.Text"
+from copair.operators.checks import check_pairs
 
-SEQUENCES_SCHEMA = T.StructType(
-    [
-        T.StructField("pair_id", T.LongType(), False),
-        T.StructField("header", T.StringType(), True),
-        T.StructField("seq", T.StringType(), True),
-    ]
-)
 
+def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """``(n, value)``: non-blank records numbered from 0 in file order."""
+    text = spark.read.option("lineSep", separator).text(path)
+    rows = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("at")).where(F.col("value").rlike(r"\S"))
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", before.alias("before"))  # one row per file block
+    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    return rows.withColumn("nth", nth).join(starts, ["file", "block"]).select(
+        (F.col("before") + F.col("nth")).cast("long").alias("n"), "value")
 
-def _records(spark: SparkSession, path: str, delimiter: str | None):
-    conf = {"textinputformat.record.delimiter": delimiter} if delimiter else None
-    return spark.sparkContext.newAPIHadoopFile(path, _TEXT_INPUT, _LONG, _TEXT, conf=conf)
 
-
-def _parse_record(text: str) -> tuple[str, str]:
-    body = text[1:] if text.startswith(">") else text
-    lines = body.split("\n")
-    header = lines[0].strip()
-    seq = "".join(line.strip() for line in lines[1:])
-    return header, seq
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def read_alignment(spark: SparkSession, path: str) -> DataFrame:
-    """Read one FASTA alignment -> ``(pair_id, header, seq)``.
-
-    Records are split on ``\\n>``; wrapped sequence lines are joined.
-    ``pair_id`` is the 0-based record number in file order (offset order
-    within the ordered file splits), which is what pairs A with B.
-    """
-    recs = _records(spark, path, "\n>")
-    parsed = (
-        recs.filter(lambda kv: kv[1].strip() != "")
-        .map(lambda kv: _parse_record(kv[1]))
-        .zipWithIndex()
-        .map(lambda t: (t[1], t[0][0], t[0][1]))
-    )
-    return spark.createDataFrame(parsed, SEQUENCES_SCHEMA)
+    """Read a FASTA alignment (a file, folder or glob) -> ``(pair_id, header, seq)``.
+
+    Wrapped sequence lines are joined, blank lines and carriage returns dropped."""
+    lines = F.split(F.regexp_replace("value", r"^\s*>", ""), "\n")
+    rows = _records(spark, path, "\n>").select(F.col("n").alias("pair_id"), lines.alias("lines"))
+    body = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
+    return rows.select("pair_id", _stripped(F.col("lines")[0]).alias("header"),
+                       F.regexp_replace(F.concat_ws("", body), r"\s+", "").alias("seq"))
 
 
 def read_contact_map(spark: SparkSession, path: str) -> DataFrame:
     """Contact-map CSV (rows = positions of A, columns = positions of B)
-    -> long ``(pos_a INT, pos_b INT, is_contact INT)``; raw values kept in
+    -> long ``(pos_a INT, pos_b INT, value, is_contact INT)``; raw values stay in
     ``value`` so that validation can reject anything but 0/1."""
-    lines = _records(spark, path, None)
-    rows = (
-        lines.filter(lambda kv: kv[1].strip() != "")
-        .map(lambda kv: kv[1])
-        .zipWithIndex()
-        .map(lambda t: (int(t[1]), t[0]))
-    )
-    df = spark.createDataFrame(rows, "pos_a int, line string")
-    cells = df.select(
-        "pos_a", F.posexplode(F.split(F.trim(F.col("line")), r"\s*,\s*")).alias("pos_b", "raw")
-    )
-    value = F.col("raw").cast("double")
-    return cells.select(
-        F.col("pos_a").cast("int"),
-        F.col("pos_b").cast("int"),
-        value.alias("value"),
-        value.cast("int").alias("is_contact"),
-    )
+    cells = _records(spark, path, "\n").select(
+        F.col("n").cast("int").alias("pos_a"), F.posexplode(F.split("value", ",")).alias("pos_b", "raw"))
+    value = _stripped(F.col("raw")).try_cast("double")
+    return cells.select("pos_a", "pos_b", value.alias("value"), value.cast("int").alias("is_contact"))
 
 
 def pair_alignments(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pair two alignments by record number -> ``(pair_id, header_a, header_b, seq_a, seq_b)``.
 
-    Equi-join on ``pair_id``; counts are validated separately by ``check_pairs``.
-    """
+    Rows without a partner raise an error (``check_pairs``)."""
+    codes = lambda df: df.select("pair_id", F.col("seq").alias("codes"))
+    check_pairs(codes(a), codes(b))
     return a.select(
         "pair_id", F.col("header").alias("header_a"), F.col("seq").alias("seq_a")
     ).join(b.select("pair_id", F.col("header").alias("header_b"), F.col("seq").alias("seq_b")), "pair_id")
