@@ -11,6 +11,6 @@ aggregations, scoring is map-only against size-checked broadcast model
 tables, and model fitting runs batched distributed gradient passes.
 """
 
-from copair.session import get_spark, checkpoint_dir  # noqa: F401
+from copair.session import checkpoint_dir, get_spark, ship_package
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["checkpoint_dir", "get_spark", "ship_package"]
