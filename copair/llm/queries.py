@@ -87,5 +87,37 @@ QUERIES = {f.__name__: f for f in (
     op1_pack_sequences, op2_find_personal_data, op3_mix_sources, op4_nearest_vectors, op5_format_chats,
     op6_score_toxicity, op7_shard_by_bytes, op8_identify_language, op9_simhash_groups, op10_embedding_groups)}
 
+def _times(text: str, part: str) -> str:
+    """SQL: how often ``part`` occurs in ``text``."""
+    part = part.replace("'", "''")
+    return f"(length({text}) - length(replace({text}, '{part}', ''))) // {len(part)}"
+
+
+_ESCAPES = " + ".join(_times("text", c) for c in ("\\", *chat_events.CONTROL))
+_FRAME = len(chat_events.TURN) + len(chat_events.END) + 2
+
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_format_chats": f"""
+WITH r AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({_FRAME} + length(role) + length(text) + {_ESCAPES}) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id""",
+    "op10_embedding_groups": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+low AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT low.u AS vec_id, coalesce(n.n, 0) AS n_links, low.component_id, low.u = low.component_id AS kept
+FROM low LEFT JOIN n ON low.u = n.u""",
+}

@@ -87,6 +87,14 @@ def fit(sample: np.ndarray, rows: int, trees: int, leaf_rows: int, seed: int) ->
     return Forest(planes, cuts, depth)
 
 
+def _collected(sample: DataFrame, dims: int) -> np.ndarray:
+    """Unit vectors of a bounded sample."""
+    table = sample.toArrow()
+    if not table.num_rows:
+        return np.empty((0, dims))
+    return unit(matrix(table.column("v").combine_chunks(), dims))
+
+
 def _best(rows: DataFrame, queries: np.ndarray, k: int, dims: int) -> list[np.ndarray]:
     """Brute force: the ``k`` vectors of ``rows(v)`` nearest to each of a few queries."""
 
@@ -145,13 +153,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     index = written(ids.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("vid", F.col("ids")[0]))
     n = index.select(F.count(F.lit(1))).first()[0]
     asked = written(every.where(is_query).distinct().join(index.select("v", "vid"), "v").select("id", "vid", "v"))
-    fitted = hash_sample(index.select("vid", "v"), sample, "vid").orderBy("vid").toPandas()
-    forest = fit(unit(np.array(fitted["v"].tolist(), dtype=np.float64).reshape(-1, dims)), n, trees, leaf_rows, seed)
+    fitted = hash_sample(index.select("vid", "v"), sample, "vid").orderBy("vid").select("v")
+    forest = fit(_collected(fitted, dims), n, trees, leaf_rows, seed)
     asked_once = asked.select("vid", "v").dropDuplicates(["vid"])
-    probe = hash_sample(asked_once, calibration, "vid").orderBy("vid").limit(2 * calibration).toPandas()
-    if not len(probe):
+    probes = _collected(hash_sample(asked_once, calibration, "vid").orderBy("vid").limit(2 * calibration).select("v"), dims)
+    if not len(probes):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    probes = unit(np.array(probe["v"].tolist(), dtype=np.float64).reshape(-1, dims))
     visits = calibrate(forest, probes, _best(index, probes, k + 1, dims), recall)
     model = spark.sparkContext.broadcast(forest)  # bounded by trees x sample / 8 planes
     chunks = tasks_for(n, chunk_rows << forest.depth)
