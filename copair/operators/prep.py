@@ -90,9 +90,9 @@ def column_profile(counts: DataFrame, gap_threshold: float = 0.5) -> DataFrame:
 def kept_positions(profile: DataFrame) -> tuple[list[int], list[int]]:
     """Collect the schema-sized kept lists; raise like the reference when a
     side has no column left after the gap or the constant filter."""
-    rows = profile.select("side", "orig_pos", "gappy", "constant", "kept").collect()
+    rows = profile.select("side", "orig_pos", "gappy", "constant", "kept").limit(2 * MAX_WIDTH + 1).collect()
     if len(rows) > 2 * MAX_WIDTH:
-        raise ValueError("alignment wider than supported")
+        raise ValueError(f"alignments have more than {MAX_WIDTH} columns a side")
     out = {}
     for side in ("A", "B"):
         srows = [r for r in rows if r.side == side]
