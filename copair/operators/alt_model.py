@@ -167,8 +167,10 @@ def dfmax_path(table: DataFrame, dfmax: int, keys=("side", "pos")) -> DataFrame:
 
 
 def select_by_bic(table: DataFrame, keys=("side", "pos")) -> DataFrame:
-    """Per column the in-path model of minimum BIC, ties to the stronger alpha."""
-    w = Window.partitionBy(*keys).orderBy(F.col("bic").asc(), F.col("alpha").desc())
+    """Per column the in-path model of minimum BIC, ties to the stronger alpha.
+
+    BIC is compared to 6 places, so that the order of a sum never decides a tie."""
+    w = Window.partitionBy(*keys).orderBy(F.round("bic", 6).asc(), F.col("alpha").desc())
     return table.where("in_path").withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 

@@ -476,7 +476,7 @@ def _search(rows, stats, width_a, width_b, n_all, dfmax, l1_ratio, max_iter, tol
         bic = dfs * math.log(n_all) - 2.0 * sums[s]
         keep = []
         for p in sorted(order[s]):
-            best = min(np.flatnonzero(sm.gpos == p), key=lambda g: (bic[g], -sm.galpha[g]))
+            best = min(np.flatnonzero(sm.gpos == p), key=lambda g: (round(bic[g], 6), -sm.galpha[g]))
             keep.append(best)
             for g in sorted(np.flatnonzero(sm.gpos == p), key=lambda g: -sm.galpha[g]):
                 table.append((s, int(p), float(sm.galpha[g]), KIND_NAMES[sm.kind[g]], int(dfs[g]), float(sums[s][g]),

@@ -129,7 +129,7 @@ gbic AS (
   FROM gdf d JOIN (SELECT side, pos, alpha, sum(logp) AS sum_logp FROM glp GROUP BY side, pos, alpha) s
   ON d.side = s.side AND d.pos = s.pos AND d.alpha = s.alpha),
 gsel AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, pos ORDER BY bic ASC, alpha DESC) AS rk
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, pos ORDER BY round(bic, 6) ASC, alpha DESC) AS rk
                  FROM gbic WHERE in_path) WHERE rk = 1),
 alt_res AS (
   SELECT g.pair_id, g.side, g.pos, g.logp FROM glp g
