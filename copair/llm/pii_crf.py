@@ -2,15 +2,16 @@
 
 ``base_spans`` finds the four kinds by their patterns, in linear time on any text.
 The conditional random field labels tokens (runs of letters, runs of digits, single
-marks) from their word shapes and neighbours.  Every kind needs a digit or an
-at-sign, so its chains are the neighbourhoods of such characters, found over the
-whole text; elsewhere all labels are O.  It is trained with numpy on a small
+marks) from their word shapes and neighbours.  Every kind needs a digit, an at-sign
+or a spelled one (``(at)``, ``[dot]``, ``at host dot com``), so its chains are the
+neighbourhoods of those, found over the whole text and as long as an address goes
+on; elsewhere all labels are O.  It is trained with numpy on a small
 labelled table: windows of a bounded sample of the documents labelled by the base
 patterns, and template rows for the spellings that the patterns miss, set between
 words of the sample.  Viterbi decodes padded batches of chains in numpy.
 
-A decoded span is added if it passes the kind's check (``_valid``) and overlaps no
-base span; base spans always stay.
+A decoded address is completed to its ends.  A span is added if it passes the kind's
+check (``_valid``) and overlaps no base span; base spans always stay.
 """
 
 from __future__ import annotations
@@ -87,9 +88,11 @@ def base_spans(text: str) -> list[Span]:
 # ---------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
-_TRIGGER = re.compile(r"[0-9@]+")
-#: Characters of context on both sides of a digit or at-sign.
+_TRIGGER = re.compile(r"[0-9@]+|[(\[]\s?(?:at|dot)\s?[)\]]|(?<!\w)(?:at\s[\w-]+(?=\sdot\s)|dot)(?!\w)", re.I)
+#: Characters of context on both sides of a trigger; an address that goes on there is followed to its end.
 CONTEXT = 24
+_BACK = re.compile(r"[\w.%+-]")
+_ONWARD = re.compile(r"(?:[\w.%+-]++|\s(?=\.\s?[\w-])|(?<=\.)\s(?=[\w-]))*+")
 _MARKS = "@.-()+[]:/,_#=&%*\"'!?"
 _CUES = ("at", "dot", "tel", "phone", "call", "card", "visa", "ip", "host", "mail", "email", "version", "com", "org", "net")
 #: Shapes: 0 outside, then digits by length and value, letters by length and case, cues, marks, others.
@@ -118,12 +121,17 @@ def shape(token: str) -> int:
 
 
 def chains(text: str) -> list[tuple[int, int]]:
-    """Maximal neighbourhoods of digits and at-signs, as character ranges cut at token borders."""
+    """Maximal neighbourhoods of triggers, as character ranges cut at token borders and never inside an address."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         start, end = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(end, out[-1][1])
+        last = out[-1][1] if out else 0
+        if end > last:
+            end = _ONWARD.match(text, end).end()
+        while start > last and _BACK.match(text, start - 1):
+            start -= 1
+        if out and start <= last:
+            out[-1][1] = max(end, last)
         else:
             out.append([start, end])
     return [(a, b) for a, b in out]
@@ -279,13 +287,16 @@ def train(rows: list[tuple[Chain, list[int]]], steps: int = 50, rate: float = 0.
 #: Spellings beside the base patterns (D: a digit, A: a letter, O: a number to 255, C: a valid card number's digits).
 TEMPLATES = {
     "phone": ("(DDD) DDD-DDDD", "DDD-DDD-DDDD", "DDD.DDD.DDDD", "(DDD) DDD DDDD", "00DD DDDD DDDDDD", "D-DDD-DDD-DDDD"),
-    "email": ("AAAA (at) AAAA.com", "AAAA [at] AAAAA.org", "AAAA @ AAAA.com", "AAA.AAAA [at] AAAAA [dot] com", "AAADD (at) AAAA.net"),
+    "email": ("AAAA (at) AAAA.com", "AAAA [at] AAAAA.org", "AAAA @ AAAA.com", "AAA.AAAA [at] AAAAA [dot] com", "AAADD (at) AAAA.net",
+              "AAAAA @ AAAA.AAAAAA-AAAAA.AAAAA.com", "AAAA (at) AAAAA-AAAA.AAAA.org", "AAAA [at] AAAA [dot] AAAAA [dot] net",
+              "AAA.AAAA at AAAAA dot com", "AAAAA at AAAA dot AAAAA dot org"),
     "ip": ("O[.]O[.]O[.]O", "O . O . O . O", "O[.]O.O.O"),
     "card": ("CCCC.CCCC.CCCC.CCCC", "CCCC/CCCC/CCCC/CCCC", "CCCC  CCCC  CCCC  CCCC"),
 }
 #: Numbers that are no personal data.
 PLAIN = ("DD.D", "D.D.D", "version D.D", "DDDD", "DD", "DDDD-DD-DD", "DD:DD", "DD:DD:DD", "D,DDD", "DD%", "DDD DDD", "DDDD DDDD",
-         "DDD-DDDD", "AAADAADDADA", "A=DDDADADD", "DDDDD", "DDDDDDDD", "#DDD", "AAA@", "@AAAA", "(DD)", "[D]", "D.D.D.D.D.D")
+         "DDD-DDDD", "AAADAADDADA", "A=DDDADADD", "DDDDD", "DDDDDDDD", "#DDD", "AAA@", "@AAAA", "(DD)", "[D]", "D.D.D.D.D.D",
+         "AAAA at AAAAA dot AAAAAA", "AAAA dot AAAA", "at AAAAA.com", "AAAA (at AAAA) AAAA", "[dot]", "AAAA (dot) AAAA")
 
 
 def _fill(pattern: str, rng: np.random.Generator) -> str:
@@ -329,7 +340,7 @@ def labelled_windows(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     rng = np.random.default_rng(2)
     words = [w for t in texts for w in t.split() if w.isalpha()] or ["the", "and", "of"]
     table = [(t, base_spans(t)) for t in texts]
-    around = lambda: " ".join(words[int(i)] for i in rng.integers(0, len(words), int(rng.integers(1, 4))))
+    around = lambda: " ".join(words[int(i)] for i in rng.integers(0, len(words), int(rng.integers(0, 4))))
     for kind, patterns in TEMPLATES.items():
         for pattern in patterns:
             for _ in range(20):
@@ -355,6 +366,20 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **opt
 # decoding whole texts
 # ---------------------------------------------------------------------------
 
+_AT = r"\s?(?:@|[(\[]\s?at\s?[)\]])\s?"
+_DOT = r"(?:\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?|\sdot\s)"
+#: A bare ``at`` takes bare dots only: "look at www.example.com" is no address.
+_EMAIL = re.compile(rf"[\w.%+-]+(?:{_AT}[\w-]+(?:{_DOT}[\w-]+)+|\sat\s[\w-]+(?:\sdot\s[\w-]+)+)", re.I)
+_REST = re.compile(r"(?:[\w-]++|(?:\.|\s?+[(\[]\s?+dot\s?+[)\]]\s?+)(?=[\w-]))*+", re.I)
+
+
+def _completed(text: str, start: int, end: int, floor: int) -> tuple[int, int]:
+    """An address with the rest of its local part (from ``floor``) and of its host."""
+    while start > floor and _BACK.match(text, start - 1):
+        start -= 1
+    return start, _REST.match(text, end).end()
+
+
 def _valid(kind: str, value: str) -> bool:
     digits = _ascii_digits(value)
     if kind == "card":
@@ -364,7 +389,7 @@ def _valid(kind: str, value: str) -> bool:
     if kind == "ip":
         parts = re.findall("[0-9]+", value)
         return len(parts) == 4 and _octets(parts) and not any(c.isalpha() for c in value)
-    return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|[(\[]\s?at\s?[)\]])\s?[\w-]+(?:\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?[\w-]+)+", value, re.I))
+    return bool(_EMAIL.fullmatch(value))
 
 
 _CELLS_AT_ONCE = 60_000
@@ -382,17 +407,20 @@ def added_spans(texts: list[str], base: list[list[Span]], model: CRF) -> list[li
             longest, end = len(todo[end][1].starts), end + 1
         group = todo[at:end]
         for (i, chain), labels in zip(group, model.viterbi([c for _, c in group])):
-            k = 0
+            k, last = 0, 0
             while k < len(labels):
-                if labels[k] == 0:
+                if labels[k] == 0 or chain.starts[k] < last:
                     k += 1
                     continue
                 kind, j = KINDS[(labels[k] - 1) // 2], k + 1
                 while j < len(labels) and labels[j] == labels[k] + 1:
                     j += 1
                 a, b = chain.starts[k], chain.ends[j - 1]
+                if kind == "email" and _valid(kind, texts[i][a:b]):
+                    a, b = _completed(texts[i], a, b, last)
                 if all(b <= s or a >= e for _, s, e in base[i]) and _valid(kind, texts[i][a:b]):
                     out[i].append((kind, a, b))
+                    last = b
                 k = j
         at = end
     return out

@@ -134,3 +134,45 @@ def test_empty_table(spark):
     docs = no_docs(spark)
     crf = pii_crf.learn(docs)
     assert docs.select(pii_crf.pii_column("text", crf)).count() == 0
+
+
+@pytest.mark.parametrize("kind,pattern", [(k, p) for k, ps in pii_crf.TEMPLATES.items() for p in ps])
+def test_each_template_is_found(model, kind, pattern):
+    rng = np.random.default_rng(11)
+    found = total = 0
+    for before, after in [("some words before", "after it"), ("please write to", "or ask"), ("", "")] * 5:
+        value = pii_crf._fill(pattern, rng)
+        text = f"{before} {value} {after}"
+        base = pii_crf.base_spans(text)
+        if any(k == kind for k, _, _ in base):
+            continue
+        total += 1
+        found += any(k == kind and text[a:b] == value for k, a, b in pii_crf.added_spans([text], [base], model)[0])
+    assert total and found >= 0.8 * total
+
+
+@pytest.mark.parametrize("address", [
+    "maria @ mail.internal-services.example.com", "first.last [at] hosts [dot] com", "name (at) host.com",
+    "anna (at) department-of-long-names.university-of-somewhere.example.org",
+    "a-very-long-local-part-of.an-address.that-goes-on (at) host.com", "first.last at hosts dot com",
+    "maria (at) averyveryverylongunbrokenhostname [dot] example [dot] com"])
+def test_whole_addresses_without_base_pattern(model, address):
+    text = f"some words before {address} after it"
+    assert [text[a:b] for _, a, b in pii_crf.added_spans([text], [pii_crf.base_spans(text)], model)[0]] == [address]
+
+
+def test_chains_end_at_token_borders():
+    text = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz 7 abcdefghijklmnopqrstuvwxyz next words"
+    assert [text[a:b] for a, b in pii_crf.chains(text)] == [text[:text.index(" next")]]
+    assert pii_crf.chains("no trigger at all in this text, dotted or not") == []
+
+
+@pytest.mark.parametrize("text", ["look at polka dot dresses", "we met at www.example.com", "one dot two", "(at last) we go"])
+def test_spelled_words_in_prose_are_no_address(model, text):
+    assert pii_crf.added_spans([text], [[]], model) == [[]]
+
+
+@pytest.mark.parametrize("text", ["a" * 200000 + "@", "a@" * 50000, "at " * 50000, "a." * 50000 + "1", "[dot] " * 30000,
+                                  "at a" + " dot a" * 30000, ". a" * 50000 + "1"])
+def test_chains_are_linear(text):
+    pii_crf.chains(text)
