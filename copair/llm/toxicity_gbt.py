@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,11 @@ SECOND_PERSON = frozenset(
 LOOK_ALIKE = str.maketrans("013457@$!|+", "oieastasiit")
 _WORD = re.compile(r"[^\W_]+(?:['’\-*.@$!|+][^\W_]+)*", re.UNICODE)
 _INNER = re.compile(r"['’\-*._]")
+_JOINT = re.compile(r"['’\-*.@$!|+]")
+#: Scripts without spaces: a run of these is read as its pairs of characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+_UPPER = bytes(range(65, 91))
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _STARTS = (4, 5, 6)
 _NEAR = 5
 FEATURES = ("lexicon_density", "lexicon_weight_density", "lexicon_hits", "lexicon_kinds", "lexicon_max", "start_density",
@@ -53,9 +59,39 @@ def plain_form(word: str) -> str:
     return _INNER.sub("", word).translate(LOOK_ALIKE)
 
 
+def _split(raw: str) -> tuple[str, ...]:
+    words = _WORD.findall(raw.lower())
+    if raw.isascii() or not _UNSPACED.search(raw):
+        return tuple(words)
+    out: list[str] = []
+    for w in words:
+        at = 0
+        for m in _UNSPACED.finditer(w):
+            out += _WORD.findall(w[at:m.start()])
+            out += [m[0][i:i + 2] for i in range(max(1, len(m[0]) - 1))]
+            at = m.end()
+        out += _WORD.findall(w[at:])
+    return tuple(out)
+
+
+_split_short = lru_cache(1 << 16)(_split)
+
+
+def words_of(raw: str) -> tuple[str, ...]:
+    """Lower-case words of a text without white space, for learning and scoring alike."""
+    return _split_short(raw) if len(raw) <= 40 else _split(raw)
+
+
+def capital_letters(text: str) -> int:
+    if text.isascii():
+        return len(text) - len(text.encode().translate(None, _UPPER))
+    plain = text.encode("ascii", "ignore")
+    return len(plain) - len(plain.translate(None, _UPPER)) + sum(map(str.isupper, _NOT_ASCII.findall(text)))
+
+
 def units(text: str | None) -> set[str]:
     """Words of a text and their starts (marked by ``*``)."""
-    words = {plain_form(w) for w in set(_WORD.findall((text or "").lower()))}
+    words = {plain_form(w) for raw in set((text or "").split()) for w in words_of(raw)}
     return words | {f"{w[:k]}*" for w in words for k in _STARTS if len(w) > k}
 
 
@@ -69,13 +105,21 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """One value per name in ``FEATURES``; all 0 for a null text or one without words."""
     text = text or ""
     written = text.split()
-    n = len(written)
-    if not n:
+    if not written:
         return [0.0] * len(FEATURES)
-    lowered = [w.lower() for w in written]
-    tokens = [w.strip("\"'.,;:!?()[]{}<>*#%&$|") for w in lowered]
+    tokens = [w for raw in written for w in words_of(raw)]
     words, starts = lexicon.words, lexicon.starts
     kinds = set(tokens)
+    glued = {}  # "you.idiot": no word as a whole, but its parts are
+    for w in kinds:
+        if not w.isalpha() and plain_form(w) not in words:
+            parts = _JOINT.split(w)
+            if len(parts) > 1 and any(plain_form(x) in words for x in parts):
+                glued[w] = parts
+    if glued:
+        tokens = [x for w in tokens for x in glued.get(w, (w,))]
+        kinds = set(tokens)
+    n = max(len(written), len(tokens))
     odd = {}  # disguised spellings are few: undo them once per distinct word
     for w in kinds:
         if not w.isalpha():
@@ -101,7 +145,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     second = sum(w in SECOND_PERSON for w in tokens) if not kinds.isdisjoint(SECOND_PERSON) else 0
     chars = len(text)
     shouted = sum(len(w) > 2 and w.isupper() for w in written)
-    capitals = sum(map(str.isupper, text)) if shouted else sum(w[0].isupper() for w in written)
+    capitals = capital_letters(text)
     marked = [w for w in written if not w.isalpha()]
     bang, ask = text.count("!"), text.count("?")
     symbols = sum(text.count(c) for c in "*#%&$@^~")
@@ -110,7 +154,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [len(at) / n, weight / n, float(np.log1p(len(at))), float(len(flagged)), max(flagged.values(), default=0.0),
             n_start / n, float(np.log1p(n_start)), sum(tokens[i] in disguised for i in at) / n, near / (len(at) or 1),
             second / n, capitals / chars, shouted / n, bang / n, ask / n, len(marked) / n, symbols / chars, digits / n,
-            stretched / len(kinds), len(kinds) / n, float(np.log1p(n)), chars / n]
+            stretched / (len(kinds) or 1), len(kinds) / n, float(np.log1p(n)), chars / n]
 
 
 _STRETCH = re.compile(r"(\w)\1\1")

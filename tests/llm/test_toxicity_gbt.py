@@ -85,3 +85,30 @@ def test_one_label_and_empty_tables(spark):
     for m in (same, none):
         assert no_docs(spark).select(tox.score_column("text", m)).count() == 0
         assert (m.score(np.zeros((1, len(tox.FEATURES)))) < 0.5).all()
+
+
+@pytest.mark.parametrize("text,hits", [
+    ("¡idiota!", 1), ("«idiot»", 1), ("“idiot”", 1), ("‘idiot’", 1), ("idiot…", 1), ("you—idiot", 1), ("idiot/loser", 2),
+    ("idiot,moron", 2), ("you.idiot", 1), ("idiot-moron", 2), ("¿1di0t?", 1), ("_idiot_", 1), ("你是白痴吗", 1), ("idiot白痴", 2)])
+def test_glued_quoted_and_framed_words_are_looked_up(text, hits):
+    lexicon = tox.Lexicon({w: 3.0 for w in ("idiot", "idiota", "loser", "moron", "白痴")}, {})
+    f = dict(zip(tox.FEATURES, tox.features(text, lexicon)))
+    assert f["lexicon_hits"] == pytest.approx(np.log1p(hits)) and 0 < f["lexicon_density"] <= 1
+    assert f["near_second_person"] == (1 if "you" in text else 0)
+    assert f["disguised_density"] == (1 if "1di0t" in text else 0)
+
+
+def test_scoring_sees_every_word_that_training_counts():
+    text = "¡Hola! «IDIOT» you—1diot idiot/loser “mor0n” a.b c_d 白痴你好。x Straße ΣΑΣ don't 7 #x# …"
+    for word in tox.units(text):
+        if not word.endswith("*"):
+            assert tox.features(text, tox.Lexicon({word: 1.0}, {}))[FEATURE_HITS] > 0, word
+
+
+FEATURE_HITS = tox.FEATURES.index("lexicon_hits")
+
+
+@pytest.mark.parametrize("text", ["sTuPiD", "sTuPiD Ünï ÄÖx no shout", "LOUD sTuPiD", "none"])
+def test_capitals_are_counted_over_the_whole_text(text):
+    f = dict(zip(tox.FEATURES, tox.features(text, tox.Lexicon({}, {}))))
+    assert f["capital_rate"] == pytest.approx(sum(c.isupper() for c in text) / len(text))
