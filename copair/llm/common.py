@@ -29,6 +29,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a distinct number per row, written, so that every later read sees the same numbers."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def crc_of(col: str) -> Column:
     """Unsigned CRC-32 of a column's text form; null counts as empty."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

@@ -14,8 +14,9 @@ are balanced on two totals, documents and words:
 * Landing: of all roundings of a source's last 16 documents the one whose words
   are nearest to the target is taken.
 
-Blocks are dealt by a hash, so a source with a third of all rows is spread over
-many tasks, and random draws depend on block contents alone: reruns agree.
+Blocks are dealt by a hash of id and size, and where many rows share both also of
+their row number, so a source or an id with a third of all rows is spread over many
+tasks.  Random draws depend on block contents alone: reruns agree.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copair.llm.common import tasks_for, written
+from copair.llm.common import numbered, tasks_for, written
 
 #: Fixed weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -141,11 +142,11 @@ def landing(prob: list[float], size: list[float]) -> list[float]:
 def _fly(rows: DataFrame, blocks: dict[int, int], level: int, seed: int) -> DataFrame:
     """One level: every block of every source runs its flight; single blocks also land."""
     count = F.coalesce(*[F.when(F.col("src") == i, F.lit(n)) for i, n in blocks.items() if n > 1], F.lit(1))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "id", "size"), count))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "id", "size", "salt"), count))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         src, block = int(key[0]), int(key[1])
-        pdf = pdf.sort_values(["id", "size"], ignore_index=True, na_position="first")
+        pdf = pdf.sort_values(["id", "size", "row"], ignore_index=True, na_position="first")
         size, start = pdf["size"].astype(float).tolist(), pdf["prob"].tolist()
         held = reserve(start, size)
         prob = flight([0.0 if i in held else p for i, p in enumerate(start)], size,
@@ -154,9 +155,10 @@ def _fly(rows: DataFrame, blocks: dict[int, int], level: int, seed: int) -> Data
             prob[i] = start[i]
         if blocks[src] == 1:
             prob = landing(prob, size)
-        return pdf.assign(prob=prob)[["id", "src", "size", "prob"]]
+        return pdf.assign(prob=prob)[["id", "row", "salt", "src", "size", "prob"]]
 
-    return dealt.groupBy("src", "block").applyInPandas(run, "id long, src int, size long, prob double")
+    return dealt.groupBy("src", "block").applyInPandas(
+        run, "id long, row long, salt long, src int, size long, prob double")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -166,17 +168,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Empty and null texts have size 0; a source of size 0 gets target 0.  Repeated
     rows are drawn one by one.  Other columns are not read.
     """
+    taken, plan = _mix(docs, F.monotonically_increasing_id(), id_col, text_col, source_col, block_rows, seed)
+    return taken.drop("row"), plan
+
+
+def _salted(sized: DataFrame, most: int) -> DataFrame:
+    """``salt``: the row number where more than ``most`` rows share id, size and source, else 0."""
+    keys = ("id", "size", "source")
+    hot = written(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(
+        *[F.col(k).alias(f"hot_{k}") for k in keys], F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        return sized.withColumn("salt", F.lit(0).cast("long"))
+    same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
+    return sized.join(hot, same[0] & same[1] & same[2], "left").select(
+        *sized.columns, F.when(F.col("hot"), F.col("row")).otherwise(F.lit(0)).cast("long").alias("salt"))
+
+
+def _mix(docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str, block_rows: int,
+         seed: int) -> tuple[DataFrame, list[Source]]:
+    """``mix`` with the row numbers given by ``row``: ``(id, row, src, size, copies)``."""
     spark = docs.sparkSession
     sized = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
-                                word_count(F.col(text_col)).alias("size")))
+                                word_count(F.col(text_col)).alias("size"), row.alias("row")))
     totals = sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     plan = plan_targets([tuple(r) for r in totals])
     names = spark.createDataFrame([(s.index, s.name, s.copies, s.extra) for s in plan],
                                   "src int, name string, base int, prob double")
-    rows = sized.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).select(
-        "id", "src", "size", "base", "prob")
+    rows = _salted(sized, max(1, block_rows // 64)).join(
+        F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).select(
+        "id", "row", "salt", "src", "size", "base", "prob")
     base = {s.index: s.copies for s in plan}
     closed = F.col("prob").isin(0.0, 1.0)
     open_rows = {s.index: s.rows for s in plan}
@@ -195,25 +217,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for more in done[1:]:
         out = out.unionByName(more)
     basis = F.coalesce(*[F.when(F.col("src") == i, F.lit(n)) for i, n in base.items() if n], F.lit(0))
-    return out.select("id", "src", "size", (basis + F.col("prob").cast("int")).alias("copies")), plan
+    return out.select("id", "row", "src", "size", (basis + F.col("prob").cast("int")).alias("copies")), plan
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-               **options) -> DataFrame:
+               block_rows: int = 4096, seed: int = 20) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it.
 
-    Documents meet their decisions by id, size and source; rows that repeat all three
-    share them in any order, which changes no total.
+    Documents meet their decisions by a written row number.
     """
-    taken, plan = mix(docs, id_col, text_col, source_col, **options)
-    names = docs.sparkSession.createDataFrame([(s.index, s.name) for s in plan], "src int, __name string")
-    keys = ["__id", "__size", "__name"]
-    decided = taken.join(F.broadcast(names), "src").groupBy(
-        F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__id"), F.col("size").alias("__size"),
-        F.coalesce("__name", F.lit("\0")).alias("__name")).agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-                             "__size": word_count(F.col(text_col)),
-                             "__name": F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))})
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(id_col))
-    rows = rows.join(decided, keys).withColumn("__times", F.element_at("__copies", nth)).where("__times > 0")
-    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    rows = numbered(docs, "__row")
+    taken, _ = _mix(rows, F.col("__row"), id_col, text_col, source_col, block_rows, seed)
+    decided = taken.where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__times"))
+    return rows.join(decided, "__row").withColumn(
+        "__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

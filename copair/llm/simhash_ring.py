@@ -23,16 +23,16 @@ Equal fingerprints are merged before the search, so copies cost one row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copair.llm.common import written
+from copair.llm.common import numbered, written
 from copair.llm.components import components
 
 SEGMENTS = 4
@@ -156,8 +156,8 @@ def links(nodes: DataFrame, max_bits: int = 3, hot_rows: int = 2000) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-                    max_bits: int = 3, hot_rows: int = 2000) -> DataFrame:
-    """One row per document: ``(id, fp, root, component_id)``.
+                    max_bits: int = 3, hot_rows: int = 2000, carry: Iterable[Column] = ()) -> DataFrame:
+    """One row per document: ``(id, fp, root, component_id)`` and the columns of ``carry``.
 
     ``fp`` is the fingerprint as a signed long, ``root`` the smallest fingerprint
     reachable over links and ``component_id`` the smallest id reachable (null if
@@ -165,14 +165,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and link like any other; repeated rows stay repeated; an empty table gives an
     empty result; other columns are not read.
     """
-    prints = written(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, width).alias("fp")))
+    prints = written(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, width).alias("fp"), *carry))
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("low")))
     found = components(links(nodes.select("fp"), max_bits, hot_rows))
     roots = nodes.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = written(roots.join(lows, "root").select("fp", "root", "component_id"))
-    return prints.join(by_fp, "fp").select("id", "fp", "root", "component_id")
+    others = [c for c in prints.columns if c not in ("id", "fp")]
+    return prints.join(by_fp, "fp").select("id", "fp", "root", "component_id", *others)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
@@ -180,20 +181,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """The rows of ``docs``, all columns, with one document of each near-duplicate group.
 
     The row whose id is the group's smallest stays (among repeated rows of that
-    id one of them; in a group without ids one row).
+    id one of them; in a group without ids one row).  Rows carry a written number,
+    so ids may repeat or be null: decisions are per row.
     """
-    groups = near_duplicates(docs, id_col, text_col, width, max_bits)
-    kept = written(groups.where("id <=> component_id").groupBy("id")
-                   .agg(F.count(F.lit(1)).alias("__rows"), F.collect_set("root").alias("__roots"))
-                   .withColumnRenamed("id", "__id"))
-    same_id = F.col(id_col).eqNullSafe(F.col("__id"))
-    single = docs.join(kept.where("__rows = 1"), same_id, "left_semi")
-    repeated = kept.where("__rows > 1")
-    if repeated.isEmpty():
-        return single
-    # several rows carry this id: their own fingerprints tell which group each belongs to
-    roots = groups.select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    rows = docs.join(repeated, same_id).withColumn("__fp", fingerprint_column(text_col, width)).join(roots, "__fp")
-    one = Window.partitionBy("__root").orderBy(text_col)
-    rows = rows.where(F.array_contains("__roots", F.col("__root"))).withColumn("__n", F.row_number().over(one))
-    return single.unionByName(rows.where("__n = 1").select(*docs.columns))
+    rows = numbered(docs, "__row")
+    digest = F.xxhash64(text_col).alias("__digest")  # the row number alone would depend on the input's files
+    groups = near_duplicates(rows, id_col, text_col, width, max_bits, carry=(F.col("__row"), digest))
+    kept = groups.where("id <=> component_id").groupBy("root").agg(F.min(F.struct("__digest", "__row")).alias("first"))
+    return rows.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -72,3 +72,31 @@ def test_empty_table(spark):
     taken, plan = cube_mix.mix(no_docs(spark))
     assert taken.count() == 0 and plan == []
     assert cube_mix.mixed_rows(no_docs(spark)).count() == 0
+
+
+def test_rows_without_ids_are_dealt_to_many_blocks_and_meet_their_own_decisions(spark):
+    n, block = 3000, 100
+    docs = spark.range(n, numPartitions=6).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"),
+        F.concat(F.lit("n"), "id", F.repeat(F.lit(" w"), (F.col("id") % 6 * 3).cast("int"))).alias("text"))
+    rows = cube_mix.numbered(docs, "__row")
+    taken, plan = cube_mix._mix(rows, F.col("__row"), "doc_id", "text", "source", block, 20)
+    copies = {r["row"]: r["copies"] for r in taken.collect()}
+    assert len(copies) == n
+    want = sorted(r["text"] for r in rows.collect() for _ in range(copies[r["__row"]]))
+    mixed = cube_mix.mixed_rows(docs, block_rows=block)
+    assert sum(1 for _ in want) == mixed.count()
+    words = {r[0]: r[1] for r in mixed.groupBy("source").agg(F.sum(cube_mix.word_count(F.col("text")))).collect()}
+    for s in plan:
+        assert abs(words[s.name] - s.target) <= 20
+    per_text = mixed.groupBy("text").count().agg(F.max("count")).first()[0]
+    assert per_text <= max(s.copies for s in plan) + 1
+    assert "collect_list" not in mixed._jdf.queryExecution().toString()
+
+
+def test_equal_id_and_size_are_split(spark):
+    docs = spark.range(2000, numPartitions=4).select(F.lit(None).cast("long").alias("id"), F.lit(5).cast("long").alias("size"),
+                                                     F.lit("a").alias("source"), F.monotonically_increasing_id().alias("row"))
+    salted = cube_mix._salted(docs, 64)
+    assert salted.select("salt").distinct().count() == 2000
+    assert cube_mix._salted(docs.limit(50), 64).select("salt").distinct().count() == 1

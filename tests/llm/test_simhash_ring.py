@@ -97,3 +97,53 @@ def test_repeated_id_with_different_texts(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "one two three four five"), (1, "one two three four five"),
                                   (2, "one two three four five")], "doc_id long, text string")
     assert rows_of(simhash_ring.keep_one(docs), "doc_id", "text") == [(1, "alpha beta gamma delta"), (1, "one two three four five")]
+
+
+def plain_keep_one(rows, max_bits=3):
+    """Ids and texts kept, by brute force over rows ``(id, text)``."""
+    prints = [simhash_ring.fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= max_bits:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    groups = {g: [r for r, h in zip(rows, group) if h == g] for g in set(group)}
+    low = {g: min((i for i, _ in rs if i is not None), default=None) for g, rs in groups.items()}
+    return [(low[g], {t for i, t in rs if i == low[g]}) for g, rs in groups.items()]
+
+
+def near_copy(text):
+    words = text.split()
+    for k in range(len(words)):
+        other = " ".join(words[:k] + ["changed"] + words[k + 1:])
+        bits = (simhash_ring.fingerprint(text) ^ simhash_ring.fingerprint(other)).bit_count()
+        if 1 <= bits <= 3:
+            return other
+    raise AssertionError("no near copy")
+
+
+def test_keep_one_decides_per_row(spark):
+    rng = random.Random(8)
+    long_text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(400))
+    a, c, e = long_text(), long_text(), long_text()
+    rows = [(3, c), (5, a), (5, near_copy(c)), (7, e), (None, near_copy(e)), (None, long_text()), (None, long_text()), (None, a),
+            (8, None), (None, None), (None, "")] + [(None, long_text()) for _ in range(20)]
+    rows += [rows[-1]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want, got = plain_keep_one(rows), rows_of(simhash_ring.keep_one(docs), "doc_id", "text")
+    assert len(got) == len(want)
+    for i, texts in want:
+        assert sum(g[0] == i and g[1] in texts for g in got) == 1
+
+
+def test_one_null_group_does_not_keep_other_null_rows(spark):
+    docs = spark.createDataFrame([(None, "one two three four five"), (None, "alpha beta gamma"), (2, "alpha beta gamma")],
+                                 "doc_id long, text string")
+    assert rows_of(simhash_ring.keep_one(docs), "doc_id", "text") == [(2, "alpha beta gamma"), (None, "one two three four five")]
+
+
+def test_keep_one_collects_no_arrays(spark):
+    docs = spark.range(50).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    plan = simhash_ring.keep_one(docs)._jdf.queryExecution().toString()
+    assert "collect_" not in plan
