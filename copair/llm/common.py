@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copair.session import checkpoint_dir
 
-#: Share resolution of deterministic hash samples.
-_HASH_STEPS = 1_000_000
+#: Folders written in the open ``scratch`` blocks.
+_open_scratch: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +27,70 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/copair-{uuid.uuid4().hex}"
+    for made in _open_scratch[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a distinct number per row, written, so that every later read sees the same numbers."""
-    return written(df.withColumn(name, F.monotonically_increasing_id()))
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``written`` makes within the block when it ends.
+
+    For a caller that commits a result before the end; DataFrames that read the
+    deleted tables are of no use afterwards.
+    """
+    _open_scratch.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _open_scratch.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, lengthened until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def identified(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that identify each row at every later read, and their names.
+
+    Rows of a plain Parquet table are named by file and row in it, without a copy;
+    other tables are written with row numbers.
+    """
+    names = [free_name(df, "__file"), free_name(df, "__at")]
+    plan = df._jdf.queryExecution().analyzed()
+    if (plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns
+            and plan.relation().toString() == "parquet"):
+        return df.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
+    return written(df.withColumns({names[0]: F.lit(""), names[1]: F.monotonically_increasing_id()})), names
+
+
+def ranked(df: DataFrame, order: list[str], name: str, within: str | None = None, total: str | None = None) -> DataFrame:
+    """``df`` with a gapless number ``name`` from 0 in the order of the columns ``order``.
+
+    With ``within`` (the first column of ``order``) each of its values is numbered by itself.
+    ``total`` names a column for the number of rows (of that value).
+    One range exchange sorts the rows, equal ones spread by a written row number, so a value
+    with a third of all rows is many tasks' work; only counts per task are added up.
+    """
+    tie, part, at, first = (free_name(df, c) for c in ("__tie", "__part", "__in", "__first"))
+    rows = written(df.withColumn(tie, F.monotonically_increasing_id()))
+    keys = [part, within] if within else [part]
+    dealt = written(rows.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).drop(tie)
+                    .withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}))
+    counts = dealt.groupBy(*keys).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("n"))
+    value = Window.partitionBy(*keys[1:])
+    before = value.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.sum("n").over(value).alias(total)] if total else []
+    starts = counts.select(*keys, (F.col(first) - F.coalesce(F.sum("n").over(before), F.lit(0))).alias(first), *sums)
+    return dealt.join(starts, keys).select(*df.columns, (F.col(at) - F.col(first)).alias(name), *([total] if total else []))
 
 
 def crc_of(col: str) -> Column:
@@ -42,14 +101,14 @@ def crc_of(col: str) -> Column:
 def hash_sample(df: DataFrame, bound: int, *cols: str) -> DataFrame:
     """About ``bound`` rows of ``df``, chosen by a hash of ``cols`` alone.
 
-    The share kept is ``bound / rows``, so the sample's size does not grow with
-    the input and a rerun picks the same rows.
+    The share kept is ``bound / rows`` to a thousandth of itself, so the sample's size does
+    not grow with the input, is never empty for want of resolution, and a rerun picks the same rows.
     """
     rows = df.select(F.count(F.lit(1))).first()[0]
     if rows <= bound:
         return df
-    keep = int(_HASH_STEPS * bound / rows)
-    return df.where(F.pmod(F.xxhash64(F.lit(17), *cols), F.lit(_HASH_STEPS)) < keep)
+    steps = max(1_000_000, 1000 * rows // bound)
+    return df.where(F.pmod(F.xxhash64(F.lit(17), *cols), F.lit(steps)) < int(steps * bound / rows))
 
 
 def tasks_for(rows: int, per_task: int) -> int:

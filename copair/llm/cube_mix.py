@@ -14,9 +14,9 @@ are balanced on two totals, documents and words:
 * Landing: of all roundings of a source's last 16 documents the one whose words
   are nearest to the target is taken.
 
-Blocks are dealt by a hash of id and size, and where many rows share both also of
-their row number, so a source or an id with a third of all rows is spread over many
-tasks.  Random draws depend on block contents alone: reruns agree.
+A source's rows are numbered in the order of a hash of their values, and blocks are
+ranges of that number, so a source or an id with a third of all rows is spread over
+many tasks.  Random draws depend on block contents alone: reruns agree.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copair.llm.common import numbered, tasks_for, written
+from copair.llm.common import free_name, identified, ranked, tasks_for, written
 
 #: Fixed weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -140,13 +140,11 @@ def landing(prob: list[float], size: list[float]) -> list[float]:
 
 
 def _fly(rows: DataFrame, blocks: dict[int, int], level: int, seed: int) -> DataFrame:
-    """One level: every block of every source runs its flight; single blocks also land."""
-    count = F.coalesce(*[F.when(F.col("src") == i, F.lit(n)) for i, n in blocks.items() if n > 1], F.lit(1))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "id", "size", "salt"), count))
+    """One level: every block of every source runs its flight; a source's single block also lands."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         src, block = int(key[0]), int(key[1])
-        pdf = pdf.sort_values(["id", "size", "row"], ignore_index=True, na_position="first")
+        pdf = pdf.sort_values("row", ignore_index=True)
         size, start = pdf["size"].astype(float).tolist(), pdf["prob"].tolist()
         held = reserve(start, size)
         prob = flight([0.0 if i in held else p for i, p in enumerate(start)], size,
@@ -155,10 +153,9 @@ def _fly(rows: DataFrame, blocks: dict[int, int], level: int, seed: int) -> Data
             prob[i] = start[i]
         if blocks[src] == 1:
             prob = landing(prob, size)
-        return pdf.assign(prob=prob)[["id", "row", "salt", "src", "size", "prob"]]
+        return pdf.assign(prob=prob)
 
-    return dealt.groupBy("src", "block").applyInPandas(
-        run, "id long, row long, salt long, src int, size long, prob double")
+    return rows.groupBy("src", "block").applyInPandas(run, rows.schema)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -166,68 +163,56 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``(id, src, size, copies)`` for every row, and the sources with their targets.
 
     Empty and null texts have size 0; a source of size 0 gets target 0.  Repeated
-    rows are drawn one by one.  Other columns are not read.
+    rows are drawn one by one.  Other columns are not read.  Reruns agree, whatever
+    the files and partitions are: rows equal in id, source and text are alike.
     """
-    taken, plan = _mix(docs, F.monotonically_increasing_id(), id_col, text_col, source_col, block_rows, seed)
-    return taken.drop("row"), plan
+    return _mix(docs, [], id_col, text_col, source_col, block_rows, seed)
 
 
-def _salted(sized: DataFrame, most: int) -> DataFrame:
-    """``salt``: the row number where more than ``most`` rows share id, size and source, else 0."""
-    keys = ("id", "size", "source")
-    hot = written(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(
-        *[F.col(k).alias(f"hot_{k}") for k in keys], F.lit(True).alias("hot")))
-    if hot.isEmpty():
-        return sized.withColumn("salt", F.lit(0).cast("long"))
-    same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
-    return sized.join(hot, same[0] & same[1] & same[2], "left").select(
-        *sized.columns, F.when(F.col("hot"), F.col("row")).otherwise(F.lit(0)).cast("long").alias("salt"))
-
-
-def _mix(docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str, block_rows: int,
+def _mix(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str, block_rows: int,
          seed: int) -> tuple[DataFrame, list[Source]]:
-    """``mix`` with the row numbers given by ``row``: ``(id, row, src, size, copies)``."""
+    """``mix`` with the columns ``carry`` of each row: ``(id, src, size, copies, ...)``."""
     spark = docs.sparkSession
-    sized = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
-                                word_count(F.col(text_col)).alias("size"), row.alias("row")))
-    totals = sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).limit(MAX_SOURCES + 1).collect()
+    source = F.col(source_col).cast("string")
+    sized = docs.select(F.coalesce(F.concat(F.lit("1"), source), F.lit("0")).alias("place"), source.alias("source"),
+                        F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col)).alias("size"),
+                        F.xxhash64(text_col).alias("digest"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"), *carry)
+    # the order of a source's rows is that of a hash of their values: chance to sizes, the same in every run
+    numbered = ranked(sized, ["place", "h", "id", "size", "digest"], "row", within="place").drop("place", "h", "digest")
+    totals = numbered.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     plan = plan_targets([tuple(r) for r in totals])
     names = spark.createDataFrame([(s.index, s.name, s.copies, s.extra) for s in plan],
                                   "src int, name string, base int, prob double")
-    rows = _salted(sized, max(1, block_rows // 64)).join(
-        F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).select(
-        "id", "row", "salt", "src", "size", "base", "prob")
-    base = {s.index: s.copies for s in plan}
+    state = numbered.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).select(
+        "id", "src", "size", "base", "prob", "row", F.expr(f"row div {block_rows}").alias("block"), *carry)
+    blocks = {s.index: tasks_for(s.rows, block_rows) for s in plan}
     closed = F.col("prob").isin(0.0, 1.0)
-    open_rows = {s.index: s.rows for s in plan}
-    state, done, level = rows.drop("base"), [], 0
-    while open_rows:
-        blocks = {i: tasks_for(n, block_rows) for i, n in open_rows.items()}
-        state = written(_fly(state, blocks, level, seed))
-        level += 1
-        if max(blocks.values()) == 1:
-            done.append(state)
+    # a block leaves 16 open documents at most: so many blocks meet in one of the next level
+    meet = max(2, block_rows // 16)
+    out, level = None, 0
+    while True:
+        flown = written(_fly(state, blocks, level, seed))
+        last = max(blocks.values(), default=1) == 1
+        done = flown if last else flown.where(closed)
+        out = done if out is None else out.unionByName(done)
+        if last:
             break
-        done.append(state.where(closed))
-        state = state.where(~closed)
-        open_rows = {r[0]: r[1] for r in state.groupBy("src").agg(F.count(F.lit(1))).collect()}
-    out = done[0] if done else state
-    for more in done[1:]:
-        out = out.unionByName(more)
-    basis = F.coalesce(*[F.when(F.col("src") == i, F.lit(n)) for i, n in base.items() if n], F.lit(0))
-    return out.select("id", "row", "src", "size", (basis + F.col("prob").cast("int")).alias("copies")), plan
+        state = flown.where(~closed).withColumn("block", F.expr(f"block div {meet}"))
+        blocks = {i: tasks_for(n, meet) for i, n in blocks.items()}
+        level += 1
+    return out.select("id", "src", "size", (F.col("base") + F.col("prob").cast("int")).alias("copies"), *carry), plan
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                block_rows: int = 4096, seed: int = 20) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it.
 
-    Documents meet their decisions by a written row number.
+    Documents meet their decisions by their row's identity, in one exchange of texts.
     """
-    rows = numbered(docs, "__row")
-    taken, _ = _mix(rows, F.col("__row"), id_col, text_col, source_col, block_rows, seed)
-    decided = taken.where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__times"))
-    return rows.join(decided, "__row").withColumn(
-        "__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    rows, names = identified(docs)
+    taken, _ = _mix(rows, names, id_col, text_col, source_col, block_rows, seed)
+    times = free_name(rows, "__times")
+    decided = taken.where("copies > 0").select(*names, F.sequence(F.lit(1), F.col("copies")).alias(times))
+    return rows.join(decided, names).withColumn(times, F.explode(times)).select(*docs.columns)

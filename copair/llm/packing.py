@@ -2,23 +2,22 @@
 
 1. ``token_pieces``: one map-only pass tokenizes whole texts and cuts only
    documents of more than ``capacity`` tokens.
-2. ``pack``: pieces are dealt into groups of about ``group_rows`` by a hash of a
-   row number, so no key of the data decides a group's size.  Each group starts
-   from best-fit decreasing and improves it by local search: a document moves,
-   or one is exchanged for one, or two for one, whenever that increases the sum
-   of squared fills; emptied bins vanish.  The search ends at a local optimum
-   or at the group's lower bound.
+2. ``pack``: pieces are ordered by a hash of their values and cut into groups of
+   ``group_rows``, so no key of the data decides a group's size and no file or
+   partition decides a layout.  Each group starts from best-fit decreasing and
+   improves it by local search: a document moves, or one is exchanged for one, or
+   two for one, whenever that increases the sum of squared fills; emptied bins
+   vanish.  The search ends when no step of its neighbourhood helps (see
+   ``local_search``) or at the group's lower bound.
 3. The pieces of each group's clearly underfull bins are pooled and packed
-   again across groups (``rounds``), which recovers the partly filled bins
-   that every group leaves.
+   again across groups, which recovers the partly filled bins that every group
+   leaves, until they fit one group or a round saves nothing.
 
 Only integers are shuffled; texts and token ids stay in the scan's tasks.
 """
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,80 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copair.llm.common import tasks_for, written
+from copair.llm.common import ranked, written
+from copair.llm.word_tokens import WordEncoder
 
-#: Cached words per Python worker; the cache restarts when full.
-CACHE_WORDS = 600_000
 _DOCS_AT_ONCE = 256
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_LETTERS_THEN_MARKS = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
-#: White space to ``str.split`` but not to the tokenizer.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-
-
-class WordEncoder:
-    """Token ids of whole texts, with the ids of frequent words kept.
-
-    The tokenizer drops white space and encodes each run between white space by
-    itself, so a text's ids are the concatenation of its words' ids.
-    """
-
-    _kept: dict[str, "WordEncoder"] = {}
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.cache: dict[str, bytes] = {}
-
-    @classmethod
-    def at(cls, path: str) -> "WordEncoder":
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        plain, forms = set(), []
-        for word in words:
-            if m := _LETTERS_THEN_MARKS.fullmatch(word):  # the two are encoded apart
-                forms.append((word, m[1].lower(), m[2]))
-                plain.add(forms[-1][1])
-            else:
-                self.cache[word] = self._ids(word)
-        todo = [w for w in plain if w not in self.cache]
-        for i in range(0, len(todo), 2000):
-            some = todo[i:i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) == len(some):  # each word is one run of tokens that ends with a word end
-                raw = ids.tobytes()
-                self.cache.update({w: raw[a:b] for w, a, b in zip(some, [0, *ends], ends)})
-            else:
-                self.cache.update({w: self._ids(w) for w in some})
-        for word, letters, marks in forms:
-            if marks and marks not in self.cache:
-                self.cache[marks] = self._ids(marks)
-            self.cache[word] = self.cache[letters] + (self.cache[marks] if marks else b"")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text (null: none)."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        lists = [None if t and any(c in t for c in _SEPARATORS) else (t or "").split() for t in texts]
-        known = self.cache.get
-        parts = [words and list(map(known, words)) for words in lists]
-        gaps = [(words, found) for words, found in zip(lists, parts) if found and None in found]
-        if gaps:
-            self._learn({w for words, found in gaps for w, ids in zip(words, found) if ids is None})
-            for words, found in gaps:
-                found[:] = map(known, words)
-        return [self._ids(t) if words is None else b"".join(found) for t, words, found in zip(texts, lists, parts)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -265,21 +194,22 @@ class _Open:
 
 
 def local_search(lengths: list[int], bins: list[list[int]], capacity: int, bound: int,
-                 donors: int = 8, passes: int = 50) -> list[list[int]]:
-    """Increase the sum of squared fills until no step does, or ``bound`` bins remain.
+                 donors: int = 8) -> list[list[int]]:
+    """Increase the sum of squared fills until no step of the neighbourhood does, or ``bound`` bins remain.
 
-    ``donors`` emptiest bins offer pairs; ``passes`` limits effort, not results.
+    The neighbourhood: a document from any open bin moves, or is exchanged for one
+    or (from bins of at most 24 documents) two of the receiving bin; the ``donors``
+    emptiest bins also offer pairs of their first 24 documents for one or none.
     """
     state = _Open(lengths, bins, capacity)
-    for _ in range(passes):
+    changed = True
+    while changed and len(state.bins) > bound:
         changed = False
         order = sorted((b for b in state.bins if state.fill[b] < capacity), key=lambda b: (-state.fill[b], b))
         emptiest = order[::-1][:donors]
         for b in order:
             while len(state.bins) > bound and b in state.bins and state.fill[b] < capacity and state.improve(b, emptiest):
                 changed = True
-        if not changed or len(state.bins) <= bound:
-            break
     return [state.bins[b] for b in sorted(state.bins)]
 
 
@@ -294,56 +224,59 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
 # all groups
 # ---------------------------------------------------------------------------
 
-def _pack_round(rows: DataFrame, n: int, round_: int, capacity: int, group_rows: int, reopen: float) -> DataFrame:
-    groups = tasks_for(n, group_rows)
-    dealt = rows.withColumn("__group", F.pmod(F.xxhash64(F.lit(round_), "__row"), F.lit(groups)))
-    schema = f"{rows.drop('__row').schema.simpleString()[7:-1]}, __row:bigint, sequence_id:bigint, offset:bigint, __open:boolean"
+_KEYS = ["doc_id", "piece", "length", "ids_crc32"]
+
+
+def _pack_round(rows: DataFrame, round_: int, capacity: int, group_rows: int, reopen: float) -> DataFrame:
+    """Pack groups of ``group_rows`` consecutive rows in the order of a hash of their values."""
+    hashed = rows.withColumn("__hash", F.xxhash64(F.lit(round_), *_KEYS))
+    dealt = ranked(hashed, ["__hash", *_KEYS], "__rank").drop("__hash").withColumn(
+        "__group", F.expr(f"__rank div {group_rows}"))
+    schema = f"{rows.schema.simpleString()[7:-1]},sequence_id:bigint,offset:bigint,__open:boolean"
 
     def pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "__row"], ascending=[False, True], ignore_index=True)
+        pdf = pdf.sort_values(["length", "__rank"], ascending=[False, True], ignore_index=True)
         size = pdf["length"].to_numpy()
         bins = pack_lengths(size.tolist(), capacity)
         where = np.concatenate([np.asarray(b, dtype=np.int64) for b in bins])
         sequence, offset, open_ = (np.empty(len(pdf), dtype=t) for t in (np.int64, np.int64, bool))
         number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
         # a number that no other group or round uses
-        sequence[where] = (round_ << 60) + (int(key[0]) << 24) + number
+        sequence[where] = (round_ << 56) + (int(key[0]) << 24) + number
         ends = np.cumsum(size[where])
         first = np.flatnonzero(np.r_[True, np.diff(number) > 0])
         starts = ends - size[where]
         offset[where] = starts - np.repeat(starts[first], np.diff(np.r_[first, len(where)]))
         fill = np.add.reduceat(size[where], first)
         open_[where] = np.repeat(fill < capacity * reopen, np.diff(np.r_[first, len(where)]))
-        return pdf.drop(columns="__group").assign(sequence_id=sequence, offset=offset, __open=open_)
+        return pdf.drop(columns=["__group", "__rank"]).assign(sequence_id=sequence, offset=offset, __open=open_)
 
-    names = [f.strip() for f in schema.replace(":", " ").split(",")]
-    return dealt.groupBy("__group").applyInPandas(lambda key, pdf: pack_group(key, pdf), ", ".join(names))
+    return dealt.groupBy("__group").applyInPandas(lambda key, pdf: pack_group(key, pdf),
+                                                  schema.replace(":", " ").replace(",", ", "))
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 4096, rounds: int = 2,
-         reopen: float = 0.97) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 4096, reopen: float = 0.97) -> DataFrame:
     """``pieces(doc_id, piece, start, length, ids_crc32)`` plus ``sequence_id`` and ``offset``.
 
     Lengths lie in 1 .. ``capacity``.  Every row is placed once; offsets are
-    gapless within a sequence.  Repeated rows are packed separately.  Bins filled
-    below ``reopen`` take part in the next round.  An empty table gives no rows.
+    gapless within a sequence.  Repeated rows are packed one by one.  The layout
+    depends on the rows alone, not on partitions.  Bins filled below ``reopen``
+    are packed again in the next round, until they fit one group or a round
+    saves no bin.  An empty table gives no rows; long texts arrive as several pieces.
     """
-    rows = written(pieces.withColumn("__row", F.monotonically_increasing_id()))
-    done = None
-    for round_ in range(rounds):
-        n = rows.select(F.count(F.lit(1))).first()[0]
-        if not n:
-            break
-        packed = written(_pack_round(rows, n, round_, capacity, group_rows, reopen))
-        last = round_ == rounds - 1 or n <= group_rows
+    rows = pieces.select(*_KEYS, "start")
+    done, bins_before, round_ = None, None, 0
+    while True:
+        packed = written(_pack_round(rows, round_, capacity, group_rows, reopen))
+        n, bins, n_open, bins_open = packed.agg(
+            F.count(F.lit(1)), F.count(F.when(F.col("offset") == 0, 1)), F.count(F.when(F.col("__open"), 1)),
+            F.count(F.when(F.col("__open") & (F.col("offset") == 0), 1))).first()
+        last = n <= group_rows or n_open == 0 or (bins_before is not None and bins >= bins_before)
         fixed = packed if last else packed.where("NOT __open")
         done = fixed if done is None else done.unionByName(fixed)
         if last:
-            break
-        rows = packed.where("__open").select(*rows.columns)
-    if done is None:
-        done = rows.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    return done.drop("__row", "__open")
+            return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+        rows, bins_before, round_ = packed.where("__open").select(*rows.columns), bins_open, round_ + 1
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

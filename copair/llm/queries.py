@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copair.llm import (
-    chat_events, cp_lsh, cube_mix, hd_langid, histogram_sort, packing, pii_crf, rp_forest, simhash_ring, toxicity_gbt,
+    chat_events, cp_lsh, cube_mix, ffd_tournament, hd_langid, histogram_sort, merkle_rollup, packing, pii_crf, rp_forest,
+    simhash_ring, spectrum_slicing, toxicity_gbt,
 )
 from copair.llm.common import crc_of, table
 
@@ -83,9 +84,33 @@ def op10_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp_lsh.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op11_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ffd_tournament.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*columns)
+    low = merkle_rollup.lower_ascii(F.col("text"))
+    other = merkle_rollup.hashed(*[merkle_rollup.field(low if c == "text" else F.col(c)) for c in columns])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(hit & (low != F.col("text")), other)
+    found = merkle_rollup.manifest(docs, columns, tree="lang", order="doc_id", carry={"tampered": tampered})
+    again = merkle_rollup.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle_rollup.proof_hash(F.col("path")).alias("proof_sha256"),
+                        again.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = spectrum_slicing.whiten(table(spark, sf_dir, "embeddings"))
+    return white.select(F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+                        "whitened", "explained", "identity_error")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pack_sequences, op2_find_personal_data, op3_mix_sources, op4_nearest_vectors, op5_format_chats,
-    op6_score_toxicity, op7_shard_by_bytes, op8_identify_language, op9_simhash_groups, op10_embedding_groups)}
+    op6_score_toxicity, op7_shard_by_bytes, op8_identify_language, op9_simhash_groups, op10_embedding_groups, op11_pack_tokens,
+    op12_merkle_manifest, op13_whiten_embeddings)}
 
 def _times(text: str, part: str) -> str:
     """SQL: how often ``part`` occurs in ``text``."""
@@ -96,6 +121,60 @@ def _times(text: str, part: str) -> str:
 _ESCAPES = " + ".join(_times("text", c) for c in ("\\", *chat_events.CONTROL))
 _FRAME = len(chat_events.TURN) + len(chat_events.END) + 2
 
+#: Levels of the unrolled Merkle SQL: trees of up to 8 ** 6 leaves.
+_LEVELS = 6
+
+
+def _merkle_sql() -> str:
+    """SQL: the tree of each lang and the tree over the langs, level by level."""
+    value = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    fields = lambda text: " || ".join([value(c) for c in ("doc_id", "source", "lang", "n_chars")] + [value(text)])
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda a, z: {bit})"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, b: {byte}), 4294967295)"
+    out = [f"""h AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS tree, sha256({fields('text')}) AS leaf,
+         CASE WHEN {crc} % 3 = 0 THEN sha256({fields(low)}) END AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM h)"""]
+
+    def tree(name: str, nodes: str, key: str) -> str:
+        """The levels of the trees in ``nodes(key, i, h)``; gives the name of their top level."""
+        out.append(f"{name}0 AS ({nodes})")
+        for k in range(_LEVELS):
+            runs = f"PARTITION BY {key}, i // 8 ORDER BY i ROWS BETWEEN"
+            out.append(f"""{name}{k}p AS (
+  SELECT *, count(*) OVER (PARTITION BY {key}) > 1 AS several,
+         coalesce(string_agg(h, '') OVER ({runs} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(h, '') OVER ({runs} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM {name}{k}),
+{name}{k + 1} AS (
+  SELECT {key}, i // 8 AS i, CASE WHEN any_value(several) THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h
+  FROM {name}{k}p GROUP BY {key}, i // 8)""")
+        return f"{name}{_LEVELS}"
+
+    sub = tree("s", "SELECT tree, rank AS i, leaf AS h FROM l", "tree")
+    out.append(f"o AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS rank FROM {sub})")
+    top = tree("t", "SELECT 0 AS one, rank AS i, subroot AS h FROM o", "one")
+    levels = [f"s{k}p" for k in range(_LEVELS)] + [f"t{k}p" for k in range(_LEVELS)]
+    joins, fold, proof = [], "coalesce(tampered, leaf)", []
+    for k, name in enumerate(levels):
+        k %= _LEVELS
+        own = f"l.tree = {name}.tree AND l.rank // {8 ** k} = {name}.i" if name[0] == "s" else f"o.rank // {8 ** k} = {name}.i"
+        joins.append(f"JOIN {name} ON {own}")
+        proof.append(f"CASE WHEN {name}.several THEN {name}.lft || {name}.rgt ELSE '' END")
+    steps = []
+    for k, name in enumerate(levels):
+        steps.append(f"f{k + 1} AS (SELECT *, CASE WHEN {name}_s THEN sha256({name}_l || c{k} || {name}_r) ELSE c{k} END AS c{k + 1} FROM f{k})")
+    picked = ", ".join(f"{n}.several AS {n}_s, {n}.lft AS {n}_l, {n}.rgt AS {n}_r" for n in levels)
+    out.append(f"""f0 AS (
+  SELECT l.doc_id, l.leaf, o.subroot, {top}.h AS root, sha256({' || '.join(proof)}) AS proof_sha256, {fold} AS c0, {picked}
+  FROM l JOIN o ON l.tree = o.tree CROSS JOIN {top} {' '.join(joins)})""")
+    last = f"c{len(levels)}"
+    return (f"WITH {', '.join(out + steps)} SELECT doc_id, leaf, subroot, root, proof_sha256, {last} AS folded_root, "
+            f"{last} = root AS verified FROM f{len(levels)}")
+
+
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op5_format_chats": f"""
@@ -120,4 +199,5 @@ low AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u),
 n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
 SELECT low.u AS vec_id, coalesce(n.n, 0) AS n_links, low.component_id, low.u = low.component_id AS kept
 FROM low LEFT JOIN n ON low.u = n.u""",
+    "op12_merkle_manifest": _merkle_sql(),
 }

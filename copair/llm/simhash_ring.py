@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copair.llm.common import numbered, written
+from copair.llm.common import identified, written
 from copair.llm.components import components
 
 SEGMENTS = 4
@@ -181,11 +181,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """The rows of ``docs``, all columns, with one document of each near-duplicate group.
 
     The row whose id is the group's smallest stays (among repeated rows of that
-    id one of them; in a group without ids one row).  Rows carry a written number,
+    id one of them; in a group without ids one row).  Rows carry their identity,
     so ids may repeat or be null: decisions are per row.
     """
-    rows = numbered(docs, "__row")
-    digest = F.xxhash64(text_col).alias("__digest")  # the row number alone would depend on the input's files
-    groups = near_duplicates(rows, id_col, text_col, width, max_bits, carry=(F.col("__row"), digest))
-    kept = groups.where("id <=> component_id").groupBy("root").agg(F.min(F.struct("__digest", "__row")).alias("first"))
-    return rows.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    rows, names = identified(docs)
+    digest = F.xxhash64(text_col).alias("__digest")  # a row's place alone would depend on the input's files
+    groups = near_duplicates(rows, id_col, text_col, width, max_bits, carry=(*map(F.col, names), digest))
+    kept = groups.where("id <=> component_id").groupBy("root").agg(F.min(F.struct("__digest", *names)).alias("first"))
+    return rows.join(kept.select(*[F.col(f"first.{c}") for c in names]), names, "left_semi").select(*docs.columns)

@@ -74,18 +74,21 @@ def test_empty_table(spark):
     assert cube_mix.mixed_rows(no_docs(spark)).count() == 0
 
 
-def test_rows_without_ids_are_dealt_to_many_blocks_and_meet_their_own_decisions(spark):
-    n, block = 3000, 100
-    docs = spark.range(n, numPartitions=6).select(
+def nearly_same_docs(spark, n=3000, parts=6):
+    return spark.range(n, numPartitions=parts).select(
         F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"),
         F.concat(F.lit("n"), "id", F.repeat(F.lit(" w"), (F.col("id") % 6 * 3).cast("int"))).alias("text"))
-    rows = cube_mix.numbered(docs, "__row")
-    taken, plan = cube_mix._mix(rows, F.col("__row"), "doc_id", "text", "source", block, 20)
-    copies = {r["row"]: r["copies"] for r in taken.collect()}
-    assert len(copies) == n
-    want = sorted(r["text"] for r in rows.collect() for _ in range(copies[r["__row"]]))
-    mixed = cube_mix.mixed_rows(docs, block_rows=block)
-    assert sum(1 for _ in want) == mixed.count()
+
+
+def test_rows_without_ids_meet_their_own_decisions(spark):
+    docs = nearly_same_docs(spark)
+    rows, names = cube_mix.identified(docs)
+    taken, plan = cube_mix._mix(rows, names, "doc_id", "text", "source", 100, 20)
+    copies = {tuple(r[c] for c in names): r["copies"] for r in taken.collect()}
+    assert len(copies) == 3000
+    want = sorted(r["text"] for r in rows.collect() for _ in range(copies[tuple(r[c] for c in names)]))
+    mixed = cube_mix.mixed_rows(docs, block_rows=100)
+    assert want == sorted(r["text"] for r in mixed.collect())
     words = {r[0]: r[1] for r in mixed.groupBy("source").agg(F.sum(cube_mix.word_count(F.col("text")))).collect()}
     for s in plan:
         assert abs(words[s.name] - s.target) <= 20
@@ -94,9 +97,36 @@ def test_rows_without_ids_are_dealt_to_many_blocks_and_meet_their_own_decisions(
     assert "collect_list" not in mixed._jdf.queryExecution().toString()
 
 
-def test_equal_id_and_size_are_split(spark):
-    docs = spark.range(2000, numPartitions=4).select(F.lit(None).cast("long").alias("id"), F.lit(5).cast("long").alias("size"),
-                                                     F.lit("a").alias("source"), F.monotonically_increasing_id().alias("row"))
-    salted = cube_mix._salted(docs, 64)
-    assert salted.select("salt").distinct().count() == 2000
-    assert cube_mix._salted(docs.limit(50), 64).select("salt").distinct().count() == 1
+def test_reruns_agree_on_any_partitioning(spark):
+    takes = []
+    for parts in (3, 11):
+        taken, _ = cube_mix.mix(nearly_same_docs(spark, parts=parts), block_rows=100)
+        takes.append(rows_of(taken, "id", "src", "size", "copies"))
+    assert takes[0] == takes[1]
+
+
+def test_equal_rows_are_split_into_blocks(spark):
+    docs = spark.range(2000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"),
+                                                     F.lit("v w x y z").alias("text"))
+    taken, plan = cube_mix.mix(docs.unionByName(docs.limit(700).withColumn("source", F.lit("b"))), block_rows=50)
+    assert taken.count() == 2700
+    for s in plan:
+        got = taken.where(F.col("src") == s.index).agg(F.sum(F.col("size") * F.col("copies"))).first()[0]
+        assert abs(got - s.target) <= 5
+
+
+def test_landing_equals_all_roundings():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(1, 9))
+        prob, size = rng.random(n).tolist(), rng.integers(0, 50, n).astype(float).tolist()
+        out = cube_mix.landing(prob, size)
+        miss = lambda c: abs(np.dot(np.array(c) - prob, size)) + abs(np.sum(np.array(c) - prob))
+        best = min(miss([(k >> j) & 1 for j in range(n)]) for k in range(1 << n))
+        assert set(out) <= {0.0, 1.0} and miss(out) <= best + 1e-6
+
+
+def test_names_of_users_columns_are_kept(spark):
+    docs = odd_docs(spark).withColumns({c: F.lit(7) for c in ("__file", "__at", "__times", "__tie", "__part")})
+    out = cube_mix.mixed_rows(docs)
+    assert out.columns == docs.columns and out.select("__file", "__at", "__times").distinct().collect() == [(7, 7, 7)]

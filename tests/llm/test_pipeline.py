@@ -36,6 +36,9 @@ COLUMNS = {
     "op8": "doc_id held_out lang_pred score",
     "op9": "doc_id fingerprint component_id",
     "op10": "vec_id n_links component_id kept",
+    "op11": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op12": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13": "vec_id component n deviation whitened explained identity_error",
 }
 
 
@@ -45,14 +48,14 @@ def test_queries_on_odd_and_empty_tables(spark, folder, empty_folder, name):
     df = query(spark, folder)
     assert set(columns) <= set(df.columns)
     rows = df.collect()
-    if name.startswith(("op2", "op3", "op6", "op7", "op8", "op9")):
+    if name.startswith(("op2", "op3", "op6", "op7", "op8", "op9", "op12")):
         assert len(rows) == 10
     assert query(spark, empty_folder).count() == (1 if name.startswith("op5") else 0)
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_stages_keep_columns_and_extra_ones(spark, folder):
