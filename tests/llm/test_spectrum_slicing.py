@@ -78,10 +78,10 @@ def test_whitening_equals_brute_force(spark):
 def test_identity_and_one_sign_for_all(spark):
     rows = ss.whiten(vectors_table(spark, 1)).collect()
     assert {r["identity_error"] for r in rows} == {rows[0]["identity_error"]} and rows[0]["identity_error"] < 1e-9
-    same = {}
+    by_id = {}
     for r in rows:
-        same.setdefault((r["deviation"], r["component"]), set()).add(r["whitened"])
-    assert all(len(v) == 1 for v in same.values())
+        by_id.setdefault(r["id"], {})[r["component"]] = r["whitened"]
+    assert len(by_id[5]) == 16 and all(np.isclose(by_id[5][c], by_id[6][c], rtol=1e-12) for c in by_id[5])
 
 
 def test_few_dimensions_one_vector_and_none(spark):
