@@ -35,13 +35,14 @@ CONSTANT_PROB = 0.99 - 1.0 / 210.0
 CONSTANT_ALPHA = 0.01
 
 
-def encode_expr(seq: Column | str) -> Column:
-    """STRING -> ARRAY<TINYINT>: code of each character, -1 when unknown."""
+def encode_expr(seq: Column | str, unknown: int = -1) -> Column:
+    """STRING -> ARRAY<TINYINT>: code of each character, ``unknown`` when it is not in the alphabet."""
     s = F.col(seq) if isinstance(seq, str) else seq
-    codes = F.transform(
-        F.sequence(F.lit(1), F.length(s)),
-        lambda i: (F.instr(F.lit(ALPHABET), F.substring(s, i, 1)) - 1).cast("tinyint"),
-    )
+    def code(i: Column) -> Column:
+        at = F.instr(F.lit(ALPHABET), F.substring(s, i, 1)) - 1
+        return (at if unknown == -1 else F.when(at >= 0, at).otherwise(F.lit(unknown))).cast("tinyint")
+
+    codes = F.transform(F.sequence(F.lit(1), F.length(s)), code)
     return F.when(F.length(s) > 0, codes).otherwise(F.array().cast("array<tinyint>"))
 
 

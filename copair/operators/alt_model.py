@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from copair.functions.alphabet import CONSTANT_PROB, N_CODES, PC_ALT
 from copair.operators import kernels as K
 from copair.operators.models import KIND_NAMES, MAX_MODEL_BYTES, check_broadcast, layout
-from copair.operators.null_model import pwm_lookup
+from copair.operators.null_model import pwm_lookup, pwm_residues
 from copair.operators.prep import long_view
 
 
@@ -79,6 +79,53 @@ def score_alt(state: DataFrame, sides: dict, width_a: int, width_b: int, out: st
     return state.mapInArrow(kernel, schema)
 
 
+def score_starts(state: DataFrame, sides: list[dict], pwms: list[dict], width_a: int, width_b: int,
+                 residues: bool = False) -> DataFrame:
+    """Append ``alt_llh`` and ``null_llh`` arrays, an entry per model set, in one pass over the pairs.
+
+    With ``residues`` also ``alt_a``, ``alt_b``, ``null_a``, ``null_b``: per model set the
+    log-probability of every position, whose sums are the former."""
+    check_broadcast({(i, s): sm for i, one in enumerate(sides) for s, sm in one.items()})
+    bc = state.sparkSession.sparkContext.broadcast(
+        [({s: (sm.model_dict(), sm.groups_dict(), sm.gpos) for s, sm in one.items()}, pwm) for one, pwm in zip(sides, pwms)])
+    extra = [f"{m}_{s}" for m in ("alt", "null") for s in "ab"] if residues else []
+    cells = T.ArrayType(T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*state.schema.fields, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("alt_llh", "null_llh")],
+                           *[T.StructField(c, cells) for c in extra]])
+
+    def kernel(batches):
+        sets = [(models, pwm_residues(pwm)) for models, pwm in bc.value]
+        for batch in batches:
+            n = batch.num_rows
+            a, b = K.codes_matrix(batch.column("a"), width_a), K.codes_matrix(batch.column("b"), width_b)
+            per = {f"{m}_{s}": [] for m in ("alt", "null") for s in "ab"}
+            for models, null in sets:
+                for s, t, o in (("A", a, b), ("B", b, a)):
+                    model, groups, gpos = models[s]
+                    mat = np.zeros(t.shape)
+                    mat[:, gpos] = K.group_logprobs(t, o, model, groups)  # one group per column
+                    per[f"alt_{s.lower()}"].append(mat)
+                for s, mat in zip("ab", null(a, b)):
+                    per[f"null_{s}"].append(mat)
+            totals = [np.stack([x.sum(axis=1) + y.sum(axis=1) for x, y in zip(per[f"{m}_a"], per[f"{m}_b"])], axis=1)
+                      for m in ("alt", "null")]
+            cols = [*batch.columns, *[_nested(t) for t in totals], *[_nested(np.stack(per[c], axis=1)) for c in extra]]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "alt_llh", "null_llh", *extra])
+
+    return state.mapInArrow(kernel, schema)
+
+
+def _nested(x: np.ndarray) -> pa.Array:
+    """A list column of the rows of ``x`` (lists of lists if it has three dimensions)."""
+    values = pa.array(np.ascontiguousarray(x).ravel(), type=pa.float64())
+    size = x.size
+    for width in x.shape[:0:-1]:
+        size = size // width if width else 0
+        rows = size if width else int(np.prod(x.shape[:-1]))
+        values = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), values)
+    return values
+
+
 # --------------------------------------------------------------------------
 # model tables (DataFrames) <-> model blocks
 # --------------------------------------------------------------------------

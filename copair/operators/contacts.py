@@ -24,32 +24,42 @@ def position_grid(spark, width_a: int, width_b: int) -> DataFrame:
     ) if width_b > 0 else spark.createDataFrame([], "pos_a int, pos_b int")
 
 
-def coupling_blocks(coefs: DataFrame) -> DataFrame:
+def coupling_blocks(coefs: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Coefficients regrouped by the opposite position block:
     A-models give (pos_a = pos, pos_b = feat_pos), B-models the transpose."""
-    a_rows = coefs.where("side = 'A'").select(F.col("pos").alias("pos_a"), F.col("feat_pos").alias("pos_b"),
+    a_rows = coefs.where("side = 'A'").select(*keys, F.col("pos").alias("pos_a"), F.col("feat_pos").alias("pos_b"),
                                               "cls", "feat_aa", "value")
-    b_rows = coefs.where("side = 'B'").select(F.col("feat_pos").alias("pos_a"), F.col("pos").alias("pos_b"),
+    b_rows = coefs.where("side = 'B'").select(*keys, F.col("feat_pos").alias("pos_a"), F.col("pos").alias("pos_b"),
                                               "cls", "feat_aa", "value")
     return a_rows.unionByName(b_rows)
 
 
-def couplings(coefs: DataFrame, width_a: int, width_b: int) -> DataFrame:
+def couplings(coefs: DataFrame, width_a: int, width_b: int, sets: DataFrame | None = None) -> DataFrame:
     """``strength(i,j) = sqrt(sum coefA_i[:, block j]^2 + sum coefB_j[:, block i]^2)``
-    over the full grid (0 where no coefficient), with the ``A{i}:B{j}`` name."""
-    spark = coefs.sparkSession
-    sums = coupling_blocks(coefs).groupBy("pos_a", "pos_b").agg(F.sum(F.col("value") * F.col("value")).alias("ss"))
-    grid = position_grid(spark, width_a, width_b)
-    out = grid.join(sums, ["pos_a", "pos_b"], "left").select(
-        "pos_a", "pos_b", F.sqrt(F.coalesce(F.col("ss"), F.lit(0.0))).alias("strength"))
+    over the full grid (0 where no coefficient), with the ``A{i}:B{j}`` name.
+
+    ``sets`` has a row per model set (such as start and iteration) whose columns
+    ``coefs`` has too; each set gets a grid of its own."""
+    keys = sets.columns if sets is not None else []
+    sums = coupling_blocks(coefs, keys).groupBy(*keys, "pos_a", "pos_b").agg(F.sum(F.col("value") * F.col("value")).alias("ss"))
+    if sets is None:
+        grid = position_grid(coefs.sparkSession, width_a, width_b)
+    else:
+        cells = F.explode(F.sequence(F.lit(0), F.lit(width_a * width_b - 1))) if width_a * width_b else F.explode(F.array().cast("array<int>"))
+        grid = sets.select(*keys, cells.alias("cell")).select(
+            *keys, F.expr(f"int(cell div {max(width_b, 1)})").alias("pos_a"), (F.col("cell") % max(width_b, 1)).cast("int").alias("pos_b"))
+    out = grid.join(sums, [*keys, "pos_a", "pos_b"], "left").select(
+        *keys, "pos_a", "pos_b", F.sqrt(F.coalesce(F.col("ss"), F.lit(0.0))).alias("strength"))
     return out.withColumn("name", F.concat(F.lit("A"), F.col("pos_a"), F.lit(":B"), F.col("pos_b")))
 
 
-def apc(cmap: DataFrame, col: str = "strength", out: str = "apc") -> DataFrame:
-    """``c_ij - rowmean_i * colmean_j / mean`` (NULL when the mean is 0)."""
-    row_mean = F.avg(col).over(Window.partitionBy("pos_a"))
-    col_mean = F.avg(col).over(Window.partitionBy("pos_b"))
-    all_mean = cmap.agg(F.avg(col)).scalar()  # one row
+def apc(cmap: DataFrame, col: str = "strength", out: str = "apc", keys: tuple = ()) -> DataFrame:
+    """``c_ij - rowmean_i * colmean_j / mean`` (NULL when the mean is 0), per set of ``keys``.
+
+    All three means are windows over the one table, so the couplings are computed once."""
+    row_mean = F.avg(col).over(Window.partitionBy(*keys, "pos_a"))
+    col_mean = F.avg(col).over(Window.partitionBy(*keys, "pos_b"))
+    all_mean = F.avg(col).over(Window.partitionBy(*(keys or [F.lit(0)])))
     return cmap.withColumn(out, F.col(col) - F.try_divide(row_mean * col_mean, all_mean))
 
 

@@ -1,26 +1,34 @@
 """Distributed fitting of the coevolution model: for every column of one
 side, an elastic-net logistic regression (one-vs-rest over the column's
 classes; one model for two classes) on the one-hot encoding of the other
-side, optionally weighted, for one or many regularisation strengths.
+side, optionally weighted, for one or many regularisation strengths, and for
+one or many weightings of the same rows (the starts of an EM run).
 
 Objective of one model (n = rows fitted, r = l1 ratio, intercept free):
     (1/n) sum_i w_i logloss(y_i, b + x_i.beta) + alpha (r |beta|_1 + (1-r)/2 |beta|^2)
 
-Active-set proximal Newton, all open models of both sides in each data pass:
+Active-set proximal Newton, the open models of both sides and all starts together:
   1. one aggregation gives classes, class weights and closed-form intercepts;
      models with alpha*r >= 0.25*mean(w) are optimal at beta = 0 (every gradient of
      the intercept-only model is a weighted covariance of 0/1 variables) and need
      no pass;
-  2. a pass broadcasts the sparse coefficients (size-checked); each task returns, per
-     block of models, the loss, the full gradient and the Hessian on the models'
-     working features only;
-  3. partials are summed by (side, block, bucket) and then by (side, block), so that
-     no task sees all of them; the task that sums a block also makes its models'
-     step: coordinate descent on the quadratic model, a halved step if the loss
-     rose, admission of features that violate optimality, and the optimality
-     (KKT) residual.  Only sparse coefficients return to the driver;
-  4. a model leaves when its residual is at most ``tol``.  There is no pass limit
-     unless the caller sets one; what then has not converged is marked.
+  2. a pass broadcasts sparse coefficients; each task returns, per block of models,
+     the loss, the gradient and the Hessian on the models' working features only;
+  3. screening: a model's first pass has the gradient of all features; after it only
+     those whose gradient is near the strength (the sequential strong rule, floored
+     at half the strength) or that are in use take part.  A model that is optimal on
+     them gets a pass with all features again: violators join, or it is done, so the
+     rule never decides a result;
+  4. block plan: blocks hold at most ``BLOCK_BYTES`` of sums and passes ``pass_bytes``,
+     whatever the number of open models and features; more models mean more passes;
+  5. partials are summed by (block, bucket) and then by block, so that no task sees
+     all of them; the task that sums a block also makes its models' step: coordinate
+     descent on the quadratic model, a halved step if the loss rose, admission of
+     features that violate optimality, and the optimality (KKT) residual.  Only
+     sparse coefficients and screened feature numbers return to the driver;
+  6. a model leaves when its residual over all features is at most ``tol``.  One that
+     rounding keeps from it (50 halvings, or ``STUCK`` passes without progress) stops
+     and is marked, as is what a caller's pass limit leaves.
 Strengths are solved in rounds, strongest first, warm-started; a column leaves
 after its first model with df > dfmax.
 """
@@ -44,10 +52,15 @@ from copair.operators.models import KIND_NAMES, SideModels, check_broadcast, lay
 
 #: Intercept of a class with no weight or all weight (its optimum is infinite).
 INTERCEPT_CLAMP = 35.0
-#: Models per block of a pass; a block's dense slice is this many rows of features.
-BLOCK_MODELS = 128
+#: Models per block of a pass, and bytes of a block's sums (one model may exceed them alone).
+BLOCK_MODELS = 32
+BLOCK_BYTES = 4 << 20
+#: Bytes of all sums that a task keeps in one pass.
+PASS_BYTES = 64 << 20
 #: Features that may enter a model's working set in one pass.
 ADMIT = 60
+#: Passes without progress after which a model counts as stalled.
+STUCK = 12
 
 
 # --------------------------------------------------------------------------
@@ -62,20 +75,35 @@ class RowStats:
     wsum: dict  # side -> (L, 21) weight sums per code
 
 
-def row_stats(rows: DataFrame, width_a: int, width_b: int) -> RowStats:
-    """One aggregation: count and weight per (side, pos, aa); at most 21 (La+Lb) rows."""
+def stats_of_starts(rows: DataFrame, width_a: int, width_b: int, starts: int, members: bool) -> list[RowStats]:
+    """One aggregation over ``rows(a, b, w array)``: count and weight per (side, pos, aa) and start.
+
+    With ``members`` only rows of positive weight belong to a start; otherwise all do.
+    At most 21 (La+Lb) rows reach the driver."""
     side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("codes"))
-    lv = rows.select(F.col("w").cast("double").alias("w"), F.inline(F.array(side("A", "a"), side("B", "b")))).select(
+    lv = rows.select("w", F.inline(F.array(side("A", "a"), side("B", "b")))).select(
         "w", "side", F.posexplode("codes").alias("pos", "aa"))
-    agg = lv.groupBy("side", "pos", "aa").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw")).collect()
-    widths = {"A": width_a, "B": width_b}
-    counts, wsum = ({s: np.zeros((widths[s], N_CODES)) for s in widths} for _ in range(2))
-    for r in agg:
-        counts[r.side][r.pos, r.aa] = r.n
-        wsum[r.side][r.pos, r.aa] = r.sw or 0.0
+    one = [F.count(F.when(F.col("w")[k] > 0, 1) if members else F.lit(1)).alias(f"n{k}") for k in range(starts)]
+    agg = lv.groupBy("side", "pos", "aa").agg(*one, *[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(starts)]).collect()
+    widths, out = {"A": width_a, "B": width_b}, []
     some = "A" if width_a else "B"
-    n, sum_w = (int(counts[some][0].sum()), float(wsum[some][0].sum())) if widths[some] else (0, 0.0)
-    return RowStats(n, sum_w, counts, wsum)
+    for k in range(starts):
+        counts, wsum = ({s: np.zeros((widths[s], N_CODES)) for s in widths} for _ in range(2))
+        for r in agg:
+            counts[r.side][r.pos, r.aa] = r[f"n{k}"]
+            wsum[r.side][r.pos, r.aa] = r[f"s{k}"] or 0.0
+        n, sum_w = (int(counts[some][0].sum()), float(wsum[some][0].sum())) if widths[some] else (0, 0.0)
+        out.append(RowStats(n, sum_w, counts, wsum))
+    return out
+
+
+def _one_start(rows: DataFrame) -> DataFrame:
+    return rows.select("a", "b", F.array(F.col("w").cast("double")).alias("w"))
+
+
+def row_stats(rows: DataFrame, width_a: int, width_b: int) -> RowStats:
+    """``stats_of_starts`` of ``rows(a, b, w double)``."""
+    return stats_of_starts(_one_start(rows), width_a, width_b, 1, members=False)[0]
 
 
 def column_classes(stats: RowStats, side: str) -> list[np.ndarray]:
@@ -94,21 +122,21 @@ def closed_form_intercepts(sm: SideModels, stats: RowStats) -> None:
 # distributed passes
 # --------------------------------------------------------------------------
 
-_PART = "side string, block int, bucket int, blob binary"
+_PART = "block int, bucket int, blob binary"
 
 
-def _reduced(rows: DataFrame, partial, finish, schema: str) -> DataFrame:
-    """Sum the vectors ``partial(batches) -> {(side, block): vector}`` of all tasks, then ``finish``.
+def _reduced(rows: DataFrame, partial, finish, schema: str, blocks: int) -> DataFrame:
+    """Sum the vectors ``partial(batches) -> {block: vector}`` of all tasks, then ``finish(block, sum)``.
 
     Two levels: a bucket of about sqrt(tasks) partials, then a block's buckets."""
     fan = max(1, math.isqrt(max(1, rows.rdd.getNumPartitions())))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = TaskContext.get().partitionId() % fan
-        for (side, block), vector in partial(batches).items():
+        for block, vector in partial(batches).items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([side]), pa.array([block], pa.int32()), pa.array([bucket], pa.int32()),
-                 pa.array([vector.tobytes()], pa.binary())], names=["side", "block", "bucket", "blob"])
+                [pa.array([block], pa.int32()), pa.array([bucket], pa.int32()), pa.array([vector.tobytes()], pa.binary())],
+                names=["block", "bucket", "blob"])
 
     def total(pdf: pd.DataFrame) -> np.ndarray:
         out = np.frombuffer(pdf["blob"].iloc[0]).copy()
@@ -117,43 +145,60 @@ def _reduced(rows: DataFrame, partial, finish, schema: str) -> DataFrame:
         return out
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"side": [key[0]], "block": [key[1]], "bucket": [key[2]], "blob": [total(pdf).tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "bucket": [key[1]], "blob": [total(pdf).tobytes()]})
 
     def last(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return finish(key[0], int(key[1]), total(pdf))
+        return finish(int(key[0]), total(pdf))
 
     parts = rows.mapInArrow(emit, _PART)
-    sums = parts.groupBy("side", "block", "bucket").applyInPandas(add, _PART)
-    return sums.groupBy("side", "block").applyInPandas(last, schema)
+    sums = parts.groupBy("block", "bucket").applyInPandas(add, _PART)
+    # a number of its own: the sums are few bytes, but each block is a good deal of work
+    return sums.repartition(blocks, "block").groupBy("block").applyInPandas(last, schema)
 
 
-def _sides_of(batch: pa.RecordBatch, width_a: int, width_b: int):
-    a, b = K.codes_matrix(batch.column("a"), width_a), K.codes_matrix(batch.column("b"), width_b)
-    return (("A", a, b), ("B", b, a))
+def _batches(batches: Iterator[pa.RecordBatch], width_a: int, width_b: int):
+    """``(side -> (own codes, opposite codes), weights (rows, starts))`` of Arrow batches of ``(a, b, w)``."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            a, b = K.codes_matrix(batch.column("a"), width_a), K.codes_matrix(batch.column("b"), width_b)
+            w = batch.column("w").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+            yield {"A": (a, b), "B": (b, a)}, w
 
 
-def group_logprob_sums(rows: DataFrame, sides: dict, width_a: int, width_b: int) -> dict[str, np.ndarray]:
-    """Sum over rows of the observed-class log-probability per group (for BIC)."""
+def logprob_sums(rows: DataFrame, sides: dict, width_a: int, width_b: int, members: bool) -> dict:
+    """Sum over a start's rows of the observed-class log-probability per group (for BIC).
+
+    ``sides[(start, side)]``; the result has the same keys."""
     check_broadcast(sides)
-    bc = rows.sparkSession.sparkContext.broadcast({s: (sm.model_dict(), sm.groups_dict()) for s, sm in sides.items()})
+    keys = list(sides)
+    bc = rows.sparkSession.sparkContext.broadcast([(sides[k].model_dict(), sides[k].groups_dict()) for k in keys])
 
     def partial(batches):
         acc: dict = {}
-        for batch in batches:
-            for s, t, o in _sides_of(batch, width_a, width_b):
-                if s in bc.value and batch.num_rows:
-                    lp = K.group_logprobs(t, o, *bc.value[s]).sum(axis=0)
-                    acc[(s, 0)] = acc[(s, 0)] + lp if (s, 0) in acc else lp
+        for codes, w in _batches(batches, width_a, width_b):
+            for i, (start, s) in enumerate(keys):
+                mine = w[:, start] > 0 if members else slice(None)
+                t, o = (c[mine] for c in codes[s])
+                lp = K.group_logprobs(t, o, *bc.value[i]).sum(axis=0)
+                acc[i] = acc[i] + lp if i in acc else lp
         return acc
 
-    finish = lambda side, block, v: pd.DataFrame({"side": side, "g": np.arange(len(v)), "v": v})
-    out = {s: np.zeros(len(sm.kind)) for s, sm in sides.items()}
-    for r in _reduced(rows.select("a", "b"), partial, finish, "side string, g long, v double").collect():
-        out[r.side][r.g] = r.v
+    finish = lambda i, v: pd.DataFrame({"i": i, "g": np.arange(len(v)), "v": v})
+    out = {k: np.zeros(len(sides[k].kind)) for k in keys}
+    for r in _reduced(rows.select("a", "b", "w"), partial, finish, "i int, g long, v double", len(keys)).collect():
+        out[keys[r.i]][r.g] = r.v
     bc.unpersist()
     return out
 
 
+def group_logprob_sums(rows: DataFrame, sides: dict, width_a: int, width_b: int) -> dict[str, np.ndarray]:
+    """``logprob_sums`` of ``rows(a, b)`` for the sides of one model set."""
+    sums = logprob_sums(_one_start(rows.select("a", "b", F.lit(1.0).alias("w"))), {(0, s): sm for s, sm in sides.items()},
+                        width_a, width_b, members=False)
+    return {s: sums[(0, s)] for s in sides}
+
+
 def logprob_table(spark, rows: DataFrame, sides: dict, width_a: int, width_b: int) -> DataFrame:
     """``(side, pos, alpha, sum_logp)`` of every group."""
     sums = group_logprob_sums(rows, sides, width_a, width_b)
@@ -171,32 +216,38 @@ def descend(g: np.ndarray, h: np.ndarray, w: np.ndarray, l1: float, l2: float, s
 
     ``g`` and ``h`` are loss gradient and Hessian at ``w`` (without the l2 term)."""
     new, n = w.copy(), len(w)
-    diag = h.diagonal() + np.r_[np.full(n - 1, l2), 0.0]
+    diag = (h.diagonal() + np.r_[np.full(n - 1, l2), 0.0]).tolist()
+    everything = [j for j in range(n) if diag[j] > 1e-14]
+    coords = everything
     hd = np.zeros(n)  # h @ (new - w)
     for _ in range(sweeps):
         biggest = 0.0
-        for j in range(n):
-            if diag[j] <= 1e-14:
-                continue
+        for j in coords:
+            at = float(new[j])
+            slope = float(g[j]) + float(hd[j])
             if j == n - 1:
-                value = new[j] - (g[j] + hd[j]) / diag[j]
+                value = at - slope / diag[j]
             else:
-                point = diag[j] * new[j] - (g[j] + hd[j] + l2 * new[j])
+                point = diag[j] * at - (slope + l2 * at)
                 value = math.copysign(max(abs(point) - l1, 0.0), point) / diag[j]
-            step = value - new[j]
+            step = value - at
             if step:
                 new[j] = value
-                hd += step * h[:, j]
+                hd += step * h[j]
                 biggest = max(biggest, abs(step) * math.sqrt(diag[j]))
-        if biggest < eps:
+        if biggest >= eps:  # the coordinates in use first, then a look at all again
+            coords = [j for j in everything if new[j] or j == n - 1]
+        elif coords is everything or len(coords) == len(everything):
             break
+        else:
+            coords = everything
     return new
 
 
-def residual(g: np.ndarray, gb: float, w: np.ndarray, l1: float, l2: float, usable: np.ndarray) -> tuple[float, np.ndarray]:
+def residual(g: np.ndarray, gb: float, w: np.ndarray, l1: float, l2: float) -> tuple[float, np.ndarray]:
     """Largest violation of the optimality conditions, and each feature's."""
     full = g + l2 * w
-    each = np.where(w != 0, np.abs(full + l1 * np.sign(w)), np.maximum(np.abs(full) - l1, 0.0)) * usable
+    each = np.where(w != 0, np.abs(full + l1 * np.sign(w)), np.maximum(np.abs(full) - l1, 0.0))
     return max(float(each.max(initial=0.0)), abs(gb)), each
 
 
@@ -204,155 +255,210 @@ def residual(g: np.ndarray, gb: float, w: np.ndarray, l1: float, l2: float, usab
 class Trial:
     """State of an open model between passes: the accepted point and the one on trial."""
 
-    feats: np.ndarray  # working set of the trial point
+    feats: np.ndarray  # working set of the trial point, ascending
     coefs: np.ndarray
     b: float
     old_feats: np.ndarray
     old_coefs: np.ndarray
     old_b: float
     old_value: float
+    screen: np.ndarray  # features that take part, ascending; meaningless while ``full``
+    full: bool  # all features take part in the next pass
+    halved: int = 0
+    stuck: int = 0
+
+
+_NONE = np.empty(0, np.int64)
 
 
 def _start(sm: SideModels, m: int) -> Trial:
-    f, c = sm.feats[m], sm.coefs[m]
-    return Trial(f, c, float(sm.b[m]), f, c, float(sm.b[m]), math.inf)
+    order = np.argsort(sm.feats[m])
+    f, c = sm.feats[m][order], sm.coefs[m][order]
+    return Trial(f, c, float(sm.b[m]), f, c, float(sm.b[m]), math.inf, _NONE, True)
+
 
+def next_trial(t: Trial, loss: float, g: np.ndarray, gb: float, h: np.ndarray, l1: float, l2: float, own: np.ndarray,
+               tol: float, previous: float | None = None) -> tuple[Trial, float, str]:
+    """From the sums at the trial point to the next one: ``(trial, residual, 'open' | 'done' | 'stalled')``.
 
-def next_trial(t: Trial, loss: float, g: np.ndarray, gb: float, h: np.ndarray, l1: float, l2: float,
-               usable: np.ndarray, tol: float) -> tuple[Trial, float, bool]:
-    """From the sums at the trial point to the next one: ``(trial, residual, done)``."""
+    ``g`` is the gradient of the features ``own`` (ascending): all that occur if ``t.full``, else ``t.screen``.
+    ``previous`` is the l1 strength at which the starting point was optimal (None: the empty model)."""
     value = loss + l1 * np.abs(t.coefs).sum() + 0.5 * l2 * (t.coefs ** 2).sum()
-    w = np.zeros(len(g))
-    w[t.feats] = t.coefs
-    worst, each = residual(g, gb, w, l1, l2, usable)
+    w = np.zeros(len(own))
+    w[np.searchsorted(own, t.feats)] = t.coefs
+    worst, each = residual(g, gb, w, l1, l2)
     if worst <= tol:
-        return Trial(t.feats, t.coefs, t.b, t.feats, t.coefs, t.b, value), worst, True
+        same = Trial(t.feats, t.coefs, t.b, t.feats, t.coefs, t.b, value, t.screen, True)
+        return same, worst, "done" if t.full else "open"
     if value > t.old_value + 1e-12 * max(1.0, abs(t.old_value)):  # the step was too long: halve it
-        old = np.zeros(len(g))
-        old[t.old_feats] = t.old_coefs
         feats = np.union1d(t.feats, t.old_feats)
-        half = 0.5 * (w + old)
-        return Trial(feats, half[feats], 0.5 * (t.b + t.old_b), t.old_feats, t.old_coefs, t.old_b, t.old_value), worst, False
-    new = descend(np.r_[g[t.feats], gb], h, np.r_[t.coefs, t.b], l1, l2)
-    each[t.feats] = 0.0
-    enter = np.argsort(-each, kind="stable")[:ADMIT]
-    enter = enter[each[enter] > 0]
+        half, old = np.zeros(len(feats)), np.searchsorted(feats, t.old_feats)
+        half[np.searchsorted(feats, t.feats)] += 0.5 * t.coefs
+        half[old] += 0.5 * t.old_coefs
+        new = Trial(feats, half, 0.5 * (t.b + t.old_b), t.old_feats, t.old_coefs, t.old_b, t.old_value,
+                    t.screen, t.full, t.halved + 1, t.stuck)
+        return new, worst, "stalled" if new.halved > 50 else "open"
+    stuck = t.stuck + 1 if t.old_value - value <= 1e-14 * max(1.0, abs(value)) else 0
+    new = descend(np.r_[g[np.searchsorted(own, t.feats)], gb], h, np.r_[t.coefs, t.b], l1, l2)
+    each[np.searchsorted(own, t.feats)] = 0.0
+    wrong = np.flatnonzero(each > 0)
+    enter = own[wrong[np.argsort(-each[wrong], kind="stable")[:ADMIT]]]
     stay = new[:-1] != 0
     feats = np.r_[t.feats[stay], enter]
     coefs = np.r_[new[:-1][stay], np.zeros(len(enter))]
-    return Trial(feats, coefs, float(np.clip(new[-1], -INTERCEPT_CLAMP, INTERCEPT_CLAMP)), t.feats, t.coefs, t.b, value), worst, False
-
-
-_STEP = ("side string, model int, feats array<long>, coefs array<double>, b double, old_feats array<long>, "
-         "old_coefs array<double>, old_b double, old_value double, residual double, done boolean")
-
-
-def _newton_pass(rows: DataFrame, sides: dict, trials: dict, usable: dict, width_a: int, width_b: int, n: int,
+    order = np.argsort(feats)
+    screen = t.screen
+    if t.full:
+        size = np.abs(g + l2 * w)
+        before = float(size.max(initial=0.0)) if previous is None else previous
+        strong = own[size >= max(2 * l1 - before, 0.5 * l1)]
+        screen = np.union1d(np.union1d(np.union1d(strong, own[wrong]), t.feats), t.screen)
+    nxt = Trial(feats[order], coefs[order], float(np.clip(new[-1], -INTERCEPT_CLAMP, INTERCEPT_CLAMP)),
+                t.feats, t.coefs, t.b, value, screen, False, 0, stuck)
+    return nxt, worst, "stalled" if stuck >= STUCK else "open"
+
+
+_STEP = ("part int, model int, feats array<long>, coefs array<double>, b double, old_feats array<long>, "
+         "old_coefs array<double>, old_b double, old_value double, screen array<long>, full boolean, halved int, "
+         "stuck int, residual double, state string")
+
+
+def plan_passes(sides: dict, trials: dict, usable: dict, previous: dict, pass_bytes: int) -> list[dict]:
+    """Blocks of open models, dealt into passes whose sums stay within ``pass_bytes`` (or hold one block)."""
+    blocks = []
+    for key, own in trials.items():
+        sm, width = sides[key], int(usable[key].sum())
+        for full in (True, False):
+            ids: list[int] = []
+            cols, hessians = _NONE, 0
+
+            def close():
+                if ids:
+                    rows = len(ids) * (2 + len(cols)) + hessians
+                    blocks.append((8 * rows, {
+                        "key": key, "models": list(ids), "trials": [own[m] for m in ids], "tpos": sm.tpos[ids], "tcls": sm.tcls[ids],
+                        "alpha": sm.malpha[ids], "cols": cols, "previous": [previous[key].get(m) for m in ids]}))
+
+            for m in sorted(m for m in own if own[m].full == full):
+                t = own[m]
+                wider = np.flatnonzero(usable[key]) if full else np.union1d(cols, t.screen)
+                more = hessians + (len(t.feats) + 1) ** 2
+                if ids and (len(ids) == BLOCK_MODELS or 8 * ((len(ids) + 1) * (2 + len(wider)) + more) > BLOCK_BYTES):
+                    close()
+                    ids, wider, more = [], wider if full else t.screen, (len(t.feats) + 1) ** 2
+                ids.append(m)
+                cols, hessians = wider, more
+            close()
+    passes: list[dict] = []
+    room = 0
+    for size, block in blocks:
+        if not passes or size > room:
+            passes.append({})
+            room = pass_bytes
+        passes[-1][len(passes[-1])] = block
+        room -= size
+    return passes
+
+
+def _newton_pass(rows: DataFrame, sides: dict, trials: dict, blocks: dict, counts: dict, width_a: int, width_b: int,
                  l1_ratio: float, tol: float) -> None:
-    """One data pass and one step of every open model; updates ``trials`` and ``sides``."""
-    blocks: dict = {}
-    for s, own in trials.items():
-        order = sorted(own)
-        for k in range(0, len(order), BLOCK_MODELS):
-            blocks[(s, k // BLOCK_MODELS)] = order[k:k + BLOCK_MODELS]
-    payload = {key: {"models": ids, "trials": [trials[key[0]][m] for m in ids], "tpos": sides[key[0]].tpos[ids],
-                     "tcls": sides[key[0]].tcls[ids], "alpha": sides[key[0]].malpha[ids], "usable": usable[key[0]]}
-               for key, ids in blocks.items()}
-    size = sum(32 * len(t.feats) + 32 * len(t.old_feats) + 64 for own in trials.values() for t in own.values())
-    if size > (256 << 20):
-        raise ValueError(f"open models of {size} bytes exceed the broadcast bound; lower alphas_per_round")
-    bc = rows.sparkSession.sparkContext.broadcast(payload)
+    """One data pass and one step of the models in ``blocks``; updates ``trials`` and ``sides``."""
+    keys = list(sides)
+    bc = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def partial(batches):
         acc: dict = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            w = batch.column("w").to_numpy(zero_copy_only=False).astype(np.float64) / n
-            for s, t, o in _sides_of(batch, width_a, width_b):
-                x = K.one_hot_dense(o)
-                for key, part in bc.value.items():
-                    if key[0] == s:
-                        v = K.newton_sums(x, t, w, part)
-                        acc[key] = acc[key] + v if key in acc else v
+        for codes, w in _batches(batches, width_a, width_b):
+            for i, part in bc.value.items():
+                start, s = part["key"]
+                t, o = codes[s]
+                v = K.newton_sums(o, t, w[:, start] / counts[start], part)
+                acc[i] = acc[i] + v if i in acc else v
         return acc
 
-    def finish(side: str, block: int, v: np.ndarray) -> pd.DataFrame:
-        part, out, at = bc.value[(side, block)], [], 0
-        n_features = len(part["usable"])
-        for m, trial, alpha in zip(part["models"], part["trials"], part["alpha"]):
-            k = len(trial.feats) + 1
-            loss, gb, g = v[at], v[at + 1], v[at + 2:at + 2 + n_features]
-            h = v[at + 2 + n_features:at + 2 + n_features + k * k].reshape(k, k)
-            at += 2 + n_features + k * k
-            t, worst, done = next_trial(trial, loss, g, gb, h, alpha * l1_ratio, alpha * (1 - l1_ratio), part["usable"], tol)
-            out.append((side, m, t.feats, t.coefs, t.b, t.old_feats, t.old_coefs, t.old_b, t.old_value, worst, done))
+    def finish(i: int, v: np.ndarray) -> pd.DataFrame:
+        part, out = bc.value[i], []
+        cols, n = part["cols"], len(part["models"])
+        loss, gb, g = v[:n], v[n:2 * n], v[2 * n:2 * n + n * len(cols)].reshape(n, len(cols))
+        at = 2 * n + n * len(cols)
+        for k, (m, t, alpha, before) in enumerate(zip(part["models"], part["trials"], part["alpha"], part["previous"])):
+            size = len(t.feats) + 1
+            h = v[at:at + size * size].reshape(size, size)
+            at += size * size
+            own = cols if t.full else t.screen
+            new, worst, state = next_trial(t, loss[k], g[k, np.searchsorted(cols, own)], gb[k], h, alpha * l1_ratio,
+                                           alpha * (1 - l1_ratio), own, tol, None if before is None else before * l1_ratio)
+            out.append((keys.index(part["key"]), m, new.feats, new.coefs, new.b, new.old_feats, new.old_coefs, new.old_b,
+                        new.old_value, new.screen, new.full, new.halved, new.stuck, worst, state))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _STEP.split(", ")])
 
-    for r in _reduced(rows, partial, finish, _STEP).collect():  # sparse coefficients: model-sized
-        arr = lambda x, t: np.array(x, dtype=t)
+    arr = lambda x, t: np.array(x, dtype=t)
+    for r in _reduced(rows, partial, finish, _STEP, len(blocks)).collect():  # sparse coefficients: model-sized
+        key = keys[r.part]
         t = Trial(arr(r.feats, np.int64), arr(r.coefs, float), r.b, arr(r.old_feats, np.int64), arr(r.old_coefs, float),
-                  r.old_b, r.old_value)
-        # the accepted point is the best one known: it is what a caller's limit would leave
-        sides[r.side].set(r.model, t.old_feats, t.old_coefs, t.old_b)
-        if r.done:
-            sides[r.side].converged[r.model] = True
-            del trials[r.side][r.model]
+                  r.old_b, r.old_value, arr(r.screen, np.int64), r.full, r.halved, r.stuck)
+        # the accepted point is the best one known: it is what a stall or a caller's limit leaves
+        sides[key].set(r.model, t.old_feats, t.old_coefs, t.old_b)
+        if r.state == "open":
+            trials[key][r.model] = t
         else:
-            trials[r.side][r.model] = t
+            sides[key].converged[r.model] = r.state == "done"
+            del trials[key][r.model]
     bc.unpersist()
 
 
-def solve(rows: DataFrame, sides: dict, stats: RowStats, width_a: int, width_b: int, open_models: dict,
-          l1_ratio: float = L1_RATIO, tol: float = 1e-5, max_passes: int | None = None) -> None:
-    """Fit the models ``open_models[side]`` (numbers) in place."""
-    usable = {}
-    for s, sm in sides.items():
-        o = "B" if s == "A" else "A"
-        usable[s] = stats.counts[o].ravel() > 0  # codes that never occur have no gradient
-        usable[s][np.arange(sm.width_o) * N_CODES + GAP] = False
-        empty = sm.malpha * l1_ratio >= 0.25 * stats.sum_w / max(stats.n, 1)
-        sm.converged |= empty
-    trials = {s: {m: _start(sm, m) for m in open_models.get(s, ()) if not sm.converged[m]} for s, sm in sides.items()}
-    passes = 0
-    while any(trials.values()) and (max_passes is None or passes < max_passes):
-        before = {s: len(own) for s, own in trials.items()}
-        _newton_pass(rows, sides, trials, usable, width_a, width_b, stats.n, l1_ratio, tol)
-        passes += 1
-        for s, sm in sides.items():
-            sm.n_passes += bool(before[s])
+def solve(rows: DataFrame, sides: dict, stats: list[RowStats], width_a: int, width_b: int, open_models: dict,
+          l1_ratio: float = L1_RATIO, tol: float = 1e-5, max_passes: int | None = None, previous: dict | None = None,
+          pass_bytes: int = PASS_BYTES) -> None:
+    """Fit the models ``open_models[(start, side)]`` (numbers) in place.
+
+    ``previous[(start, side)][model]`` is the strength a warm start was optimal at."""
+    usable, previous = {}, previous or {}
+    for (start, s), sm in sides.items():
+        st = stats[start]
+        usable[(start, s)] = st.counts["B" if s == "A" else "A"].ravel() > 0  # codes that never occur have no gradient
+        usable[(start, s)][np.arange(sm.width_o) * N_CODES + GAP] = False
+        sm.converged |= sm.malpha * l1_ratio >= 0.25 * st.sum_w / max(st.n, 1)
+    trials = {k: {m: _start(sm, m) for m in open_models.get(k, ()) if not sm.converged[m]} for k, sm in sides.items()}
+    counts = [max(st.n, 1) for st in stats]
+    rounds = 0
+    while any(trials.values()) and (max_passes is None or rounds < max_passes):
+        for k, sm in sides.items():
+            sm.n_passes += bool(trials[k])
+        for blocks in plan_passes(sides, trials, usable, {k: previous.get(k, {}) for k in sides}, pass_bytes):
+            _newton_pass(rows, sides, trials, blocks, counts, width_a, width_b, l1_ratio, tol)
+        rounds += 1
 
 
 def gradients(rows: DataFrame, sides: dict, width_a: int, width_b: int, n: int) -> DataFrame:
-    """``(side, model, loss, gb, g)``: loss and gradient of every model, one pass."""
+    """``(side, model, loss, gb, g)`` of ``rows(a, b, w)``: loss and gradient of every model, one pass."""
     check_broadcast(sides)
-    blocks = {(s, k): np.arange(k * BLOCK_MODELS, min((k + 1) * BLOCK_MODELS, sm.n_models))
-              for s, sm in sides.items() for k in range(-(-sm.n_models // BLOCK_MODELS))}
-    empty = np.empty(0, np.int64)
-    bc = rows.sparkSession.sparkContext.broadcast(
-        {key: sides[key[0]].model_dict(ids) | {"models": ids} for key, ids in blocks.items()})
+    blocks = {}
+    for s, sm in sides.items():
+        step = max(1, min(BLOCK_MODELS, BLOCK_BYTES // (8 * max(1, sm.n_features))))
+        for k in range(0, sm.n_models, step):
+            ids = np.arange(k, min(k + step, sm.n_models))
+            blocks[len(blocks)] = {"side": s, "models": ids, "trials": [_start(sm, m) for m in ids], "tpos": sm.tpos[ids],
+                                   "tcls": sm.tcls[ids], "cols": np.arange(sm.n_features)}
+    bc = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def partial(batches):
         acc: dict = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            w = batch.column("w").to_numpy(zero_copy_only=False).astype(np.float64) / n
-            for s, t, o in _sides_of(batch, width_a, width_b):
-                x = K.one_hot_dense(o)
-                for key, mdl in bc.value.items():
-                    if key[0] == s:
-                        trials = [Trial(f, c, b, empty, empty, 0.0, 0.0) for f, c, b in zip(mdl["feats"], mdl["coefs"], mdl["b"])]
-                        v = K.newton_sums(x, t, w, mdl | {"trials": trials}, hessian=False)
-                        acc[key] = acc[key] + v if key in acc else v
+        for codes, w in _batches(batches, width_a, width_b):
+            for i, part in bc.value.items():
+                t, o = codes[part["side"]]
+                v = K.newton_sums(o, t, w[:, 0] / n, part, hessian=False)
+                acc[i] = acc[i] + v if i in acc else v
         return acc
 
-    def finish(side: str, block: int, v: np.ndarray) -> pd.DataFrame:
-        ids = bc.value[(side, block)]["models"]
-        v = v.reshape(len(ids), -1)
-        return pd.DataFrame({"side": side, "model": ids, "loss": v[:, 0], "gb": v[:, 1], "g": list(v[:, 2:])})
+    def finish(i: int, v: np.ndarray) -> pd.DataFrame:
+        part = bc.value[i]
+        m = len(part["models"])
+        return pd.DataFrame({"side": part["side"], "model": part["models"], "loss": v[:m], "gb": v[m:2 * m],
+                             "g": list(v[2 * m:].reshape(m, -1))})
 
-    return _reduced(rows.select("a", "b", "w"), partial, finish, "side string, model long, loss double, gb double, g array<double>")
+    schema = "side string, model long, loss double, gb double, g array<double>"
+    return _reduced(_one_start(rows), partial, finish, schema, max(1, len(blocks)))
 
 
 def kkt_residual(rows: DataFrame, sides: dict, stats: RowStats, width_a: int, width_b: int,
@@ -361,11 +467,11 @@ def kkt_residual(rows: DataFrame, sides: dict, stats: RowStats, width_a: int, wi
     out = {s: np.zeros(sm.n_models) for s, sm in sides.items()}
     for r in gradients(rows, sides, width_a, width_b, stats.n).collect():
         sm = sides[r.side]
-        usable = np.ones(sm.n_features)
-        usable[np.arange(sm.width_o) * N_CODES + GAP] = 0.0
+        g = np.array(r.g)
+        g[np.arange(sm.width_o) * N_CODES + GAP] = 0.0
         alpha = sm.malpha[r.model]
         gb = 0.0 if abs(sm.b[r.model]) >= INTERCEPT_CLAMP else r.gb
-        out[r.side][r.model] = residual(np.array(r.g), gb, sm.dense([r.model])[0], alpha * l1_ratio, alpha * (1 - l1_ratio), usable)[0]
+        out[r.side][r.model] = residual(g, gb, sm.dense([r.model])[0], alpha * l1_ratio, alpha * (1 - l1_ratio))[0]
     return out
 
 
@@ -400,7 +506,7 @@ def fit_rows(state: DataFrame, mode: str, weighted: bool, z: str = "z") -> DataF
 def fit_columns(rows: DataFrame, width_a: int, width_b: int, n_all: int | None = None,
                 alphas: dict | None = None, init: dict | None = None, dfmax: int = DFMAX,
                 l1_ratio: float = L1_RATIO, max_iter: int | None = None, tol: float = 1e-5,
-                path: list[float] | None = None, alphas_per_round: int = 4) -> FitResult:
+                path: list[float] | None = None, alphas_per_round: int = 4, pass_bytes: int = PASS_BYTES) -> FitResult:
     """Fit every column of both sides on ``rows(a, b, w)``.
 
     ``alphas=None`` searches the regularisation path (strongest first; a column's path
@@ -409,96 +515,132 @@ def fit_columns(rows: DataFrame, width_a: int, width_b: int, n_all: int | None =
     ``init`` (sides of a previous fit) warm-starts.  ``max_iter`` (None: no limit) bounds
     the passes of a round; models left over are marked in ``converged``.
     """
+    return fit_starts(_one_start(rows), width_a, width_b, [alphas], [init], members=False, n_all=n_all, dfmax=dfmax,
+                      l1_ratio=l1_ratio, max_iter=max_iter, tol=tol, path=path, alphas_per_round=alphas_per_round,
+                      pass_bytes=pass_bytes)[0]
+
+
+def fit_starts(rows: DataFrame, width_a: int, width_b: int, alphas: list[dict | None], init: list[dict | None],
+               members: bool, n_all: int | None = None, dfmax: int = DFMAX, l1_ratio: float = L1_RATIO,
+               max_iter: int | None = None, tol: float = 1e-5, path: list[float] | None = None,
+               alphas_per_round: int = 4, pass_bytes: int = PASS_BYTES) -> list[FitResult]:
+    """``fit_columns`` of every start on ``rows(a, b, w array<double>)``, a weight per start, in shared passes.
+
+    With ``members`` a start has the rows of positive weight alone (hard labels); otherwise all.
+    """
     rows = rows.select("a", "b", "w").persist()
     try:
-        stats = row_stats(rows, width_a, width_b)
-        if stats.n == 0:
+        stats = stats_of_starts(rows, width_a, width_b, len(alphas), members)
+        if any(st.n == 0 for st in stats):
             raise ValueError("no rows to fit: the interacting class is empty")
-        n_all = stats.n if n_all is None else n_all
-        if alphas is None:
-            return _search(rows, stats, width_a, width_b, n_all, dfmax, l1_ratio, max_iter, tol,
-                           list(ALPHA_PATH if path is None else path), alphas_per_round)
-        sides = {}
-        for s, lt, lo in (("A", width_a, width_b), ("B", width_b, width_a)):
-            cls = column_classes(stats, s)
-            sides[s] = layout(s, lt, lo, [(p, float(alphas[s][p]), cls[p]) for p in range(lt)])
-            closed_form_intercepts(sides[s], stats)
-            if init is not None:
-                _warm_start(sides[s], init[s])
-        solve(rows, sides, stats, width_a, width_b, {s: range(sm.n_models) for s, sm in sides.items()}, l1_ratio, tol, max_iter)
-        return FitResult(sides, {s: {int(p): float(a) for p, a in zip(sm.gpos, sm.galpha)} for s, sm in sides.items()},
-                         None, stats, n_all)
+        counts = [st.n if n_all is None else n_all for st in stats]
+        options = (width_a, width_b, l1_ratio, max_iter, tol, pass_bytes)
+        fixed = [k for k, a in enumerate(alphas) if a is not None]
+        searched = [k for k, a in enumerate(alphas) if a is None]
+        out: dict[int, FitResult] = {}
+        sides, previous = {}, {}
+        for k in fixed:
+            for s, lt, lo in (("A", width_a, width_b), ("B", width_b, width_a)):
+                cls = column_classes(stats[k], s)
+                sm = sides[(k, s)] = layout(s, lt, lo, [(p, float(alphas[k][s][p]), cls[p]) for p in range(lt)])
+                closed_form_intercepts(sm, stats[k])
+                previous[(k, s)] = _warm_start(sm, init[k][s]) if init[k] is not None else {}
+        if fixed:
+            solve(rows, sides, stats, width_a, width_b, {key: range(sm.n_models) for key, sm in sides.items()}, l1_ratio, tol,
+                  max_iter, previous, pass_bytes)
+        for k in fixed:
+            mine = {s: sides[(k, s)] for s in "AB"}
+            chosen = {s: {int(p): float(a) for p, a in zip(sm.gpos, sm.galpha)} for s, sm in mine.items()}
+            out[k] = FitResult(mine, chosen, None, stats[k], counts[k])
+        if searched:
+            out |= _search(rows, stats, searched, counts, members, dfmax, list(ALPHA_PATH if path is None else path),
+                           alphas_per_round, *options)
+        return [out[k] for k in range(len(alphas))]
     finally:
         rows.unpersist()
 
 
-def _search(rows, stats, width_a, width_b, n_all, dfmax, l1_ratio, max_iter, tol, path, per_round) -> FitResult:
+def _search(rows, stats, starts, n_all, members, dfmax, path, per_round, width_a, width_b, l1_ratio, max_iter, tol,
+            pass_bytes) -> dict[int, FitResult]:
     sides = {}
-    for s, lt, lo in (("A", width_a, width_b), ("B", width_b, width_a)):
-        spec = []
-        for p, cl in enumerate(column_classes(stats, s)):
-            spec += [(p, a, cl) for a in path] if len(cl) > 1 else [(p, CONSTANT_ALPHA, cl)]
-        sides[s] = layout(s, lt, lo, spec)
-        closed_form_intercepts(sides[s], stats)
+    for k in starts:
+        for s, lt, lo in (("A", width_a, width_b), ("B", width_b, width_a)):
+            spec = []
+            for p, cl in enumerate(column_classes(stats[k], s)):
+                spec += [(p, a, cl) for a in path] if len(cl) > 1 else [(p, CONSTANT_ALPHA, cl)]
+            sides[(k, s)] = layout(s, lt, lo, spec)
+            closed_form_intercepts(sides[(k, s)], stats[k])
     # groups of each column, strongest first
-    order = {s: {p: sorted(np.flatnonzero(sm.gpos == p), key=lambda g: -sm.galpha[g]) for p in set(sm.gpos.tolist())}
-             for s, sm in sides.items()}
-    in_path: dict = {s: {p: [] for p in order[s]} for s in sides}
+    order = {key: {p: sorted(np.flatnonzero(sm.gpos == p), key=lambda g: -sm.galpha[g]) for p in set(sm.gpos.tolist())}
+             for key, sm in sides.items()}
+    in_path: dict = {key: {p: [] for p in order[key]} for key in sides}
     at = 0
-    trivial = 0.25 * stats.sum_w / max(stats.n, 1) / l1_ratio
-    open_columns = {s: set(order[s]) for s in sides}
+    trivial = min(0.25 * stats[k].sum_w / max(stats[k].n, 1) for k in starts) / l1_ratio
+    open_columns = {key: set(order[key]) for key in sides}
     while any(open_columns.values()) and at < len(path):
         # strengths solved in closed form cost no pass: take them along
         end = at
         while end < len(path) and path[end] >= trivial:
             end += 1
         end = min(len(path), end + per_round)
-        todo = {s: [m for p in cols for g in order[s][p][at:end] for m in sides[s].models_of(g)] for s, cols in open_columns.items()}
+        todo = {key: [m for p in cols for g in order[key][p][at:end] for m in sides[key].models_of(g)]
+                for key, cols in open_columns.items()}
+        previous: dict = {key: {} for key in sides}
         if at:
-            for s, cols in open_columns.items():
+            for key, cols in open_columns.items():
                 for p in cols:
-                    _continue_path(sides[s], order[s][p], at, end)
-        solve(rows, sides, stats, width_a, width_b, todo, l1_ratio, tol, max_iter)
-        for s, sm in sides.items():
+                    previous[key] |= _continue_path(sides[key], order[key][p], at, end)
+        solve(rows, sides, stats, width_a, width_b, todo, l1_ratio, tol, max_iter, previous, pass_bytes)
+        for key, sm in sides.items():
             dfs = sm.group_df()
-            for p in list(open_columns[s]):
-                for g in order[s][p][at:end]:
+            for p in list(open_columns[key]):
+                for g in order[key][p][at:end]:
                     if dfs[g] > dfmax:
-                        open_columns[s].discard(p)
+                        open_columns[key].discard(p)
                         break
-                    in_path[s][p].append(g)
+                    in_path[key][p].append(g)
         at = end
-    fitted = {s: sm.subset_groups([g for p in order[s] for g in in_path[s][p]]) for s, sm in sides.items()}
-    sums = group_logprob_sums(rows, fitted, width_a, width_b)
-    chosen, table, alphas = {}, [], {}
-    for s, sm in fitted.items():
-        dfs, done = sm.group_df(), sm.group_converged()
-        bic = dfs * math.log(n_all) - 2.0 * sums[s]
-        keep = []
-        for p in sorted(order[s]):
-            best = min(np.flatnonzero(sm.gpos == p), key=lambda g: (round(bic[g], 6), -sm.galpha[g]))
-            keep.append(best)
-            for g in sorted(np.flatnonzero(sm.gpos == p), key=lambda g: -sm.galpha[g]):
-                table.append((s, int(p), float(sm.galpha[g]), KIND_NAMES[sm.kind[g]], int(dfs[g]), float(sums[s][g]),
-                              float(bic[g]), True, bool(done[g]), bool(g == best)))
-        alphas[s] = {int(sm.gpos[g]): float(sm.galpha[g]) for g in keep}
-        chosen[s] = sm.subset_groups(keep)
-    return FitResult(chosen, alphas, table, stats, n_all, fitted)
-
-
-def _continue_path(sm: SideModels, groups: list, at: int, end: int) -> None:
-    """Start the next strengths of a column from its last solved one."""
+    fitted = {key: sm.subset_groups([g for p in order[key] for g in in_path[key][p]]) for key, sm in sides.items()}
+    sums = logprob_sums(rows, fitted, width_a, width_b, members)
+    out = {}
+    for k in starts:
+        chosen, table, alphas = {}, [], {}
+        for s in "AB":
+            sm = fitted[(k, s)]
+            dfs, done = sm.group_df(), sm.group_converged()
+            bic = dfs * math.log(n_all[k]) - 2.0 * sums[(k, s)]
+            keep = []
+            for p in sorted(order[(k, s)]):
+                best = min(np.flatnonzero(sm.gpos == p), key=lambda g: (round(bic[g], 6), -sm.galpha[g]))
+                keep.append(best)
+                for g in sorted(np.flatnonzero(sm.gpos == p), key=lambda g: -sm.galpha[g]):
+                    table.append((s, int(p), float(sm.galpha[g]), KIND_NAMES[sm.kind[g]], int(dfs[g]), float(sums[(k, s)][g]),
+                                  float(bic[g]), True, bool(done[g]), bool(g == best)))
+            alphas[s] = {int(sm.gpos[g]): float(sm.galpha[g]) for g in keep}
+            chosen[s] = sm.subset_groups(keep)
+        out[k] = FitResult(chosen, alphas, table, stats[k], n_all[k], {s: fitted[(k, s)] for s in "AB"})
+    return out
+
+
+def _continue_path(sm: SideModels, groups: list, at: int, end: int) -> dict[int, float]:
+    """Start the next strengths of a column from its last solved one; that one's strength by model."""
     if at >= len(groups):
-        return
+        return {}
+    out = {}
     for g in groups[at:end]:
         for m, last in zip(sm.models_of(g), sm.models_of(groups[at - 1])):
             sm.feats[m], sm.coefs[m], sm.b[m] = sm.feats[last], sm.coefs[last], sm.b[last]
+            out[m] = float(sm.malpha[last])
+    return out
 
 
-def _warm_start(sm: SideModels, previous: SideModels) -> None:
-    """Copy coefficients of matching (pos, class) models of a previous fit."""
+def _warm_start(sm: SideModels, previous: SideModels) -> dict[int, float]:
+    """Copy coefficients of matching (pos, class) models of a previous fit; their strengths by model."""
     known = {(int(p), int(c)): m for m, (p, c) in enumerate(zip(previous.tpos, previous.tcls))}
+    out = {}
     for m, key in enumerate(zip(sm.tpos.tolist(), sm.tcls.tolist())):
         if key in known and previous.width_o == sm.width_o:
             old = known[key]
             sm.feats[m], sm.coefs[m], sm.b[m] = previous.feats[old], previous.coefs[old], previous.b[old]
+            out[m] = float(previous.malpha[old])
+    return out

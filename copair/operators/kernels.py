@@ -23,16 +23,6 @@ def codes_matrix(col: pa.Array, width: int) -> np.ndarray:
     return flat.astype(np.int64, copy=False).reshape(n, width)
 
 
-def one_hot_dense(codes: np.ndarray) -> np.ndarray:
-    """(n, L) codes -> (n, 21*L) 0/1 doubles (gap slots included, coefficient 0)."""
-    n, width = codes.shape
-    x = np.zeros((n, width * N_CODES), dtype=np.float64)
-    if n and width:
-        cols = codes + (np.arange(width) * N_CODES)[None, :]
-        x[np.arange(n)[:, None], cols] = 1.0
-    return x
-
-
 def sigmoid(s: np.ndarray) -> np.ndarray:
     """Logistic function without overflow (exp of non-positive values only);
     keeps tiny probabilities (used for scoring)."""
@@ -51,42 +41,73 @@ def row_chunks(n: int, m: int):
         yield lo, min(n, lo + step)
 
 
-def dense_block(feats, coefs, n_features: int) -> np.ndarray:
-    out = np.zeros((len(feats), n_features))
-    for i, (f, c) in enumerate(zip(feats, coefs)):
-        out[i, f] = c
-    return out
+class CoefTable:
+    """Coefficients by (feature position, residue): the models a residue speaks to, and its values there.
+
+    A row then adds the entries of its own L residues; a product with its 21 L wide one-hot
+    form would multiply mostly zeros.  Where most models have most of the used features, the
+    dense product over these is the cheaper form of the same sums.
+    """
+
+    def __init__(self, feats: list[np.ndarray], coefs: list[np.ndarray]):
+        self.n_models = len(feats)
+        feat = np.concatenate(feats) if feats else np.empty(0, np.int64)
+        model = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+        value = np.concatenate(coefs) if coefs else np.empty(0)
+        order = np.argsort(feat, kind="stable")
+        self.feat, first = np.unique(feat[order], return_index=True)
+        self.models = np.split(model[order], first[1:]) if len(feat) else []
+        self.values = np.split(value[order], first[1:]) if len(feat) else []
+        self.dense = None
+        if len(feat) > 0.15 * len(self.feat) * self.n_models:
+            self.dense = np.zeros((len(self.feat), self.n_models))
+            for i, (m, v) in enumerate(zip(self.models, self.values)):
+                np.add.at(self.dense[i], m, v)
+
+    def margins(self, codes: np.ndarray) -> np.ndarray:
+        """(rows, models) sums of the coefficients of each row's residues."""
+        if self.dense is not None:
+            return one_hot_at(codes, self.feat) @ self.dense
+        out = np.zeros((len(codes), self.n_models))
+        for f, m, v in zip(self.feat, self.models, self.values):
+            rows = np.flatnonzero(codes[:, f // N_CODES] == f % N_CODES)
+            if len(rows):
+                out[rows[:, None], m] += v
+        return out
+
+
+def one_hot_at(codes: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """(rows, feats) 0/1 doubles: the one-hot columns ``feats`` alone."""
+    return (codes[:, feats // N_CODES] == feats % N_CODES).astype(np.float64)
 
 
-def newton_sums(x: np.ndarray, t_codes: np.ndarray, w: np.ndarray, part: dict, hessian: bool = True) -> np.ndarray:
-    """Sums over rows for a block of models, one after the other in one vector:
-    weighted log-loss, gradient of the intercept, gradient of all features and, with
-    ``hessian``, the Hessian of (working features, intercept)."""
-    trials = part["trials"]
-    n_features = x.shape[1]
-    sizes = [2 + n_features + (len(t.feats) + 1) ** 2 * hessian for t in trials]
-    out = np.zeros(sum(sizes))
-    block = dense_block([t.feats for t in trials], [t.coefs for t in trials], n_features)
+def newton_sums(o_codes: np.ndarray, t_codes: np.ndarray, w: np.ndarray, part: dict, hessian: bool = True) -> np.ndarray:
+    """Sums over rows for a block of models, one after the other in one vector: weighted
+    log-loss and gradient of the intercept per model, gradient at the block's columns
+    (models x columns) and, with ``hessian``, each model's Hessian of (working features, intercept)."""
+    trials, cols = part["trials"], part["cols"]
+    if "table" not in part:  # kept beside the broadcast block in this worker
+        part["table"] = CoefTable([t.feats for t in trials], [t.coefs for t in trials])
+    n_models = len(trials)
+    place = [np.searchsorted(cols, t.feats) for t in trials]
+    loss, gb, g = np.zeros(n_models), np.zeros(n_models), np.zeros((n_models, len(cols)))
+    h = [np.zeros((len(p) + 1, len(p) + 1)) for p in place] if hessian else []
     b = np.array([t.b for t in trials])
-    for lo, hi in row_chunks(len(w), max(n_features, len(trials))):
-        xs, ws = x[lo:hi], w[lo:hi, None]
-        s = xs @ block.T + b
+    for lo, hi in row_chunks(len(w), max(len(cols), n_models)):
+        ws = w[lo:hi, None]
+        s = part["table"].margins(o_codes[lo:hi]) + b
         y = t_codes[lo:hi][:, part["tpos"]] == part["tcls"]
         p = sigmoid(s)
-        loss = (ws * (np.logaddexp(0.0, s) - y * s)).sum(axis=0)
+        loss += (ws * (np.logaddexp(0.0, s) - y * s)).sum(axis=0)
         r = ws * (p - y)
-        g, gb = r.T @ xs, r.sum(axis=0)
+        gb += r.sum(axis=0)
+        x = one_hot_at(o_codes[lo:hi], cols)
+        g += r.T @ x
         v = ws * p * (1.0 - p) if hessian else None
-        at = 0
-        for i, (t, size) in enumerate(zip(trials, sizes)):
-            out[at] += loss[i]
-            out[at + 1] += gb[i]
-            out[at + 2:at + 2 + n_features] += g[i]
-            if hessian:
-                xa = np.hstack([xs[:, t.feats], np.ones((hi - lo, 1))])
-                out[at + 2 + n_features:at + size] += (xa.T @ (v[:, i:i + 1] * xa)).ravel()
-            at += size
-    return out
+        for i in range(len(h)):
+            xa = np.hstack([x[:, place[i]], np.ones((hi - lo, 1))])
+            h[i] += xa.T @ (v[:, i:i + 1] * xa)
+    return np.concatenate([loss, gb, g.ravel(), *[m.ravel() for m in h]])
 
 
 def _group_logprobs(S, t_codes, groups):
@@ -138,18 +159,13 @@ def _group_logprobs(S, t_codes, groups):
     return out
 
 
-MODEL_BLOCK = 256
-
-
 def group_logprobs(t_codes, o_codes, model, groups):
-    """(n, G) observed-class log-probabilities for one side, chunked by rows and models."""
+    """(n, G) observed-class log-probabilities for one side, chunked by rows."""
     n, m = t_codes.shape[0], len(model["b"])
     out = np.empty((n, len(groups["kind"])))
-    for lo, hi in row_chunks(n, max(m, model["n_features"], 1)):
-        x = one_hot_dense(o_codes[lo:hi])
-        s = np.empty((hi - lo, m))
-        for k in range(0, m, MODEL_BLOCK):
-            part = slice(k, k + MODEL_BLOCK)
-            s[:, part] = x @ dense_block(model["feats"][part], model["coefs"][part], model["n_features"]).T + model["b"][part]
+    if "table" not in model:
+        model["table"] = CoefTable(model["feats"], model["coefs"])
+    for lo, hi in row_chunks(n, max(m, len(model["table"].feat), 1)):
+        s = model["table"].margins(o_codes[lo:hi]) + model["b"]
         out[lo:hi] = _group_logprobs(s, t_codes[lo:hi], groups)
     return out

@@ -162,7 +162,7 @@ def layout(side: str, width_t: int, width_o: int, spec: list[tuple]) -> SideMode
                       np.zeros(len(models)))
 
 
-def check_broadcast(sides: dict[str, SideModels]) -> None:
+def check_broadcast(sides: dict) -> None:
     nbytes = sum(sm.nbytes for sm in sides.values())
     if nbytes > MAX_MODEL_BYTES:
         raise ValueError(f"models of {nbytes} bytes exceed the broadcast bound of {MAX_MODEL_BYTES}")

@@ -80,6 +80,37 @@ def pwm_lookup(arrays: dict[str, list[float]]):
     return score
 
 
+def pwm_residues(arrays: dict[str, list[float]]):
+    """``(codes_a, codes_b) -> (per-position null log-probabilities of A, of B)``."""
+    tables = {s: np.asarray(v).reshape(-1, N_CODES) for s, v in arrays.items()}
+    return lambda a, b: [tables[s][np.arange(x.shape[1]), x] for s, x in (("A", a), ("B", b))]
+
+
+def pwms_of_starts(state: DataFrame, starts: int, width_a: int, width_b: int, pc: float = PC_NULL) -> list[dict]:
+    """``pwm_arrays`` of every start from ``state(a, b, z array)``, weights 1 - z, in one aggregation.
+
+    Hard labels give weights 0 and 1, so one form serves both modes; a residue without weight
+    scores ``ln(pc)``, as does one that never occurs."""
+    if (width_a + width_b) * N_CODES > MAX_PWM_CELLS:
+        raise ValueError(f"columns {width_a} + {width_b} exceed the bound of a broadcast PWM")
+    side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("codes"))
+    lv = state.select("z", F.inline(F.array(side("A", "a"), side("B", "b")))).select(
+        "z", "side", F.posexplode("codes").alias("pos", "aa"))
+    sums = lv.groupBy("side", "pos", "aa").agg(*[F.sum(F.lit(1.0) - F.col("z")[k]).alias(f"w{k}") for k in range(starts)]).collect()
+    weight = {"A": np.zeros((starts, width_a, N_CODES)), "B": np.zeros((starts, width_b, N_CODES))}
+    for r in sums:
+        weight[r.side][:, r.pos, r.aa] = [r[f"w{k}"] for k in range(starts)]
+    out = []
+    for k in range(starts):
+        one = {}
+        for s, w in weight.items():
+            total = w[k].sum(axis=1, keepdims=True)
+            share = np.divide(w[k], total, out=np.zeros_like(w[k]), where=total > 0)
+            one[s] = np.where(share > 0, np.log(np.where(share > 0, share, 1.0)), math.log(pc)).ravel().tolist()
+        out.append(one)
+    return out
+
+
 def null_llh(state: DataFrame, arrays: dict[str, list[float]], out: str = "null_llh") -> DataFrame:
     """Add the null log-likelihood of every pair (sum over both sides)."""
     widths = [len(arrays[s]) // N_CODES for s in "AB"]

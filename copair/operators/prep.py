@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copair.functions.alphabet import GAP, encode_expr, one_hot_expr, project_expr
+from copair.session import stored
 
 MAX_WIDTH = 100_000  # positions per side that may be handled as a driver-side list
 
@@ -28,6 +29,7 @@ class Prepared:
     kept_a: list[int]
     kept_b: list[int]
     contact_map: DataFrame | None = None  # (pos_a, pos_b, is_contact) dense positions
+    rejected: DataFrame | None = None  # (pair_id, seq_a, seq_b) set aside by on_unknown='quarantine'
 
     @property
     def width_a(self) -> int:
@@ -38,15 +40,40 @@ class Prepared:
         return len(self.kept_b)
 
 
-def encode_pairs(aligned: DataFrame) -> DataFrame:
-    """``(pair_id, seq_a, seq_b)`` -> ``(pair_id, a, b)`` raw codes (orig positions)."""
+#: What becomes of residues outside the alphabet.
+ON_UNKNOWN = ("error", "gap", "quarantine")
+
+
+def encode_pairs(aligned: DataFrame, on_unknown: str = "error") -> DataFrame:
+    """``(pair_id, seq_a, seq_b)`` -> ``(pair_id, a, b)`` raw codes (orig positions); unknown residues
+    are -1, or gaps with ``on_unknown='gap'``."""
+    unknown = GAP if on_unknown == "gap" else -1
     return aligned.select(
         F.col("pair_id").cast("long"),
-        encode_expr("seq_a").alias("a"),
-        encode_expr("seq_b").alias("b"),
+        encode_expr("seq_a", unknown).alias("a"),
+        encode_expr("seq_b", unknown).alias("b"),
     )
 
 
+def stored_pairs(aligned: DataFrame, on_unknown: str = "error") -> tuple[DataFrame, DataFrame | None]:
+    """``encode_pairs``, written once, and the pairs set aside.
+
+    ``on_unknown='quarantine'`` puts pairs with an unknown residue on either side, whole, into a
+    partition of their own, ``(pair_id, seq_a, seq_b)``: one pass writes both, and sides stay paired."""
+    if on_unknown not in ON_UNKNOWN:
+        raise ValueError(f"option on_unknown is {on_unknown!r} but must be one of {ON_UNKNOWN}")
+    if on_unknown != "quarantine":
+        return stored(encode_pairs(aligned, on_unknown)), None
+    strange = lambda c: F.exists(c, lambda x: x < 0)
+    encoded = aligned.select(F.col("pair_id").cast("long"), encode_expr("seq_a").alias("a"), encode_expr("seq_b").alias("b"),
+                             "seq_a", "seq_b").withColumn("rejected", strange(F.col("a")) | strange(F.col("b")))
+    out = F.col("rejected")
+    both = stored(encoded.select("pair_id", F.when(~out, F.col("a")).alias("a"), F.when(~out, F.col("b")).alias("b"),
+                                 F.when(out, F.col("seq_a")).alias("seq_a"), F.when(out, F.col("seq_b")).alias("seq_b"),
+                                 F.coalesce(out, F.lit(False)).cast("int").alias("rejected")), "rejected")
+    return both.where("rejected = 0").select("pair_id", "a", "b"), both.where("rejected = 1").select("pair_id", "seq_a", "seq_b")
+
+
 def long_view(pairs: DataFrame, pos_name: str = "pos") -> DataFrame:
     """Wide pairs -> ``(pair_id, side, pos, aa)``; derived on demand."""
     sides = F.inline(
@@ -152,12 +179,15 @@ def align_contact_map(contact_map: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def preprocess(aligned: DataFrame, gap_threshold: float = 0.5, contact_map: DataFrame | None = None,
-               check: bool = True) -> Prepared:
+               check: bool = True, on_unknown: str = "error") -> Prepared:
     """Both sides: encode -> column statistics -> drop gappy then constant
-    columns -> dense wide rows; optionally align a contact map (validated first)."""
+    columns -> dense wide rows; optionally align a contact map (validated first).
+
+    The encoded pairs are written once; every consumer reads them.  ``on_unknown`` says what
+    becomes of residues outside the alphabet: an error, gaps, or their pairs in ``rejected``."""
     from copair.operators.checks import check_contact_map, check_counts
 
-    encoded = encode_pairs(aligned)
+    encoded, rejected = stored_pairs(aligned, on_unknown)
     # one scan: unknown codes (-1) and unequal lengths show in the same counts
     counts = residue_counts(encoded).cache()
     if check:
@@ -170,4 +200,4 @@ def preprocess(aligned: DataFrame, gap_threshold: float = 0.5, contact_map: Data
         if check:
             check_contact_map(contact_map, profile, raise_on_error=True)
         aligned_map = align_contact_map(contact_map, profile)
-    return Prepared(pairs, profile, kept_a, kept_b, aligned_map)
+    return Prepared(pairs, profile, kept_a, kept_b, aligned_map, rejected)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copair.operators import alt_model, evaluate, labels, null_model, prep
+from copair.operators import evaluate, labels, prep
 from copair.operators.checks import EMOptions
 from copair.plans import em
 from copair.sources import fasta
@@ -19,12 +19,12 @@ class Analysis:
     runs: list[em.EMResult]  # one per start
     llh: DataFrame  # per start and iteration
     performance: DataFrame | None  # with int_limit and test
-    contacts: DataFrame | None  # final couplings, with predict_contacts
+    contacts: DataFrame | None  # final couplings of every start, with predict_contacts
     options: EMOptions
 
     @property
     def trace(self) -> DataFrame:
-        return _all([r.trace for r in self.runs])
+        return self.runs[0].all_starts.trace
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -35,55 +35,46 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 
 def run(spark: SparkSession, path_a: str, path_b: str, options: EMOptions | None = None,
-        contact_map: str | None = None, out: str | None = None) -> Analysis:
+        contact_map: str | None = None, out: str | None = None, folder: str | None = None) -> Analysis:
     """Read, pair and check two FASTA alignments, preprocess, run EM, and write every table to ``out``.
 
     ``options.test`` with ``int_limit`` compares labels with the truth (pairs up to the
-    limit interact); ``predict_contacts`` adds the final contact fit; ``n_starts`` applies
-    to random starts."""
+    limit interact); ``predict_contacts`` adds the final contact fit of every start;
+    ``n_starts`` applies to random starts; ``residues`` adds the per-residue table.
+    ``folder`` keeps the iterations: a run that ended early goes on from there."""
     options = options or EMOptions()
     aligned = fasta.pair_alignments(fasta.read_alignment(spark, path_a), fasta.read_alignment(spark, path_b))
     cmap = fasta.read_contact_map(spark, contact_map) if contact_map else None
-    prepared = prep.preprocess(aligned, options.gap_threshold, cmap)
+    prepared = prep.preprocess(aligned, options.gap_threshold, cmap, on_unknown=options.on_unknown)
     starts = options.n_starts if options.init == "random" else 1
-    runs = [em.run_em(prepared, options, start=s) for s in range(starts)]
-    trace = _all([r.trace for r in runs])
+    runs = em.run_starts(prepared, options, list(range(starts)), folder)
+    trace = runs[0].all_starts.trace
     truth = labels.true_labels(prepared.pairs, options.int_limit) if options.test else None
     result = Analysis(prepared, runs, em.llh_per_iter(trace, truth),
                       evaluate.performance_per_iter(trace, truth, options.mode) if options.test else None,
-                      em.predict_contacts(prepared, runs[-1].final_state, options)[0] if options.predict_contacts else None, options)
+                      _final_contacts(prepared, runs, options) if options.predict_contacts else None, options)
     if out:
         write(result, out)
     return result
 
 
-def residue_logprobs(result: Analysis) -> DataFrame:
-    """``(start, iter, model, pair_id, side, pos, logp)`` of the last iteration, both models."""
-    parts = []
-    La, Lb = result.prepared.width_a, result.prepared.width_b
-    for start, r in enumerate(result.runs):
-        state = r.final_state.select("pair_id", "a", "b", "z")
-        scored = alt_model.score_alt(state, r.final_sides, La, Lb, per_residue=True)
-        alt = [scored.select("pair_id", F.lit(s).alias("side"), F.posexplode(f"alt_{s.lower()}").alias("pos", "logp")) for s in "AB"]
-        null = null_model.score_null_long(state, null_model.fit_null(state, result.options.mode))
-        for name, df in (("alt", alt[0].unionByName(alt[1])), ("null", null)):
-            parts.append(df.select(F.lit(start).alias("start"), F.lit(r.n_iters).alias("iter"), F.lit(name).alias("model"),
-                                   "pair_id", "side", F.col("pos").cast("int").alias("pos"), "logp"))
-    return _all(parts)
+def _final_contacts(prepared: prep.Prepared, runs: list[em.EMResult], options: EMOptions) -> DataFrame:
+    return _all([em.predict_contacts(prepared, r.final_state, options)[0].withColumn("start", F.lit(r.start)) for r in runs])
 
 
 def write(result: Analysis, out: str) -> None:
     """Tables under ``out``, those of iterations partitioned by ``start, iter``."""
     p = result.prepared
     by_iter = ["start", "iter"]
+    tables_of_run = result.runs[0].all_starts
     tables = {
         "encoded": (p.pairs, None), "one_hot": (prep.one_hot_long(p.pairs), ["side"]), "positions": (p.positions, None),
         "labels": (result.trace.select("start", "iter", "pair_id", "z"), by_iter),
         "llh_pairs": (em.weighted_llh(result.trace), by_iter), "llh": (result.llh, None),
-        "models": (_all([r.models for r in result.runs]), by_iter),
-        "couplings": (_all([r.couplings for r in result.runs]), by_iter),
-        "residue_logprobs": (residue_logprobs(result), ["model", *by_iter]),
-        "contact_map": (p.contact_map, None), "performance": (result.performance, None), "contacts": (result.contacts, None),
+        "models": (tables_of_run.models, by_iter),
+        "couplings": (tables_of_run.couplings, by_iter),
+        "residue_logprobs": (tables_of_run.residues, ["model", *by_iter]),
+        "contact_map": (p.contact_map, None), "rejected": (p.rejected, None), "performance": (result.performance, None), "contacts": (result.contacts, None),
     }
     for name, (df, partition_by) in tables.items():
         if df is not None:

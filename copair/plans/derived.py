@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copair.functions.alphabet import ALPHA_PATH
-from copair.operators import null_model
-from copair.operators.prep import Prepared, encode_pairs, long_view, preprocess
+from copair.operators import alt_model, null_model
+from copair.functions.prob import posterior_expr
+from copair.operators.prep import Prepared, long_view, preprocess, stored_pairs
+from copair.session import stored
 from copair.sources.documents import alignment_from_documents, load_table
 
 INT_FRAC = 0.75
@@ -57,7 +59,17 @@ def derive(spark: SparkSession, sf_dir: str) -> Derived:
 
 
 def raw_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pairs(alignment_from_documents(load_table(spark, sf_dir, "documents")))
+    return stored_pairs(alignment_from_documents(load_table(spark, sf_dir, "documents")))[0]
+
+
+def strange_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived alignment with letters outside the alphabet: X in A's first column for
+    pair_id % 10 = 3, Z in B's second one for pair_id % 15 = 4."""
+    aligned = alignment_from_documents(load_table(spark, sf_dir, "documents"))
+    put = lambda c, at, ch: F.overlay(c, F.lit(ch), at, 1)
+    return aligned.select(
+        "pair_id", F.when(F.col("pair_id") % 10 == 3, put("seq_a", 1, "X")).otherwise(F.col("seq_a")).alias("seq_a"),
+        F.when(F.col("pair_id") % 15 == 4, put("seq_b", 2, "Z")).otherwise(F.col("seq_b")).alias("seq_b"))
 
 
 # ---------------------------------------------------------------------------
@@ -110,7 +122,28 @@ def given_models(d: Derived):
         ((F.floor(F.col("k") / F.col("lopp")) + 4 * F.col("rank")) % 20).cast("int").alias("feat_aa"),
         F.col("v").cast("double").alias("v"),
     ).groupBy(*keys, "feat_pos", "feat_aa").agg((F.lit(3.0) * F.sum("v")).alias("value"))
-    return models, coefs, fitted.select(*keys, "value")
+    # five consumers and more: each table is computed once
+    return stored(models), stored(coefs), stored(fitted.select(*keys, "value"))
+
+
+def fixed_alt_residues(d: Derived, sides: dict, n_iter: int = 3) -> DataFrame:
+    """``(iter, model, pair_id, side, pos, logp)``: what every residue adds to the log-likelihoods of
+    the iterations of ``fixed_alt_trace``, from the scoring pass that gives these."""
+    La, Lb = d.prepared.width_a, d.prepared.width_b
+    st, out = d.prior().select("pair_id", "a", "b", F.array("z").alias("z")), []
+    for k in range(n_iter):
+        pwms = null_model.pwms_of_starts(st, 1, La, Lb)
+        scored = stored(alt_model.score_starts(st, [sides], pwms, La, Lb, residues=True))
+        for m in ("alt", "null"):
+            for s in "ab":
+                out.append(scored.select(F.lit(k).alias("iter"), F.lit(m).alias("model"), "pair_id", F.lit(s.upper()).alias("side"),
+                                         F.posexplode(F.col(f"{m}_{s}")[0]).alias("pos", "logp")))
+        st = scored.select("pair_id", "a", "b", F.zip_with(
+            "alt_llh", "null_llh", lambda alt, null: posterior_expr(alt, null, INT_FRAC)).alias("z"))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res
 
 
 # ---------------------------------------------------------------------------

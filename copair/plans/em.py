@@ -1,9 +1,14 @@
-"""Expectation-maximization over the wide pair state.
+"""Expectation-maximization over the wide pair state, all starts in shared passes.
 
-Each iteration fits the null model (a grouped aggregate) and the coevolution
-model (data passes that reduce to model-sized results) on the current labels,
-then scores both in one map-only Arrow pass and derives the posterior as a
-column expression: no iteration shuffles pair rows.
+A row of the state is a pair with its label per start.  Each iteration fits the null
+models (one grouped aggregate) and the coevolution models (data passes that reduce to
+model-sized results) of every start still open, then scores all of them in one map-only
+Arrow pass that also derives the posteriors: no iteration shuffles pair rows.  The pass
+that writes an iteration observes what the convergence test and the next M-step need.
+
+Every iteration leaves a folder ``states/iter=k``, the model tables of all its starts and,
+last, a commit record.  A run that is given the folder of an earlier one goes on after the
+last committed iteration.
 """
 
 from __future__ import annotations
@@ -11,10 +16,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from copair.functions.prob import posterior_expr, harden_expr
+from copair.functions.prob import harden_expr, posterior_expr
 from copair.operators import alt_model, contacts, fit, labels, null_model
 from copair.operators.checks import EMOptions
 from copair.operators.prep import Prepared
@@ -31,85 +36,206 @@ class EMResult:
     converged: bool
     iters: list = field(default_factory=list)
     final_sides: dict | None = None
-    final_state: DataFrame | None = None
+    final_state: DataFrame | None = None  # (pair_id, a, b, z)
     fits_converged: bool = True  # every fitted model met its optimality bound
+    start: int = 0
+    all_starts: "EMTables | None" = None
+
+
+@dataclass
+class EMTables:
+    """Tables of all starts of a run, each read once."""
 
+    folder: str
+    trace: DataFrame
+    couplings: DataFrame
+    models: DataFrame
+    residues: DataFrame | None  # (model, iter, start, pair_id, side, pos, logp), with ``options.residues``
 
-def _e_step(state: DataFrame, opts: EMOptions) -> DataFrame:
-    z = posterior_expr("alt_llh", "null_llh", opts.int_frac)
-    if opts.mode == "hard":
-        z = harden_expr(z, "pair_id", opts.seed).cast("double")
-    return state.withColumn("z_prev", F.col("z")).withColumn("z", z)
 
+_STATE = ("pair_id bigint, a array<tinyint>, b array<tinyint>, starts array<int>, z array<double>, z_prev array<double>, "
+          "alt_llh array<double>, null_llh array<double>")
+_RESIDUES = [f"{m}_{s}" for m in ("alt", "null") for s in "ab"]
+_TABLES = {
+    "models": "start int, side string, pos int, alpha double, kind string, classes array<int>, df bigint",
+    "coefs": "start int, side string, pos int, alpha double, cls int, feat_pos int, feat_aa int, value double",
+    "intercepts": "start int, side string, pos int, alpha double, cls int, value double",
+}
+_COMMIT = "start int, converged boolean, fits_converged boolean"
 
-def _pwm(state: DataFrame, mode: str, width_a: int, width_b: int) -> dict:
-    return null_model.pwm_arrays(null_model.fit_null(state.select("pair_id", "a", "b", "z"), mode), width_a, width_b)
+
+@dataclass
+class _Start:
+    """What the driver knows of a start between iterations."""
+
+    number: int
+    sides: dict | None = None
+    alphas: dict | None = None
+    converged: bool = False
+    fits_converged: bool = True
+    iters: list = field(default_factory=list)
 
 
-_STATE = "pair_id bigint, a array<tinyint>, b array<tinyint>, z double, z_prev double, alt_llh double, null_llh double"
+def _pick(column: str, at: list[int]) -> F.Column:
+    return F.array(*[F.col(column)[i] for i in at])
 
 
-def run_em(prepared: Prepared, opts: EMOptions, start: int = 0) -> EMResult:
-    """One EM run (warm or random start) -> trace, couplings and models per iteration.
+def _new_labels(state: DataFrame, opts: EMOptions) -> DataFrame:
+    """E-step: the label of every start from its two log-likelihoods; the old one becomes ``z_prev``."""
+    def label(alt, null):
+        z = posterior_expr(alt, null, opts.int_frac)
+        return harden_expr(z, "pair_id", opts.seed).cast("double") if opts.mode == "hard" else z
 
-    Every iteration's state is written under the shared checkpoint folder, one folder
-    per iteration, and read back: that cuts lineage, and the trace is those files."""
+    return state.withColumn("z_prev", F.col("z")).withColumn("z", F.zip_with("alt_llh", "null_llh", label))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def run_starts(prepared: Prepared, opts: EMOptions, starts: list[int], folder: str | None = None) -> list[EMResult]:
+    """Run EM from the given starts (seeds ``opts.seed + start``) in shared passes.
+
+    Warm starts do not depend on the seed, so ``starts`` is then one number.  ``folder``
+    (default: a new one under the shared checkpoint folder) holds every table of the run;
+    iterations that it has committed are not run again.  The options and pairs must be those
+    of the run that wrote it."""
     spark = prepared.pairs.sparkSession
-    root = f"{checkpoint_dir(spark).rstrip('/')}/copair-em-{uuid.uuid4().hex}"
+    root = (folder or f"{checkpoint_dir(spark).rstrip('/')}/copair-em-{uuid.uuid4().hex}").rstrip("/")
     La, Lb = prepared.width_a, prepared.width_b
+    runs = [_Start(s) for s in starts]
+    schema = _STATE + "".join(f", {c} array<array<double>>" for c in _RESIDUES) * opts.residues
+    options = {"dfmax": opts.dfmax, "tol": opts.fit_tol}
+
+    def step(state: DataFrame, open_: list[_Start], k: int) -> tuple[DataFrame, dict]:
+        """Write iteration ``k`` and its models, commit it; the state as written and the observed sums."""
+        nulls = F.array(*[F.lit(None).cast("double") for _ in open_])
+        state = state.withColumn("starts", F.array(*[F.lit(r.number) for r in open_]))
+        columns = [F.col(c) if c in state.columns else nulls.alias(c) for c in
+                   ("pair_id", "a", "b", "starts", "z", "z_prev", "alt_llh", "null_llh")]
+        columns += [F.col(c) if c in state.columns else F.lit(None).cast("array<array<double>>").alias(c)
+                    for c in _RESIDUES if opts.residues]
+        seen = Observation(f"em-{uuid.uuid4().hex}")
+        sums = [F.count(F.lit(1)).alias("n")]
+        for i in range(len(open_)):
+            sums += [F.sum(F.abs(F.col("z")[i] - F.col("z_prev")[i])).alias(f"moved{i}"), F.sum(F.col("z")[i]).alias(f"ones{i}")]
+        state.select(*columns).observe(seen, *sums).write.mode("overwrite").parquet(f"{root}/states/iter={k}")
+        got = seen.get
+        for i, r in enumerate(open_):
+            moved = got[f"moved{i}"]
+            r.converged = moved is not None and (moved == 0 if opts.mode == "hard" else moved / got["n"] < opts.tol)
+            r.iters.append(k)
+        fitted = [r for r in open_ if r.sides is not None]
+        for name, ddl in _TABLES.items():
+            parts = [alt_model.model_tables(spark, r.sides)[list(_TABLES).index(name)].withColumn("start", F.lit(r.number)) for r in fitted]
+            table = _union(parts) if parts else spark.createDataFrame([], ddl)
+            table.select(*[c.split()[0] for c in ddl.split(", ")]).coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/iter={k}")
+        spark.createDataFrame([(r.number, r.converged, r.fits_converged) for r in open_], _COMMIT).coalesce(1).write.mode(
+            "overwrite").parquet(f"{root}/commits/iter={k}")
+        return spark.read.schema(schema).parquet(f"{root}/states/iter={k}"), got
+
+    def check_classes(state: DataFrame, open_: list[_Start], got: dict | None) -> None:
+        if got is None:
+            got = state.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("z")[i]).alias(f"ones{i}") for i in range(len(open_))]).first().asDict()
+        for i, r in enumerate(open_):
+            ones = int(got[f"ones{i}"] or 0)
+            if not 0 < ones < got["n"]:
+                raise ValueError(f"one class is empty: {ones} interacting and {got['n'] - ones} other pairs (start {r.number})")
+
     base = prepared.pairs.select("pair_id", "a", "b").persist()
-    n_all = base.count()
-    cmaps, mtabs, iters = [], [], []
-
-    def step(state: DataFrame, k: int) -> DataFrame:
-        columns = [c if c in state.columns else F.lit(None).cast("double").alias(c) for c in
-                   ("pair_id", "a", "b", "z", "z_prev", "alt_llh", "null_llh")]
-        state.select(*columns).write.parquet(f"{root}/iter={k}")
-        iters.append(k)
-        return spark.read.schema(_STATE).parquet(f"{root}/iter={k}")
-
-    def record(sides: dict, k: int) -> None:
-        models, coefs, _ = alt_model.model_tables(spark, sides)
-        cmaps.append(contacts.apc(contacts.couplings(coefs, La, Lb)).withColumn("iter", F.lit(k)))
-        mtabs.append(models.withColumn("iter", F.lit(k)))
-
-    options = {"n_all": n_all, "dfmax": opts.dfmax, "tol": opts.fit_tol}
-    sides = alphas = None
-    fits_converged = True
-    if opts.init == "warm":
-        res = fit.fit_columns(fit.fit_rows(base, opts.mode, weighted=False), La, Lb, max_iter=opts.max_init_iters, **options)
-        sides, alphas, fits_converged = res.sides, res.alphas, res.converged
-        # no pair is known to interact yet: the first null model has all of them at full weight
-        pwm = _pwm(base.withColumn("z", F.lit(0.0)), "soft", La, Lb)
-        st = alt_model.score_alt(base.withColumn("z", F.lit(0.0)), sides, La, Lb, pwm=pwm)
-        st = step(_e_step(st, opts).drop("z_prev"), 0)
-        record(sides, 0)
-    else:
-        st = step(base.withColumn("z", labels.random_labels_expr(opts.int_frac, opts.mode, opts.seed + start)), 0)
-    converged, k = False, 0
-    while k < opts.max_iters and not converged:
-        k += 1
-        if opts.mode == "hard":
-            labels.check_hard_labels(st)
-        rows = fit.fit_rows(st, opts.mode, weighted=True)
-        if alphas is None:
-            res = fit.fit_columns(rows, La, Lb, max_iter=opts.max_init_iters, **options)
-            alphas = res.alphas
+    try:
+        n_all = options["n_all"] = base.count()
+        k, got = _resumed(spark, root, runs, schema, La, Lb)
+        if k is None:
+            k = 0
+            if opts.init == "warm":
+                st = base.withColumn("z", F.array(F.lit(1.0)))
+                one = fit.fit_starts(st.select("a", "b", F.col("z").alias("w")), La, Lb, [None], [None], members=False,
+                                     max_iter=opts.max_init_iters, **options)[0]
+                runs[0].sides, runs[0].alphas, runs[0].fits_converged = one.sides, one.alphas, one.converged
+                # no pair is known to interact yet: the first null model has all of them at full weight
+                st = st.withColumn("z", F.array(F.lit(0.0)))
+                pwms = null_model.pwms_of_starts(st, 1, La, Lb)
+                scored = alt_model.score_starts(st, [one.sides], pwms, La, Lb, opts.residues)
+                st, got = step(_new_labels(scored, opts).drop("z_prev"), runs, 0)
+            else:
+                first = F.array(*[labels.random_labels_expr(opts.int_frac, opts.mode, opts.seed + r.number) for r in runs])
+                st, got = step(base.withColumn("z", first), runs, 0)
         else:
-            res = fit.fit_columns(rows, La, Lb, alphas=alphas, init=sides, max_iter=opts.max_reg_iters, **options)
-        sides = res.sides
-        fits_converged &= res.converged
-        pwm = _pwm(st, opts.mode, La, Lb)
-        scored = alt_model.score_alt(st.select("pair_id", "a", "b", "z"), sides, La, Lb, pwm=pwm)
-        st = step(_e_step(scored, opts), k)
-        converged = bool(labels.convergence_df(st, "z", "z_prev", opts.mode, opts.tol).first()["converged"])
-        record(sides, k)
-    base.unpersist()
+            st = spark.read.schema(schema).parquet(f"{root}/states/iter={k}")
+        while k < opts.max_iters and any(not r.converged for r in runs):
+            held = [r for r in runs if r.iters[-1] == k]  # the starts whose labels ``st`` has
+            if opts.mode == "hard":
+                check_classes(st, held, got)
+            open_ = [r for r in held if not r.converged]
+            st = st.select("pair_id", "a", "b", _pick("z", [i for i, r in enumerate(held) if not r.converged]).alias("z"))
+            k += 1
+            searched = open_[0].alphas is None
+            res = fit.fit_starts(st.select("a", "b", F.col("z").alias("w")), La, Lb, [r.alphas for r in open_], [r.sides for r in open_],
+                                 members=opts.mode == "hard", max_iter=opts.max_init_iters if searched else opts.max_reg_iters, **options)
+            for r, one in zip(open_, res):
+                r.sides, r.alphas, r.fits_converged = one.sides, one.alphas, r.fits_converged and one.converged
+            pwms = null_model.pwms_of_starts(st, len(open_), La, Lb)
+            scored = alt_model.score_starts(st, [r.sides for r in open_], pwms, La, Lb, opts.residues)
+            st, got = step(_new_labels(scored, opts), open_, k)
+    finally:
+        base.unpersist()
+    tables = _tables(spark, root, schema, La, Lb, opts.residues)
+    return [_result(spark, root, schema, tables, r) for r in runs]
+
+
+def _resumed(spark: SparkSession, root: str, runs: list[_Start], schema: str, width_a: int, width_b: int):
+    """Bring ``runs`` to the last committed iteration of ``root``; ``(None, None)`` if there is none."""
+    if not _exists(spark, f"{root}/commits"):
+        return None, None
+    commits = spark.read.schema(f"{_COMMIT}, iter int").parquet(f"{root}/commits").collect()  # starts x iterations
+    if not commits:
+        return None, None
+    for r in runs:
+        mine = sorted((c for c in commits if c.start == r.number), key=lambda c: c.iter)
+        if not mine:
+            raise ValueError(f"the run in {root} has no start {r.number}")
+        r.iters, r.converged, r.fits_converged = [c.iter for c in mine], mine[-1].converged, mine[-1].fits_converged
+        tables = [spark.read.schema(ddl).parquet(f"{root}/{name}/iter={mine[-1].iter}").where(F.col("start") == r.number)
+                  for name, ddl in _TABLES.items()]
+        sides = alt_model.sides_from_tables(*tables, width_a, width_b)
+        if any(len(sm.gpos) for sm in sides.values()):
+            r.sides = sides
+            r.alphas = {s: {int(p): float(a) for p, a in zip(sm.gpos, sm.galpha)} for s, sm in sides.items()}
+    return max(c.iter for c in commits), None
+
+
+def _tables(spark: SparkSession, root: str, schema: str, width_a: int, width_b: int, residues: bool) -> EMTables:
     # with the partition column: a filter on iter reads that iteration's files alone
-    trace = spark.read.schema(f"{_STATE}, iter int").parquet(root).select(
-        "iter", "pair_id", "z", "alt_llh", "null_llh", F.lit(start).alias("start"))
-    tables = [_union(t).withColumn("start", F.lit(start)) if t else None for t in (cmaps, mtabs)]
-    return EMResult(trace, *tables, alphas, k, converged, iters, sides, st, fits_converged)
+    states = spark.read.schema(f"{schema}, iter int").parquet(f"{root}/states")
+    trace = states.select("iter", "pair_id", F.inline(F.arrays_zip("starts", "z", "alt_llh", "null_llh"))).select(
+        "iter", "pair_id", "z", "alt_llh", "null_llh", F.col("starts").alias("start"))
+    models = spark.read.schema(f"{_TABLES['models']}, iter int").parquet(f"{root}/models")
+    coefs = spark.read.schema(f"{_TABLES['coefs']}, iter int").parquet(f"{root}/coefs")
+    cmap = contacts.couplings(coefs, width_a, width_b, models.select("start", "iter").distinct())
+    long = None
+    if residues:
+        long = _union([
+            states.select(F.lit(m).alias("model"), "iter", "pair_id", F.lit(s.upper()).alias("side"),
+                          F.inline(F.arrays_zip("starts", F.col(f"{m}_{s}").alias("cells")))).select(
+                "model", "iter", F.col("starts").alias("start"), "pair_id", "side", F.posexplode("cells").alias("pos", "logp"))
+            for m in ("alt", "null") for s in "ab"])
+    return EMTables(root, trace, contacts.apc(cmap, keys=("start", "iter")), models, long)
+
+
+def _result(spark: SparkSession, root: str, schema: str, tables: EMTables, r: _Start) -> EMResult:
+    mine = F.col("start") == r.number
+    last = spark.read.schema(schema).parquet(f"{root}/states/iter={r.iters[-1]}")
+    at = F.array_position("starts", r.number)
+    final = last.select("pair_id", "a", "b", F.element_at("z", at.cast("int")).alias("z"))
+    return EMResult(tables.trace.where(mine), tables.couplings.where(mine), tables.models.where(mine), r.alphas, r.iters[-1],
+                    r.converged, r.iters, r.sides, final, r.fits_converged, r.number, tables)
+
+
+def run_em(prepared: Prepared, opts: EMOptions, start: int = 0, folder: str | None = None) -> EMResult:
+    """One EM run (warm or random start) -> trace, couplings and models per iteration."""
+    return run_starts(prepared, opts, [start], folder)[0]
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -119,10 +245,10 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def em_multistart(prepared: Prepared, opts: EMOptions) -> list[EMResult]:
-    """``n_starts`` random starts, each with its own outputs (no
-    best-of selection); the seed of start s is ``seed + s``."""
-    return [run_em(prepared, opts, start=s) for s in range(opts.n_starts)]
+def em_multistart(prepared: Prepared, opts: EMOptions, folder: str | None = None) -> list[EMResult]:
+    """``n_starts`` random starts, each with its own outputs (no best-of selection);
+    the seed of start s is ``seed + s``.  A converged start takes no part in later passes."""
+    return run_starts(prepared, opts, list(range(opts.n_starts)), folder)
 
 
 def predict_contacts(prepared: Prepared, state: DataFrame, opts: EMOptions):

@@ -230,6 +230,15 @@ g AS (
          coalesce(bool_and(va = vb), false) AS identical FROM c GROUP BY kind)
 SELECT kind, n_a, n_b, missing_a, missing_b, CAST(identical AS INTEGER) AS identical,
        CAST(n_a = n_b AND missing_a = 0 AND missing_b = 0 AND n_a > 1 AND NOT identical AS INTEGER) AS ok FROM g""")
+    q["on_unknown"] = _q(BASE, body="""
+, odd AS (SELECT pair_id, side, orig_pos, CASE WHEN side = 'A' AND orig_pos = 0 AND pair_id % 10 = 3 THEN -1
+                 WHEN side = 'B' AND orig_pos = 1 AND pair_id % 15 = 4 THEN -1 ELSE aa END AS aa FROM res),
+bad AS (SELECT DISTINCT pair_id FROM odd WHERE aa = -1)
+SELECT 'error' AS mode, side, count(DISTINCT pair_id) AS n_pairs, 0 AS n_rejected, count(*) FILTER (WHERE aa = -1) AS n_codes
+FROM odd GROUP BY side
+UNION ALL SELECT 'gap', side, count(DISTINCT pair_id), 0, count(*) FILTER (WHERE aa IN (20, -1)) FROM odd GROUP BY side
+UNION ALL SELECT 'quarantine', side, count(DISTINCT pair_id), (SELECT count(*) FROM bad), count(*) FILTER (WHERE aa = 20)
+FROM odd WHERE pair_id NOT IN (SELECT pair_id FROM bad) GROUP BY side""")
     q["unknown_residues"] = _q(BASE, body="""
 SELECT ch, count(*) AS n, count(DISTINCT pair_id) AS n_seqs
 FROM (SELECT pair_id, unnest(string_split(s, '')) AS ch FROM docs)
@@ -334,6 +343,11 @@ FROM (SELECT col, sum(CASE WHEN is_contact = 1 AND v > 0 THEN 1 ELSE 0 END) AS t
     q["binarize_contacts"] = _q(BASE, GIVEN, CONTACTS, body="""
 SELECT pos_a, pos_b, CAST(apc > 0 AS INTEGER) AS predicted, CAST(strength > 0.5 AS INTEGER) AS strong FROM capc""")
     tr = _trace_sql()
+    sums = [f"SELECT {k} AS iter, 'alt' AS model, side, pos, logp FROM alt_res" for k in range(3)]
+    sums += [f"SELECT {k}, 'null', side, pos, logp FROM t{k}n_score" for k in range(3)]
+    q["residue_llh"] = _q(BASE, GIVEN, tr, body=f"""
+SELECT iter, model, side, pos, count(*) AS n, round(sum(logp), 6) AS logp FROM ({' UNION ALL '.join(sums)})
+GROUP BY iter, model, side, pos""")
     q["weighted_llh"] = _q(BASE, GIVEN, tr, body="""
 SELECT iter, pair_id, round(alt_int, 6) AS alt_int, round(null_nonint, 6) AS null_nonint FROM tw""")
     q["llh_per_iter"] = _q(BASE, GIVEN, tr, body="""

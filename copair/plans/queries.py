@@ -13,7 +13,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copair.functions.alphabet import L1_RATIO, N_CODES
+from copair.functions.alphabet import GAP, L1_RATIO, N_CODES
 from copair.functions.prob import harden_expr, posterior_expr
 from copair.operators import alt_model, checks, contacts, evaluate, fit, labels, null_model, prep
 from copair.operators.checks import EMOptions
@@ -85,6 +85,20 @@ def q_unknown_residues(spark, sf):
     return checks.unknown_residues(seqs)
 
 
+def q_on_unknown(spark, sf):
+    """Unknown residues under each mode: pairs kept and set aside, and gap codes (with 'error': unknown ones)."""
+    aligned = D.strange_alignment(spark, sf)
+    out = []
+    for mode in prep.ON_UNKNOWN:
+        encoded, rejected = prep.stored_pairs(aligned, mode)
+        counts = prep.residue_counts(encoded).groupBy("side").agg(
+            F.sum(F.when(F.col("orig_pos") == 0, F.col("n"))).alias("n_pairs"),
+            F.sum(F.when(F.col("aa") == (-1 if mode == "error" else GAP), F.col("n")).otherwise(0)).alias("n_codes"))
+        n = rejected.count() if rejected is not None else 0
+        out.append(counts.select(F.lit(mode).alias("mode"), "side", "n_pairs", F.lit(n).cast("long").alias("n_rejected"), "n_codes"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def _orig_contact_map(spark, sf):
     """Truth on the original grid: B[q] is derived from A[q], so the
     planted contacts are the diagonal cells."""
@@ -328,6 +342,16 @@ def _trace(d):
     return D.fixed_alt_trace(d, _alt(d).select("pair_id", "alt_llh"))
 
 
+def q_residue_llh(spark, sf):
+    """Per iteration, model and column: pairs and their summed residue log-probabilities."""
+    d = _derive(spark, sf)
+    _, tables = _selected(d)
+    sides = alt_model.sides_from_tables(*tables, d.prepared.width_a, d.prepared.width_b)
+    long = D.fixed_alt_residues(d, sides).groupBy("iter", "model", "side", "pos").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("logp").alias("logp"))
+    return long.select("iter", "model", "side", F.col("pos").cast("int").alias("pos"), "n", _r("logp"))
+
+
 def q_weighted_llh(spark, sf):
     w = em.weighted_llh(_trace(_derive(spark, sf)))
     return w.select("iter", "pair_id", _r("alt_int"), _r("null_nonint"))
@@ -427,9 +451,11 @@ def q_em_hard(spark, sf):
 
 
 def q_em_multistart(spark, sf):
+    """Five random starts in shared passes."""
     d = _derive(spark, sf)
-    runs = em.em_multistart(d.prepared, EMOptions(mode="soft", init="random", n_starts=2))
-    return _with_converged(runs[0]).unionByName(_with_converged(runs[1]))
+    runs = em.em_multistart(d.prepared, EMOptions(mode="soft", init="random", n_starts=5))
+    ended = spark.createDataFrame([(r.start, r.converged) for r in runs], "start int, converged boolean")
+    return runs[0].all_starts.trace.join(F.broadcast(ended), "start")
 
 
 def q_predict_contacts(spark, sf):
@@ -446,6 +472,7 @@ QUERIES = {
     "one_hot_features": q_one_hot_features,
     "check_pairs": q_check_pairs,
     "unknown_residues": q_unknown_residues,
+    "on_unknown": q_on_unknown,
     "align_contact_map": q_align_contact_map,
     "check_contact_map": q_check_contact_map,
     "true_labels": q_true_labels,
@@ -473,6 +500,7 @@ QUERIES = {
     "contact_metrics": q_contact_metrics,
     "contact_mcc": q_contact_mcc,
     "binarize_contacts": q_binarize_contacts,
+    "residue_llh": q_residue_llh,
     "weighted_llh": q_weighted_llh,
     "llh_per_iter": q_llh_per_iter,
     "llh_monotonic": q_llh_monotonic,

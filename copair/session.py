@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, partitions: int = 8, app: str = "copair") -> SparkSession:
@@ -64,6 +65,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
+def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back: what lies above is computed
+    once, column pruning stays, and lost executors cost nothing."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/copair-{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors of a session whose Python path lacks it.
 
