@@ -128,8 +128,10 @@ _PART = "block int, bucket int, blob binary"
 def _reduced(rows: DataFrame, partial, finish, schema: str, blocks: int) -> DataFrame:
     """Sum the vectors ``partial(batches) -> {block: vector}`` of all tasks, then ``finish(block, sum)``.
 
-    Two levels: a bucket of about sqrt(tasks) partials, then a block's buckets."""
-    fan = max(1, math.isqrt(max(1, rows.rdd.getNumPartitions())))
+    Two levels: a bucket of about sqrt(tasks) partials, then a block's buckets; up to 32 tasks
+    a block's partials are few enough (``BLOCK_BYTES`` each) for one."""
+    tasks = max(1, rows.rdd.getNumPartitions())
+    fan = math.isqrt(tasks) if tasks > 32 else tasks
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = TaskContext.get().partitionId() % fan
@@ -151,7 +153,7 @@ def _reduced(rows: DataFrame, partial, finish, schema: str, blocks: int) -> Data
         return finish(int(key[0]), total(pdf))
 
     parts = rows.mapInArrow(emit, _PART)
-    sums = parts.groupBy("block", "bucket").applyInPandas(add, _PART)
+    sums = parts.groupBy("block", "bucket").applyInPandas(add, _PART) if tasks > 32 else parts
     # a number of its own: the sums are few bytes, but each block is a good deal of work
     return sums.repartition(blocks, "block").groupBy("block").applyInPandas(last, schema)
 
