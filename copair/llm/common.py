@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copair.session import checkpoint_dir
 
-#: Folders written in the open ``scratch`` blocks.
-_open_scratch: list[list[str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,29 +22,10 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/copair-{uuid.uuid4().hex}"
-    for made in _open_scratch[-1:]:
-        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete what ``written`` makes within the block when it ends.
-
-    For a caller that commits a result before the end; DataFrames that read the
-    deleted tables are of no use afterwards.
-    """
-    _open_scratch.append([])
-    try:
-        yield
-    finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _open_scratch.pop():
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-
-
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, lengthened until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
