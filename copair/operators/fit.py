@@ -299,12 +299,21 @@ def next_trial(t: Trial, loss: float, g: np.ndarray, gb: float, h: np.ndarray, l
         half[old] += 0.5 * t.old_coefs
         new = Trial(feats, half, 0.5 * (t.b + t.old_b), t.old_feats, t.old_coefs, t.old_b, t.old_value,
                     t.screen, t.full, t.halved + 1, t.stuck)
-        return new, worst, "stalled" if new.halved > 50 else "open"
+        if new.halved <= 50:
+            return new, worst, "open"
+        # back at the accepted point: all features are looked at before the model counts as stalled
+        back = Trial(t.old_feats, t.old_coefs, t.old_b, t.old_feats, t.old_coefs, t.old_b, t.old_value, t.screen, True, 0, t.stuck + 1)
+        return back, worst, "stalled" if t.full or back.stuck >= STUCK else "open"
     stuck = t.stuck + 1 if t.old_value - value <= 1e-14 * max(1.0, abs(value)) else 0
     new = descend(np.r_[g[np.searchsorted(own, t.feats)], gb], h, np.r_[t.coefs, t.b], l1, l2)
     each[np.searchsorted(own, t.feats)] = 0.0
     wrong = np.flatnonzero(each > 0)
     enter = own[wrong[np.argsort(-each[wrong], kind="stable")[:ADMIT]]]
+    if t.full and len(np.setdiff1d(enter, t.screen)):
+        stuck = 0  # screening had left out features that matter
+    elif stuck >= STUCK and not t.full:
+        again = Trial(t.feats, t.coefs, t.b, t.feats, t.coefs, t.b, value, t.screen, True, 0, STUCK - 1)
+        return again, worst, "open"
     stay = new[:-1] != 0
     feats = np.r_[t.feats[stay], enter]
     coefs = np.r_[new[:-1][stay], np.zeros(len(enter))]
