@@ -92,7 +92,7 @@ def planted(tmp_path, n=360):
 
 def test_whole_analysis(spark, tmp_path):
     a, b, c = planted(tmp_path)
-    options = EMOptions(test=True, int_limit=269, predict_contacts=True)
+    options = EMOptions(test=True, int_limit=269, predict_contacts=True, residues=True)
     out = f"{tmp_path}/out"
     r = analysis.run(spark, a, b, options, c, out)
     assert r.prepared.kept_a == [0, 1, 2, 3, 4] and r.prepared.kept_b == [0, 1, 2, 3]
@@ -107,8 +107,8 @@ def test_whole_analysis(spark, tmp_path):
     assert read("labels").count() == 360 * n and read("encoded").count() == 360
     assert read("couplings").select("iter").distinct().count() == n == read("models").select("iter").distinct().count()
     res = read("residue_logprobs")
-    assert res.count() == 2 * 360 * 9 and {x[0] for x in res.select("model").distinct().collect()} == {"alt", "null"}
-    sums = res.where("model = 'alt'").groupBy("pair_id").agg(F.sum("logp").alias("s"))
+    assert res.count() == 2 * 360 * 9 * n and {x[0] for x in res.select("model").distinct().collect()} == {"alt", "null"}
+    sums = res.where(f"model = 'alt' AND iter = {n - 1}").groupBy("pair_id").agg(F.sum("logp").alias("s"))
     trace = r.trace.where(F.col("iter") == n - 1)
     assert sums.join(trace, "pair_id").where(F.abs(F.col("s") - F.col("alt_llh")) > 1e-9).count() == 0
     assert read("contact_map").where("is_contact = 1").count() == 3 and read("one_hot").count() > 0 and read("llh").count() == n
