@@ -12,13 +12,15 @@ precision.  Buckets give counts and spanning edges, never lists of pairs: each
 bucket emits for each row the number of links first found there (a pair found in
 several buckets is counted in the first one, which follows from its hashes) and a
 spanning forest of its links.  Equal vectors are merged beforehand and weigh as
-many as they are.  Buckets of more than ``chunk_rows`` rows are cut into chunks,
-and every pair of chunks is a task's group, so no group grows with the input.
+many as they are, and each length of vectors has buckets of its own.  Buckets of
+more than ``chunk_rows`` rows are cut into chunks, and every pair of chunks is a
+task's group, so no group grows with the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from copair.llm.common import written
 from copair.llm.components import components
-from copair.llm.vectors import by_group, common_length, cosine, matrix, unit, usable
+from copair.llm.vectors import by_group, cosine, lengths, matrix, unit, usable
 
 FUNCTIONS = 2
 _ROUNDS = 3
@@ -196,19 +198,23 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                     tables: int = 5, probes: int = 3, chunk_rows: int = 2000) -> DataFrame:
     """One row per row of ``rows``: ``(vec_id, n_links, component_id, kept)``.
 
-    Rows without an id, and vectors that are null, zero, of another length than
-    most, or hold null or non-finite components, link with nothing: 0 links,
-    their own component, kept.  Repeated rows count as vectors of their own.
+    Rows without an id, and vectors that are null, zero, or hold null or non-finite
+    components, link with nothing: 0 links, their own component, kept.  Vectors of
+    different lengths do not link.  Repeated rows count as vectors of their own.  An
+    empty table gives no rows; other columns are not read.
     """
-    dims = common_length(rows, vec_col)
     every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-    fits = usable(F.col("v")) & (F.size("v") == dims) & F.col("vec_id").isNotNull()
-    if not dims:
+    fits = usable(F.col("v")) & F.col("vec_id").isNotNull()
+    by_length = []
+    for dims in lengths(every.where("vec_id IS NOT NULL"), "v"):
+        same = every.where(fits & (F.size("v") == dims))
+        nodes = written(same.groupBy("v").agg(F.min("vec_id").alias("vid"), F.count(F.lit(1)).alias("copies")))
+        buckets = written(_buckets(nodes, dims, tables, probes))
+        by_length.append((nodes, written(_links_in_buckets(_chunked(buckets, chunk_rows), dims, probes, least))))
+    if not by_length:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                             F.lit(True).alias("kept"))
-    nodes = written(every.where(fits).groupBy("v").agg(F.min("vec_id").alias("vid"), F.count(F.lit(1)).alias("copies")))
-    buckets = written(_buckets(nodes, dims, tables, probes))
-    found = written(_links_in_buckets(_chunked(buckets, chunk_rows), dims, probes, least))
+    nodes, found = (reduce(DataFrame.unionByName, each) for each in zip(*by_length))
     counts = found.groupBy("vid").agg(F.sum("n").alias("n"))
     groups = components(found.where("other IS NOT NULL").select(F.col("vid").alias("u"), F.col("other").alias("v")))
     info = nodes.join(counts, "vid", "left").join(groups.withColumnRenamed("node", "vid"), "vid", "left").select(

@@ -5,6 +5,8 @@
 * Index: every distinct vector falls to one leaf of each tree.
 * Search: a query keeps one priority queue over all trees, ordered by the largest
   distance to a plane that a path had to cross, and visits leaves in that order.
+  It goes on while no tree's visited leaves hold more than ``k`` rows, so that
+  every query finds ``k`` others if there are so many.
   How many leaves is calibrated: for sample queries the true neighbours (brute
   force over all rows) tell how deep the queue must go for the wanted recall.
 * Rerank: rows and visiting queries meet by (tree, leaf, chunk); each group scores
@@ -13,7 +15,8 @@
   ``chunk_rows`` rows, so groups are bounded at any table size.
 
 Equal vectors are one index row that carries its smallest ids, so thousands of
-copies of one vector neither fill a leaf nor hide other neighbours.
+copies of one vector neither fill a leaf nor hide other neighbours.  Vectors of
+different lengths have no cosine: each length has a forest of its own.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copair.llm.common import hash_sample, tasks_for, written
-from copair.llm.vectors import by_group, common_length, cosine, matrix, unit, usable
+from copair.llm.vectors import by_group, cosine, lengths, matrix, unit, usable
+
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
+
+#: Odd multiplier of a Fibonacci hash (fixed value).
+_SPREAD = 0x9E3779B97F4A7C15
 
 
 @dataclass
@@ -52,19 +62,27 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
-    def visits(self, q: np.ndarray, most: int | None = None) -> list[tuple[int, int]]:
-        """``(tree, leaf)`` in the order of the shared priority queue."""
+    def visits(self, q: np.ndarray, most: int | None = None, held: np.ndarray | None = None,
+               least: int = 0) -> list[tuple[int, int]]:
+        """``(tree, leaf)`` in the order of the shared priority queue.
+
+        The first ``most``, and further ones until the visited leaves of one tree hold
+        ``least`` rows; ``held`` has the rows of every tree's leaves.
+        """
         margin = self.planes @ q - self.cuts
         queue = [(0.0, t, 0) for t in range(self.trees)]
-        first_leaf, out = (1 << self.depth) - 1, []
-        while queue and (most is None or len(out) < most):
+        first_leaf, out, rows = (1 << self.depth) - 1, [], [0] * self.trees
+        while queue and (most is None or len(out) < most or (held is not None and max(rows) < least)):
             far, t, node = heapq.heappop(queue)
             while node < first_leaf:
                 m = margin[t, node]
                 near = 2 * node + 1 + (m > 0)
                 heapq.heappush(queue, (max(far, abs(m)), t, 4 * node + 3 - near))
                 node = near
-            out.append((t, int(node - first_leaf)))
+            leaf = int(node - first_leaf)
+            out.append((t, leaf))
+            if held is not None:
+                rows[t] += int(held[t, leaf])
         return out
 
 
@@ -121,12 +139,36 @@ def _best(rows: DataFrame, queries: np.ndarray, k: int, dims: int) -> list[np.nd
     return [np.array(best.loc[best["q"] == i, "v"].tolist()).reshape(-1, dims) for i in range(len(queries))]
 
 
+def _held(index: DataFrame, model, dims: int) -> np.ndarray:
+    """Rows in each leaf of each tree, counted in the tasks: ``(trees, leaves)``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = model.value
+        n = np.zeros((forest.trees, 1 << forest.depth), dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                leaves = forest.leaves(unit(matrix(batch.slice(at, 2000).column(0), dims)))
+                for t in range(forest.trees):
+                    n[t] += np.bincount(leaves[:, t], minlength=n.shape[1])
+        t, leaf = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(leaf), pa.array(n[t, leaf])], names=["t", "leaf", "n"])
+
+    counts = index.select("v").mapInArrow(count, "t long, leaf long, n long")
+    found = counts.groupBy("t", "leaf").agg(F.sum("n").alias("n")).toArrow()  # at most trees x leaves rows
+    held = np.zeros((model.value.trees, 1 << model.value.depth), dtype=np.int64)
+    held[found.column("t").to_numpy(), found.column("leaf").to_numpy()] = found.column("n").to_numpy()
+    return held
+
+
 def calibrate(forest: Forest, queries: np.ndarray, truth: list[np.ndarray], recall: float) -> int:
-    """Leaves to visit so that ``recall`` of the true neighbours lie in a visited one."""
+    """Leaves to visit so that ``recall`` of the true neighbours lie in a visited one.
+
+    ``truth`` has each query's own vector first, which is left out.
+    """
     depth_of: list[int] = []
     for q, near in zip(queries, truth):
         place = {leaf: n + 1 for n, leaf in enumerate(forest.visits(q))}
-        for leaves in forest.leaves(near):
+        for leaves in forest.leaves(near[1:]):
             depth_of.append(min(place[(t, int(leaf))] for t, leaf in enumerate(leaves)))
     return int(np.ceil(np.quantile(depth_of, recall))) if depth_of else 1
 
@@ -137,16 +179,24 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest other rows found for each query row.
 
     ``is_query`` is a condition on ``id``.  Rows without an id and vectors that are
-    null, zero, of another length than most, or hold null or non-finite components
-    take no part.  Repeated ids are rows of one id: only the query's own id is left
-    out.  An empty table gives no rows.
+    null, zero, or hold null or non-finite components take no part; vectors of
+    another length than the query's are no candidates.  Repeated ids are rows of one
+    id: only the query's own id is left out, and an id with vectors of several
+    lengths asks with each.  Ties go to smaller ids.  A query finds ``k`` others
+    where there are so many, else all.  An empty table gives no rows; other columns
+    are not read.
     """
-    dims = common_length(rows, vec_col)
-    spark = rows.sparkSession
     every = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    every = every.where(usable(F.col("v")) & (F.size("v") == dims) & F.col("id").isNotNull())
-    if not dims:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    every = every.where(usable(F.col("v")) & F.col("id").isNotNull())
+    found = [_search(every.where(F.size("v") == dims), dims, is_query, k, trees, leaf_rows, sample, recall, calibration,
+                     chunk_rows, seed) for dims in lengths(every, "v")]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _search(every: DataFrame, dims: int, is_query: Column, k: int, trees: int, leaf_rows: int, sample: int, recall: float,
+            calibration: int, chunk_rows: int, seed: int) -> DataFrame:
+    """``search`` over usable vectors ``(id, v)`` of one length."""
+    spark = every.sparkSession
     # the k + 1 smallest ids of each distinct vector; the limit is applied before the shuffle
     by_id = Window.partitionBy("v").orderBy("id")
     ids = every.distinct().withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
@@ -158,9 +208,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     asked_once = asked.select("vid", "v").dropDuplicates(["vid"])
     probes = _collected(hash_sample(asked_once, calibration, "vid").orderBy("vid").limit(2 * calibration).select("v"), dims)
     if not len(probes):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], SCHEMA)
     visits = calibrate(forest, probes, _best(index, probes, k + 1, dims), recall)
     model = spark.sparkContext.broadcast(forest)  # bounded by trees x sample / 8 planes
+    held = spark.sparkContext.broadcast(_held(index, model, dims))  # a count per leaf
     chunks = tasks_for(n, chunk_rows << forest.depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +220,19 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
                 part = batch.slice(at, 2000)
                 leaves = model.value.leaves(unit(matrix(part.column("v"), dims)))
                 vid = part.column("vid").to_numpy()
+                # a hash of the id, as ids may have a common factor
+                chunk = ((vid.astype(np.uint64) * np.uint64(_SPREAD) >> np.uint64(32)) % np.uint64(chunks)).astype(np.int32)
                 for t in range(leaves.shape[1]):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(vid), t, dtype=np.int32)), pa.array(leaves[:, t]),
-                         pa.array((vid % chunks).astype(np.int32)), pa.array(np.zeros(len(vid), dtype=bool)),
+                         pa.array(chunk), pa.array(np.zeros(len(vid), dtype=bool)),
                          part.column("vid"), part.column("v")], names=["t", "leaf", "chunk", "asks", "vid", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                seen = [model.value.visits(q, visits) for q in unit(matrix(part.column("v"), dims))]
+                seen = [model.value.visits(q, visits, held.value, k + 1) for q in unit(matrix(part.column("v"), dims))]
                 row = np.repeat(np.arange(len(seen)), [len(s) * chunks for s in seen])
                 t, leaf = (np.repeat([x[c] for s in seen for x in s], chunks).astype(np.int32) for c in (0, 1))
                 taken = part.take(pa.array(row))

@@ -16,11 +16,16 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def common_length(rows: DataFrame, vec_col: str) -> int:
-    """The length most usable vectors have (ties: the larger); 0 if there is none."""
-    found = (rows.where(usable(F.col(vec_col))).groupBy(F.size(vec_col).alias("n")).agg(F.count(F.lit(1)).alias("k"))
-             .orderBy(F.col("k").desc(), F.col("n").desc()).first())
-    return found[0] if found else 0
+#: Each length is searched by itself; a table of more lengths than this is an error.
+MAX_LENGTHS = 1000
+
+
+def lengths(rows: DataFrame, vec_col: str) -> list[int]:
+    """The distinct lengths of usable vectors, ascending."""
+    found = rows.where(usable(F.col(vec_col))).select(F.size(vec_col).alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()
+    if len(found) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    return sorted(r[0] for r in found)
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:

@@ -83,6 +83,26 @@ def test_near_duplicates_against_brute_force(spark, chunk_rows):
     assert len(alone) == 8 and all(r["n_links"] == 0 and r["component_id"] == r["vec_id"] and r["kept"] for r in alone)
 
 
+def two_lengths(spark):
+    """101 vectors of 6 and 200 of 8 components, near copies and equal vectors among both."""
+    short, long = cloud(101, 6, 5, groups=2), cloud(200, 8, 6, groups=3)
+    short[60] = short[50]
+    return list(enumerate([*short.tolist(), *long.tolist()]))
+
+
+def test_near_duplicates_of_two_lengths(spark):
+    rows = two_lengths(spark)
+    want = []
+    for n in (6, 8):
+        of_length = [r for r in rows if len(r[1]) == n]
+        links, label = brute_links(of_length)
+        want += zip([i for i, _ in of_length], links.tolist(), label.tolist())
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in cp_lsh.near_duplicates(df).collect()]
+    assert sorted(got) == sorted(want)
+    assert {(50, 1, 50), (60, 1, 50)} <= set(got)
+
+
 def test_near_duplicates_with_extra_columns_and_empty(spark):
     assert cp_lsh.near_duplicates(odd_vectors(spark, 8)).count() == 13
     assert cp_lsh.near_duplicates(odd_vectors(spark, 8).limit(0)).count() == 0
@@ -125,6 +145,35 @@ def test_search_reaches_recall_and_exact_order(spark):
         assert r["score"] == pytest.approx(float(vectors.cosine(x[[r["query_id"]]], x[[r["vec_id"]]])[0]), abs=1e-15)
 
 
+def test_search_of_two_lengths_and_few_rows(spark):
+    rows = two_lengths(spark)
+    rows += [(900 + i, [1.0 + i, 2.0, -float(i)]) for i in range(4)]  # fewer than five candidates
+    out = rp_forest.search(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("id") % 50 == 0, leaf_rows=16)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    size = {i: len(v) for i, v in rows}
+    want = {}
+    for n in (3, 6, 8):
+        want |= brute_nearest([r for r in rows if len(r[1]) == n], 5)
+    assert got.keys() == want.keys() == {0, 50, 100, 150, 200, 250, 300, 900}
+    assert all(size[c] == size[q] for q, near in got.items() for c in near)
+    assert {q: len(near) for q, near in got.items()} == {q: len(near) for q, near in want.items()}
+    assert np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want]) >= 0.9
+
+
+def test_queue_goes_on_until_a_tree_holds_enough(spark):
+    forest = rp_forest.fit(vectors.unit(cloud(256, 8, 7)), 256, 4, 8, 1)
+    leaves = 1 << forest.depth
+    held = np.zeros((4, leaves), dtype=np.int64)
+    held[2, leaves - 1] = 6
+    q = vectors.unit(cloud(1, 8, 8))[0]
+    assert len(forest.visits(q, 1)) == 1 and leaves > 4
+    seen = forest.visits(q, 1, held, 6)
+    assert (2, leaves - 1) == seen[-1]
+    assert len(forest.visits(q, 1, held, 7)) == 4 * leaves == len(set(forest.visits(q, 1, held, 7)))
+
+
 def test_search_of_odd_vectors(spark):
     out = rp_forest.search(odd_vectors(spark, 8), F.col("id") % 50 == 0).orderBy("rank").collect()
     # 9050 asks; 9010, 9011 and 9012 are all at cosine 1, smaller ids first
