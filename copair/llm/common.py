@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,16 +16,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Folders that ``written`` made inside the innermost ``committed``.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def written(df: DataFrame, over: Iterable[DataFrame] = ()) -> DataFrame:
     """Write ``df`` as a table under the shared checkpoint folder and read it back.
 
     Cuts lineage: later reads survive lost executors and never recompute what
     lies above.  Parquet keeps column pruning, which ``checkpoint()`` would lose.
+    ``over`` are results of ``written`` that nothing reads after this table:
+    they are deleted once it is committed.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/copair-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _delete(spark, [t._written_at for t in over])
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def committed(make: Callable[[], DataFrame], over: Iterable[DataFrame] = ()) -> DataFrame:
+    """The table ``make()`` gives, written; the tables that were written on the way are deleted
+    once it is, and so are those of ``over``.  If it fails, nothing is deleted."""
+    token = _MADE.set([])
+    try:
+        out = written(make())
+        inner = [p for p in _MADE.get() if p != out._written_at]
+    finally:
+        _MADE.reset(token)
+    _delete(out.sparkSession, [*inner, *(t._written_at for t in over)])
+    if (outer := _MADE.get()) is not None:
+        outer.append(out._written_at)
+    return out
 
 
 def free_name(df: DataFrame, wish: str) -> str:
@@ -60,7 +95,7 @@ def ranked(df: DataFrame, order: list[str], name: str, within: str | None = None
     rows = written(df.withColumn(tie, F.monotonically_increasing_id()))
     keys = [part, within] if within else [part]
     dealt = written(rows.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).drop(tie)
-                    .withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}))
+                    .withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), over=[rows])
     counts = dealt.groupBy(*keys).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("n"))
     value = Window.partitionBy(*keys[1:])
     before = value.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

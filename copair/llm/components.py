@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
                     .where("u != v").distinct())
     mark = _mark(edges)
     while mark[0]:
-        edges = written(_small_star(_large_star(edges)))
+        edges = written(_small_star(_large_star(edges)), over=[edges])
         now = _mark(edges)
         if now == mark:
             break
