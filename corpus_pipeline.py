@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copair.llm import cube_mix, packing, pii_crf, simhash_ring, toxicity_gbt
-from copair.llm.common import table, written
+from copair.llm.common import committed, free_name, table
 from copair.llm.queries import TOKENIZER
 
 TOXIC_AT = 0.5
@@ -37,8 +37,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become ``<KIND>``; ``n_chars`` follows the text."""
-    found = docs.withColumn("__pii", pii_crf.pii_column("text", pii_crf.learn(docs), masked=True))
-    changed = {"text": F.col("__pii.masked").alias("text"), "n_chars": F.length("__pii.masked").alias("n_chars")}
+    pii = free_name(docs, "__pii")
+    found = docs.withColumn(pii, pii_crf.pii_column("text", pii_crf.learn(docs), masked=True))
+    masked = F.col(f"{pii}.masked")
+    changed = {"text": masked.alias("text"), "n_chars": F.length(masked).alias("n_chars")}
     return found.select(*[changed.get(c, F.col(c)) for c in docs.columns])
 
 
@@ -65,7 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.  A stage's scratch tables and its predecessor's result go when its own result is committed."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = committed(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), over=before)
+        before = [docs]
     return docs
