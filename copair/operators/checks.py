@@ -134,6 +134,7 @@ class EMOptions:
     test: bool = False
     predict_contacts: bool = False
     residues: bool = False  # keep the log-probability of every residue, iteration and start
+    history: bool = False  # keep every iteration's label and log-likelihoods in the row of the pair
     max_init_iters: int | None = None  # data passes of each round of a path fit; None: until optimal
     max_reg_iters: int | None = None  # data passes of a fixed-alpha M-step; None: until optimal
     fit_tol: float = 1e-5  # largest violation of the optimality conditions of a fitted model
@@ -150,6 +151,7 @@ class EMOptions:
             "predict_contacts": (lambda v: isinstance(v, bool), "a boolean"),
             "on_unknown": (("error", "gap", "quarantine").__contains__, "'error', 'gap' or 'quarantine'"),
             "residues": (lambda v: isinstance(v, bool), "a boolean"),
+            "history": (lambda v: isinstance(v, bool), "a boolean"),
             "int_limit": (lambda v: v is None or v >= 0, "None or at least 0"),
             "n_starts": (lambda v: v >= 1, "at least 1"),
             "dfmax": (lambda v: v > 1, "above 1"),

@@ -56,11 +56,17 @@ def couplings(coefs: DataFrame, width_a: int, width_b: int, sets: DataFrame | No
 def apc(cmap: DataFrame, col: str = "strength", out: str = "apc", keys: tuple = ()) -> DataFrame:
     """``c_ij - rowmean_i * colmean_j / mean`` (NULL when the mean is 0), per set of ``keys``.
 
-    All three means are windows over the one table, so the couplings are computed once."""
-    row_mean = F.avg(col).over(Window.partitionBy(*keys, "pos_a"))
-    col_mean = F.avg(col).over(Window.partitionBy(*keys, "pos_b"))
-    all_mean = F.avg(col).over(Window.partitionBy(*(keys or [F.lit(0)])))
-    return cmap.withColumn(out, F.col(col) - F.try_divide(row_mean * col_mean, all_mean))
+    One aggregate by grouping sets gives all three kinds of means; they form one row per set
+    (a map of the rows', a map of the columns', the whole), which meets the cells by a join
+    instead of windows that would sort them three times."""
+    cells = cmap.withColumn("__set", F.struct(*keys) if keys else F.lit(0))
+    sums = cells.groupingSets([["__set", "pos_a"], ["__set", "pos_b"], ["__set"]], "__set", "pos_a", "pos_b").agg(
+        F.avg(col).alias("mean"), F.grouping("pos_a").alias("no_a"), F.grouping("pos_b").alias("no_b"))
+    of = lambda kept, pos: F.map_from_entries(F.collect_list(F.when(F.col(kept) == 0, F.struct(pos, "mean"))))
+    means = sums.groupBy("__set").agg(of("no_a", "pos_a").alias("of_a"), of("no_b", "pos_b").alias("of_b"),
+                                      F.max(F.when((F.col("no_a") == 1) & (F.col("no_b") == 1), F.col("mean"))).alias("of_all"))
+    corrected = F.col(col) - F.try_divide(F.col("of_a")[F.col("pos_a")] * F.col("of_b")[F.col("pos_b")], F.col("of_all"))
+    return cells.join(means, "__set").withColumn(out, corrected).drop("__set", "of_a", "of_b", "of_all")
 
 
 def top_contacts(cmap: DataFrame, n: int, col: str = "apc") -> DataFrame:

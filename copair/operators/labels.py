@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from copair.functions.prob import harden_expr, posterior_expr, unit_uniform_expr
 
 
+def true_label_expr(int_limit: int) -> F.Column:
+    """1 for ``pair_id <= int_limit`` (inclusive), 0 for others and whenever ``int_limit <= 0``."""
+    return (F.col("pair_id") <= F.lit(int_limit)).cast("int") if int_limit > 0 else F.lit(0)
+
+
+def check_int_limit(int_limit: int, n_obs: int) -> None:
+    if int_limit > n_obs:
+        raise ValueError(f"option int_limit is {int_limit} but must be at most the number of pairs, {n_obs}")
+
+
 def true_labels(pairs: DataFrame, int_limit: int, n_obs: int | None = None) -> DataFrame:
-    """``y = 1`` for ``pair_id <= int_limit`` (inclusive), all 0 when ``int_limit <= 0``."""
+    """``(pair_id, y)`` by ``true_label_expr``; a limit beyond the number of pairs is an error."""
     if int_limit > 0:
-        if n_obs is None:
-            n_obs = pairs.count()
-        if int_limit > n_obs:
-            raise ValueError(f"option int_limit is {int_limit} but must be at most the number of pairs, {n_obs}")
-        y = (F.col("pair_id") <= F.lit(int_limit)).cast("int")
-    else:
-        y = F.lit(0)
-    return pairs.select("pair_id", y.alias("y"))
+        check_int_limit(int_limit, pairs.count() if n_obs is None else n_obs)
+    return pairs.select("pair_id", true_label_expr(int_limit).alias("y"))
 
 
 def random_labels_expr(int_frac: float, mode: str, seed: int = 42) -> F.Column:

@@ -40,16 +40,19 @@ def run(spark: SparkSession, path_a: str, path_b: str, options: EMOptions | None
 
     ``options.test`` with ``int_limit`` compares labels with the truth (pairs up to the
     limit interact); ``predict_contacts`` adds the final contact fit of every start;
-    ``n_starts`` applies to random starts; ``residues`` adds the per-residue table.
+    ``n_starts`` applies to random starts; ``residues`` adds the per-residue table and
+    ``history`` the matrices of labels and log-likelihoods, pairs by iterations, of every start.
     ``folder`` keeps the iterations: a run that ended early goes on from there."""
     options = options or EMOptions()
     aligned = fasta.pair_alignments(fasta.read_alignment(spark, path_a), fasta.read_alignment(spark, path_b))
     cmap = fasta.read_contact_map(spark, contact_map) if contact_map else None
     prepared = prep.preprocess(aligned, options.gap_threshold, cmap, on_unknown=options.on_unknown)
+    if options.test:
+        labels.check_int_limit(options.int_limit, prepared.pairs.count())
     starts = options.n_starts if options.init == "random" else 1
     runs = em.run_starts(prepared, options, list(range(starts)), folder)
     trace = runs[0].all_starts.trace
-    truth = labels.true_labels(prepared.pairs, options.int_limit) if options.test else None
+    truth = labels.true_label_expr(options.int_limit) if options.test else None  # evaluated on the trace: no join
     result = Analysis(prepared, runs, em.llh_per_iter(trace, truth),
                       evaluate.performance_per_iter(trace, truth, options.mode) if options.test else None,
                       _final_contacts(prepared, runs, options) if options.predict_contacts else None, options)
@@ -62,6 +65,16 @@ def _final_contacts(prepared: prep.Prepared, runs: list[em.EMResult], options: E
     return _all([em.predict_contacts(prepared, r.final_state, options)[0].withColumn("start", F.lit(r.start)) for r in runs])
 
 
+def _matrices(result: Analysis) -> dict:
+    """Pairs by iterations of every start, as projections of the history."""
+    history = result.runs[0].all_starts.history
+    if history is None:
+        return {}
+    iters = max((r.iters for r in result.runs), key=len)  # the same columns for every start
+    of = lambda table: _all([table(history, iters, start=r.start).withColumn("start", F.lit(r.start)) for r in result.runs])
+    return {"label_evolution": (of(evaluate.label_evolution), ["start"]), "llh_evolution": (of(evaluate.llh_evolution), ["start"])}
+
+
 def write(result: Analysis, out: str) -> None:
     """Tables under ``out``, those of iterations partitioned by ``start, iter``."""
     p = result.prepared
@@ -75,7 +88,7 @@ def write(result: Analysis, out: str) -> None:
         "couplings": (tables_of_run.couplings, by_iter),
         "residue_logprobs": (tables_of_run.residues, ["model", *by_iter]),
         "contact_map": (p.contact_map, None), "rejected": (p.rejected, None), "performance": (result.performance, None), "contacts": (result.contacts, None),
-    }
+    } | _matrices(result)
     for name, (df, partition_by) in tables.items():
         if df is not None:
             fasta.write_result(df, f"{out}/{name}", partition_by=partition_by)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copair.functions.alphabet import ALPHA_PATH
-from copair.operators import alt_model, null_model
+from copair.operators import alt_model, evaluate, null_model
 from copair.functions.prob import posterior_expr
 from copair.operators.prep import Prepared, long_view, preprocess, stored_pairs
 from copair.session import stored
@@ -150,22 +150,28 @@ def fixed_alt_residues(d: Derived, sides: dict, n_iter: int = 3) -> DataFrame:
 # a fixed-coevolution-model EM trace (null M-step + E-step, 3 iterations)
 # ---------------------------------------------------------------------------
 
-def fixed_alt_trace(d: Derived, alt: DataFrame, n_iter: int = 3) -> DataFrame:
-    """``(iter, pair_id, z, alt_llh, null_llh)``: iteration 0 uses the prior
-    labels; the null model is refitted with weights 1 - z each iteration and
-    the posterior (pi = 0.75) gives the next labels."""
-    st = d.prior().select("pair_id", "a", "b", "z").join(alt.select("pair_id", "alt_llh"), "pair_id")
+def fixed_alt_history(d: Derived, sides: dict, truth: DataFrame | None = None, n_iter: int = 3) -> DataFrame:
+    """``(pair_id, history)``, with ``truth`` also ``y``: iteration 0 uses the prior labels; the null
+    model is refitted with weights 1 - z each iteration and the posterior (pi = 0.75) gives the next labels.
+
+    The labels are joined once, to the pairs; every later step keeps the rows where they are."""
     La, Lb = d.prepared.width_a, d.prepared.width_b
-    out = []
+    st = d.prior().select("pair_id", "a", "b", "z")
+    if truth is not None:
+        st = evaluate.with_truth(st, truth, "left")
+    keys = [c for c in ("pair_id", "y") if c in st.columns]
+    st = alt_model.score_alt(st, sides, La, Lb).withColumn("history", F.array().cast(evaluate.HISTORY))
     for k in range(n_iter):
         if k > 0:
             st = st.withColumn("z", F.lit(1.0) / (F.lit(1.0) + F.exp(
                 F.col("null_llh") - F.col("alt_llh") + F.lit(math.log((1 - INT_FRAC) / INT_FRAC))))).drop("null_llh")
         pwm = null_model.fit_null(st.select("pair_id", "a", "b", "z"), "soft")
         st = null_model.null_llh(st, null_model.pwm_arrays(pwm, La, Lb))
-        st = st.cache()
-        out.append(st.select(F.lit(k).alias("iter"), "pair_id", "z", "alt_llh", "null_llh"))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+        entry = F.struct(F.lit(0).alias("start"), F.lit(k).alias("iter"), "z", "alt_llh", "null_llh")
+        st = stored(st.withColumn("history", F.concat("history", F.array(entry))))
+    return st.select(*keys, "history")
+
+
+def fixed_alt_trace(d: Derived, sides: dict, truth: DataFrame | None = None, n_iter: int = 3) -> DataFrame:
+    """``(iter, pair_id, z, alt_llh, null_llh)``, with ``truth`` also ``y``: the history, a row per iteration."""
+    return evaluate.unrolled(fixed_alt_history(d, sides, truth, n_iter)).drop("start")

@@ -16,11 +16,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copair.functions.prob import harden_expr, posterior_expr
-from copair.operators import alt_model, contacts, fit, labels, null_model
+from copair.operators import alt_model, contacts, evaluate, fit, labels, null_model
 from copair.operators.checks import EMOptions
 from copair.operators.prep import Prepared
 from copair.session import checkpoint_dir
@@ -51,6 +51,7 @@ class EMTables:
     couplings: DataFrame
     models: DataFrame
     residues: DataFrame | None  # (model, iter, start, pair_id, side, pos, logp), with ``options.residues``
+    history: DataFrame | None = None  # (pair_id, history), a row per pair, with ``options.history``
 
 
 _STATE = ("pair_id bigint, a array<tinyint>, b array<tinyint>, starts array<int>, z array<double>, z_prev array<double>, "
@@ -106,6 +107,7 @@ def run_starts(prepared: Prepared, opts: EMOptions, starts: list[int], folder: s
     La, Lb = prepared.width_a, prepared.width_b
     runs = [_Start(s) for s in starts]
     schema = _STATE + "".join(f", {c} array<array<double>>" for c in _RESIDUES) * opts.residues
+    schema += f", history {evaluate.HISTORY}" * opts.history
     options = {"dfmax": opts.dfmax, "tol": opts.fit_tol}
 
     def step(state: DataFrame, open_: list[_Start], k: int) -> tuple[DataFrame, dict]:
@@ -116,6 +118,13 @@ def run_starts(prepared: Prepared, opts: EMOptions, starts: list[int], folder: s
                    ("pair_id", "a", "b", "starts", "z", "z_prev", "alt_llh", "null_llh")]
         columns += [F.col(c) if c in state.columns else F.lit(None).cast("array<array<double>>").alias(c)
                     for c in _RESIDUES if opts.residues]
+        if opts.history:  # the entries of this iteration follow those that the row has
+            now = F.arrays_zip("starts", "z", "alt_llh", "null_llh") if "alt_llh" in state.columns else F.arrays_zip("starts", "z")
+            value = lambda e, c: e[c] if "alt_llh" in state.columns else F.lit(None).cast("double")
+            entries = F.transform(now, lambda e: F.struct(e["starts"].alias("start"), F.lit(k).alias("iter"), e["z"].alias("z"),
+                                                          value(e, "alt_llh").alias("alt_llh"), value(e, "null_llh").alias("null_llh")))
+            before = F.col("history") if "history" in state.columns else F.array().cast(evaluate.HISTORY)
+            columns.append(F.concat(before, entries).alias("history"))
         seen = Observation(f"em-{uuid.uuid4().hex}")
         sums = [F.count(F.lit(1)).alias("n")]
         for i in range(len(open_)):
@@ -169,7 +178,8 @@ def run_starts(prepared: Prepared, opts: EMOptions, starts: list[int], folder: s
             if opts.mode == "hard":
                 check_classes(st, held, got)
             open_ = [r for r in held if not r.converged]
-            st = st.select("pair_id", "a", "b", _pick("z", [i for i, r in enumerate(held) if not r.converged]).alias("z"))
+            kept = ["history"] if opts.history else []
+            st = st.select("pair_id", "a", "b", _pick("z", [i for i, r in enumerate(held) if not r.converged]).alias("z"), *kept)
             k += 1
             searched = open_[0].alphas is None
             res = fit.fit_starts(st.select("a", "b", F.col("z").alias("w")), La, Lb, [r.alphas for r in open_], [r.sides for r in open_],
@@ -182,6 +192,8 @@ def run_starts(prepared: Prepared, opts: EMOptions, starts: list[int], folder: s
     finally:
         base.unpersist()
     tables = _tables(spark, root, schema, La, Lb, opts.residues)
+    if opts.history:  # the last iteration's rows hold those before
+        tables.history = spark.read.schema(schema).parquet(f"{root}/states/iter={k}").select("pair_id", "history")
     return [_result(spark, root, schema, tables, r) for r in runs]
 
 
@@ -267,31 +279,32 @@ def predict_contacts(prepared: Prepared, state: DataFrame, opts: EMOptions):
 # log-likelihood tables
 # --------------------------------------------------------------------------
 
-def weighted_llh(trace: DataFrame, truth: DataFrame | None = None) -> DataFrame:
-    """``z*alt`` and ``(1-z)*null`` per pair and iteration; with truth,
-    the same with the true labels."""
+def weighted_llh(trace: DataFrame, truth: DataFrame | Column | None = None) -> DataFrame:
+    """``z*alt`` and ``(1-z)*null`` per pair and iteration; with truth (a table, an expression
+    or a column ``y`` of the trace), the same with the true labels."""
     out = trace.withColumn("alt_int", F.col("z") * F.col("alt_llh")).withColumn(
         "null_nonint", (F.lit(1.0) - F.col("z")) * F.col("null_llh"))
-    if truth is not None:
-        out = out.join(truth.select("pair_id", "y"), "pair_id", "left").withColumn(
+    if truth is not None or "y" in trace.columns:
+        out = evaluate.with_truth(out, truth, "left").withColumn(
             "alt_true", F.col("y") * F.col("alt_llh")).withColumn(
             "null_true", (F.lit(1.0) - F.col("y")) * F.col("null_llh"))
     return out
 
 
-def llh_per_iter(trace: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+def llh_per_iter(trace: DataFrame, truth: DataFrame | Column | None = None) -> DataFrame:
     """E5: per-iteration sums: alt, null, z-weighted alt, (1-z)-weighted null,
     total, and the truth variants when given."""
     keys = [c for c in ("start", "iter") if c in trace.columns]
     w = weighted_llh(trace, truth)
+    known = "y" in w.columns
     aggs = [
         F.sum("alt_llh").alias("sum_alt"), F.sum("null_llh").alias("sum_null"),
         F.sum("alt_int").alias("sum_alt_int"), F.sum("null_nonint").alias("sum_null_nonint"),
     ]
-    if truth is not None:
+    if known:
         aggs += [F.sum("alt_true").alias("true_alt"), F.sum("null_true").alias("true_null")]
     out = w.groupBy(*keys).agg(*aggs).withColumn("total", F.col("sum_alt_int") + F.col("sum_null_nonint"))
-    if truth is not None:
+    if known:
         out = out.withColumn("true_total", F.col("true_alt") + F.col("true_null"))
     return out
 

@@ -338,16 +338,19 @@ def q_binarize_contacts(spark, sf):
 
 # --- EM tables on a fixed-coevolution-model trace ----------------------------
 
-def _trace(d):
-    return D.fixed_alt_trace(d, _alt(d).select("pair_id", "alt_llh"))
+def _given_sides(d):
+    _, tables = _selected(d)
+    return alt_model.sides_from_tables(*tables, d.prepared.width_a, d.prepared.width_b)
+
+
+def _trace(d, truth=None):
+    return D.fixed_alt_trace(d, _given_sides(d), truth)
 
 
 def q_residue_llh(spark, sf):
     """Per iteration, model and column: pairs and their summed residue log-probabilities."""
     d = _derive(spark, sf)
-    _, tables = _selected(d)
-    sides = alt_model.sides_from_tables(*tables, d.prepared.width_a, d.prepared.width_b)
-    long = D.fixed_alt_residues(d, sides).groupBy("iter", "model", "side", "pos").agg(
+    long = D.fixed_alt_residues(d, _given_sides(d)).groupBy("iter", "model", "side", "pos").agg(
         F.count(F.lit(1)).alias("n"), F.sum("logp").alias("logp"))
     return long.select("iter", "model", "side", F.col("pos").cast("int").alias("pos"), "n", _r("logp"))
 
@@ -359,7 +362,7 @@ def q_weighted_llh(spark, sf):
 
 def q_llh_per_iter(spark, sf):
     d = _derive(spark, sf)
-    t = em.llh_per_iter(_trace(d), d.truth())
+    t = em.llh_per_iter(_trace(d, d.truth()))
     return t.select("iter", *[_r(c) for c in ("sum_alt", "sum_null", "sum_alt_int", "sum_null_nonint", "total",
                                               "true_alt", "true_null", "true_total")])
 
@@ -375,29 +378,31 @@ def _last_iter(trace):
 
 def q_confusion(spark, sf):
     d = _derive(spark, sf)
-    c = evaluate.confusion(_last_iter(_trace(d)), d.truth(), "soft")
+    c = evaluate.confusion(_last_iter(_trace(d, d.truth())), None, "soft")
     return c.select("y", "y_hat", "n", _r("share"))
 
 
 def q_label_report(spark, sf):
     d = _derive(spark, sf)
-    r = evaluate.label_report(_last_iter(_trace(d)), d.truth(), "soft")
+    r = evaluate.label_report(_last_iter(_trace(d, d.truth())), None, "soft")
     return r.select("n", "n_classes", "tp", "tn", "fp", "fn", _r("mcc"), _r("log_loss"))
 
 
 def q_performance_per_iter(spark, sf):
     d = _derive(spark, sf)
-    r = evaluate.performance_per_iter(_trace(d), d.truth(), "soft")
+    r = evaluate.performance_per_iter(_trace(d, d.truth()), None, "soft")
     return r.select("iter", "n", "tp", "tn", "fp", "fn", _r("mcc"), _r("log_loss"))
 
 
 def q_label_evolution(spark, sf):
-    e = evaluate.label_evolution(_trace(_derive(spark, sf)), [0, 1, 2])
+    d = _derive(spark, sf)
+    e = evaluate.label_evolution(D.fixed_alt_history(d, _given_sides(d)), [0, 1, 2])
     return e.select("pair_id", *[F.round(F.col(str(k)), R).alias(f"z_{k}") for k in range(3)])
 
 
 def q_llh_evolution(spark, sf):
-    e = evaluate.llh_evolution(_trace(_derive(spark, sf)), [0, 1, 2])
+    d = _derive(spark, sf)
+    e = evaluate.llh_evolution(D.fixed_alt_history(d, _given_sides(d)), [0, 1, 2])
     return e.select("pair_id", *[F.round(F.col(str(k)), R).alias(f"alt_{k}") for k in range(3)], _r("null_llh"))
 
 

@@ -74,6 +74,13 @@ def test_couplings_and_correction(spark):
     assert got[(0, 1)][2] == pytest.approx(5 - 2.5 * 2.5 / 1.75) and got[(0, 0)][2] == pytest.approx(-2.5 / 1.75)
     flat = contacts.apc(contacts.couplings(coefs.limit(0), 2, 2)).collect()
     assert all(r.strength == 0 and r.apc is None for r in flat)
+    plan = cmap._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    # sets are corrected apart, also a set named by nulls
+    two = contacts.apc(grid(spark, [[1, 3], [2, 2]]).withColumn("start", F.lit(1)).unionByName(
+        grid(spark, [[5, 1], [1, 1]]).withColumn("start", F.lit(None).cast("int"))), keys=("start",))
+    by_set = {(r.start, r.pos_a, r.pos_b): r.apc for r in two.collect()}
+    assert len(by_set) == 8 and by_set[(1, 0, 1)] == pytest.approx(3 - 2 * 2.5 / 2) and by_set[(None, 0, 0)] == pytest.approx(5 - 3 * 3 / 2)
 
 
 def grid(spark, values, name="strength"):

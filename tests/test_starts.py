@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from copair.operators import alt_model, fit, null_model, prep
+from copair.operators import alt_model, evaluate, fit, labels, null_model, prep
 from copair.operators import kernels as K
 from copair.operators.checks import EMOptions
 from copair.operators.models import layout
@@ -64,6 +64,41 @@ def test_a_converged_start_takes_no_part_in_later_passes(spark, prepared):
         assert {x.pair_id: x.z for x in r.final_state.collect()} == last
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_history_gives_the_matrices_without_moving_pairs(spark, prepared):
+    runs = em.em_multistart(prepared, options(init="random", max_iters=2, n_starts=2, history=True))
+    history = runs[0].all_starts.history
+    assert history.count() == prepared.pairs.count()
+    long = evaluate.unrolled(history)
+    for r in runs:
+        assert_same(rows_of(long.where(F.col("start") == r.start)), rows_of(r.trace))
+        for of, cols in ((evaluate.label_evolution, [str(k) for k in r.iters]),
+                         (evaluate.llh_evolution, [*[str(k) for k in r.iters], "null_llh"])):
+            wide, pivoted = of(history, r.iters, start=r.start), of(r.trace, r.iters)
+            assert wide.columns == pivoted.columns == ["pair_id", *cols]
+            assert sorted(map(tuple, wide.collect()), key=str) == sorted(map(tuple, pivoted.collect()), key=str)
+            assert "Exchange" not in plan_of(wide)
+        assert evaluate.label_evolution(history, start=r.start).columns == ["pair_id", *map(str, r.iters)]
+
+
+def test_truth_as_expression_or_column_equals_the_join(spark, prepared):
+    trace = em.run_em(prepared, options(max_iters=2)).trace
+    table, y = labels.true_labels(prepared.pairs, 40), labels.true_label_expr(40)
+    for table_of in (lambda t: evaluate.performance_per_iter(trace, t), lambda t: em.llh_per_iter(trace, t),
+                     lambda t: evaluate.confusion(trace.where("iter = 1"), t), lambda t: evaluate.label_report(trace.where("iter = 1"), t)):
+        joined, computed = ([r.asDict() for r in table_of(t).collect()] for t in (table, y))
+        key = lambda r: str([r.get(c) for c in ("iter", "y", "y_hat")])
+        for a, b in zip(sorted(joined, key=key), sorted(computed, key=key), strict=True):
+            assert a == pytest.approx(b, nan_ok=True) if None not in a.values() else a == b
+        assert "Join" not in plan_of(evaluate.performance_per_iter(trace, y))
+    with_y = trace.withColumn("y", y)
+    assert {r.iter: r.mcc for r in evaluate.performance_per_iter(with_y, None).collect()} == {
+        r.iter: r.mcc for r in evaluate.performance_per_iter(trace, table).collect()}
+
+
 class Ended(Exception):
     pass
 
