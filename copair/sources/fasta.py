@@ -2,9 +2,10 @@
 
 Pairing of the two alignments is by record order: files by name, records by their
 place in the file.  Both readers use Spark's text source with a record separator
-(splittable, works on any file system Spark reads) and number records with built-in
-operators: a record's number is its rank within its file block plus the records of
-the blocks before.  Blocks are bounded by ``spark.sql.files.maxPartitionBytes``.
+(splittable, works on any file system Spark reads).  Records are parsed once into a
+table under the shared checkpoint folder, which fixes their place: a record's number is
+its place within its file block plus the records of the blocks before.  Only a count
+per block is exchanged, no record is; the text is read once.
 """
 
 from __future__ import annotations
@@ -13,19 +14,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copair.operators.checks import check_pairs
+from copair.session import stored
 
 
-def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """``(n, value)``: non-blank records numbered from 0 in file order."""
+def _records(spark: SparkSession, path: str, separator: str, *columns: Column) -> DataFrame:
+    """``(n, *columns)``: non-blank records, parsed by ``columns`` of ``value``, numbered from 0 in file order.
+
+    A task reads a block's records one after the other, so their increasing ids have no gap
+    once blank records are gone.  The table of block starts has its size on disk, and Spark
+    broadcasts it while that is below its threshold."""
     text = spark.read.option("lineSep", separator).text(path)
-    rows = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                       F.monotonically_increasing_id().alias("at")).where(F.col("value").rlike(r"\S"))
-    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("rows"))
+    filled = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).where(
+        F.col("value").rlike(r"\S"))
+    rows = stored(filled.select("file", "block", F.monotonically_increasing_id().alias("at"), *columns))
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("file", "block", before.alias("before"))  # one row per file block
-    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    return rows.withColumn("nth", nth).join(starts, ["file", "block"]).select(
-        (F.col("before") + F.col("nth")).cast("long").alias("n"), "value")
+    starts = stored(blocks.select("file", "block", (before - F.col("first")).alias("shift")))  # one row per file block
+    parsed = [c for c in rows.columns if c not in ("file", "block", "at")]
+    return rows.join(starts, ["file", "block"]).select((F.col("at") + F.col("shift")).cast("long").alias("n"), *parsed)
 
 
 def _stripped(c: Column) -> Column:
@@ -37,17 +43,16 @@ def read_alignment(spark: SparkSession, path: str) -> DataFrame:
 
     Wrapped sequence lines are joined, blank lines and carriage returns dropped."""
     lines = F.split(F.regexp_replace("value", r"^\s*>", ""), "\n")
-    rows = _records(spark, path, "\n>").select(F.col("n").alias("pair_id"), lines.alias("lines"))
-    body = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
-    return rows.select("pair_id", _stripped(F.col("lines")[0]).alias("header"),
-                       F.regexp_replace(F.concat_ws("", body), r"\s+", "").alias("seq"))
+    body = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    return _records(spark, path, "\n>", _stripped(lines[0]).alias("header"),
+                    F.regexp_replace(F.concat_ws("", body), r"\s+", "").alias("seq")).withColumnRenamed("n", "pair_id")
 
 
 def read_contact_map(spark: SparkSession, path: str) -> DataFrame:
     """Contact-map CSV (rows = positions of A, columns = positions of B)
     -> long ``(pos_a INT, pos_b INT, value, is_contact INT)``; raw values stay in
     ``value`` so that validation can reject anything but 0/1."""
-    cells = _records(spark, path, "\n").select(
+    cells = _records(spark, path, "\n", F.col("value")).select(
         F.col("n").cast("int").alias("pos_a"), F.posexplode(F.split("value", ",")).alias("pos_b", "raw"))
     value = _stripped(F.col("raw")).try_cast("double")
     return cells.select("pos_a", "pos_b", value.alias("value"), value.cast("int").alias("is_contact"))

@@ -34,11 +34,24 @@ def test_fasta_order_over_many_splits_and_files(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     try:
         df = fasta.read_alignment(spark, str(tmp_path))
-        assert df.select(F.spark_partition_id()).distinct().count() > 3
-        got = [(r.pair_id, r.header) for r in df.orderBy("pair_id").collect()]
+        plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert got == [(i, f"r{i}") for i in range(600)]
+    # the table that fixes the places is read under other split sizes than the text was
+    got = [(r.pair_id, r.header, r.seq) for r in df.orderBy("pair_id").collect()]
+    assert got == [(i, f"r{i}", "AR" * 10 + "ND" * 5) for i in range(600)]
+    # records stay where they are: the only exchange sends the block starts to all tasks
+    assert "BroadcastHashJoin" in plan and "Window" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
+def test_blank_records_and_empty_files(spark, tmp_path):
+    write(tmp_path / "a.fa", "\n\n>x\nAR\n\n\n>y\nND\n\n")
+    write(tmp_path / "b.fa", "")
+    write(tmp_path / "c.fa", ">z\nCC")
+    got = [tuple(r) for r in fasta.read_alignment(spark, str(tmp_path)).orderBy("pair_id").collect()]
+    assert got == [(0, "x", "AR"), (1, "y", "ND"), (2, "z", "CC")]
+    none = fasta.read_alignment(spark, write(tmp_path / "none.txt", "\n"))
+    assert none.columns == ["pair_id", "header", "seq"] and none.count() == 0
 
 
 def test_contact_map_and_its_checks(spark, tmp_path):
