@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copair.llm.common import tasks_for, written
+from copair.llm.common import free_name, tasks_for, written
 
 SHARDS = 8
 _ID_BITS = 24
@@ -144,33 +144,40 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
           bytes_per_range: int = 64 << 20, tolerance: float = 0.001) -> DataFrame:
     """``docs`` plus ``__shard int`` and ``__slot long`` (gapless from 0), exchanged once.
 
-    Shards have nearly equal bytes; a task of the exchange holds about
-    ``bytes_per_range``.  Null texts count 1 byte; repeated rows of one
-    id and text are one indivisible key; an empty table gives no rows.
+    Shards have nearly equal bytes.  A task of the exchange has one range, which holds about
+    ``bytes_per_range``.  Null texts count 1 byte, and null ids are an id of their own; ties (repeated rows
+    of one id and text) are one indivisible key, whose rows have different slots; very long
+    texts are never cut, so a range may exceed its bytes by one; an empty table gives no rows.
+    Where ``docs`` has a column of such a name, the added name is lengthened by underscores;
+    the added columns are the last two.
     """
-    keyed = docs.withColumns({"__key": sort_key(F.col(text_col), F.col(id_col)), "__bytes": byte_size(F.col(text_col))})
-    narrow = written(keyed.select(F.col("__key").alias("key"), F.col("__bytes").alias("size")))
+    key, place, nth = (free_name(docs, c) for c in ("__key", "__place", "__nth"))
+    shard_col, slot = free_name(docs, "__shard"), free_name(docs, "__slot")
+    keyed = docs.withColumn(key, sort_key(F.col(text_col), F.col(id_col)))
+    narrow = written(keyed.select(F.col(key).alias("key"), byte_size(F.col(text_col)).alias("size")))
     total = narrow.agg(F.sum("size")).first()[0] or 0
     per_shard = tasks_for(total, bytes_per_range * shards)
-    splitters = np.sort(find_splitters(narrow, per_shard * shards, per_shard, tolerance))
+    ranges = per_shard * shards
+    splitters = np.sort(find_splitters(narrow, ranges, per_shard, tolerance))
     exact = histogram(narrow, splitters)
-    rows = np.zeros(per_shard * shards, dtype=np.int64)
+    rows = np.zeros(ranges, dtype=np.int64)
     rows[exact["gap"]] = exact["rows"]
     by_shard = rows.reshape(shards, per_shard)
-    before = (np.cumsum(by_shard, axis=1) - by_shard).ravel()
+    before = (np.cumsum(by_shard, axis=1) - by_shard).ravel()  # rows of the shard in earlier ranges
 
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splitters, key.to_numpy(), side="right").astype(np.int32))
+    @F.pandas_udf("range int, before long")
+    def place_of(keys: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(splitters, keys.to_numpy(), side="right")
+        return pd.DataFrame({"range": at.astype(np.int32), "before": before[at]})
 
-    starts = docs.sparkSession.createDataFrame(
-        [(i, i // per_shard, int(b)) for i, b in enumerate(before)], "__range int, __shard int, __before long")
-    within = Window.partitionBy("__range").orderBy("__key", id_col)
-    placed = keyed.withColumn("__range", range_of("__key")).withColumn("__nth", F.row_number().over(within) - 1)
-    return placed.join(F.broadcast(starts), "__range").withColumn(
-        "__slot", F.col("__before") + F.col("__nth")).drop("__key", "__bytes", "__range", "__nth", "__before")
+    dealt = keyed.withColumn(place, place_of(key)).repartitionById(ranges, F.col(f"{place}.range"))
+    within = Window.partitionBy(F.col(f"{place}.range")).orderBy(key, id_col)
+    numbered = dealt.withColumn(nth, F.row_number().over(within) - 1)
+    return numbered.select(*docs.columns, F.expr(f"int({place}.range div {per_shard})").alias(shard_col),
+                           (F.col(f"{place}.before") + F.col(nth)).alias(slot))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Files of each shard under ``path/__shard=<n>``."""
-    sharded.drop("__slot").write.partitionBy("__shard").parquet(path)
+    """Files of each shard under ``path/<shard column>=<n>``; the last two columns are shard and slot."""
+    shard_col, slot = sharded.columns[-2:]
+    sharded.drop(slot).write.partitionBy(shard_col).parquet(path)

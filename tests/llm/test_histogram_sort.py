@@ -56,6 +56,27 @@ def test_histogram_counts_exactly(spark):
     assert h[["gap", "bytes", "rows", "low", "high"]].values.tolist() == [[0, 5, 1, -5, -5], [1, 33, 3, 0, 3], [2, 19, 1, 9, 9]]
 
 
+def test_one_exchange_with_a_task_per_range(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), 20).alias("text"))
+    out = histogram_sort.shard(docs, bytes_per_range=10_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    size = out.select(histogram_sort.byte_size(F.col("text")).alias("size"), F.spark_partition_id().alias("task"), "__shard")
+    tasks = size.groupBy("task").agg(F.sum("size").alias("bytes"), F.countDistinct("__shard").alias("shards")).collect()
+    assert len(tasks) >= 24 and max(t["bytes"] for t in tasks) <= 2 * 10_000 and {t["shards"] for t in tasks} == {1}
+
+
+def test_columns_of_reserved_names_stay(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", 7, 8, 9, 10), (1, "a", 7, 8, 9, 11), (None, None, 5, 6, 7, 8)],
+                                 "doc_id long, text string, __shard int, __slot int, __key int, __place int")
+    out = histogram_sort.shard(docs)
+    assert out.columns == [*docs.columns, "__shard_", "__slot_"]
+    assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert {(r["__shard_"], r["__slot_"]) for r in out.collect()} <= {(s, i) for s in range(8) for i in range(3)}
+    histogram_sort.write_shards(out, f"{tmp_path}/s")
+    assert spark.read.parquet(f"{tmp_path}/s").count() == 3
+
+
 def test_empty_table_and_files(spark, tmp_path):
     assert histogram_sort.shard(no_docs(spark)).count() == 0
     out = histogram_sort.shard(odd_docs(spark).where("doc_id < 3"))
