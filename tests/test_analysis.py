@@ -135,6 +135,21 @@ def test_random_starts_are_separate(spark, tmp_path):
     assert first.where("n = 2").count() > 10
 
 
+def test_matrices_and_truth_of_every_start(spark, tmp_path):
+    a, b, _ = planted(tmp_path, 60)
+    out = f"{tmp_path}/out"
+    options = EMOptions(init="random", n_starts=2, max_iters=2, max_init_iters=2, max_reg_iters=2, history=True, test=True, int_limit=44)
+    r = analysis.run(spark, a, b, options, out=out)
+    for name, value in (("label_evolution", "z"), ("llh_evolution", "alt_llh")):
+        wide = spark.read.parquet(f"{out}/{name}")
+        assert wide.count() == 2 * 60
+        last = wide.select("start", "pair_id", F.col("2").alias("v")).join(r.trace.where("iter = 2"), ["start", "pair_id"], "left")
+        assert last.where(~F.col("v").eqNullSafe(F.col(value))).count() == 0
+    assert {(x.n, x.tp + x.fn) for x in r.performance.collect()} == {(60, 45)}
+    with pytest.raises(ValueError, match="int_limit is 61"):
+        analysis.run(spark, a, b, EMOptions(init="random", test=True, int_limit=61))
+
+
 @pytest.mark.skipif("COPAIR_EXAMPLE_DATA" not in os.environ, reason="folder with a.fasta, b.fasta, contacts.csv not given")
 def test_example_data(spark):
     folder = os.environ["COPAIR_EXAMPLE_DATA"]
