@@ -18,6 +18,8 @@ The same derivation is written in SQL for the DuckDB oracle.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,19 @@ LETTERS_B = "MNOPQRSTUVWX"
 RESIDUES_20 = "ARNDCEQGHILKMFPSTWYV"
 
 
-def _count(s: Column, letter: str) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(letter), F.lit("")))
+def letter_counts(texts: pa.Array) -> pa.Array:
+    """How often each of ``LETTERS_A + LETTERS_B`` occurs in every text, in either case; null: never."""
+    letters = LETTERS_A + LETTERS_B
+    place = np.full(256, len(letters), dtype=np.uint8)  # of a UTF-8 byte; those of other characters are no ASCII letters
+    for i, letter in enumerate(letters):
+        place[[ord(letter), ord(letter.lower())]] = i
+    data = texts.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset:data.offset + len(data) + 1]
+    octets = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    out = np.zeros((len(data), len(letters)), dtype=np.int32)
+    for row, lo, hi in zip(out, ends[:-1].tolist(), ends[1:].tolist()):
+        row[:] = np.bincount(place[octets[lo:hi]], minlength=len(letters) + 1)[:-1]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1, dtype=np.int32) * len(letters)), pa.array(out.ravel()))
 
 
 def interacts() -> Column:
@@ -42,12 +55,12 @@ def _letter(code: Column) -> Column:
 
 def alignment_from_documents(documents: DataFrame) -> DataFrame:
     """``documents(doc_id, text, ...)`` -> ``(pair_id, seq_a, seq_b)``; a null text is all gaps."""
-    s = F.upper(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[^A-Za-z]", ""))
-    base = documents.select(F.col("doc_id").cast("long").alias("pair_id"), s.alias("s"))
+    counted = F.arrow_udf(letter_counts, "array<int>")
+    base = documents.select(F.col("doc_id").cast("long").alias("pair_id"), counted("text").alias("counts"))
     cols_a, cols_b = [], []
-    for p, (la, lb) in enumerate(zip(LETTERS_A, LETTERS_B)):
+    for p in range(len(LETTERS_A)):
         m = 2 if p % 4 == 3 else 4
-        ca, cb = _count(F.col("s"), la), _count(F.col("s"), lb)
+        ca, cb = F.col("counts")[p], F.col("counts")[len(LETTERS_A) + p]
         cols_a.append(F.when(ca == 0, F.lit("-")).otherwise(_letter(ca % m)))
         cols_b.append(F.when(cb == 0, F.lit("-")).when(interacts() & (ca > 0), _letter(5 + ca % m)).otherwise(_letter(5 + cb % m)))
     return base.select("pair_id", F.concat(*cols_a, _letter(F.lit(0))).alias("seq_a"),
