@@ -90,6 +90,11 @@ def _new_labels(state: DataFrame, opts: EMOptions) -> DataFrame:
     return state.withColumn("z_prev", F.col("z")).withColumn("z", F.zip_with("alt_llh", "null_llh", label))
 
 
+def _pwm(state: DataFrame, mode: str, width_a: int, width_b: int) -> dict:
+    """``pwm_arrays`` of the null model of ``state(a, b, z)``."""
+    return null_model.pwm_arrays(null_model.fit_null(state, mode), width_a, width_b)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
