@@ -85,7 +85,7 @@ class CoefTable:
 
 def one_hot_rows(residues: np.ndarray, feats: np.ndarray) -> np.ndarray:
     """(feats, rows) 0/1 doubles of transposed codes (positions, rows): the one-hot rows ``feats`` alone."""
-    return (residues[feats // N_CODES] == (feats % N_CODES)[:, None]).astype(np.float64)
+    return (residues[feats // N_CODES] == (feats % N_CODES).astype(residues.dtype)[:, None]).astype(np.float64)
 
 
 def one_hot_at(codes: np.ndarray, feats: np.ndarray) -> np.ndarray:
@@ -99,27 +99,36 @@ def newton_sums(o_codes: np.ndarray, t_codes: np.ndarray, w: np.ndarray, part: d
     (models x columns) and, with ``hessian``, each model's Hessian of (working features, intercept).
 
     A chunk's matrices are models or features by rows and small enough to stay in the cache, so
-    that a model's features are whole rows and every product reads memory in order."""
-    trials, cols = part["trials"], part["cols"]
+    that a model's features are whole rows and every product reads memory in order.  Models at
+    the same point (the strengths of a round start where the last one ended) share their sums."""
+    cols = part["cols"]
     if "table" not in part:  # kept beside the broadcast block in this worker
-        part["table"] = CoefTable([t.feats for t in trials], [t.coefs for t in trials])
+        points: dict = {}
+        same = [points.setdefault((p, c, t.b, t.feats.tobytes(), t.coefs.tobytes()), len(points))
+                for p, c, t in zip(part["tpos"].tolist(), part["tcls"].tolist(), part["trials"])]
+        part["same"], part["first"] = np.array(same, dtype=np.int64), np.unique(same, return_index=True)[1]
+        own = [part["trials"][k] for k in part["first"]]
+        part["table"] = CoefTable([t.feats for t in own], [t.coefs for t in own])
+    same, first = part["same"], part["first"]
+    trials = [part["trials"][k] for k in first]
     n_models = len(trials)
     # a model's rows of the one-hot matrix; the row after its last is the intercept's
     place = [np.append(np.searchsorted(cols, t.feats), len(cols)) for t in trials]
     loss, gb, g = np.zeros(n_models), np.zeros(n_models), np.zeros((n_models, len(cols)))
     h = [np.zeros((len(p), len(p))) for p in place] if hessian else []
     b = np.array([t.b for t in trials])[:, None]
-    tpos, tcls, x = part["tpos"], part["tcls"][:, None], None
+    tpos, tcls, x = part["tpos"][first], part["tcls"][first].astype(np.int8)[:, None], None
+    fpos, faa = cols // N_CODES, (cols % N_CODES).astype(np.int8)[:, None]
     for lo, hi in row_chunks(len(w), max(len(cols), n_models), SUM_ROWS):
         ws = w[lo:hi]
         residues = np.ascontiguousarray(o_codes[lo:hi].T, dtype=np.int8)
         if x is None or x.shape[1] != hi - lo:  # the last chunk is shorter
             x = np.ones((len(cols) + 1, hi - lo))
             mine, scaled = (np.empty((max((len(p) for p in place), default=0), hi - lo)) for _ in range(2))
-        x[:-1] = residues[cols // N_CODES] == (cols % N_CODES)[:, None]
+        x[:-1] = residues[fpos] == faa
         s = part["table"].by_model(residues)
         s += b
-        y = np.ascontiguousarray(t_codes[lo:hi].T)[tpos] == tcls
+        y = np.ascontiguousarray(t_codes[lo:hi].T, dtype=np.int8)[tpos] == tcls
         e = np.abs(s)
         np.negative(e, out=e)
         np.exp(e, out=e)
@@ -143,7 +152,7 @@ def newton_sums(o_codes: np.ndarray, t_codes: np.ndarray, w: np.ndarray, part: d
             for i, p in enumerate(place):
                 xa = np.take(x, p, axis=0, out=mine[:len(p)], mode="clip")
                 h[i] += np.multiply(xa, e[i], out=scaled[:len(p)]) @ xa.T
-    return np.concatenate([loss, gb, g.ravel(), *[m.ravel() for m in h]])
+    return np.concatenate([loss[same], gb[same], g[same].ravel(), *([h[k].ravel() for k in same] if hessian else [])])
 
 
 def _group_logprobs(S, t_residues, groups):

@@ -51,6 +51,18 @@ def test_newton_sums_equal_the_plain_sums_and_stay_in_the_cache():
     assert peak < 4 << 20  # a matrix of all rows alone has 3.8 MB; whole batches took many of them
 
 
+def test_models_at_one_point_share_their_sums(monkeypatch):
+    rng = np.random.default_rng(3)
+    part = _block(rng, models=12)
+    four = {k: v if k == "cols" else [x for x in v for _ in range(4)] if k == "trials" else np.repeat(v, 4) for k, v in part.items()}
+    o, t, w = rng.integers(0, 4, (300, 6)), rng.integers(0, 4, (300, 3)), np.full(300, 1 / 300)
+    asked = []
+    plain = K.CoefTable.by_model
+    monkeypatch.setattr(K.CoefTable, "by_model", lambda self, r: asked.append(self.n_models) or plain(self, r))
+    assert np.abs(K.newton_sums(o, t, w, four) - _plain(o, t, w, four)).max() < 1e-12
+    assert asked == [12]  # 48 models, 12 points
+
+
 def test_newton_sums_without_rows_or_features():
     rng = np.random.default_rng(1)
     part = _block(rng)
