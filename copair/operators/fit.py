@@ -57,6 +57,8 @@ BLOCK_MODELS = 32
 BLOCK_BYTES = 4 << 20
 #: Bytes of all sums that a task keeps in one pass.
 PASS_BYTES = 64 << 20
+#: Bytes of a block of packed rows.
+PACK_BYTES = 1 << 20
 #: Features that may enter a model's working set in one pass.
 ADMIT = 60
 #: Passes without progress after which a model counts as stalled.
@@ -158,11 +160,32 @@ def _reduced(rows: DataFrame, partial, finish, schema: str, blocks: int) -> Data
     return sums.repartition(blocks, "block").groupBy("block").applyInPandas(last, schema)
 
 
+def _packed(rows: DataFrame, width_a: int, width_b: int) -> DataFrame:
+    """``rows(a, b, w array)`` as blocks ``(n, a, b, w)`` of rows, matrices of bytes and doubles: a pass then
+    reads a block at once, not every array of every row."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, w in _batches(batches, width_a, width_b):
+            step = max(1, PACK_BYTES // (width_a + width_b + 8 * w.shape[1]))
+            for lo in range(0, len(w), step):
+                a, b = (np.ascontiguousarray(c[lo:lo + step], dtype=np.int8) for c in codes["A"])
+                mine = np.ascontiguousarray(w[lo:lo + step])
+                yield pa.RecordBatch.from_arrays([pa.array([len(mine)], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (a, b, mine)]],
+                                                 names=["n", "a", "b", "w"])
+
+    return rows.mapInArrow(pack, "n int, a binary, b binary, w binary")
+
+
 def _batches(batches: Iterator[pa.RecordBatch], width_a: int, width_b: int):
     """``(side -> (own codes, opposite codes), weights (rows, starts))`` of Arrow batches of ``(a, b, w)``."""
     for batch in batches:
         n = batch.num_rows
-        if n:
+        if "n" in batch.schema.names:  # blocks of ``_packed``
+            for size, *blobs in zip(*(batch.column(c) for c in ("n", "a", "b", "w"))):
+                size = size.as_py()
+                a, b, w = (np.frombuffer(x.as_buffer(), t) for x, t in zip(blobs, (np.int8, np.int8, np.float64)))
+                a, b = a.reshape(size, width_a), b.reshape(size, width_b)
+                yield {"A": (a, b), "B": (b, a)}, w.reshape(size, -1)
+        elif n:
             a, b = K.codes_matrix(batch.column("a"), width_a), K.codes_matrix(batch.column("b"), width_b)
             w = batch.column("w").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
             yield {"A": (a, b), "B": (b, a)}, w
@@ -188,7 +211,7 @@ def logprob_sums(rows: DataFrame, sides: dict, width_a: int, width_b: int, membe
 
     finish = lambda i, v: pd.DataFrame({"i": i, "g": np.arange(len(v)), "v": v})
     out = {k: np.zeros(len(sides[k].kind)) for k in keys}
-    for r in _reduced(rows.select("a", "b", "w"), partial, finish, "i int, g long, v double", len(keys)).collect():
+    for r in _reduced(rows, partial, finish, "i int, g long, v double", len(keys)).collect():
         out[keys[r.i]][r.g] = r.v
     bc.unpersist()
     return out
@@ -540,6 +563,7 @@ def fit_starts(rows: DataFrame, width_a: int, width_b: int, alphas: list[dict |
     With ``members`` a start has the rows of positive weight alone (hard labels); otherwise all.
     """
     rows = rows.select("a", "b", "w").persist()
+    packed = _packed(rows, width_a, width_b).persist()
     try:
         stats = stats_of_starts(rows, width_a, width_b, len(alphas), members)
         if any(st.n == 0 for st in stats):
@@ -557,17 +581,18 @@ def fit_starts(rows: DataFrame, width_a: int, width_b: int, alphas: list[dict |
                 closed_form_intercepts(sm, stats[k])
                 previous[(k, s)] = _warm_start(sm, init[k][s]) if init[k] is not None else {}
         if fixed:
-            solve(rows, sides, stats, width_a, width_b, {key: range(sm.n_models) for key, sm in sides.items()}, l1_ratio, tol,
+            solve(packed, sides, stats, width_a, width_b, {key: range(sm.n_models) for key, sm in sides.items()}, l1_ratio, tol,
                   max_iter, previous, pass_bytes)
         for k in fixed:
             mine = {s: sides[(k, s)] for s in "AB"}
             chosen = {s: {int(p): float(a) for p, a in zip(sm.gpos, sm.galpha)} for s, sm in mine.items()}
             out[k] = FitResult(mine, chosen, None, stats[k], counts[k])
         if searched:
-            out |= _search(rows, stats, searched, counts, members, dfmax, list(ALPHA_PATH if path is None else path),
+            out |= _search(packed, stats, searched, counts, members, dfmax, list(ALPHA_PATH if path is None else path),
                            alphas_per_round, *options)
         return [out[k] for k in range(len(alphas))]
     finally:
+        packed.unpersist()
         rows.unpersist()
 
 
