@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 
 from copair.operators import kernels as K
+from copair.operators import fit
 from copair.operators.fit import Trial
 
 N = 2 * K.ROW_CHUNK_CELLS // 100  # several chunks
@@ -98,3 +99,15 @@ def test_group_scores_equal_the_plain_ones_and_stay_in_the_cache():
     tracemalloc.stop()
     assert np.allclose(got, want)
     assert peak < got.nbytes + (2 << 20)
+
+
+def test_packed_rows_come_back(spark, monkeypatch):
+    monkeypatch.setattr(fit, "PACK_BYTES", 100)  # some rows a block
+    rows = spark.range(0, 50, 1, 1).selectExpr("array(cast(id % 5 as tinyint), cast(-1 as tinyint)) as a", "array(cast(id % 3 as tinyint)) as b",
+                                               "array(cast(id as double), 0.5D) as w")
+    packed = fit._packed(rows, 2, 1)
+    back = [x for batch in [packed.toArrow()] for x in fit._batches(batch.to_batches(), 2, 1)]
+    assert len(back) > 5
+    assert np.concatenate([w for _, w in back]).tolist() == [[i, 0.5] for i in range(50)]
+    assert np.concatenate([c["A"][0] for c, _ in back]).tolist() == [[i % 5, -1] for i in range(50)]
+    assert np.concatenate([c["B"][0] for c, _ in back]).tolist() == [[i % 3] for i in range(50)]
